@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
+from .simhash import simhash_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
+    out = simhash_components(table(spark, sf_dir, "documents"), shingle=4, seed=42, max_distance=4)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points or more in 5 documents or more stay only in the largest doc_id."""
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
@@ -68,5 +75,5 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
