@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .simhash import simhash_components
+from .substring_dedup import substring_dedup
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,6 +25,28 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a window of 35 words that also starts anywhere else go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs, length=35, derive={"kept_sha256": lambda kept: F.sha2(kept, 256)}, keep_text=False)
+
+
+_ALL_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {_ALL_WORDS} AS ws FROM documents),
+w AS (
+  SELECT doc_id, a, md5(array_to_string(ws[a:a + 34], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS a FROM d WHERE len(ws) >= 35)
+), r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, a + 35)) AS pos FROM w JOIN r USING (k)),
+x AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM d)
+SELECT d.doc_id, CAST(any_value(len(ws)) AS BIGINT) AS n_words, count(g.pos) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY x.pos) FILTER (g.pos IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN g ON g.doc_id = x.doc_id AND g.pos = x.pos GROUP BY d.doc_id
+"""
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points or more in 5 documents or more stay only in the largest doc_id."""
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
@@ -75,5 +98,5 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
