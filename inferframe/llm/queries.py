@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode, read_ranks
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .simhash import simhash_components
@@ -47,6 +49,20 @@ FROM d LEFT JOIN x USING (doc_id) LEFT JOIN g ON g.doc_id = x.doc_id AND g.pos =
 """
 
 
+def bpe_columns(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256 of each text."""
+    out = bpe_encode(docs, ranks_path, pattern, text_col)
+    decoded = bpe_decode(F.col("ids"), read_ranks(ranks_path))
+    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(joined, 256), "decoded_sha256": F.sha2(decoded, 256)}).drop("ids")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text with the public 50k byte-level vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_columns(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points or more in 5 documents or more stay only in the largest doc_id."""
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
@@ -98,5 +114,5 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
