@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode, read_ranks
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
+from .quality import quality_scores
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
+from .url_filter import BIAS, DIMS, RULES, train_plain, url_verdicts
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,6 +65,41 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_columns(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality votes of the nearest labelled documents, learned from two of three folds."""
+    return quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by rule or by logistic regression."""
+    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op8_sql() -> str:
+    def frame(text: str, start: int) -> str:
+        code = " + ".join(f"unicode(substr({text}, CAST(i AS INT) + {k}, 1)) * {m}" for k, m in enumerate((961, 31, 1)))
+        return f"list_transform(range(1, length({text}) - 1), lambda i: ({code} + {start * 7}) % {DIMS} + {start})"
+
+    def case(column: int) -> str:
+        whens = []
+        for rule in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+            cut = rule[1].index("/")
+            host, path = rule[1][:cut], rule[1][cut:]
+            whens.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{rule[column]}'")
+        return "CASE " + " ".join(whens) + " END"
+
+    return f"""
+WITH r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r
+), f AS (SELECT *, '^' || host || '$' AS fh, '^' || path || '$' AS fp FROM p),
+g AS (SELECT *, list_concat({frame("fh", 0)}, {frame("fp", DIMS)}) AS g FROM f),
+m AS (SELECT {train_plain()} AS w),
+s AS (SELECT g.*, coalesce(list_sum(list_transform(g, lambda j: w[j + 1] * {BIAS})), 0) + w[{2 * DIMS + 1}] * len(g) AS margin FROM g, m)
+SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(0)}, CASE WHEN margin > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM s
+"""
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points or more in 5 documents or more stay only in the largest doc_id."""
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
@@ -114,5 +151,5 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_url_filter": op8_sql(), "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
