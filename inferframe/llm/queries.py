@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode, read_ranks
 from .decontaminate import decontaminate
+from .langid import identify_languages, page_declared, page_text
 from .line_dedup import line_dedup
+from .ngram_lm import lm_scores
 from .quality import quality_scores
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
-from .url_filter import BIAS, DIMS, RULES, train_plain, url_verdicts
+from .url_filter import BIAS, DIMS, RULES, host_and_path, train_plain, url_verdicts
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,6 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a bigram model of nine in ten of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) == 0
+    return lm_scores(docs, held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its text, declared language and source."""
+    docs = table(spark, sf_dir, "documents")
+    return identify_languages(docs, declared=F.col("lang"), host=F.col("source")).withColumnRenamed("id", "doc_id")
+
+
+def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its text, markup, address suffix and host."""
+    pages = table(spark, sf_dir, "pages").withColumn("text", page_text(F.col("html")))
+    return identify_languages(pages, "page_id", declared=page_declared(F.col("html")), host=host_and_path(F.col("url"))[0]).withColumnRenamed("id", "page_id")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
     out = simhash_components(table(spark, sf_dir, "documents"), shingle=4, seed=42, max_distance=4)
@@ -151,5 +172,5 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_lm_score": op2_lm_score, "op3_language_id": op3_language_id, "op3_language_id_pages": op3_language_id_pages, "op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_url_filter": op8_sql(), "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> 32) + (1 << 31)) * shards >> 32
 
 
-def _save(path: str, array: np.ndarray) -> None:
+def save(path: str, array: np.ndarray) -> None:
     """Under its name only when whole, so that a task that is run again replaces it with the same."""
     part = f"{path}.{uuid.uuid4().hex}.part"
     with open(part, "wb") as f:
@@ -52,10 +52,10 @@ def write_store(df: DataFrame, what: str) -> tuple[str, int, int]:
             if pa.types.is_string(column.type):
                 at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
                 data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-                _save(f"{folder}/{shard}-{name}-at.npy", at - at[0])
-                _save(f"{folder}/{shard}-{name}.npy", data[at[0] : at[-1]])
+                save(f"{folder}/{shard}-{name}-at.npy", at - at[0])
+                save(f"{folder}/{shard}-{name}.npy", data[at[0] : at[-1]])
             else:
-                _save(f"{folder}/{shard}-{name}.npy", column.to_numpy())
+                save(f"{folder}/{shard}-{name}.npy", column.to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([table.num_rows], pa.int64())], names=["shard", "n"])
 
     shard = F.expr(f"cast(shiftright((shiftright(h, 32) + 2147483648) * {shards}, 32) AS int)")
@@ -112,3 +112,46 @@ class HashStore:
             for h, a, b in zip(own[here].tolist(), at[there].tolist(), at[there + 1].tolist(), strict=True):
                 out[h] = data[a:b].tobytes()
         return out
+
+
+def count_keys(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], shards: int, at_once: int = 1 << 21) -> DataFrame:
+    """(shard, hashes, counts): packets of the distinct signed 64-bit keys that `keys` yields, counted on the map side."""
+
+    def packets(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        shard = shard_of(hashes, shards)
+        cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(shard))
+        both = [[x[a:b].tobytes() for a, b in zip(cut, ends, strict=False)] for x in (hashes, counts.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays([pa.array(shard[cut]), pa.array(both[0], pa.binary()), pa.array(both[1], pa.binary())], names=["shard", "hashes", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        room = at_once
+        for new in keys(batches):
+            held.append(np.unique(new, return_counts=True))
+            room -= len(held[-1][0])
+            if room < 0:
+                held = [add_up(held)]
+                room = at_once - len(held[0][0])
+                if room < at_once // 2:
+                    yield packets(*held[0])
+                    held, room = [], at_once
+        if held:
+            yield packets(*add_up(held))
+
+    return df.mapInArrow(run, "shard long, hashes binary, counts binary")
+
+
+def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of some (hashes, counts), sorted, with their sums."""
+    hashes = np.concatenate([h for h, _ in parts])
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts = hashes[order], np.concatenate([c for _, c in parts]).astype(np.int64)[order]
+    begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[begin], np.add.reduceat(counts, begin) if len(begin) else counts
+
+
+def merge_packets(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """(shard, hashes, counts) of all packets of one shard."""
+    parts = [(np.frombuffer(h, np.int64), np.frombuffer(c, np.uint32)) for h, c in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+    return table.column("shard")[0].as_py(), *add_up(parts)
