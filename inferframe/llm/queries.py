@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bm25 import bm25_top_k
 from .bpe import bpe_decode, bpe_encode, read_ranks
 from .decontaminate import decontaminate
 from .langid import identify_languages, page_declared, page_text
@@ -25,6 +26,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100, whole texts on both sides."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25_top_k(docs, docs.where(F.col("doc_id") % 100 == 0), k=10)
+
+
+OP1_SQL = f"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS t FROM documents
+), p AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL),
+l AS (SELECT documents.doc_id, count(t) AS n FROM documents LEFT JOIN w USING (doc_id) GROUP BY ALL),
+c AS (SELECT count(*) AS docs, sum(n) / count(*) AS mean FROM l),
+i AS (SELECT t, ln(1 + (any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, c GROUP BY t),
+s AS (
+  SELECT q.doc_id AS query_id, p.doc_id, round(sum(q.tf * idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
+  FROM p AS q JOIN i USING (t) JOIN p USING (t) JOIN l ON l.doc_id = p.doc_id, c
+  WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, p.doc_id
+)
+SELECT query_id, rank, doc_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under a bigram model of nine in ten of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -172,5 +196,5 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_lm_score": op2_lm_score, "op3_language_id": op3_language_id, "op3_language_id_pages": op3_language_id_pages, "op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_url_filter": op8_sql(), "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bm25_top_k": op1_bm25_top_k, "op2_lm_score": op2_lm_score, "op3_language_id": op3_language_id, "op3_language_id_pages": op3_language_id_pages, "op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
+ORACLE_SQL: dict[str, str] = {"op1_bm25_top_k": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op8_url_filter": op8_sql(), "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
