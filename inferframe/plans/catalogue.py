@@ -1,10 +1,535 @@
-"""Queries over the supplied tables, and their SQL."""
+"""Queries over the supplied tables, one or more for each operator, and the same in DuckDB SQL.
+
+Where a table has no column for what an operator needs (page failures,
+statuses, attempts), the query makes it from the rows by a rule that its docstring names.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import data_url as urls
+from ..functions import text as tx
+from ..operators import chat as ch
+from ..operators import metrics, pages, retry, schema, similarity
+from ..operators.layout import BLOCKS, layout_cost, layout_text_column
+from ..operators.models import with_cost
+from ..operators.prompt import last_user_text, openai_messages, parse_prompt, render_columns, valid_roles
+from ..sources.records import flat_rows, quoted
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def echo_prompt(user: str, developer: str | None = None) -> dict:
+    return {"developer": developer, "response_schema": {"description": "Echo.", "properties": {"echo": {"description": "The text."}}}, "messages": [{"user": {"text": user}}]}
+
+
+def echoed(df: DataFrame) -> DataFrame:
+    return df.withColumn("echo", F.get_json_object("response", "$.echo"))
+
+
+#: Tokens of a text, in SQL.
+TOKENS = r"list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(coalesce({0}, ''), '</?[a-zA-z_]+\s*/?>', ' ', 'g'), '!\[.*?\]\(.*?\)', ' ', 'g'), '[\p{{L}}\p{{N}}_]+'), lambda t: NOT regexp_full_match(t, '_+')), lambda t: lower(t))"
+
+
+# chat
+
+
+@query("""
+SELECT doc_id, 'ok' AS status, 'From ' || source || ' (' || lang || '): ' || text AS echo, CAST(0 AS BIGINT) AS prompt_tokens, CAST(0 AS BIGINT) AS n_errors
+FROM documents
+""")
+def echo_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The echo provider over all documents, rendered in the JVM."""
+    docs = table(spark, sf_dir, "documents").withColumn("number", F.col("doc_id"))
+    out = echoed(ch.chat(docs, echo_prompt("From {{source}} ({{lang}}): {{text}}", "Repeat."), id_col="doc_id"))
+    return out.select(F.col("id").cast("bigint").alias("doc_id"), "status", "echo", F.col("token_usage.prompt_tokens").alias("prompt_tokens"), F.size("errors").cast("bigint").alias("n_errors"))
+
+
+@query("""
+SELECT conv_id, arg_max(text, turn) AS echo FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id
+""")
+def echo_chat_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last user text of each conversation, as the echo provider picks it from its messages."""
+    turns = table(spark, sf_dir, "conversations")
+    none = F.array().cast("array<string>")
+    messages = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"), none.alias("images"))).alias("messages"))
+    return messages.select("conv_id", last_user_text(F.col("messages")).alias("echo")).where(F.col("echo").isNotNull())
+
+
+@query("""
+SELECT conv_id, regexp_full_match(string_agg(role, ',' ORDER BY turn), '(system,)?(user,assistant,)*user') AS valid FROM conversations GROUP BY conv_id
+""")
+def conversation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a conversation's roles make a valid prompt."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return turns.select("conv_id", valid_roles(F.col("t.role")).alias("valid"))
+
+
+@query("""
+SELECT doc_id, idx, role, content FROM (
+  SELECT doc_id, 0 AS idx, 'system' AS role, 'Language: ' || lang AS content FROM documents
+  UNION ALL SELECT doc_id, 1, 'user', 'An example.' FROM documents
+  UNION ALL SELECT doc_id, 2, 'assistant', '{"lang":"' || lang || '","n":1}' FROM documents
+  UNION ALL SELECT doc_id, 3, 'user', text FROM documents)
+""")
+def openai_message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of an OpenAI-compatible request, a row for each."""
+    docs = table(spark, sf_dir, "documents")
+    prompt = parse_prompt({"developer": "Language: {{lang}}", "response_schema": {"description": "x"}, "messages": [{"user": {"text": "An example."}}, {"assistant": {"json": {"lang": "{{lang}}", "n": 1}}}, {"user": {"text": "{{text}}"}}]})
+    rendered = docs.select("doc_id", openai_messages(render_columns(prompt, ch.bindings(docs))).alias("m"))
+    return rendered.select("doc_id", F.posexplode("m").alias("idx", "m")).select("doc_id", "idx", "m.role", "m.content")
+
+
+def _rendered(df: DataFrame, key: str, template: str) -> DataFrame:
+    from ..functions.template import compile_template
+
+    return df.select(key, compile_template(template, ch.bindings(df)).alias("rendered"))
+
+
+@query("SELECT doc_id, 'A' || lang || 'B' || 'C' AS rendered FROM documents")
+def render_missing_var(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing variables, and those of the envelope, are empty."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").withColumn("id", F.col("doc_id"))
+    return _rendered(docs, "doc_id", "A{{lang}}B{{nothing.at.all}}{{id}}C").select("doc_id", "rendered")
+
+
+@query("SELECT p_partkey, p_brand || '/' || p_type || '/' || CAST(p_size AS VARCHAR) || '!' AS rendered FROM part")
+def render_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The concat helper."""
+    return _rendered(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"), "p_partkey", "{{concat p_brand '/' p_type \"/\" p_size}}!")
+
+
+@query("SELECT p_partkey, to_json(p_name) || ' ' || CAST(p_size AS VARCHAR) AS rendered FROM part")
+def render_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The to-string helper: JSON text, so strings are quoted."""
+    return _rendered(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", "{{to-string p_name}} {{to-string p_size}}")
+
+
+@query("""
+SELECT documents.doc_id, CASE WHEN toxic = 1 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN toxic = 1 THEN NULL ELSE text END AS echo,
+  '{"source":"' || source || '","n":' || n_chars || '}' AS passthrough_data
+FROM documents LEFT JOIN labels USING (doc_id)
+""")
+def skip_processing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows labelled toxic are skipped; pass-through data stays on all."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = docs.select("doc_id", "text", (F.col("toxic") == 1).alias("skip_processing"), F.to_json(F.struct("source", F.col("n_chars").alias("n"))).alias("passthrough_data"))
+    out = echoed(ch.chat(docs, echo_prompt("{{text}}"), id_col="doc_id"))
+    return out.select(F.col("id").cast("bigint").alias("doc_id"), "status", "echo", "passthrough_data")
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, event_type AS echo FROM events")
+def passthrough_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pass-through data keeps its JSON types."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("props").alias("passthrough_data"))
+    out = echoed(ch.chat(events, echo_prompt("{{event_type}}"), id_col="event_id"))
+    return out.select(F.col("id").cast("bigint").alias("event_id"), F.variant_get(F.parse_json("passthrough_data"), "$.k", "bigint").alias("k"), "echo")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def offset_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offset before limit, in input order (here the order key's)."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").offset(100).limit(50)
+
+
+def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as result rows: every seventh failed, every eleventh of the others skipped, every fifth of the rest recovered from one error."""
+    i = F.col("doc_id")
+    status = F.when(i % 7 == 0, "failed").when(i % 11 == 0, "skipped").otherwise("ok")
+    errors = F.when(i % 7 == 0, F.array(F.lit("e1"), F.lit("e2"))).when((i % 11 != 0) & (i % 5 == 0), F.array(F.lit("e1"))).otherwise(F.array().cast("array<string>"))
+    usage = F.when(status == "ok", F.struct(F.col("n_chars").alias("prompt_tokens"), (i % 10).alias("completion_tokens")))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", status.alias("status"), errors.alias("errors"), usage.alias("token_usage"), (F.when(status == "ok", F.col("n_chars")) / 1024.0).alias("estimated_cost"))
+
+
+_STATUSES = """
+WITH s AS (SELECT doc_id, source, n_chars, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 11 = 0 THEN 'skipped' ELSE 'ok' END AS status,
+  CASE WHEN doc_id % 7 = 0 THEN 2 WHEN doc_id % 11 <> 0 AND doc_id % 5 = 0 THEN 1 ELSE 0 END AS n_errors FROM documents)
+"""
+
+
+@query(_STATUSES + """
+SELECT count(*) AS total, count(*) FILTER (status = 'failed') AS failures, CAST(sum(CASE WHEN status <> 'failed' THEN n_errors ELSE 0 END) AS BIGINT) AS non_fatal_errors,
+  round(sum(CASE WHEN status = 'ok' THEN n_chars / 1024.0 END), 4) AS estimated_cost, CAST(sum(CASE WHEN status = 'ok' THEN n_chars END) AS BIGINT) AS prompt_tokens,
+  CAST(sum(CASE WHEN status = 'ok' THEN doc_id % 10 END) AS BIGINT) AS completion_tokens FROM s
+""")
+def status_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a run."""
+    return metrics.run_counters(_statuses(spark, sf_dir)).withColumn("estimated_cost", F.round("estimated_cost", 4))
+
+
+@query(_STATUSES + """
+SELECT source, count(*) AS total, count(*) FILTER (status = 'failed') AS failures,
+  CAST(count(*) FILTER (status = 'failed') / CAST(count(*) AS DOUBLE) AS FLOAT) > CAST(0.15 AS FLOAT) AS too_many FROM s GROUP BY source
+""")
+def failure_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failure gate of each source as a run of its own."""
+    out = _statuses(spark, sf_dir).groupBy("source").agg(F.count("*").alias("total"), F.count_if(~metrics.is_success(F.col("status"))).alias("failures"))
+    return out.withColumn("too_many", metrics.gate_column(F.col("failures"), F.col("total"), 0.15))
+
+
+@query("""
+WITH m(model, i, o) AS (VALUES ('src0', 0.001, 0.002), ('src1', 0.0, 0.0), ('src2', 0.0005, 0.001))
+SELECT doc_id, source AS model, round(n_chars * i + (doc_id % 10) * o, 6) AS estimated_cost FROM documents LEFT JOIN m ON source = model
+""")
+def token_usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost from a dimension of models: null for unknown ones, 0 for free ones. Tokens are the characters and doc_id % 10."""
+    models = spark.sql("SELECT * FROM VALUES ('src0', 'x', 0.001D, 0.002D), ('src1', 'x', 0D, 0D), ('src2', 'y', 0.0005D, 0.001D) AS t(model, provider, input_cost_per_token, output_cost_per_token)")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("model"), F.struct(F.col("n_chars").alias("prompt_tokens"), (F.col("doc_id") % 10).alias("completion_tokens")).alias("token_usage"))
+    return with_cost(docs, models).select("doc_id", "model", F.round("estimated_cost", 6).alias("estimated_cost"))
+
+
+# pages
+
+_PAGES = """
+WITH p AS (SELECT doc_id, source, generate_subscripts(ps, 1) - 1 AS page_idx, unnest(ps) AS page FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ps FROM documents))
+"""
+
+
+@query(_PAGES + "SELECT doc_id, CAST(page_idx AS INT) AS page_idx, page FROM p")
+def split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents: their lines."""
+    return pages.split_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", page="page").select("doc_id", "page_idx", "page")
+
+
+@query(_PAGES + """
+SELECT doc_id, count(*) FILTER (page_idx < 3) AS page_count, CASE WHEN count(*) > 3 THEN 'Only 3/' || count(*) || ' pages processed (because of --max-pages)' END AS message FROM p GROUP BY doc_id
+""")
+def max_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most three pages of each document, and the message of those that have more."""
+    docs = table(spark, sf_dir, "documents").withColumn("total", F.size(F.split("text", "\n", -1)))
+    kept = pages.first_pages(pages.split_pages(docs.select("doc_id", "total", "text"), "text"), 3)
+    return kept.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.first(pages.incomplete_message(F.col("total"), 3)).alias("message"))
+
+
+def _merged(spark: SparkSession, sf_dir: str, failing: bool, most: int | None) -> DataFrame:
+    found = pages.split_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", page="page")
+    found = found.withColumn("total_pages", F.size(F.split("text", "\n", -1)).cast("bigint"))
+    bad = (F.length("page") % 5 == 0) if failing else F.lit(False)
+    found = pages.first_pages(found, most).select("doc_id", "page_idx", "total_pages", F.when(~bad, F.col("page")).alias("text"), F.when(bad, F.array(F.format_string("page %d", "page_idx"))).otherwise(F.array().cast("array<string>")).alias("errors"), F.lit(0.5).alias("estimated_cost"), F.struct(F.length("page").cast("bigint").alias("prompt_tokens"), F.lit(1).cast("bigint").alias("completion_tokens")).alias("token_usage"))
+    out = pages.merge_pages(found, ["doc_id"], max_pages=most)
+    return out.select("doc_id", "status", "text", F.array_join("errors", "|").alias("errors"), "page_count", "estimated_cost", F.coalesce(F.col("token_usage.prompt_tokens"), F.lit(-1)).alias("prompt_tokens"))
+
+
+@query(_PAGES + """
+SELECT doc_id, 'ok' AS status, string_agg(page, chr(10) || chr(10) ORDER BY page_idx) AS text, '' AS errors, count(*) AS page_count, count(*) * 0.5 AS estimated_cost, CAST(sum(length(page)) AS BIGINT) AS prompt_tokens
+FROM p GROUP BY doc_id
+""")
+def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages merged back in order."""
+    return _merged(spark, sf_dir, False, None)
+
+
+@query(_PAGES + """
+, g AS (
+  SELECT doc_id, count(*) AS total, count(*) FILTER (page_idx < 3) AS n, count(*) FILTER (page_idx < 3 AND length(page) % 5 <> 0) AS good,
+    string_agg(CASE WHEN length(page) % 5 <> 0 THEN page ELSE '**COULD_NOT_OCR_PAGE**' END, chr(10) || chr(10) ORDER BY page_idx) FILTER (page_idx < 3) AS text,
+    string_agg('page ' || page_idx, '|' ORDER BY page_idx) FILTER (page_idx < 3 AND length(page) % 5 = 0) AS e,
+    sum(length(page)) FILTER (page_idx < 3 AND length(page) % 5 <> 0) AS chars
+  FROM p GROUP BY doc_id)
+SELECT doc_id, CASE WHEN total <= 3 AND good = n THEN 'ok' WHEN good > 0 THEN 'incomplete' ELSE 'failed' END AS status, CASE WHEN good > 0 THEN text END AS text,
+  concat_ws('|', e, CASE WHEN total > 3 THEN 'Only 3/' || total || ' pages processed (because of --max-pages)' END) AS errors, n AS page_count,
+  CASE WHEN good > 0 THEN good * 0.5 END AS estimated_cost, CASE WHEN good > 0 THEN CAST(chars AS BIGINT) ELSE -1 END AS prompt_tokens FROM g
+""")
+def merge_pages_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge with failed pages (length divisible by five) and at most three pages: all statuses."""
+    return _merged(spark, sf_dir, True, 3)
+
+
+@query(_PAGES + """
+SELECT doc_id, ['PHOTO_OR_VIDEO', 'SCAN', 'DIGITAL'][min(length(page) % 3) + 1] AS image_source, bool_or(contains(page, '!!')) AS contains_handwriting, bool_or(contains(page, '|')) AS background_is_noisy,
+  bool_or(contains(page, '!!') OR contains(page, '%%%')) AS flagged FROM p WHERE length(page) % 5 <> 0 GROUP BY doc_id
+""")
+def analysis_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses of pages with text merged; flags stand for marks in the page, the source for its length modulo three."""
+    found = pages.split_pages(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")), "whole", page="page")
+    flags = {f: F.lit(False) for f in pages.FLAGS} | {"contains_handwriting": F.col("page").contains("!!"), "background_is_noisy": F.col("page").contains("|"), "contains_faint_text": F.col("page").contains("%%%")}
+    analysis = F.struct(pages.source_name(F.length("page") % 3).alias("image_source"), *(c.alias(f) for f, c in flags.items()))
+    found = found.select("doc_id", F.when(F.length("page") % 5 != 0, F.col("page")).alias("text"), analysis.alias("analysis"))
+    out = found.groupBy("doc_id").agg(*pages.analysis_columns()).where(F.col("image_source").isNotNull())
+    whole = F.struct("image_source", *pages.FLAGS)
+    return out.select("doc_id", "image_source", "contains_handwriting", "background_is_noisy", pages.is_flagged(whole).alias("flagged"))
+
+
+@query(_STATUSES + """
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'd"' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS id, status, CASE n_errors WHEN 2 THEN 'e1' || chr(10) || chr(10) || 'e2' WHEN 1 THEN 'e1' END AS errors, source AS path, source AS text FROM s
+""")
+def flat_csv_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows in their CSV form; ids are strings for even documents and numbers for odd ones."""
+    i = F.col("doc_id")
+    rows = _statuses(spark, sf_dir).withColumns({"id": F.when(i % 2 == 0, quoted(F.concat(F.lit('d"'), i.cast("string")))).otherwise(i.cast("string")), "path": F.col("source"), "text": F.col("source")})
+    return flat_rows(rows)
+
+
+@query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS pages, round((length(text) - length(replace(text, chr(10), '')) + 1) * 0.004, 6) AS estimated_cost FROM documents")
+def textract_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price of analysing each document's pages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).cast("bigint").alias("pages"))
+    return docs.withColumn("estimated_cost", F.round(layout_cost(F.col("pages")), 6))
+
+
+# similarity
+
+
+@query(f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY ALL")
+def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token multisets of documents in long form."""
+    return similarity.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"SELECT page_id, token, count(*) AS n FROM (SELECT page_id, unnest({TOKENS.format('html')}) AS token FROM pages) GROUP BY ALL")
+def tokenize_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token multisets of pages; simple tags are no text."""
+    return similarity.count_tokens(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+_PAIRS = f"""
+WITH a AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS t FROM documents) GROUP BY ALL),
+b AS (SELECT item_id, t, count(*) AS m FROM (SELECT item_id, unnest({TOKENS.format('text')}) AS t FROM benchmark) GROUP BY ALL),
+na AS (SELECT doc_id, sum(n) AS na FROM a GROUP BY ALL), nb AS (SELECT item_id, sum(m) AS nb FROM b GROUP BY ALL),
+i AS (SELECT doc_id, item_id, sum(least(n, m)) AS inter FROM a JOIN b USING (t) GROUP BY ALL),
+pairs AS (SELECT doc_id, item_id, CAST(inter AS BIGINT) AS inter, CAST(na + nb - inter AS BIGINT) AS uni, inter / (na + nb - inter) AS jaccard FROM i JOIN na USING (doc_id) JOIN nb USING (item_id))
+"""
+
+
+def _benchmark_pairs(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> DataFrame:
+    return similarity.pair_similarity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", threshold=threshold)
+
+
+@query(_PAIRS + "SELECT doc_id, item_id, inter, uni, round(jaccard, 6) AS jaccard FROM pairs")
+def jaccard_doc_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of every document to every benchmark item that it shares a token with."""
+    return _benchmark_pairs(spark, sf_dir).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(_PAIRS + "SELECT doc_id, item_id, inter, uni, round(jaccard, 6) AS jaccard FROM pairs WHERE jaccard >= 0.2")
+def jaccard_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a similarity of 0.2, with pairs dropped by size before their tokens are summed."""
+    return _benchmark_pairs(spark, sf_dir, 0.2).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(_PAIRS + "SELECT doc_id, item_id, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, item_id) AS k FROM pairs) WHERE k = 1")
+def jaccard_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark item most like each document."""
+    return similarity.best_match(_benchmark_pairs(spark, sf_dir), "doc_id", "item_id").select("doc_id", "item_id", F.round("jaccard", 6).alias("jaccard"))
+
+
+_DIFFS = f"""
+WITH a AS (SELECT item_id AS k, t, count(*) AS n FROM (SELECT item_id, unnest({TOKENS.format('text')}) AS t FROM benchmark) GROUP BY ALL),
+b AS (SELECT doc_id AS k, t, count(*) AS m FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS t FROM documents) GROUP BY ALL)
+"""
+
+
+@query(_DIFFS + """
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN m IS NULL THEN 'removed' WHEN n IS NULL THEN 'added' ELSE 'changed' END AS change, count(*) AS tokens
+FROM a FULL JOIN b ON a.k = b.k AND a.t = b.t WHERE n IS DISTINCT FROM m GROUP BY ALL
+""")
+def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that differ between benchmark items and the documents of the same number."""
+    left = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), "text")
+    right = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text")
+    return similarity.token_changes(left, right, "k").groupBy("k", "change").agg(F.count("*").alias("tokens"))
+
+
+_BY_SOURCE = _PAIRS + ", best AS (SELECT doc_id, max(jaccard) AS jaccard FROM pairs GROUP BY doc_id)"
+
+
+@query(_BY_SOURCE + """
+SELECT source, round(avg(CASE WHEN quality IS NULL OR quality <> 0 THEN jaccard END), 6) AS avg_jaccard, count(*) FILTER (quality IS NULL OR quality <> 0) AS n_scored
+FROM best JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY source
+""")
+def avg_jaccard_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average of each document's best similarity by source as the model, without documents of quality 0, best first."""
+    from ..operators.benchmark import model_averages
+
+    best = similarity.best_match(_benchmark_pairs(spark, sf_dir), "doc_id", "item_id").select("doc_id", "jaccard")
+    rows = best.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    out = model_averages(rows, "source", F.col("quality") == 0)
+    return out.withColumn("avg_jaccard", F.round("avg_jaccard", 6))
+
+
+@query(_PAIRS + """
+SELECT CASE WHEN round(jaccard, 2) >= 0.999 THEN '100' WHEN round(jaccard, 2) >= 0.95 THEN '95' WHEN round(jaccard, 2) >= 0.9 THEN '90' WHEN round(jaccard, 2) >= 0.8 THEN '80' ELSE '00' END AS band, count(*) AS n
+FROM pairs GROUP BY ALL
+""")
+def jaccard_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by band of similarity."""
+    return _benchmark_pairs(spark, sf_dir).groupBy(tx.similarity_band(F.col("jaccard")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label."""
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+# scalar functions
+
+
+@query("SELECT doc_id, 'data:text/plain;base64,' || to_base64(encode(text)) AS url FROM documents")
+def data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as data URLs."""
+    return table(spark, sf_dir, "documents").select("doc_id", urls.data_url(F.lit("text/plain"), F.encode("text", "UTF-8")).alias("url"))
+
+
+@query("SELECT doc_id, 'text/' || lang AS mime_type, text FROM documents")
+def parse_data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data URLs read back."""
+    made = table(spark, sf_dir, "documents").select("doc_id", urls.data_url(F.concat(F.lit("text/"), "lang"), F.encode("text", "UTF-8")).alias("url"))
+    parsed = made.select("doc_id", urls.parse_data_url(F.col("url")).alias("p"))
+    return parsed.select("doc_id", "p.mime_type", F.decode("p.data", "UTF-8").alias("text"))
+
+
+_MAGIC = (("89504E470D0A1A0A00", "image/png"), ("FFD8FFE000104A464946", "image/jpeg"), ("474946383961", "image/gif"), ("524946460000000057454250", "image/webp"), ("255044462D312E37", "application/pdf"), ("3C68746D6C", None), ("", None))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if m is None else repr(m)})" for i, (_, m) in enumerate(_MAGIC)) + ") AS t(i, mime_type)")
+def mime_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MIME types by first bytes."""
+    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{h}')" for i, (h, _) in enumerate(_MAGIC)) + " AS t(i, h)")
+    return rows.select("i", urls.mime_type(F.unhex("h")).alias("mime_type"))
+
+
+@query("""
+SELECT page_id, regexp_extract(u, '^s3://([^/]*)/(.*)$', 1) AS bucket, regexp_extract(u, '^s3://([^/]*)/(.*)$', 2) AS key
+FROM (SELECT page_id, regexp_replace(url, '^http://', 's3://') AS u FROM pages) WHERE regexp_matches(u, '^s3://[^/]*/')
+""")
+def s3_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket and key of addresses (plain http ones stand for s3)."""
+    rows = table(spark, sf_dir, "pages").select("page_id", urls.parse_s3_uri(F.regexp_replace("url", "^http://", "s3://")).alias("p"))
+    return rows.where(F.col("p").isNotNull()).select("page_id", "p.bucket", "p.key")
+
+
+@query(_PAGES + "SELECT doc_id, count(*) FILTER (regexp_matches(page, '(?i)error') AND NOT regexp_matches(page, '(?i)error: xref num')) AS error_lines, count(*) FILTER (regexp_matches(page, '(?i)er')) AS er_lines FROM p GROUP BY doc_id")
+def error_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a tool's output would be judged by."""
+    lines = pages.split_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", page="line")
+    return lines.groupBy("doc_id").agg(F.count_if(tx.is_error_line(F.col("line"))).alias("error_lines"), F.count_if(F.col("line").rlike("(?i)er")).alias("er_lines"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN -1 ELSE CAST(498 + event_id % 10 AS INT) END AS status, event_id % 10 IN (0, 4, 5, 6) AS transient FROM events")
+def http_transient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses (498 plus the event's number modulo ten; none for 0, shown as -1) that are worth another attempt."""
+    i = F.col("event_id") % 10
+    return table(spark, sf_dir, "events").select("event_id", F.when(i != 0, 498 + i).cast("int").alias("status")).select("event_id", F.coalesce("status", F.lit(-1)).alias("status"), tx.http_transient(F.col("status")).alias("transient"))
+
+
+@query(_PAGES + "SELECT doc_id, CAST(page_idx AS INT) AS page_idx, length(trim(regexp_replace(page, '[a-zA-Z .,]', '', 'g'), ' ' || chr(9) || chr(13))) = 0 AS blank FROM p")
+def blank_text_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts (lines without ASCII letters, spaces and stops) that a provider would refuse as blank."""
+    lines = pages.split_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", page="line")
+    return lines.select("doc_id", "page_idx", tx.is_blank(F.regexp_replace("line", "[a-zA-Z .,]", "")).alias("blank"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE CAST(props->>'$.k' AS BIGINT) END AS k FROM events")
+def json_parse_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model text as JSON; every third lacks its last character and is null (shown as -1)."""
+    text = F.when(F.col("event_id") % 3 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_variant_get(F.try_parse_json(text), "$.k", "bigint"), F.lit(-1)).alias("k"))
+
+
+@query("SELECT event_id, event_id % 4 IN (0, 3) AS fits FROM events")
+def schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses against the short form {k: number}: as they are, as text, with another key, and rounded."""
+    i = F.col("event_id") % 4
+    k = F.get_json_object("props", "$.k")
+    text = F.when(i == 0, F.col("props")).when(i == 1, F.concat(F.lit('{"k":"'), k, F.lit('"}'))).when(i == 2, F.concat(F.lit('{"k":'), k, F.lit(',"z":1}'))).otherwise(F.concat(F.lit('{"k":'), k, F.lit(".5}")))
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("response"))
+    short = schema.parse_schema({"description": "x", "properties": {"k": {"description": "k", "type": "number"}}})
+    return ch.validated(rows, "response", short).select("event_id", "fits")
+
+
+@query("SELECT doc_id, text || CASE WHEN doc_id % 3 = 2 THEN chr(12) ELSE '' END AS text FROM documents")
+def page_break_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly one form feed goes from the end (of none, one or two that are put there)."""
+    made = F.concat("text", F.repeat(F.lit("\f"), (F.col("doc_id") % 3).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.strip_form_feed(made).alias("text"))
+
+
+# runs
+
+
+@query("""
+WITH t AS (SELECT user_id, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT user_id, min(n) FILTER (ok) AS f, count(*) AS c FROM t WHERE n <= 6 GROUP BY user_id)
+SELECT user_id, CASE WHEN f = 1 THEN 'ok' WHEN f IS NOT NULL THEN 'recovered' ELSE 'given_up' END AS outcome, CASE WHEN f IS NOT NULL THEN 'ok' ELSE 'failed' END AS status, coalesce(f - 1, c) AS n_errors FROM g
+""")
+def last_attempt_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of retries: a user's events are attempts, and a purchase succeeds."""
+    attempts = table(spark, sf_dir, "events").withColumn("ok", F.col("event_type") == "purchase")
+    return retry.last_attempt(attempts, "user_id", ["ts", "event_id"], "ok")
+
+
+@query("""
+SELECT event_id, row_number() OVER (PARTITION BY epoch_us(ts) // 60000000 ORDER BY ts, event_id) <= 1 AS admitted FROM events
+""")
+def rate_limit_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of the rate limit 1/m over the times of events."""
+    return retry.admitted(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", ["ts", "event_id"], retry.RateLimit.parse("1/m")).select("event_id", "admitted")
+
+
+@query("""
+SELECT doc_id, 'Title' || chr(10) || source || chr(10) || chr(10) || 'a b ' || chr(10) AS text FROM documents
+""")
+def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of block graphs: a title with its own text, a layout with a line, and one with words."""
+    def block(i: str, kind: str, text, children: list[str]):
+        return F.struct(F.lit(i).alias("id"), F.lit(kind).alias("block_type"), (F.lit(None).cast("string") if text is None else text).alias("text"), F.array(*map(F.lit, children)).cast("array<string>").alias("children"))
+
+    blocks = F.array(block("p", "PAGE", None, ["t", "l"]), block("t", "LAYOUT_TITLE", F.lit("Title"), ["x"]), block("l", "LAYOUT_TEXT", None, ["x", "y"]), block("w", "LAYOUT_LIST", None, ["u", "v", "u"]), block("x", "LINE", F.lit("gone"), []), block("y", "LINE", F.col("source"), ["u2"]), block("u", "WORD", F.lit("a"), []), block("v", "WORD", F.lit("b"), []), block("u2", "WORD", F.lit("gone"), []))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", blocks.cast(BLOCKS).alias("blocks"))
+    return docs.select("doc_id", layout_text_column(F.col("blocks"))["text"].alias("text"))
+
+
+@query("SELECT conv_id, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS page_idx FROM conversations")
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a whole numbered from 0 in order."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "role", (F.row_number().over(w) - 1).alias("page_idx"))
+
+
+@query("SELECT doc_id, lower(lang) AS a, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'failed' END AS status FROM documents")
+def provider_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider in Python workers: answers for even documents, failures that no attempt helps for odd ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, "answer").otherwise("fail").alias("what"))
+    prompt = {"response_schema": {"description": "x", "properties": {"a": {"description": "a"}}}, "messages": [{"user": {"text": "{{what}} {{lang}}"}}]}
+    out = ch.chat(docs, prompt, EvenOdd(), id_col="doc_id")
+    lang = F.coalesce(F.get_json_object("response", "$.a"), F.regexp_extract(F.get("errors", F.lit(0)), r"^no answer for (\w+)", 1))
+    return out.select(F.col("id").cast("bigint").alias("doc_id"), lang.alias("a"), "status")
+
+
+class EvenOdd:
+    """A provider for provider_outcomes."""
+
+    name = "even-odd"
+
+    def complete(self, model, prompt, schema_, options):
+        from ..operators.providers import Completion, last_user
+
+        what, lang = last_user(prompt).split(" ")
+        if what == "fail":
+            raise retry.Fatal(f"no answer for {lang}")
+        return Completion({"a": lang}, 1, 1)
+
+
