@@ -167,7 +167,7 @@ def export_text(df: DataFrame, id_col: str, key: str, new_key: str, pattern: str
                 if text is None:
                     paths.append(None)
                     continue
-                path = pattern.format(id=i, **{id_col: i})
+                path = pattern.format(**{"id": i, id_col: i})
                 os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
                 part = f"{path}.{uuid.uuid4().hex}.part"
                 with open(part, "w", encoding="utf-8") as f:

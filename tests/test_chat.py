@@ -1,0 +1,268 @@
+import json
+import random
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+
+from inferframe.operators import chat as ch
+from inferframe.operators import metrics, prompt, providers, retry, schema
+from inferframe.sources.records import read_records
+
+ECHO = {"developer": "Repeat.", "response_schema": {"description": "d", "properties": {"echo": {"description": "e", "type": "string"}}}, "messages": [{"user": {"text": "{{message}}"}}]}
+JOKE = {"response_schema": {"description": "d", "properties": {"punchline": {"description": "p"}}}, "messages": [{"user": {"text": "{{joke}}"}}]}
+
+
+def results(df):
+    return sorted(df.collect(), key=lambda r: r._seq)
+
+
+def written(folder):
+    return [json.loads(x) for p in sorted(folder.glob("part-*")) for x in p.read_text().splitlines()]
+
+
+def test_echo_file(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("id,message\n1,Hello world\n")
+    (tmp_path / "prompt.json").write_text(json.dumps(ECHO))
+    ch.run_and_write(ch.chat(str(tmp_path / "in.csv"), str(tmp_path / "prompt.json"), spark=spark), str(tmp_path / "out"))
+    assert written(tmp_path / "out") == [{"id": "1", "status": "ok", "token_usage": {"prompt_tokens": 0, "completion_tokens": 0}, "errors": [], "response": {"echo": "Hello world"}}]
+
+
+def test_skip_and_passthrough(spark, tmp_path):
+    rows = [{"id": "a", "skip_processing": True, "passthrough_data": {"count": 42}, "message": "x"}, {"id": 2, "message": "y {{z}}"}, {"id": [3], "skip_processing": True, "passthrough_data": {"k": [1, None]}}]
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    summary = ch.run_and_write(ch.chat(str(tmp_path / "in.jsonl"), ECHO, spark=spark), str(tmp_path / "out"), single=True)
+    out = written(tmp_path / "out")
+    assert [r["status"] for r in out] == ["skipped", "ok", "skipped"] and [r["id"] for r in out] == ["a", 2, [3]]
+    assert [r.get("response") for r in out] == [None, {"echo": "y {{z}}"}, None]
+    assert out[0]["passthrough_data"]["count"] == 42 and out[2]["passthrough_data"] == {"k": [1, None]} and "passthrough_data" not in out[1]
+    assert summary.total == 3 and summary.failures == 0
+
+
+def test_offset_limit_and_order(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps({"id": i, "message": str(i), "skip_processing": i % 3 == 0}) + "\n" for i in range(50)))
+    got = results(ch.chat(str(tmp_path / "in.jsonl"), ECHO, run=ch.RunOptions(offset=10, limit=5), spark=spark))
+    assert [json.loads(r.id) for r in got] == [10, 11, 12, 13, 14] and [r.status for r in got] == ["ok", "ok", "skipped", "ok", "ok"]
+
+
+@pytest.mark.parametrize(
+    "given",
+    [
+        {"description": "d", "properties": {"echo": {"description": "e"}, "b": {"description": "b"}}}, {"description": "d", "properties": {"other": {"description": "e"}}}, {"description": "d", "properties": {"echo": {"description": "e", "type": "number"}}},
+        {"description": "d", "items": {"description": "e"}}, {"description": "d", "properties": {"echo": {"description": "e", "enum": ["a"]}}},
+    ],
+)
+def test_echo_needs_its_schema(spark, given):
+    rows = spark.createDataFrame([(1, "m")], "id int, message string")
+    (r,) = results(ch.chat(rows, ECHO | {"response_schema": given}))
+    assert r.status == "failed" and len(r.errors) == 1 and r.response is None
+
+
+def test_blocks_run_in_workers(spark):
+    rows = spark.createDataFrame([(1, ["x", "y"], False), (2, [], True)], "id int, message array<string>, skip_processing boolean")
+    got = results(ch.chat(rows, ECHO | {"messages": [{"user": {"text": "{{#each message}}<{{this}}>{{/each}}"}}]}))
+    assert [(r.status, r.response) for r in got] == [("ok", '{"echo":"<x><y>"}'), ("skipped", None)]
+
+
+def test_prompts_are_checked():
+    good = prompt.parse_prompt(JOKE)
+    good.check()
+    for messages, why in (([], "No messages"), ([{"assistant": {"json": 1}}], "alternating"), ([{"user": {"text": "a"}}, {"assistant": {"json": 1}}], "end with a user"), ([{"user": {}}], "text or images"), ([{"user": {"text": "a"}}, {"user": {"text": "b"}}], "alternating")):
+        with pytest.raises(prompt.PromptError, match=why):
+            prompt.parse_prompt(JOKE | {"messages": messages}).check()
+    for bad in (JOKE | {"extra": 1}, {"messages": []}, JOKE | {"messages": [{"user": {"text": "a"}, "assistant": {}}]}, JOKE | {"messages": [{"user": {"txt": "a"}}]}):
+        with pytest.raises(prompt.PromptError):
+            prompt.parse_prompt(bad)
+    with pytest.raises(schema.SchemaError, match="description"):
+        prompt.parse_prompt(JOKE | {"response_schema": {"description": "d", "properties": {"a": {}}}})
+
+
+def test_documents(tmp_path):
+    (tmp_path / "s.json").write_text('{"type": "object", "properties": {"a": {"type": "string"}}}')
+    (tmp_path / "p.toml").write_text('developer = "x"\n[response_schema]\npath = "s.json"\n[[messages]]\nuser.text = "{{a}}"\n')
+    p = prompt.load_prompt(str(tmp_path / "p.toml"))
+    assert isinstance(p.response_schema, schema.ExternalSchema) and p.messages[0].text == "{{a}}"
+    (tmp_path / "bad.toml").write_text("a = \n")
+    with pytest.raises(prompt.PromptError, match="bad.toml.*line 1"):
+        prompt.load_prompt(str(tmp_path / "bad.toml"))
+    (tmp_path / "s.json").write_text('{"unevaluatedItems": false}')
+    with pytest.raises(NotImplementedError):
+        prompt.load_prompt(str(tmp_path / "p.toml"))
+
+
+class Stub(BaseHTTPRequestHandler):
+    """Answers by what the last message says; counts the calls of each."""
+
+    calls: dict[str, int] = {}
+    bodies: list[dict] = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        what = body["messages"][-1]["content"]
+        with threading.Lock():
+            n = Stub.calls[what] = Stub.calls.get(what, 0) + 1
+            Stub.bodies.append(body)
+        status, content, reason = 200, json.dumps({"punchline": what}), "stop"
+        if what == "busy" and n < 3:
+            status = 429
+        elif what in ("500", "400", "503"):
+            status = int(what)
+        elif what == "bad json" and n < 2:
+            content = "{"
+        elif what == "bad schema":
+            content = '{"punchline": 3}'
+        elif what == "filtered":
+            reason = "content_filter"
+        data = json.dumps({"choices": [{"finish_reason": reason, "message": {"content": content}}], "usage": {"prompt_tokens": 7, "completion_tokens": 2}}).encode()
+        self.send_response(status)
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    def log_message(self, *args):
+        pass
+
+
+def no_sleep(_):
+    pass
+
+
+def test_provider_outcomes(spark, monkeypatch):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        cases = ["fine", "busy", "500", "bad json", "bad schema", "filtered", "503"]
+        rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id int, joke string")
+        provider = providers.OpenAiProvider(f"http://127.0.0.1:{server.server_address[1]}", "key")
+        models = spark.createDataFrame([("m", "x", 0.5, 1.0)], "model string, provider string, input_cost_per_token double, output_cost_per_token double")
+        p = prompt.parse_prompt(JOKE)
+        caller = ch.Caller(provider, "m", schema.to_json_schema(p.response_schema), providers.LlmOptions(temperature=0.5, max_completion_tokens=9, timeout=20), 4, sleep=no_sleep)
+        rendered = [{"developer": None, "messages": [{"role": "user", "text": c, "images": [], "json": None}]} for c in cases]
+        got = dict(zip(cases, caller.rows(rendered, None)))
+        assert got["fine"][:2] == ("ok", []) and got["fine"][3] == {"prompt_tokens": 7, "completion_tokens": 2}
+        assert got["busy"][0] == "ok" and len(got["busy"][1]) == 2 and got["bad json"][0] == "ok" and len(got["bad json"][1]) == 1
+        assert got["500"][0] == "failed" and len(got["500"][1]) == 1 and got["filtered"][0] == "failed" and Stub.calls["filtered"] == 1
+        assert got["bad schema"][0] == "failed" and len(got["bad schema"][1]) == 6 == Stub.calls["503"] == len(got["503"][1])
+        body = Stub.bodies[0]
+        assert body["store"] is False and body["temperature"] == 0.5 and body["max_completion_tokens"] == 9 and body["response_format"]["json_schema"]["strict"]
+        (r,) = results(ch.chat(rows.limit(1), JOKE, provider, "m", models=models))
+        assert r.status == "ok" and r.estimated_cost == 7 * 0.5 + 2 and json.loads(r.response) == {"punchline": "fine"}
+    finally:
+        server.shutdown()
+    down = providers.OpenAiProvider("http://127.0.0.1:1", "key")
+    with pytest.raises(retry.Transient):
+        down.complete("m", rendered[0], {}, providers.LlmOptions(timeout=2))
+
+
+def test_request_bodies():
+    image = "data:image/png;base64,AAAA"
+    p = {"developer": "dev", "messages": [{"role": "user", "text": "q", "images": [image], "json": None}, {"role": "assistant", "text": None, "images": [], "json": '{"a":1}'}, {"role": "user", "text": "r", "images": [], "json": None}]}
+    s, o = {"$schema": "x", "type": "object", "title": "A b"}, providers.LlmOptions(10, 0.1, 0.9)
+    body = providers.openai_body("claude-x", p, s, o)
+    assert [m["role"] for m in body["messages"]] == ["system", "user", "assistant", "user"] and "store" not in body and body["messages"][1]["content"][1]["image_url"]["url"] == image
+    body = providers.gemini_body(p, s, o)
+    assert [c["role"] for c in body["contents"]] == ["user", "model", "user"] and "$schema" not in body["generationConfig"]["responseJsonSchema"] and body["contents"][0]["parts"][1]["inlineData"] == {"mimeType": "image/png", "data": "AAAA"}
+    body = providers.bedrock_body(p, s, o)
+    assert [m["role"] for m in body["messages"]] == ["user", "assistant", "user"] and body["messages"][2]["content"][0]["toolResult"]["toolUseId"] == body["messages"][1]["content"][0]["toolUse"]["toolUseId"]
+    assert body["toolConfig"]["toolChoice"] == {"tool": {"name": "report_result"}}
+    blank = {"developer": None, "messages": [{"role": "user", "text": " ", "images": [], "json": None}]}
+    for f in (providers.gemini_body, providers.bedrock_body):
+        with pytest.raises(retry.Fatal):
+            f(blank, s, o)
+    answer = {"candidates": [{"content": {"parts": [{"text": '{"a":2}'}]}}], "usageMetadata": {"promptTokenCount": 3, "candidatesTokenCount": 4, "thoughtsTokenCount": 5}}
+    done = providers.gemini_completion(answer)
+    assert (done.response, done.prompt_tokens, done.completion_tokens) == ({"a": 2}, 3, 9)
+    del answer["usageMetadata"]["candidatesTokenCount"]
+    assert providers.gemini_completion(answer).prompt_tokens is None
+    with pytest.raises(retry.Transient):
+        providers.bedrock_completion({"stopReason": "max_tokens"})
+    assert providers.decode_image(image) == b"\0\0\0"
+
+
+def test_attempts():
+    waits, n = [], [0]
+
+    def failing(times, error):
+        n[0] = 0
+
+        def call():
+            n[0] += 1
+            if n[0] <= times:
+                raise error(f"e{n[0]}")
+            return "v"
+
+        return call
+
+    def run(times, error):
+        return retry.attempt(failing(times, error), sleep=waits.append, rng=random.Random(0))
+
+    assert run(0, retry.Transient) == retry.Outcome("ok", "v", [])
+    assert run(1, retry.Fatal) == retry.Outcome("fatal", None, ["e1"])
+    assert run(3, retry.Transient) == retry.Outcome("recovered", "v", ["e1", "e2", "e3"])
+    waits.clear()
+    assert run(99, retry.Transient) == retry.Outcome("given_up", None, [f"e{i}" for i in range(1, 7)])
+    assert len(waits) == 5 and all(0.0008 <= w <= 36 for w in waits) and waits[4] > 20
+
+
+def test_rate_limits():
+    assert str(retry.RateLimit.parse("10/s")) == "10/s" and retry.RateLimit.parse("5/m").seconds == 60
+    for bad in ("10/invalid", "invalid", "0/s", "-1/s"):
+        with pytest.raises(ValueError):
+            retry.RateLimit.parse(bad)
+    assert retry.RateLimit(10, "s").share(4) == [3, 3, 2, 2]
+    now = [0.0]
+    bucket = retry.Bucket(2, 1.0, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    times = []
+    for _ in range(5):
+        bucket.take()
+        times.append(now[0])
+    assert times == [0, 0, 1, 1, 2]
+
+
+def test_gate(spark):
+    for failures, total, want in ((1, 100, False), (2, 100, True), (0, 0, False), (1, 99, True)):
+        assert metrics.Summary(total, failures).too_many_failures(0.01) is want
+        row = spark.sql(f"SELECT {failures} AS f, {total} AS n").select(metrics.gate_column(*(__import__("pyspark").sql.functions.col(c) for c in "fn"), 0.01)).first()
+        assert row[0] is want
+    with pytest.raises(metrics.FailureRateError):
+        metrics.Summary(2, 1).check(0.01)
+    assert metrics.Summary(2, 0).lines() == [] and len(metrics.Summary(2, 1, 3, 0.5, 1, 1).lines()) == 4
+
+
+def test_counters_are_seen_while_writing(spark, tmp_path):
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else "m") for i in range(100)], "id int, message string")
+    out = ch.chat(rows, ECHO | {"messages": [{"user": {"text": "{{message}}"}}]})
+    summary = ch.run_and_write(out, str(tmp_path / "out"), ch.RunOptions(allow_reordering=True))
+    assert summary.total == 100 and summary.failures == 0 and len(written(tmp_path / "out")) == 100
+
+
+SHORT = {"description": "d", "properties": {"s": {"description": "s", "enum": ["a", "b"]}, "n": {"description": "n", "type": "number"}, "l": {"description": "l", "items": {"description": "i", "type": "boolean"}}}}
+
+
+@pytest.mark.parametrize(
+    "text, fits",
+    [
+        ('{"s":"a","n":1,"l":[true]}', True), ('{"s":"c","n":1,"l":[]}', False), ('{"s":"a","n":"1","l":[]}', False), ('{"s":"a","n":1.5,"l":["true"]}', False), ('{"s":"a","n":1}', False),
+        ('{"s":"a","n":1,"l":[],"x":0}', False), ("[]", False), ("{", False), (None, False), ('{"s":"b","n":-2e3,"l":[true,false]}', True), ('{"s":null,"n":1,"l":[]}', False),
+    ],
+)
+def test_validation_agrees(spark, text, fits):
+    short = schema.parse_schema(SHORT)
+    df = spark.createDataFrame([(text,)], "t string")
+    assert ch.validated(df, "t", short).first().fits is fits
+    assert ch.validated(df, "t", schema.ExternalSchema(schema.to_json_schema(short))).first().fits is fits
+
+
+def test_json_schema():
+    short = schema.parse_schema(SHORT)
+    made = schema.to_json_schema(short)
+    assert made["$schema"] == schema.DRAFT_07 and sorted(made["required"]) == ["l", "n", "s"] and made["additionalProperties"] is False
+    assert made["properties"]["l"] == {"description": "l", "type": "array", "items": {"description": "i", "type": "boolean"}}
+    assert schema.to_spark_type(short).simpleString() == "struct<s:string,n:double,l:array<boolean>>" and schema.schema_title(short) == "ResponseFormat"
+    ref = {"definitions": {"p": {"type": "integer", "minimum": 1}}, "properties": {"a": {"$ref": "#/definitions/p"}}, "anyOf": [{"required": ["a"]}, {"required": ["b"]}]}
+    assert not schema.problems({"a": 1}, ref) and schema.problems({"a": 0}, ref) and schema.problems({}, ref) and schema.problems({"a": 1.5}, ref) and schema.problems({"a": True}, ref)
+
+
+def test_read_records_needs_no_inference(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x\n007,1\n")
+    assert read_records(spark, str(tmp_path / "a.csv")).first().x == "1"
