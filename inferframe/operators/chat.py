@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import template as tpl
 from ..sources.files import read_file
-from ..sources.records import ENVELOPE, quoted, read_records, take, write_jsonl
+from ..sources.records import ENVELOPE, number_partitions, quoted, read_records, take, write_jsonl
 from .metrics import Summary, observed
 from .models import with_cost
 from .pages import USAGE
@@ -216,7 +216,8 @@ def chat(source: DataFrame | str, prompt: str | dict | Prompt, provider: str | P
     if isinstance(source, str):
         df = read_records(spark or SparkSession.getActiveSession(), source)
     else:
-        df = envelope(source, id_col)
+        places = run.offset or run.limit is not None
+        df = envelope(number_partitions(source) if places and "_seq" not in source.columns else source, id_col)
     df = take(df, run.offset, run.limit)
     if isinstance(provider, EchoProvider) and not any(map(tpl.has_blocks, prompt.templates())):
         out = echo_results(df, prompt, files)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.data_url import sniff
 from ..sources.files import FileError, PageOptions, pages_of, read_file, run_tool
-from ..sources.records import read_records, take
+from ..sources.records import number_partitions, read_records, take
 from .chat import Caller, RunOptions, envelope, render_blocks
 from .layout import layout_text
 from .models import with_cost
@@ -210,7 +210,11 @@ def ocr(source: DataFrame | str, model: str = "echo", provider: str | Provider =
     kind = "custom" if engine else engine_kind(model)
     if not engine:
         check_options(model, pages)
-    df = read_records(spark or SparkSession.getActiveSession(), source) if isinstance(source, str) else envelope(source, id_col)
+    if isinstance(source, str):
+        df = read_records(spark or SparkSession.getActiveSession(), source)
+    else:
+        places = run.offset or run.limit is not None
+        df = envelope(number_partitions(source) if places and "_seq" not in source.columns else source, id_col)
     if dict(df.dtypes).get("row") == "variant":
         df = df.withColumns({"path": F.variant_get("row", "$.path", "string"), "password": F.try_variant_get("row", "$.password", "string")}).drop("row")
     df = take(df, run.offset, run.limit)

@@ -29,17 +29,16 @@ def pair_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     With a threshold, pairs are dropped by size before their tokens are
     summed: jaccard can't be above the ratio of the sizes.
     """
-    l = count_tokens(left, left_id, text_col).join(sizes(left, left_id, text_col, "na"), left_id) if threshold else count_tokens(left, left_id, text_col)
-    r = count_tokens(right, right_id, text_col).withColumnRenamed("n", "m")
-    nl, nr = sizes(left, left_id, text_col, "na"), sizes(right, right_id, text_col, "nb")
     small = (right.select(F.sum(F.size(tokens(F.col(text_col))))).first()[0] or 0) <= BROADCAST_TOKENS
-    if threshold:
-        r = r.join(nr, right_id)
+    r = count_tokens(right, right_id, text_col).withColumnRenamed("n", "m").join(sizes(right, right_id, text_col, "nb"), right_id)
+    known = r.select("token").distinct()
+    # one scan of the large side; tokens that no right row has go before the first shuffle
+    l = left.select(F.col(left_id), tokens(F.col(text_col)).alias("_tokens")).select(left_id, F.size("_tokens").cast("bigint").alias("na"), F.explode("_tokens").alias("token"))
+    l = l.join(F.broadcast(known) if small else known, "token", "left_semi").groupBy(left_id, "na", "token").agg(F.count("*").alias("n"))
     joined = l.join(F.broadcast(r) if small else r, "token")
     if threshold:
         joined = joined.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    inter = joined.groupBy(left_id, right_id).agg(F.sum(F.least("n", "m")).alias("inter"))
-    out = inter.join(F.broadcast(nr) if small else nr, right_id).join(nl, left_id)
+    out = joined.groupBy(left_id, right_id, "na", "nb").agg(F.sum(F.least("n", "m")).alias("inter"))
     out = out.select(left_id, right_id, "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("uni"))
     out = out.withColumn("jaccard", F.col("inter") / F.col("uni"))
     return out.where(F.col("jaccard") >= threshold) if threshold else out

@@ -49,6 +49,19 @@ def number_rows(df: DataFrame, name: str = "_seq") -> DataFrame:
     return out.drop("_file", "_start", "_row", "_low", "_base")
 
 
+def number_partitions(df: DataFrame, name: str = "_seq") -> DataFrame:
+    """The same for any frame, in order of its partitions; the frame must give the same rows in the same places each time."""
+    marked = df.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row"))
+    parts = marked.groupBy("_part").agg(F.count("*").alias("_n")).collect()
+    rows, total = [], 0
+    for p in sorted(parts):
+        rows.append((p["_part"], total))
+        total += p["_n"]
+    bases = df.sparkSession.createDataFrame(rows, "_part int, _base long")
+    within = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.join(F.broadcast(bases), "_part").withColumn(name, within + F.col("_base")).drop("_part", "_row", "_base")
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSONL file: _seq, id (JSON text), skip_processing, passthrough_data (JSON text) and row (VARIANT).
 

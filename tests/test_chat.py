@@ -45,6 +45,13 @@ def test_offset_limit_and_order(spark, tmp_path):
     assert [json.loads(r.id) for r in got] == [10, 11, 12, 13, 14] and [r.status for r in got] == ["ok", "ok", "skipped", "ok", "ok"]
 
 
+def test_offset_limit_of_a_frame(spark):
+    rows = spark.createDataFrame([(i, str(i)) for i in range(40)], "id int, message string").repartition(1).repartition(3)
+    every = [json.loads(r.id) for r in results(ch.chat(rows, ECHO, run=ch.RunOptions(limit=40)))]
+    got = [json.loads(r.id) for r in results(ch.chat(rows, ECHO, run=ch.RunOptions(offset=7, limit=9)))]
+    assert sorted(every) == list(range(40)) and got == every[7:16]
+
+
 @pytest.mark.parametrize(
     "given",
     [
