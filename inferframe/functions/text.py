@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 TAG = r"</?[a-zA-z_]+\s*/?>"
 IMAGE = r"!\[.*?\]\(.*?\)"
 TOKEN = r"[\p{L}\p{N}_]+"
+#: Fixed value: stands for a page without text in a merged document.
 NO_TEXT = "**COULD_NOT_OCR_PAGE**"
+#: Fixed value: the message of a document with more pages than were asked for.
+TOO_MANY_PAGES = "Only %d/%d pages processed (because of --max-pages)"
 
 
 def tokens(text: Column) -> Column:

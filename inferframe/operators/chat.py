@@ -107,7 +107,7 @@ def echo_results(df: DataFrame, prompt: Prompt, files: tpl.Files | None = None)
     rendered = render_columns(prompt, bindings(df), files)
     text = last_user_text(rendered["messages"])
     skip = F.coalesce("skip_processing", F.lit(False))
-    failed = F.lit(problem).cast("string") if problem else F.when(text.isNull(), "No user message found in prompt")
+    failed = F.lit(problem).cast("string") if problem else F.when(text.isNull(), "no user message has a text")
     ok = ~skip & failed.isNull()
     return df.withColumns(
         {

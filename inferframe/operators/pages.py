@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NO_TEXT
+from ..functions.text import NO_TEXT, TOO_MANY_PAGES
 
 #: The flags of a page analysis and its image sources, worst first.
 FLAGS = ("contains_handwriting", "contains_unreadable_or_ambiguous_text", "background_is_noisy", "contains_faint_text", "contains_blurred_text", "contains_distorted_text", "contains_cutoff_text", "glare_on_some_text")
@@ -29,7 +29,7 @@ def incomplete_message(total: Column, most: int | None) -> Column:
     """The message of a document with more pages than were asked for, else null."""
     if most is None:
         return F.lit(None).cast("string")
-    return F.when(total > most, F.format_string("Only %d/%d pages processed (because of --max-pages)", F.lit(most), total))
+    return F.when(total > most, F.format_string(TOO_MANY_PAGES, F.lit(most), total))
 
 
 def source_rank(source: Column) -> Column:

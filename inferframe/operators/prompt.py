@@ -38,14 +38,14 @@ class Prompt:
     def check(self) -> None:
         """Messages must be (user, assistant)* user; a user message has text or an image."""
         if not self.messages:
-            raise PromptError("No messages in prompt")
+            raise PromptError("the prompt has no messages")
         for i, m in enumerate(self.messages):
             if m.role != ("assistant" if i % 2 else "user"):
-                raise PromptError(f"message {i}: expected alternating user and assistant messages")
+                raise PromptError(f"message {i}: user and assistant messages must take turns")
             if m.role == "user" and m.text is None and not m.images:
-                raise PromptError(f"message {i}: a user message must have text or images")
+                raise PromptError(f"message {i}: a user message needs a text or an image")
         if len(self.messages) % 2 == 0:
-            raise PromptError("the prompt must end with a user message")
+            raise PromptError("the last message must be a user's")
 
     def templates(self) -> list[str]:
         out: list[str] = [] if self.developer is None else [self.developer]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.data_url import PAGE_IMAGES, sniff
+from ..functions.text import TOO_MANY_PAGES
 
 
 class FileError(ValueError):
@@ -68,7 +69,7 @@ def page_count(pdf: str) -> int:
 
 def too_many(max_pages: int | None, total: int) -> str | None:
     if max_pages is not None and total > max_pages:
-        return f"Only {max_pages}/{total} pages processed (because of --max-pages)"
+        return TOO_MANY_PAGES % (max_pages, total)
     return None
 
 

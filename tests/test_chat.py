@@ -74,7 +74,7 @@ def test_blocks_run_in_workers(spark):
 def test_prompts_are_checked():
     good = prompt.parse_prompt(JOKE)
     good.check()
-    for messages, why in (([], "No messages"), ([{"assistant": {"json": 1}}], "alternating"), ([{"user": {"text": "a"}}, {"assistant": {"json": 1}}], "end with a user"), ([{"user": {}}], "text or images"), ([{"user": {"text": "a"}}, {"user": {"text": "b"}}], "alternating")):
+    for messages, why in (([], "no messages"), ([{"assistant": {"json": 1}}], "take turns"), ([{"user": {"text": "a"}}, {"assistant": {"json": 1}}], "must be a user"), ([{"user": {}}], "a text or an image"), ([{"user": {"text": "a"}}, {"user": {"text": "b"}}], "take turns")):
         with pytest.raises(prompt.PromptError, match=why):
             prompt.parse_prompt(JOKE | {"messages": messages}).check()
     for bad in (JOKE | {"extra": 1}, {"messages": []}, JOKE | {"messages": [{"user": {"text": "a"}, "assistant": {}}]}, JOKE | {"messages": [{"user": {"txt": "a"}}]}):
