@@ -6,6 +6,7 @@ statuses, attempts), the query makes it from the rows by a rule that its docstri
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,7 @@ from ..operators import metrics, pages, retry, schema, similarity
 from ..operators.layout import BLOCKS, layout_cost, layout_text_column
 from ..operators.models import with_cost
 from ..operators.prompt import last_user_text, openai_messages, parse_prompt, render_columns, valid_roles
-from ..sources.records import flat_rows, quoted
+from ..sources.records import flat_rows, quoted, read_records, write_csv, write_jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,6 +201,39 @@ def token_usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_cost(docs, models).select("doc_id", "model", F.round("estimated_cost", 6).alias("estimated_cost"))
 
 
+# sources and sinks
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the warehouse, which all machines share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""
+SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS seq, to_json(CAST(doc_id AS VARCHAR)) AS id, toxic = 1 AS skip, text, source
+FROM documents JOIN labels USING (doc_id)
+""")
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents written as CSV and scanned as records: all strings, quotes and line breaks kept, rows numbered in order."""
+    path = _scratch(spark, "csv") + ".csv"
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").orderBy("doc_id")
+    write_csv(docs.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("skip_processing"), "text", "source"), path, single=True)
+    return read_records(spark, path).select(F.col("_seq").alias("seq"), "id", F.col("skip_processing").alias("skip"), "text", "source")
+
+
+@query("""
+SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS seq, event_id AS id, props AS passthrough, round(value, 4) AS value, event_type FROM events
+""")
+def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as JSON lines in order of their ids and scanned as records that keep JSON types."""
+    path = _scratch(spark, "jsonl") + ".jsonl"
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("_seq"), F.col("event_id").alias("id"), F.col("props").alias("passthrough_data"), "value", "event_type")
+    write_jsonl(events, path, optional=("passthrough_data",), raw=("passthrough_data",), order="_seq")
+    rows = read_records(spark, path)
+    k = F.variant_get(F.parse_json("passthrough_data"), "$.k", "bigint")
+    return rows.select(F.col("_seq").alias("seq"), F.col("id").cast("bigint").alias("id"), F.format_string('{"k": %d}', k).alias("passthrough"), F.round(F.variant_get("row", "$.value", "double"), 4).alias("value"), F.variant_get("row", "$.event_type", "string").alias("event_type"))
+
+
 # pages
 
 _PAGES = """
