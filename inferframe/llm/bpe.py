@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import HashStore, write_store
-from .textops import arrow_columns, texts
+from .textops import arrow_columns, pieces
 
 #: Buckets of the literal rank map; Spark looks a key up in a map entry by entry, so each bucket's map is short.
 BUCKETS = 1 << 16
@@ -48,37 +48,41 @@ def encode_word(word: Column, ranks: dict[bytes, int]) -> Column:
     bytes (in Latin-1, a character each), and each step of the fold joins the
     first pair of least rank, until no pair has one.
     """
-    buckets = F.from_json(F.lit(rank_map(ranks)), "array<map<string,int>>")
-
-    def rank(piece: Column) -> Column:
-        return F.element_at(F.element_at(buckets, (F.crc32(piece) % BUCKETS + 1).cast("int")), piece)
+    literal = F.from_json(F.lit(rank_map(ranks)), "array<map<string,int>>")
 
     def let(value: Column, f) -> Column:
         return F.transform(F.array(value), f)[0]
 
-    def merged(p: Column) -> Column:
-        ranked = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1))))
+    def with_ranks(buckets: Column) -> Column:
+        def rank(piece: Column) -> Column:
+            return F.element_at(F.element_at(buckets, (F.crc32(piece) % BUCKETS + 1).cast("int")), piece)
+
+        def merged(p: Column) -> Column:
+            ranked = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1))))
 
-        def join(r: Column) -> Column:
-            at = F.array_position(r, F.array_min(r)).cast("int")
-            joined = F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.size(p)))
-            return F.when(F.array_min(r).isNull(), p).otherwise(joined)
+            def join(r: Column) -> Column:
+                at = F.array_position(r, F.array_min(r)).cast("int")
+                joined = F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.size(p)))
+                return F.when(F.array_min(r).isNull(), p).otherwise(joined)
 
-        return let(ranked, join)
+            return let(ranked, join)
 
-    def step(s: Column, _: Column) -> Column:
-        def after(p: Column) -> Column:
-            return F.struct(p.alias("p"), (F.size(p) == F.size(s["p"])).alias("done"))
+        def step(s: Column, _: Column) -> Column:
+            def after(p: Column) -> Column:
+                return F.struct(p.alias("p"), (F.size(p) == F.size(s["p"])).alias("done"))
 
-        return F.when(s["done"] | (F.size(s["p"]) < 2), s).otherwise(let(merged(s["p"]), after))
+            return F.when(s["done"] | (F.size(s["p"]) < 2), s).otherwise(let(merged(s["p"]), after))
 
-    def fold(w: Column) -> Column:
-        single = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, F.lit(1)))
-        start = F.struct(single.alias("p"), F.lit(False).alias("done"))
-        pieces = F.aggregate(F.sequence(F.lit(1), F.length(w)), start, step, lambda s: s["p"])
-        return F.when(rank(w).isNotNull(), F.array(rank(w))).otherwise(F.transform(pieces, rank))
+        def fold(w: Column) -> Column:
+            single = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, F.lit(1)))
+            start = F.struct(single.alias("p"), F.lit(False).alias("done"))
+            pieces = F.aggregate(F.sequence(F.lit(1), F.length(w)), start, step, lambda s: s["p"])
+            return F.when(rank(w).isNotNull(), F.array(rank(w))).otherwise(F.transform(pieces, rank))
 
-    return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), fold)
+        return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), fold)
+
+    # bound once, so that the plan holds the literal once
+    return let(literal, with_ranks)
 
 
 def encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -105,10 +109,15 @@ def encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _long_words(ranks: dict[bytes, int]):
+    """Fills in the ids of words that the fold left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [" ".join(map(str, encode_long(w, ranks))) for w in texts(batch, "word")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string())], names=["h", "ids"])
+            ids = batch.column(2)
+            if ids.null_count:
+                words = batch.column(1).cast(pa.binary())
+                ids = pa.array([i.as_py() if i.is_valid else " ".join(map(str, encode_long(w.as_py(), ranks))) for i, w in zip(ids, words, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["h", "ids"])
 
     return run
 
@@ -144,32 +153,31 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     """
     ranks = read_ranks(ranks_path)
     words = docs.select(text_col).mapInArrow(_distinct_words(pattern), "word string").distinct().withColumn("h", F.xxhash64("word"))
-    size = F.octet_length("word")
-    short = words.where(size <= fold_bytes).select("h", F.array_join(F.transform(encode_word(F.col("word"), ranks), lambda i: i.cast("string")), " ").alias("ids"))
-    long = words.where(size > fold_bytes).select("h", "word").mapInArrow(_long_words(ranks), "h long, ids string")
-    folder, shards, _ = write_store(short.union(long).dropDuplicates(["h"]), "bpe-words")
+    folded = F.array_join(F.transform(encode_word(F.col("word"), ranks), lambda i: i.cast("string")), " ")
+    encoded = words.select("h", "word", F.when(F.octet_length("word") <= fold_bytes, folded).alias("ids"))
+    folder, shards, _ = write_store(encoded.mapInArrow(_long_words(ranks), "h long, ids string"), "bpe-words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
         find, store = regex.compile(pattern).findall, HashStore(folder, shards)
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            values, sizes = [], []
-            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                found = find(text) if text else []
-                new = {w for w in found if w not in known}
+            column = batch.column(batch.schema.get_field_index(text_col))
+            values, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+            for first, offsets, _ in pieces(column):
+                found = [find(text) if text else [] for text in column.slice(first, len(offsets) - 1).to_pylist()]
+                new = set().union(*found).difference(known)
+                if len(known) + len(new) > REMEMBERED and known:
+                    known, new = {}, set().union(*found)
                 if new:
-                    if len(known) > REMEMBERED:
-                        known, new = {}, set(found)
                     by = {w: xxhash.xxh64_intdigest(w.encode(), 42) for w in new}
                     stored = store.texts(np.array(list(by.values()), np.uint64).view(np.int64), "ids")
                     for w, h in by.items():
                         known[w] = tuple(map(int, stored[h - (1 << 64) if h >> 63 else h].split()))
-                own = np.fromiter(chain.from_iterable(map(known.__getitem__, found)), np.int32)
-                values.append(own)
-                sizes.append(len(own))
-            offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
-            flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-            yield batch, {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))}
+                for own in found:
+                    values.append(np.fromiter(chain.from_iterable(map(known.__getitem__, own)), np.int32))
+                sizes.append(np.fromiter(map(len, values[len(values) - len(found) :]), np.int64, len(found)))
+            at = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+            yield batch, {"ids": pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values), pa.int32()))}
 
     return arrow_columns(docs, run, [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
