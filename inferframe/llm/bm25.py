@@ -41,14 +41,22 @@ def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the least type that holds them."""
+    most = int(values.max()) if len(values) else 0
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
 class Shard:
     """Inverted index of some documents.
 
     terms (sorted hashes) -> entries, one for each block of documents that has
     the term, with its largest tf and the shortest length there -> postings (document, tf).
+    Files hold sizes in place of starts, and all numbers in the least type that fits.
     """
 
-    ARRAYS = ("terms", "term_at", "entry_block", "entry_tf", "entry_len", "entry_at", "doc", "tf", "length", "ids")
+    ARRAYS = ("terms", "entry_block", "entry_tf", "entry_len", "doc", "tf", "length", "ids")
+    STARTS = ("term_at", "entry_at")
 
     @classmethod
     def build(cls, ids: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> Shard:
@@ -78,13 +86,21 @@ class Shard:
 
     def save(self, path: str) -> None:
         for name in self.ARRAYS:
-            save(f"{path}-{name}.npy", getattr(self, name))
+            values = getattr(self, name)
+            save(f"{path}-{name}.npy", values if name in ("terms", "ids") else narrow(values))
+        for name in self.STARTS:
+            save(f"{path}-{name}.npy", narrow(np.diff(getattr(self, name))))
 
     @classmethod
     def load(cls, path: str) -> Shard:
         self = cls()
         for name in cls.ARRAYS:
             setattr(self, name, np.load(f"{path}-{name}.npy", mmap_mode="r"))
+        for name in cls.STARTS:
+            sizes = np.load(f"{path}-{name}.npy")
+            starts = np.zeros(len(sizes) + 1, np.int64)
+            np.cumsum(sizes, out=starts[1:])
+            setattr(self, name, starts)
         return self
 
     def document_frequencies(self) -> np.ndarray:
@@ -93,9 +109,11 @@ class Shard:
     def prepare(self, mean_length: float) -> None:
         """Impacts of postings and bounds of entries, for many queries."""
         norm = K1 * (1 - B + B * self.length / mean_length)
-        self.impact = self.tf * (K1 + 1) / (self.tf + norm[self.doc])
-        self.bound = self.entry_tf * (K1 + 1) / (self.entry_tf + K1 * (1 - B + B * self.entry_len / mean_length))
-        self.docs, self.blocks, self.posts = np.asarray(self.doc).astype(np.int64), np.asarray(self.entry_block).astype(np.int64), np.asarray(self.entry_at)
+        self.docs, self.blocks = np.asarray(self.doc).astype(np.int64), np.asarray(self.entry_block).astype(np.int64)
+        tf, most = np.asarray(self.tf).astype(np.float64), np.asarray(self.entry_tf).astype(np.float64)
+        self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
+        self.bound = most * (K1 + 1) / (most + K1 * (1 - B + B * np.asarray(self.entry_len) / mean_length))
+        self.term_posts = self.entry_at[self.term_at]
 
     def search(self, places: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the best k, or of fewer that reach `floor`.
@@ -103,35 +121,46 @@ class Shard:
         places, weights: of the query's terms in `terms`. The block-max bounds
         of the terms sum to a bound of each block. Blocks are visited from the
         highest bound down, in growing runs; after each, the k-th best score is
-        the threshold, and blocks whose bound is below it are never opened.
+        the threshold, and blocks whose bound is below it are never opened. Where
+        most blocks stay above it, whole lists are added up at once, which
+        costs less than to pick out their blocks.
         """
+        low, high = self.term_at[places].tolist(), self.term_at[places + 1].tolist()
         sizes = self.term_at[places + 1] - self.term_at[places]
-        entries = expand(self.term_at[places], sizes)
-        if not len(entries):
+        if not len(places):
             return np.zeros(0, np.int64), np.zeros(0)
+        block = np.concatenate([self.blocks[a:b] for a, b in zip(low, high, strict=True)])
         weight = np.repeat(weights, sizes)
-        block = self.blocks[entries]
         n_blocks = -(-len(self.length) // BLOCK)
-        bound = np.bincount(block, weights=weight * self.bound[entries], minlength=n_blocks) * (1 + 1e-9)
+        bound = np.bincount(block, weights=weight * np.concatenate([self.bound[a:b] for a, b in zip(low, high, strict=True)]), minlength=n_blocks) * (1 + 1e-9)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best_docs, best = np.zeros(0, np.int64), np.zeros(0)
+        best_docs, best, entries = np.zeros(0, np.int64), np.zeros(0), None
         at, run = 0, max(4, -(-4 * k // BLOCK))
         while at < len(order):
             threshold = max(floor, best[-1] if len(best) == k else -np.inf)
-            opened = order[at : at + run]
-            opened = opened[bound[opened] >= threshold]
-            if not len(opened):
+            left = int(np.searchsorted(-bound[order[at:]], -threshold, side="right"))
+            if not left:
                 break
-            at, run = at + run, run * 4
+            whole = at > 0 and left > n_blocks // 4
+            opened = order[at : at + (left if whole else min(run, left))]
+            at, run = at + len(opened), run * 4
             mask = np.zeros(n_blocks, bool)
             mask[opened] = True
-            some = mask[block]
-            own, w = entries[some], weight[some]
-            counts = self.posts[own + 1] - self.posts[own]
-            posts = expand(self.posts[own], counts)
-            scores = np.bincount(self.docs[posts], weights=np.repeat(w, counts) * self.impact[posts], minlength=len(self.length))
+            if whole:
+                ends = list(zip(self.term_posts[places].tolist(), self.term_posts[places + 1].tolist(), strict=True))
+                docs, impact = (np.concatenate([x[a:b] for a, b in ends]) for x in (self.docs, self.impact))
+                w = np.repeat(weights, self.term_posts[places + 1] - self.term_posts[places])
+            else:
+                entries = expand(self.term_at[places], sizes) if entries is None else entries
+                some = mask[block]
+                own = entries[some]
+                counts = self.entry_at[own + 1] - self.entry_at[own]
+                posts = expand(self.entry_at[own], counts)
+                docs, impact, w = self.docs[posts], self.impact[posts], np.repeat(weight[some], counts)
+            scores = np.bincount(docs, weights=w * impact, minlength=len(self.length))
             found = np.flatnonzero((scores > 0) & (scores >= threshold))
+            found = found[mask[found // BLOCK]]
             best_docs, best = top(np.concatenate([best_docs, found]), np.concatenate([best, scores[found]]), self.ids, k)
         return best_docs, best
 
