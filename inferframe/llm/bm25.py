@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .shared import mounted, new_folder
 from .store import HashStore, merge_packets, save, shard_of
-from .textops import ALNUM, LOWER, pieces, word_hashes, words
+from .textops import ALNUM, LOWER, expand, pieces, word_hashes, words
 
 K1, B = 1.2, 0.75
 #: Documents of a block, for which each term keeps its bound.
@@ -35,12 +35,6 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(sizes)
 
 
-def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-
-
 def narrow(values: np.ndarray) -> np.ndarray:
     """The same numbers in the least type that holds them."""
     most = int(values.max()) if len(values) else 0

@@ -7,23 +7,21 @@ import heapq
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pretokenize import PATTERN, Splitter, splitter_of
 from .store import HashStore, write_store
-from .textops import arrow_columns, pieces
+from .textops import arrow_columns, expand, pieces, word_hashes
 
 #: Buckets of the literal rank map; Spark looks a key up in a map entry by entry, so each bucket's map is short.
 BUCKETS = 1 << 16
-#: Words a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words that a task remembers, so as not to send them again.
+REMEMBERED = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,8 +43,8 @@ def encode_word(word: Column, ranks: dict[bytes, int]) -> Column:
     """The ids of one word as an array: a fold of merges over its bytes.
 
     A word that is a piece is its id. Otherwise the pieces start as single
-    bytes (in Latin-1, a character each), and each step of the fold joins the
-    first pair of least rank, until no pair has one.
+    bytes (in Latin-1, a character each) with the ranks of their pairs, and each
+    step of the fold joins the first pair of least rank, until no pair has one.
     """
     literal = F.from_json(F.lit(rank_map(ranks)), "array<map<string,int>>")
 
@@ -55,29 +53,35 @@ def encode_word(word: Column, ranks: dict[bytes, int]) -> Column:
 
     def with_ranks(buckets: Column) -> Column:
         def rank(piece: Column) -> Column:
-            return F.element_at(F.element_at(buckets, (F.crc32(piece) % BUCKETS + 1).cast("int")), piece)
+            return F.element_at(F.get(buckets, F.crc32(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), piece)
 
-        def merged(p: Column) -> Column:
-            ranked = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1))))
+        def step(s: Column, _: Column) -> Column:
+            p, r = s["p"], s["r"]
 
-            def join(r: Column) -> Column:
-                at = F.array_position(r, F.array_min(r)).cast("int")
-                joined = F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.size(p)))
-                return F.when(F.array_min(r).isNull(), p).otherwise(joined)
+            def join(at: Column) -> Column:
+                """Joins the pair at this place (from 1); only the pairs beside it need new ranks."""
 
-            return let(ranked, join)
+                def put(new: Column) -> Column:
+                    none = F.array().cast("array<int>")
+                    left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), new)))).otherwise(none)
+                    right = F.when(at + 1 < F.size(p), F.array(rank(F.concat(new, F.get(p, at + 1))))).otherwise(none)
+                    return F.struct(
+                        F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
+                        F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(p))).alias("r"),
+                    )
 
-        def step(s: Column, _: Column) -> Column:
-            def after(p: Column) -> Column:
-                return F.struct(p.alias("p"), (F.size(p) == F.size(s["p"])).alias("done"))
+                return let(F.concat(F.get(p, at - 1), F.get(p, at)), put)
 
-            return F.when(s["done"] | (F.size(s["p"]) < 2), s).otherwise(let(merged(s["p"]), after))
+            best = F.array_min(r)
+            return F.when(best.isNull(), s).otherwise(let(F.array_position(r, best).cast("int"), join))
 
         def fold(w: Column) -> Column:
-            single = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, F.lit(1)))
-            start = F.struct(single.alias("p"), F.lit(False).alias("done"))
-            pieces = F.aggregate(F.sequence(F.lit(1), F.length(w)), start, step, lambda s: s["p"])
-            return F.when(rank(w).isNotNull(), F.array(rank(w))).otherwise(F.transform(pieces, rank))
+            n = F.length(w)
+            single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(w, i, F.lit(1)))
+            pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(w, i, F.lit(2))))
+            start = F.struct(single.alias("p"), F.when(n > 1, pairs).otherwise(F.array().cast("array<int>")).alias("r"))
+            pieces = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["p"])
+            return let(rank(w), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(F.transform(pieces, rank)))
 
         return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), fold)
 
@@ -115,29 +119,44 @@ def _long_words(ranks: dict[bytes, int]):
         for batch in batches:
             ids = batch.column(2)
             if ids.null_count:
-                words = batch.column(1).cast(pa.binary())
-                ids = pa.array([i.as_py() if i.is_valid else " ".join(map(str, encode_long(w.as_py(), ranks))) for i, w in zip(ids, words, strict=True)], pa.string())
+                there = ids.is_valid()
+                long = [encode_long(w, ranks) for w in batch.column(1).filter(ids.is_null()).cast(pa.binary()).to_pylist()]
+                where = there.to_numpy(zero_copy_only=False)
+                place = np.where(where, np.cumsum(where) - 1, where.sum() + np.cumsum(~where) - 1)
+                ids = pa.concat_arrays([ids.filter(there), pa.array(long, ids.type)]).take(pa.array(place))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["h", "ids"])
 
     return run
 
 
-def _distinct_words(pattern: str):
+def _matches(splitter: Splitter, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, signed hashes) of the matches in some texts."""
+    starts = splitter(offsets, data)
+    ends = np.append(starts[1:], len(data)) if len(starts) else starts
+    return starts, ends, word_hashes(data, starts, ends).view(np.int64)
+
+
+def _distinct_words(splitter: Splitter):
+    """(h, word) of the matches that a task meets for the first time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, set()
+        seen = np.zeros(0, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(find(text))
-                if len(seen) >= REMEMBERED:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
-                    seen = set()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
+            for _, offsets, data in pieces(batch.column(0)):
+                starts, ends, hashes = _matches(splitter, offsets, data)
+                own, at = np.unique(hashes, return_index=True)
+                new = ~np.isin(own, seen, assume_unique=True)
+                own, at = own[new], at[new]
+                seen = np.concatenate([seen, own]) if len(seen) < REMEMBERED else own
+                sizes = ends[at] - starts[at]
+                ends_at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                words = pa.Array.from_buffers(pa.string(), len(own), [None, pa.py_buffer(ends_at), pa.py_buffer(data[expand(starts[at], sizes)])])
+                yield pa.RecordBatch.from_arrays([pa.array(own), words], names=["h", "word"])
 
     return run
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", fold_bytes: int = 64) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, text_col: str = "text", fold_bytes: int = 64) -> DataFrame:
     """Adds `ids` (array of int): the ids of each text, each match of `pattern` encoded by itself.
 
     The ids are those of the ranks in `ranks_path` (base64 and rank on a line)
@@ -146,38 +165,30 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     vocabulary); those over `fold_bytes` bytes, where the fold's cost grows with
     the square, by a heap. The encoded words lie in the shared folder as sorted
     hash arrays (64-bit), which the workers map to assemble whole texts; a
-    row's words are never shuffled.
+    row's words are never shuffled. The matches of a pattern must cover a text.
 
     A null or empty text has no ids. Repeated rows are encoded alike. A column
     named ids is replaced. An empty table gives an empty one.
     """
-    ranks = read_ranks(ranks_path)
-    words = docs.select(text_col).mapInArrow(_distinct_words(pattern), "word string").distinct().withColumn("h", F.xxhash64("word"))
-    folded = F.array_join(F.transform(encode_word(F.col("word"), ranks), lambda i: i.cast("string")), " ")
-    encoded = words.select("h", "word", F.when(F.octet_length("word") <= fold_bytes, folded).alias("ids"))
-    folder, shards, _ = write_store(encoded.mapInArrow(_long_words(ranks), "h long, ids string"), "bpe-words")
+    ranks, splitter = read_ranks(ranks_path), splitter_of(pattern)
+    words = docs.select(text_col).mapInArrow(_distinct_words(splitter), "h long, word string").distinct()
+    encoded = words.select("h", "word", F.when(F.octet_length("word") <= fold_bytes, encode_word(F.col("word"), ranks)).alias("ids"))
+    folder, shards, _ = write_store(encoded.mapInArrow(_long_words(ranks), "h long, ids array<int>"), "bpe-words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
-        find, store = regex.compile(pattern).findall, HashStore(folder, shards)
-        known: dict[str, tuple[int, ...]] = {}
+        store = HashStore(folder, shards)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
             values, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-            for first, offsets, _ in pieces(column):
-                found = [find(text) if text else [] for text in column.slice(first, len(offsets) - 1).to_pylist()]
-                new = set().union(*found).difference(known)
-                if len(known) + len(new) > REMEMBERED and known:
-                    known, new = {}, set().union(*found)
-                if new:
-                    by = {w: xxhash.xxh64_intdigest(w.encode(), 42) for w in new}
-                    stored = store.texts(np.array(list(by.values()), np.uint64).view(np.int64), "ids")
-                    for w, h in by.items():
-                        known[w] = tuple(map(int, stored[h - (1 << 64) if h >> 63 else h].split()))
-                for own in found:
-                    values.append(np.fromiter(chain.from_iterable(map(known.__getitem__, own)), np.int32))
-                sizes.append(np.fromiter(map(len, values[len(values) - len(found) :]), np.int64, len(found)))
-            at = np.cumsum(np.concatenate(sizes)).astype(np.int32)
-            yield batch, {"ids": pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values), pa.int32()))}
+            for _, offsets, data in pieces(batch.column(batch.schema.get_field_index(text_col))):
+                starts, _, hashes = _matches(splitter, offsets, data)
+                own, back = np.unique(hashes, return_inverse=True)
+                at, n, ids = store.lists(own, "ids")
+                n = n[back]
+                values.append(ids[expand(at[back], n)])
+                total = np.concatenate([[0], np.cumsum(n)])
+                sizes.append(np.diff(total[np.searchsorted(starts, offsets)]))
+            ends = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+            yield batch, {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values), pa.int32()))}
 
     return arrow_columns(docs, run, [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import mounted, new_folder
+from .textops import expand
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -30,8 +31,8 @@ def save(path: str, array: np.ndarray) -> None:
 def write_store(df: DataFrame, what: str) -> tuple[str, int, int]:
     """Writes (h, columns ...) sorted by h; returns (folder, shards, rows).
 
-    h: distinct signed 64-bit hashes. Other columns: numbers, or text (kept as
-    bytes and offsets). One shard for each shuffle partition.
+    h: distinct signed 64-bit hashes. Other columns: numbers, or text or lists
+    of numbers (kept as values and offsets). One shard for each shuffle partition.
     """
     spark = df.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -54,6 +55,10 @@ def write_store(df: DataFrame, what: str) -> tuple[str, int, int]:
                 data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
                 save(f"{folder}/{shard}-{name}-at.npy", at - at[0])
                 save(f"{folder}/{shard}-{name}.npy", data[at[0] : at[-1]])
+            elif pa.types.is_list(column.type):
+                at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+                save(f"{folder}/{shard}-{name}-at.npy", at - at[0])
+                save(f"{folder}/{shard}-{name}.npy", column.values.to_numpy()[at[0] : at[-1]])
             else:
                 save(f"{folder}/{shard}-{name}.npy", column.to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([table.num_rows], pa.int64())], names=["shard", "n"])
@@ -104,14 +109,18 @@ class HashStore:
             out[here] = column[there]
         return np.full(len(hashes), missing) if out is None else out[back]
 
-    def texts(self, hashes: np.ndarray, name: str) -> dict[int, bytes]:
-        """A text column for each of these hashes that is there."""
-        own, out = np.unique(hashes), {}
-        for shard, here, there in self.find(own):
-            data, at = self.array(shard, name), self.array(shard, f"{name}-at")
-            for h, a, b in zip(own[here].tolist(), at[there].tolist(), at[there + 1].tolist(), strict=True):
-                out[h] = data[a:b].tobytes()
-        return out
+    def lists(self, hashes: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes, values) of a list column for each of these sorted hashes, all of which must be there."""
+        sizes, values, seen = np.zeros(len(hashes), np.int64), [np.zeros(0, np.int32)], 0
+        for shard, here, there in self.find(hashes):
+            at = self.array(shard, f"{name}-at")
+            starts = np.asarray(at[there])
+            sizes[here] = at[there + 1] - starts
+            values.append(self.array(shard, name)[expand(starts, sizes[here])])
+            seen += len(here)
+        if seen != len(hashes):
+            raise KeyError(f"{len(hashes) - seen} hashes aren't in {self.folder}")
+        return np.cumsum(sizes) - sizes, sizes, np.concatenate(values)
 
 
 def count_keys(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], shards: int, at_once: int = 1 << 21) -> DataFrame:

@@ -43,3 +43,18 @@ def test_long_words():
         for alphabet in ("ab", "aehilnorst", "é日"):
             word = "".join(rng.choice(alphabet) for _ in range(n))
             assert bpe.encode_long(word.encode(), ranks) == own.encode_single_piece(word.encode()) if hasattr(own, "encode_single_piece") else own.encode_ordinary(word)
+
+
+def test_splitting_equals_the_pattern():
+    import numpy as np
+    import pyarrow as pa
+
+    from inferframe.llm import pretokenize, textops
+
+    assert pretokenize.PATTERN == public_tokenizers.PATTERN
+    rng = random.Random(7)
+    alphabet = ["'", " ", "\n", "s", "t", "re", "ve", "ll", "d", "m", "a", "é", "1", "²", "!", "-", "\u00a0", "\t", "日", "\U0001f600", "x"]
+    texts = [None, ""] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(9))) for _ in range(20_000)] + ["word " * 200_000]
+    fast, slow = pretokenize.splitter_of(public_tokenizers.PATTERN), pretokenize.splitter_of("(?:" + public_tokenizers.PATTERN + ")")
+    for _, offsets, data in textops.pieces(pa.array(texts)):
+        assert np.array_equal(fast(offsets, data), slow(offsets, data))
