@@ -20,6 +20,10 @@ from .textops import ALNUM, LOWER, expand, pieces, word_hashes, words
 K1, B = 1.2, 0.75
 #: Documents of a block, for which each term keeps its bound.
 BLOCK = 64
+#: A term in over one in FREQUENT of a shard's documents has its impacts in a dense row, in DENSE_BYTES for all rows.
+FREQUENT, DENSE_BYTES = 20, 64 << 20
+#: Bytes of base scores of the queries that are multiplied at once.
+BASE_BYTES = 16 << 20
 #: Stands for a null id in arrays.
 _NO_ID = -(1 << 63)
 
@@ -108,28 +112,51 @@ class Shard:
         self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
         self.bound = most * (K1 + 1) / (most + K1 * (1 - B + B * np.asarray(self.entry_len) / mean_length))
         self.term_posts = self.entry_at[self.term_at]
-
-    def search(self, places: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        df, n = np.diff(self.term_posts), max(1, len(self.length))
+        frequent = np.flatnonzero(df * FREQUENT > n)
+        frequent = frequent[np.argsort(-df[frequent], kind="stable")[: DENSE_BYTES // (8 * n)]]
+        self.row_of = np.full(len(df), -1, np.int64)
+        self.row_of[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), len(self.length)))
+        for row, t in enumerate(frequent.tolist()):
+            a, b = self.term_posts[t], self.term_posts[t + 1]
+            self.dense[row, self.docs[a:b]] = self.impact[a:b]
+
+    def base_scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What frequent terms give each document (a column) in each query (a row), by one matrix product."""
+        weights = np.zeros((len(queries), len(self.dense)))
+        for i, (places, w) in enumerate(queries):
+            rows = self.row_of[places]
+            weights[i, rows[rows >= 0]] = w[rows >= 0]
+        return weights @ self.dense
+
+    def search(self, places: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the best k, or of fewer that reach `floor`.
 
-        places, weights: of the query's terms in `terms`. The block-max bounds
-        of the terms sum to a bound of each block. Blocks are visited from the
+        places, weights: of the query's terms in `terms`; base: its base_scores.
+        The largest base score of a block and the block-max bounds of
+        the other terms sum to a bound of the block. Blocks are visited from the
         highest bound down, in growing runs; after each, the k-th best score is
         the threshold, and blocks whose bound is below it are never opened. Where
         most blocks stay above it, whole lists are added up at once, which
-        costs less than to pick out their blocks.
+        costs less than to pick out their blocks. Scores are rounded to nine places,
+        so that equal documents have equal scores wherever they stand.
         """
-        low, high = self.term_at[places].tolist(), self.term_at[places + 1].tolist()
-        sizes = self.term_at[places + 1] - self.term_at[places]
         if not len(places):
             return np.zeros(0, np.int64), np.zeros(0)
-        block = np.concatenate([self.blocks[a:b] for a, b in zip(low, high, strict=True)])
-        weight = np.repeat(weights, sizes)
+        base = self.base_scores([(places, weights)])[0] if base is None else base
+        rare = self.row_of[places] < 0
+        places, weights = places[rare], weights[rare]
+        floor = np.round(floor, 9)
+        sizes = self.term_at[places + 1] - self.term_at[places]
+        entries, weight = expand(self.term_at[places], sizes), np.repeat(weights, sizes)
+        block = self.blocks[entries]
         n_blocks = -(-len(self.length) // BLOCK)
-        bound = np.bincount(block, weights=weight * np.concatenate([self.bound[a:b] for a, b in zip(low, high, strict=True)]), minlength=n_blocks) * (1 + 1e-9)
+        bound = np.bincount(block, weights=weight * self.bound[entries], minlength=n_blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
+        bound = np.where(bound > 0, bound * (1 + 1e-9) + 1e-8, 0)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best_docs, best, entries = np.zeros(0, np.int64), np.zeros(0), None
+        best_docs, best = np.zeros(0, np.int64), np.zeros(0)
         at, run = 0, max(4, -(-4 * k // BLOCK))
         while at < len(order):
             threshold = max(floor, best[-1] if len(best) == k else -np.inf)
@@ -142,17 +169,15 @@ class Shard:
             mask = np.zeros(n_blocks, bool)
             mask[opened] = True
             if whole:
-                ends = list(zip(self.term_posts[places].tolist(), self.term_posts[places + 1].tolist(), strict=True))
-                docs, impact = (np.concatenate([x[a:b] for a, b in ends]) for x in (self.docs, self.impact))
-                w = np.repeat(weights, self.term_posts[places + 1] - self.term_posts[places])
+                own, w = places, weights
+                first, last = self.term_posts[own], self.term_posts[own + 1]
             else:
-                entries = expand(self.term_at[places], sizes) if entries is None else entries
                 some = mask[block]
-                own = entries[some]
-                counts = self.entry_at[own + 1] - self.entry_at[own]
-                posts = expand(self.entry_at[own], counts)
-                docs, impact, w = self.docs[posts], self.impact[posts], np.repeat(weight[some], counts)
-            scores = np.bincount(docs, weights=w * impact, minlength=len(self.length))
+                own, w = entries[some], weight[some]
+                first, last = self.entry_at[own], self.entry_at[own + 1]
+            posts = expand(first, last - first)
+            docs, impact, w = self.docs[posts], self.impact[posts], np.repeat(w, last - first)
+            scores = np.round(base + np.bincount(docs, weights=w * impact, minlength=len(base)), 9)
             found = np.flatnonzero((scores > 0) & (scores >= threshold))
             found = found[mask[found // BLOCK]]
             best_docs, best = top(np.concatenate([best_docs, found]), np.concatenate([best, scores[found]]), self.ids, k)
@@ -278,10 +303,13 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
                     where = np.searchsorted(shard.terms, terms)
                     where[where == len(shard.terms)] = 0
                     there = shard.terms[where] == terms
-                    for i, (place, weight) in enumerate(asked):
-                        some = there[place]
+                    own_terms = [(where[place[there[place]]], weight[there[place]]) for place, weight in asked]
+                    at_once = max(1, BASE_BYTES // (8 * max(1, len(shard.length))))
+                    for i, (place, weight) in enumerate(own_terms):
+                        if i % at_once == 0:
+                            base = shard.base_scores(own_terms[i : i + at_once])
                         had, scores = best[i]
-                        found, new = shard.search(where[place[some]], weight[some], k, scores[-1] if len(scores) == k else -np.inf)
+                        found, new = shard.search(place, weight, k, scores[-1] if len(scores) == k else -np.inf, base[i % at_once])
                         joined = np.concatenate([had, np.asarray(shard.ids[found])])
                         order, ranked = top(np.arange(len(joined)), np.concatenate([scores, new]), joined, k)
                         best[i] = joined[order], ranked
