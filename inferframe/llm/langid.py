@@ -21,6 +21,8 @@ DIMS = 1 << 14
 EVIDENCE = 40
 #: Added to every count of the text model.
 SMOOTH = 0.02
+#: Part of an even spread in the model that tells known languages from others: an unseen trigram weighs alike at every corpus size.
+EVEN = 0.02
 
 _BYTE = np.arange(256)
 #: ASCII letters in lower case, all of longer characters; everything else is a gap.
@@ -54,6 +56,8 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def text_model(docs: DataFrame, text_col: str, declared: Column, languages: Sequence[str]) -> np.ndarray:
     """Log probability of each trigram in each language, less that of an even spread; from all declared texts.
 
+    Two for each language: with SMOOTH added to the counts, and mixed with EVEN of the even spread.
+
     What reaches the driver is bounded by languages times trigram codes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +79,8 @@ def text_model(docs: DataFrame, text_col: str, declared: Column, languages: Sequ
     for r in rows.toLocalIterator():
         counts[r.l, r.code] = r.n
     smooth = counts + SMOOTH
-    return np.log(smooth / smooth.sum(axis=1, keepdims=True) * DIMS).astype(np.float32)
+    mixed = (1 - EVEN) * counts / np.maximum(counts.sum(axis=1, keepdims=True), 1) * DIMS + EVEN
+    return np.stack([np.log(smooth / smooth.sum(axis=1, keepdims=True) * DIMS), np.log(mixed)]).astype(np.float32)
 
 
 def _spread(scores: Column) -> Column:
@@ -85,7 +90,7 @@ def _spread(scores: Column) -> Column:
     return F.transform(F.array(power), lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda s, v: s + v)))[0]
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, languages: Sequence[str] = LANGUAGES, confidence: float = 0.5, strength: float = 20.0, floor: float = -3.0) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, languages: Sequence[str] = LANGUAGES, confidence: float = 0.5, strength: float = 20.0, floor: float = 0.0) -> DataFrame:
     """Returns a row for each row of `docs`: id, language, posterior, text_language, n_trigrams, rejected.
 
     Naive Bayes over what is known of a document, each part learned from the whole
@@ -97,9 +102,10 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The counts are grouped aggregations of the text's verdicts, joined back on
     narrow rows; a hot host is combined on the map side and its join can be split.
 
-    A document is rejected if it has no letter, if in every language its text is
-    less likely than an even spread of trigrams by more than `floor` (a mean log
-    ratio), or if no language reaches `confidence`; its language is then "und".
+    A document is rejected if it has no letter, if its text isn't more likely in some
+    language (mixed with EVEN of an even spread of trigrams) than in the even spread
+    itself, by a mean log ratio of `floor`, or if no language reaches `confidence`;
+    its language is then "und".
 
     Nulls: a null text is empty (rejected); a null declaration or host is no
     evidence; a null id is kept. Codes other than `languages` are "other".
@@ -115,24 +121,26 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(text_model(docs, text_col, said, languages), 5))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pickle.loads(model.value)
+        known, mixed = pickle.loads(model.value)
         for batch in batches:
             sums, count = np.zeros((batch.num_rows, n)), np.zeros(batch.num_rows, np.int64)
+            against = np.zeros((batch.num_rows, n))
             for first, offsets, data in _blocks(batch.column(3)):
                 row, code = trigrams(offsets, data)
                 rows = len(offsets) - 1
                 count[first : first + rows] += np.bincount(row, minlength=rows)
                 for k in range(n):
                     sums[first : first + rows, k] += np.bincount(row, weights=known[k][code], minlength=rows)
+                    against[first : first + rows, k] += np.bincount(row, weights=mixed[k][code], minlength=rows)
             mean = sums / np.maximum(count, 1)[:, None]
             evidence = mean * np.minimum(count, EVIDENCE)[:, None]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n, pa.int32()), pa.array(evidence.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(count), flat], names=["id", "said", "host", "n", "ll"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(count), flat, pa.array(against.max(axis=1) / np.maximum(count, 1))], names=["id", "said", "host", "n", "ll", "over"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("said", T.StringType()), T.StructField("host", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ll", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("said", T.StringType()), T.StructField("host", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("over", T.DoubleType())])
     rows = docs.select(docs[id_col].alias("id"), said.alias("said"), at.alias("host"), docs[text_col].alias("text")).mapInArrow(score, schema)
     rows = rows.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -1))})
-    rows = rows.withColumn("guess", F.when((F.col("n") > 0) & (F.array_max("ll") > floor * F.least("n", F.lit(EVIDENCE))), F.array_position("ll", F.array_max("ll")).cast("int") - 1)).checkpoint()
+    rows = rows.withColumn("guess", F.when((F.col("n") > 0) & (F.col("over") > floor), F.array_position("ll", F.array_max("ll")).cast("int") - 1)).checkpoint()
 
     def counts(key: str) -> DataFrame:
         of = rows.where(F.col(key).isNotNull() & F.col("guess").isNotNull()).groupBy(F.col(key).alias(f"_{key}"))

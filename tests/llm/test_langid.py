@@ -86,3 +86,16 @@ def test_markup(spark):
     rows = spark.createDataFrame([(h,) for h, _ in pages], "html string").select(langid.page_declared(F.col("html")).alias("d"), langid.page_text(F.col("html")).alias("t")).collect()
     assert [r.d for r in rows] == [d for _, d in pages]
     assert rows[0].t.split() == ["un", "e", "rue"] and rows[2].t is None
+
+
+def test_other_languages_are_rejected_at_every_size(spark):
+    others = [
+        "Il governo ha annunciato ieri che la nuova legge sarà discussa in parlamento la prossima settimana, mentre i cittadini aspettano ancora una risposta chiara sulle questioni economiche del paese.",
+        "De regering heeft gisteren aangekondigd dat de nieuwe wet volgende week in het parlement wordt besproken, terwijl de burgers nog steeds wachten op een duidelijk antwoord over de economie van het land.",
+        "O governo anunciou ontem que a nova lei será discutida no parlamento na próxima semana, enquanto os cidadãos ainda esperam uma resposta clara sobre as questões económicas do país.",
+    ]
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+        rows = docs.union(spark.createDataFrame([(-1 - i, t, None, None) for i, t in enumerate(others)], docs.schema))
+        gone = langid.identify_languages(rows, declared=F.col("lang"), host=F.col("source")).where("rejected").collect()
+        assert sorted(r.id for r in gone) == [-3, -2, -1] and {r.language for r in gone} == {"und"}
