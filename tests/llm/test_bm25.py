@@ -81,3 +81,33 @@ def test_pruning_skips_blocks_but_no_result():
         floor = want[order[4]]
         fewer, _ = shard.search(places, weights, 10, floor)
         assert set(order[:5].tolist()) <= set(fewer.tolist())
+
+
+def test_blocks_of_like_documents_are_skipped(monkeypatch):
+    rng = np.random.default_rng(1)
+    n, topics = 40 * bm25.BLOCK, 40
+    sizes = np.full(n, 30)
+    weak = rng.integers(0, 400, n * 30)
+    topic = np.repeat(np.arange(n) // bm25.BLOCK, 30)
+    strong = 1000 + topic * 50 + rng.integers(0, 10, n * 30)
+    hashes = np.where(rng.random(n * 30) < 0.5, strong, weak).astype(np.int64)
+    shard = bm25.Shard.build(np.arange(n), hashes, sizes)
+    shard.prepare(30.0)
+    assert not (shard.row_of >= 0).any()
+    read, real = [], bm25.expand
+    monkeypatch.setattr(bm25, "expand", lambda starts, sizes: (read.append(int(np.sum(sizes))), real(starts, sizes))[1])
+    for t in range(topics):
+        query = np.array([t, t + 100, 1000 + t * 50, 1001 + t * 50, 1002 + t * 50])
+        places = np.searchsorted(shard.terms, query)
+        assert (shard.terms[places] == query).all()
+        df = shard.document_frequencies()[places]
+        weights = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        read.clear()
+        docs, scores = shard.search(places, weights, 10)
+        # the first call lists the blocks of the terms, the others the postings that are read
+        assert sum(read[1:]) < 0.6 * df.sum()
+        want = np.zeros(n)
+        for p, w in zip(places, weights):
+            own = slice(shard.term_posts[p], shard.term_posts[p + 1])
+            want[shard.docs[own]] += w * shard.impact[own]
+        assert np.allclose(scores, np.sort(want)[::-1][:10])
