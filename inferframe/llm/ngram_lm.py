@@ -1,13 +1,14 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, sorted hash arrays, mapped by workers."""
+"""Interpolated modified Kneser-Ney model of two or three words: counted in Spark, sorted hash arrays, mapped by workers."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,9 @@ class Model:
     word_discounts: list[float]
     word_backoff: float  # mass that continuation counts leave to an even spread
     start_followers: list[int]  # distinct first words that start 1, 2, and 3 texts or more
+    order: int = 2
+    pair_sizes: list[int] | None = None  # of order 3: pairs of each shard
+    trigram_discounts: list[float] | None = None
 
     @property
     def vocabulary(self) -> int:
@@ -83,10 +87,10 @@ def _sequence(first: np.ndarray, tokens: np.ndarray, end: int, start: int) -> tu
 
 
 class Words(HashStore):
-    """The vocabulary: a word's id is its place in the sorted hashes of all shards."""
+    """The vocabulary (or the pairs): a word's id is its place in the sorted hashes of all shards."""
 
-    def __init__(self, folder: str, shards: int, sizes: list[int]):
-        super().__init__(f"{folder}/words", shards)
+    def __init__(self, folder: str, shards: int, sizes: list[int], what: str = "words"):
+        super().__init__(f"{folder}/{what}", shards)
         self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def look_up(self, hashes: np.ndarray, columns: tuple[str, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -100,6 +104,121 @@ class Words(HashStore):
         return ids, values
 
 
+def _pair_keys(before: np.ndarray, now: np.ndarray, vocabulary: int) -> np.ndarray:
+    return mix(before.view(np.uint64) * np.uint64(vocabulary + 1) + now.view(np.uint64)).view(np.int64)
+
+
+_SENT = "kind string, shard long, ids binary, counts binary"
+
+
+def _sent(kind: str, ids: np.ndarray, counts: np.ndarray, base: np.ndarray) -> pa.Table:
+    """Packets of (places, counts), added up, for the shards that these bases divide ids into."""
+    ids, counts = add_up([(ids, counts)])
+    cut = np.searchsorted(ids, base)
+    some = np.flatnonzero(np.diff(cut))
+    packets = [(ids[cut[i] : cut[i + 1]] - base[i], counts[cut[i] : cut[i + 1]]) for i in some]
+    return pa.table({"kind": pa.array([kind] * len(some), pa.string()), "shard": pa.array(some, pa.int64()), "ids": pa.array([x.astype(np.uint32).tobytes() for x, _ in packets], pa.binary()), "counts": pa.array([x.astype(np.uint32).tobytes() for _, x in packets], pa.binary())})
+
+
+def _received(table: pa.Table, size: int) -> dict[str, np.ndarray]:
+    """The sums of packets by kind, dense; those of kind sums as they are."""
+    out: dict[str, np.ndarray] = {}
+    for kind, ids, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "ids", "counts")), strict=True):
+        if kind == "sums":
+            out[kind] = out.get(kind, np.zeros(4, np.int64)) + np.frombuffer(counts, np.int64)
+        else:
+            out.setdefault(kind, np.zeros(size, np.uint32))[np.frombuffer(ids, np.uint32)] += np.frombuffer(counts, np.uint32)
+    return out
+
+
+def _sums(shard: int, counts: np.ndarray) -> pa.Table:
+    sums = np.array([int((counts == k).sum()) for k in (1, 2, 3, 4)], np.int64)
+    return pa.table({"kind": ["sums"], "shard": pa.array([shard], pa.int64()), "ids": pa.array([b""], pa.binary()), "counts": pa.array([sums.tobytes()], pa.binary())})
+
+
+def _followers(got: dict[str, np.ndarray], size: int) -> np.ndarray:
+    return np.stack([got.get(f"after{k}", np.zeros(size, np.uint32)) for k in (1, 2, 3)], axis=1)
+
+
+def add_trigrams(docs: DataFrame, model: Model, text_col: str = "text") -> Model:
+    """The model of order three: counts trigrams as (id of a pair, id of a word), and what pairs and words need of them.
+
+    A pair's count becomes that of the distinct tokens before it (at the start of
+    a text: its own count); how many distinct words follow a pair, and the new
+    counts of the pairs that follow a word, go to their shards as in train.
+    """
+    folder, shards, sizes, vocabulary = model.folder, model.shards, model.sizes, model.vocabulary
+    os.makedirs(f"{folder}/triples", exist_ok=True)
+    paths = [f"{folder}/pairs/{i}-h.npy" for i in range(shards)]
+    pair_sizes = [len(np.load(x, mmap_mode="r")) if os.path.exists(x) else 0 for x in paths]
+    base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    pair_base = np.concatenate([[0], np.cumsum(pair_sizes)]).astype(np.int64)
+    width = np.uint64(vocabulary + 1)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        store, pairs = Words(folder, shards, sizes), Words(folder, shards, pair_sizes, "pairs")
+        for batch in batches:
+            for _, first, hashes in _pieces(batch, "text"):
+                own, back = np.unique(np.append(hashes, END), return_inverse=True)
+                ids = store.look_up(own)[0][back]
+                row, before, now = _sequence(first, ids[:-1], int(ids[-1]), vocabulary)
+                some, at = np.unique(_pair_keys(before, now, vocabulary), return_inverse=True)
+                pair = pairs.look_up(some)[0][at]
+                inner = np.flatnonzero(row[1:] == row[:-1])
+                yield _pair_keys(pair[inner], now[inner + 1], vocabulary)
+
+    def save_triples(table: pa.Table) -> pa.Table:
+        shard, hashes, counts = merge_packets(table)
+        save(f"{folder}/triples/{shard}-h.npy", hashes)
+        save(f"{folder}/triples/{shard}-n.npy", counts.astype(np.min_scalar_type(int(counts.max(initial=0)))))
+        key = unmix(hashes.view(np.uint64))
+        pair, now = (key // width).view(np.int64), (key % width).view(np.int64)
+        pairs, middle = Words(folder, shards, pair_sizes, "pairs"), np.zeros(len(pair), np.int64)
+        of = np.searchsorted(pair_base, pair, side="right") - 1
+        for i in np.unique(of).tolist():
+            here = of == i
+            middle[here] = (unmix(pairs.array(i, "h")[pair[here] - pair_base[i]].view(np.uint64)) % width).view(np.int64)
+        some, at = np.unique(_pair_keys(middle, now, vocabulary), return_inverse=True)
+        out = [_sent("before", pairs.look_up(some)[0], np.bincount(at, minlength=len(some)), pair_base), _sums(shard, counts)]
+        for k in (1, 2, 3):
+            own = pair[counts == k if k < 3 else counts >= 3]
+            out.append(_sent(f"after{k}", own, np.ones(len(own), np.int64), pair_base))
+        return pa.concat_tables(out)
+
+    def save_pairs(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        got, size = _received(table, pair_sizes[shard]), pair_sizes[shard]
+        out = [pa.table({"kind": ["triples"], "shard": pa.array([shard], pa.int64()), "ids": pa.array([b""], pa.binary()), "counts": pa.array([got.get("sums", np.zeros(4, np.int64)).tobytes()], pa.binary())})]
+        if size:
+            store = HashStore(f"{folder}/pairs", shards)
+            before = (unmix(store.array(shard, "h").view(np.uint64)) // width).view(np.int64)
+            counts = np.where(before == vocabulary, store.array(shard, "n"), got.get("before", np.zeros(size, np.uint32)))
+            followers = _followers(got, size)
+            save(f"{folder}/pairs/{shard}-adjusted.npy", counts.astype(np.min_scalar_type(int(counts.max()))))
+            save(f"{folder}/pairs/{shard}-followers.npy", followers.astype(np.min_scalar_type(int(followers.max()))))
+            out += [_sums(shard, counts), _sent("total", before[before < vocabulary], counts[before < vocabulary].astype(np.int64), base)]
+            for k in (1, 2, 3):
+                own = before[(before < vocabulary) & (counts == k if k < 3 else counts >= 3)]
+                out.append(_sent(f"after{k}", own, np.ones(len(own), np.int64), base))
+        return pa.concat_tables(out)
+
+    def save_words(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        triples = table.filter(pa.compute.equal(table.column("kind"), "triples"))
+        got = _received(table.filter(pa.compute.not_equal(table.column("kind"), "triples")), sizes[shard])
+        if sizes[shard]:
+            save(f"{folder}/words/{shard}-total.npy", got.get("total", np.zeros(sizes[shard], np.uint32)))
+            save(f"{folder}/words/{shard}-followers.npy", _followers(got, sizes[shard]))
+        of = sum((np.frombuffer(x, np.int64) for x in triples.column("counts").to_pylist()), np.zeros(4, np.int64))
+        return pa.table({"triples": pa.array([of.tolist()], pa.list_(pa.int64())), "pairs": pa.array([got.get("sums", np.zeros(4, np.int64)).tolist()], pa.list_(pa.int64()))})
+
+    sent = count_keys(docs.select(F.col(text_col).alias("text")), keys, shards).groupBy("shard").applyInArrow(save_triples, _SENT)
+    whole = docs.sparkSession.range(shards).selectExpr("'sums' AS kind", "id AS shard", "binary('') AS ids", "unhex(repeat('00', 32)) AS counts")
+    rows = sent.union(whole).groupBy("shard").applyInArrow(save_pairs, _SENT).groupBy("shard").applyInArrow(save_words, "triples array<long>, pairs array<long>").collect()
+    of = {name: [sum(r[name][i] for r in rows) for i in range(4)] for name in ("triples", "pairs")}
+    return replace(model, order=3, pair_sizes=pair_sizes, bigram_discounts=discounts(of["pairs"]), trigram_discounts=discounts(of["triples"]))
+
+
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Counts words, then pairs of word ids, and from the distinct pairs what the model needs.
 
@@ -202,23 +321,40 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
         store, pairs = Words(model.folder, model.shards, model.sizes), HashStore(f"{model.folder}/pairs", model.shards)
+        if model.order == 3:
+            pairs, triples = Words(model.folder, model.shards, model.pair_sizes, "pairs"), Words(model.folder, model.shards, [0] * model.shards, "triples")
+            d3 = np.array(model.trigram_discounts)
         for batch in batches:
             size = batch.num_rows
             n_tokens, n_known, base_score, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
             for top, first, hashes in _pieces(batch, text_col):
                 own, back = np.unique(np.append(hashes, END), return_inverse=True)
-                ids, (n, preceded, followers) = store.look_up(own, ("n", "preceded", "followers"))
+                ids, (n, preceded, followers, total) = store.look_up(own, ("n", "preceded", "followers", "n" if model.order == 2 else "total"))
                 word = np.maximum(preceded - d1[np.minimum(preceded, 3)], 0) / max(model.bigrams, 1) + even
-                mass = np.where(n > 0, followers @ d2[1:] / np.maximum(n, 1), 1.0)
+                mass = np.where(total > 0, followers @ d2[1:] / np.maximum(total, 1), 1.0)
                 # one more entry: the start of a text
-                ids, n = np.append(ids, vocabulary), np.append(n, model.texts)
+                ids, n, total = np.append(ids, vocabulary), np.append(n, model.texts), np.append(total, model.texts)
                 mass = np.append(mass, start_mass if model.texts else 1.0)
                 row, before, now = _sequence(first, back[:-1], int(back[-1]), len(own))
                 known = (ids[before] >= 0) & (ids[now] >= 0)
-                key = mix(ids[before][known].view(np.uint64) * np.uint64(vocabulary + 1) + ids[now][known].view(np.uint64)).view(np.int64)
+                key = _pair_keys(ids[before][known], ids[now][known], vocabulary)
                 count = np.zeros(len(now), np.int64)
-                count[known] = pairs.numbers(key, "n")
-                p = mass[before] * word[now] + np.maximum(count - d2[np.minimum(count, 3)], 0) / np.maximum(n[before], 1)
+                if model.order == 2:
+                    count[known] = pairs.numbers(key, "n")
+                else:
+                    some, place = np.unique(key, return_inverse=True)
+                    found, (often, adjusted, after) = pairs.look_up(some, ("n", "adjusted", "followers"))
+                    count[known] = adjusted[place]
+                p = mass[before] * word[now] + np.maximum(count - d2[np.minimum(count, 3)], 0) / np.maximum(total[before], 1)
+                if model.order == 3:
+                    pair = np.full(len(now), -1, np.int64)
+                    pair[known] = np.where(found >= 0, np.arange(len(found)), -1)[place]
+                    at = np.flatnonzero((row[1:] == row[:-1]) & (pair[:-1] >= 0)) + 1
+                    context = pair[at - 1]
+                    count3, there = np.zeros(len(at), np.int64), ids[now[at]] >= 0
+                    some, place = np.unique(_pair_keys(found[context[there]], ids[now[at[there]]], vocabulary), return_inverse=True)
+                    count3[there] = triples.look_up(some, ("n",))[1][0][place]
+                    p[at] = (np.maximum(count3 - d3[np.minimum(count3, 3)], 0) + after[context] @ d3[1:] * p[at]) / often[context]
                 rows = len(first) - 1
                 at = slice(top, top + rows)
                 c = n[:-1][now]
@@ -231,8 +367,8 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     return arrow_columns(docs, run, [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 
-def lm_scores(docs: DataFrame, held_out: Column, text_col: str = "text") -> DataFrame:
-    """Scores every row of `docs` with a bigram model learned from those that aren't held out.
+def lm_scores(docs: DataFrame, held_out: Column, text_col: str = "text", order: int = 2) -> DataFrame:
+    """Scores every row of `docs` with a model of `order` words (2 or 3) learned from those that aren't held out.
 
     A-Z in lower case; tokens are the words (runs of non-space characters)
     and one end for each text. Adds held_out, n_tokens, n_known (tokens that
@@ -241,7 +377,9 @@ def lm_scores(docs: DataFrame, held_out: Column, text_col: str = "text") -> Data
 
     The model interpolates discounted pair counts with discounted continuation
     counts of words, and those with an even spread over the vocabulary and one
-    unknown word. Words are told apart by 64-bit hash. Its arrays lie in the
+    unknown word. With order 3 it interpolates discounted trigram counts with
+    continuation counts of pairs (at the start of a text, where a token has one
+    before it, with pair counts). Words are told apart by 64-bit hash. Its arrays lie in the
     shared folder, which must be a mounted file system.
 
     A null or empty text is just its end. A null in held_out counts as held out.
@@ -249,7 +387,12 @@ def lm_scores(docs: DataFrame, held_out: Column, text_col: str = "text") -> Data
     every probability is 1. Columns of the new names are replaced. An empty
     table gives an empty one.
     """
+    if order not in (2, 3):
+        raise ValueError(f"order must be 2 or 3, not {order}")
     new = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     flagged = docs.withColumn("_held", F.coalesce(held_out, F.lit(True))).drop(*new).withColumnRenamed("_held", "held_out")
-    model = train(flagged.where(~F.col("held_out")), text_col)
+    learned = flagged.where(~F.col("held_out"))
+    model = train(learned, text_col)
+    if order == 3:
+        model = add_trigrams(learned, model, text_col)
     return score_texts(flagged, model, text_col).withColumn("train_tokens", F.lit(model.tokens).cast("long"))

@@ -78,3 +78,61 @@ def test_edge_rows(spark):
 def test_unmix():
     x = np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64)
     assert (ngram_lm.unmix(ngram_lm.mix(x)) == x).all()
+
+
+def plain_trigrams(rows):
+    """{doc_id: score} of order three with dictionaries, and the sum over the vocabulary after some contexts."""
+    def tokens(text):
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        return ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", lower), None]
+
+    tri, bi = Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            ts = tokens(t)
+            bi.update(zip(ts, ts[1:]))
+            tri.update(zip(ts, ts[1:], ts[2:]))
+    cont = Counter(x[1:] for x in tri)
+    two = {x: c if x[0] == "<s>" else cont[x] for x, c in bi.items()}
+    one = Counter(w for _, w in bi)
+    d1, d2, d3 = (ngram_lm.discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (one, two, tri))
+    levels = []
+    for counts, d in ((two, d2), (tri, d3)):
+        size, lost = Counter(), Counter()
+        for x, c in counts.items():
+            size[x[:-1]] += c
+            lost[x[:-1]] += d[min(c, 3)]
+        levels.append((counts, d, size, lost))
+    spread = sum(d1[min(c, 3)] for c in one.values()) / len(bi)
+
+    def p(context, w):
+        if not context:
+            return max(one[w] - d1[min(one[w], 3)], 0) / len(bi) + spread / (len(one) + 1)
+        counts, d, size, lost = levels[len(context) - 1]
+        lower = p(context[1:], w)
+        if not size[context]:
+            return lower
+        c = counts.get((*context, w), 0)
+        return (max(c - d[min(c, 3)], 0) + lost[context] * lower) / size[context]
+
+    out = {}
+    for i, t in rows:
+        ts = tokens(t)
+        out[i] = sum(math.log10(p(tuple(ts[max(0, j - 2) : j]), ts[j])) for j in range(1, len(ts)))
+    return out, [sum(p(c, w) for w in [*one, "not there"]) for c in list(levels[1][2])[:20]]
+
+
+def test_order_three_against_plain(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (-3, "A a A"), (-4, "not heard of"), (-5, "a A a"), (-6, "zz " * 3000)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0
+    want, sums = plain_trigrams([(r.doc_id, r.text) for r in docs.collect()])
+    got = {r.doc_id: r for r in ngram_lm.lm_scores(docs, held, order=3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i].score - w) < 1e-6 * max(1, abs(w)) for i, w in want.items())
+    assert all(abs(x - 1) < 1e-9 for x in sums)
+    two = {r.doc_id: r for r in ngram_lm.lm_scores(docs, held).collect()}
+    assert all(got[i][:6] == two[i][:6] for i in got) and sum(got[i].score for i in got) > sum(two[i].score for i in got)
+    nothing = ngram_lm.lm_scores(docs, F.lit(True), order=3).collect()
+    assert len(nothing) == len(got) and all(r.score == 0 for r in nothing)
+    assert ngram_lm.lm_scores(docs.limit(0), held, order=3).collect() == []
