@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mounted, new_folder
-from .store import HashStore, merge_packets, save, shard_of
-from .textops import ALNUM, LOWER, expand, pieces, word_hashes, words
+from .shared import checkpoint_dir, shared_folder, small_batches
+from .store import HashStore, save, write_store
+from .textops import ALNUM, Words, distinct_words, expand, locate, words_of
 
 K1, B = 1.2, 0.75
 #: Documents of a block, for which each term keeps its bound.
@@ -24,19 +22,32 @@ BLOCK = 64
 FREQUENT, DENSE_BYTES = 20, 64 << 20
 #: Bytes of base scores of the queries that are multiplied at once.
 BASE_BYTES = 16 << 20
-#: Stands for a null id in arrays.
-_NO_ID = -(1 << 63)
+#: Decimal places of scores, wherever they are compared.
+PLACES = 6
+#: Tasks of the search at most; each has one or more blocks of queries with a group of shards.
+MOST_TASKS = 20_000
 
 
-def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(signed hashes of all words, words of each row)."""
-    hashes, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for _, offsets, data in pieces(column):
-        data = LOWER[data]
-        starts, ends, first = words(data, offsets, ALNUM)
-        hashes.append(word_hashes(data, starts, ends).view(np.int64))
+def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of each word among these terms, words of each row, terms); a term may be there more than once."""
+    numbers, sizes, terms, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.binary())], 0
+    for _, first, number, own in distinct_words(column, ALNUM):
+        numbers.append(number + n)
         sizes.append(np.diff(first))
-    return np.concatenate(hashes), np.concatenate(sizes)
+        terms.append(own.array(pa.binary()))
+        n += len(own)
+    return np.concatenate(numbers), np.concatenate(sizes), pa.concat_arrays(terms)
+
+
+def _in_order(numbers: np.ndarray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
+    """(number of each word among the distinct terms in the order of their hashes, these hashes, these terms)."""
+    encoded = terms.dictionary_encode()
+    own = words_of(encoded.dictionary)
+    hashes = own.hashes()
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[encoded.indices.to_numpy().astype(np.int64)][numbers], hashes[order], own.take(order)
 
 
 def narrow(values: np.ndarray) -> np.ndarray:
@@ -48,26 +59,28 @@ def narrow(values: np.ndarray) -> np.ndarray:
 class Shard:
     """Inverted index of some documents.
 
-    terms (sorted hashes) -> entries, one for each block of documents that has
+    terms (sorted hashes, and the words themselves) -> entries, one for each block of documents that has
     the term, with its largest tf and the shortest length there -> postings (document, tf).
     Files hold sizes in place of starts, and all numbers in the least type that fits.
     """
 
-    ARRAYS = ("terms", "entry_block", "entry_tf", "entry_len", "doc", "tf", "length", "ids")
-    STARTS = ("term_at", "entry_at")
+    ARRAYS = ("terms", "entry_block", "entry_tf", "entry_len", "doc", "tf", "length", "ids", "word", "null")
+    STARTS = ("term_at", "entry_at", "word_at")
 
     @classmethod
-    def build(cls, ids: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> Shard:
+    def build(cls, ids: pa.Array, numbers: np.ndarray, sizes: np.ndarray, terms: pa.Array) -> Shard:
         self = cls()
-        self.ids, self.length = ids, sizes.astype(np.uint32)
+        self.ids, self.null, self.length = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), sizes.astype(np.uint32)
         doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-        order = np.argsort(hashes, kind="stable")
-        hashes, doc = hashes[order], doc[order]
-        new_term = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
+        numbers, self.terms, own = _in_order(numbers, terms)
+        self.word_at, self.word = own
+        order = np.argsort(numbers, kind="stable")
+        numbers, doc = numbers[order], doc[order]
+        new_term = np.concatenate([[True], numbers[1:] != numbers[:-1]]) if len(numbers) else np.zeros(0, bool)
         new_post = new_term.copy()
         new_post[1:] |= doc[1:] != doc[:-1]
         at = np.flatnonzero(new_post)
-        self.tf = np.diff(np.append(at, len(hashes))).astype(np.uint32)
+        self.tf = np.diff(np.append(at, len(numbers))).astype(np.uint32)
         self.doc, new_term = doc[at], new_term[at]
         block = self.doc // BLOCK
         new_entry = new_term.copy()
@@ -79,13 +92,12 @@ class Shard:
         self.entry_len = np.minimum.reduceat(self.length[self.doc], entry) if len(entry) else self.length[:0]
         first = np.flatnonzero(new_term[entry])
         self.term_at = np.append(first, len(entry)).astype(np.int64)
-        self.terms = hashes[at][entry[first]]
         return self
 
     def save(self, path: str) -> None:
         for name in self.ARRAYS:
             values = getattr(self, name)
-            save(f"{path}-{name}.npy", values if name in ("terms", "ids") else narrow(values))
+            save(f"{path}-{name}.npy", values if name in ("terms", "ids", "word") else narrow(values))
         for name in self.STARTS:
             save(f"{path}-{name}.npy", narrow(np.diff(getattr(self, name))))
 
@@ -139,21 +151,20 @@ class Shard:
         highest bound down, in growing runs; after each, the k-th best score is
         the threshold, and blocks whose bound is below it are never opened. Where
         most blocks stay above it, whole lists are added up at once, which
-        costs less than to pick out their blocks. Scores are rounded to nine places,
-        so that equal documents have equal scores wherever they stand.
+        costs less than to pick out their blocks. Scores are rounded to six places before
+        any is compared, so that what is found doesn't depend on k.
         """
         if not len(places):
             return np.zeros(0, np.int64), np.zeros(0)
         base = self.base_scores([(places, weights)])[0] if base is None else base
         rare = self.row_of[places] < 0
         places, weights = places[rare], weights[rare]
-        floor = np.round(floor, 9)
         sizes = self.term_at[places + 1] - self.term_at[places]
         entries, weight = expand(self.term_at[places], sizes), np.repeat(weights, sizes)
         block = self.blocks[entries]
         n_blocks = -(-len(self.length) // BLOCK)
         bound = np.bincount(block, weights=weight * self.bound[entries], minlength=n_blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
-        bound = np.where(bound > 0, bound * (1 + 1e-9) + 1e-8, 0)
+        bound = np.where(bound > 0, bound * (1 + 1e-9) + 1e-6, 0)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best_docs, best = np.zeros(0, np.int64), np.zeros(0)
@@ -177,20 +188,24 @@ class Shard:
                 first, last = self.entry_at[own], self.entry_at[own + 1]
             posts = expand(first, last - first)
             docs, impact, w = self.docs[posts], self.impact[posts], np.repeat(w, last - first)
-            scores = np.round(base + np.bincount(docs, weights=w * impact, minlength=len(base)), 9)
-            found = np.flatnonzero((scores > 0) & (scores >= threshold))
+            exact = base + np.bincount(docs, weights=w * impact, minlength=len(base))
+            scores = np.round(exact, PLACES)
+            found = np.flatnonzero((exact > 0) & (scores >= threshold))
             found = found[mask[found // BLOCK]]
-            best_docs, best = top(np.concatenate([best_docs, found]), np.concatenate([best, scores[found]]), self.ids, k)
+            best_docs, best = self.best(np.concatenate([best_docs, found]), np.concatenate([best, scores[found]]), k)
         return best_docs, best
 
+    def best(self, docs: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(scores) > 4 * k:
+            least = np.partition(scores, len(scores) - k)[len(scores) - k]
+            docs, scores = docs[scores >= least], scores[scores >= least]
+        order = top(np.asarray(self.ids[docs]), np.asarray(self.null[docs]), scores, k)
+        return docs[order], scores[order]
+
 
-def top(docs: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores, ties by id."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        docs, scores = docs[scores >= least], scores[scores >= least]
-    order = np.lexsort((ids[docs], -scores))[:k]
-    return docs[order], scores[order]
+def top(ids: np.ndarray, null: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores; ties by id, with null first."""
+    return np.lexsort((ids, null == 0, -scores))[:k]
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "doc_id", query_text_col: str = "text", k: int = 10, shard_bytes: int = 24 << 20, block_queries: int = 256, group: int = 4) -> DataFrame:
@@ -203,11 +218,13 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
     are found; ties go to the smaller id.
 
     Each task indexes its rows in shards of `shard_bytes` of text, kept in the
-    shared folder (a mounted file system). Document frequencies meet by hash
-    in the same way as packets of each shard. Queries are written in blocks of
-    about `block_queries`; a task maps one block and `group` shards, keeps the best k over
+    shared folder (a mounted file system). Document frequencies are summed by
+    term over the shards; a hash says where a term is, its bytes whether it is
+    that term. Queries are written in blocks of about `block_queries`; a task maps one
+    block and about `group` shards, keeps the best k over
     them (so a later shard starts from the threshold that earlier ones reached), and
-    the tasks' results are merged by rank. Ids are integers.
+    the tasks' results are merged by rank. Scores have six places wherever they are
+    compared. Ids are integers.
 
     Nulls: a null text has no terms; a query with a null id is left out, a row
     of docs with a null id is found as null. Repeated rows are each found;
@@ -215,32 +232,26 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
     part. Without rows or queries the result is empty.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = mounted(new_folder(spark, "bm25"))
-    for part in ("shards", "df", "queries"):
-        os.makedirs(f"{folder}/{part}", exist_ok=True)
+    small_batches(spark)
+    checkpoint_dir(spark)
+    folder = shared_folder(spark, "bm25")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]] = []
         room, number = shard_bytes, 0
 
         def flush() -> pa.RecordBatch:
-            shard = Shard.build(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            ids, numbers, sizes, terms = zip(*held, strict=True)
+            shift = np.cumsum([0, *map(len, terms)])
+            shard = Shard.build(pa.concat_arrays(ids), np.concatenate([x + a for x, a in zip(numbers, shift, strict=False)]), np.concatenate(sizes), pa.concat_arrays(terms))
             name = f"{TaskContext.get().partitionId()}-{number}"
-            shard.save(f"{folder}/shards/{name}")
-            bucket = shard_of(shard.terms, buckets)
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(bucket))
-            both = [[x[a:b].tobytes() for a, b in zip(cut, ends, strict=False)] for x in (shard.terms, shard.document_frequencies().astype(np.uint32))]
-            info = [np.array([len(shard.ids), int(shard.length.sum())], np.int64).tobytes()]
-            own = pa.array([*bucket[cut], hash_of(name) % buckets], pa.int64())
-            return pa.RecordBatch.from_arrays([own, pa.array([*([None] * len(cut)), name], pa.string()), pa.array([*both[0], info[0]], pa.binary()), pa.array([*both[1], b""], pa.binary())], names=["shard", "name", "hashes", "counts"])
+            shard.save(f"{folder}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(shard.length)], pa.int64()), pa.array([int(shard.length.sum())], pa.int64())], names=["name", "docs", "words"])
 
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                hashes, sizes = _terms(part.column(1))
-                held.append((part.column(0).cast(pa.int64()).fill_null(_NO_ID).to_numpy(), hashes, sizes))
+                held.append((part.column(0).cast(pa.int64()), *_terms(part.column(1))))
                 room -= part.column(1).nbytes
                 if room < 0:
                     yield flush()
@@ -248,82 +259,77 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
         if held:
             yield flush()
 
-    def gather(table: pa.Table) -> pa.Table:
-        named = table.filter(pc.is_valid(table.column("name")))
-        rest = table.filter(pc.is_null(table.column("name")))
-        if rest.num_rows:
-            bucket, hashes, counts = merge_packets(rest)
-            save(f"{folder}/df/{bucket}-h.npy", hashes)
-            save(f"{folder}/df/{bucket}-n.npy", counts)
-        info = [np.frombuffer(x, np.int64).tolist() for x in named.column("hashes").to_pylist()]
-        return pa.table({"name": named.column("name"), "docs": pa.array([x[0] for x in info], pa.int64()), "words": pa.array([x[1] for x in info], pa.int64())})
+    shards = docs.select(id_col, text_col).mapInArrow(build, "name string, docs long, words long").checkpoint()
+    n_shards, n_docs, n_words = (x or 0 for x in shards.agg(F.count("*"), F.sum("docs"), F.sum("words")).first())
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                shard = Shard.load(f"{folder}/{name}")
+                for a in range(0, len(shard.terms), 1 << 16):
+                    b = min(len(shard.terms), a + (1 << 16))
+                    at = shard.word_at[a : b + 1]
+                    terms = Words(at - at[0], np.asarray(shard.word[at[0] : at[-1]])).array()
+                    yield pa.RecordBatch.from_arrays([terms, pa.array(np.diff(shard.entry_at[shard.term_at[a : b + 1]]))], names=["word", "n"])
 
-    indexed = docs.select(id_col, text_col).mapInArrow(build, "shard long, name string, hashes binary, counts binary")
-    shards = sorted(tuple(r) for r in indexed.groupBy("shard").applyInArrow(gather, "name string, docs long, words long").collect())
-    n_docs, n_words = sum(r[1] for r in shards), sum(r[2] for r in shards)
+    summed = shards.select("name").mapInArrow(frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    stored = write_store(summed.select(F.xxhash64("word").alias("h"), "word", "n"), "bm25-frequencies")
 
     def save_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
-            name = f"{TaskContext.get().partitionId()}-{number}"
-            hashes, sizes = _terms(batch.column(1))
-            for column, values in (("ids", batch.column(0).cast(pa.int64()).to_numpy()), ("hashes", hashes), ("sizes", sizes)):
-                save(f"{folder}/queries/{name}-{column}.npy", values)
-            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+            name = f"q{TaskContext.get().partitionId()}-{number}"
+            numbers, sizes, terms = _terms(batch.column(1))
+            numbers, hashes, own = _in_order(numbers, terms)
+            for column, values in (("ids", batch.column(0).cast(pa.int64()).to_numpy()), ("numbers", numbers), ("sizes", sizes), ("hashes", hashes), ("at", own.at), ("data", own.data)):
+                save(f"{folder}/{name}-{column}.npy", values)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["block"])
 
     asked = queries.where(F.col(query_id_col).isNotNull()).select(query_id_col, query_text_col).dropDuplicates([query_id_col])
     n_queries = asked.select(query_id_col).count()
     asked = asked.repartition(max(1, -(-n_queries // block_queries)), query_id_col)
-    blocks = sorted(r.name for r in asked.mapInArrow(save_queries, "name string").collect())
-
-    names = [r[0] for r in shards]
-    groups = [names[i : i + group] for i in range(0, len(names), group)]
-    pairs = [(b, g) for b in blocks for g in groups]
+    blocks = asked.mapInArrow(save_queries, "block string").checkpoint()
     mean = max(n_words / max(n_docs, 1), 1e-9)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequencies = HashStore(f"{folder}/df", buckets)
+        store = HashStore(stored)
         for batch in batches:
-            for block, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, hashes, sizes = (np.load(f"{folder}/queries/{block}-{c}.npy") for c in ("ids", "hashes", "sizes"))
-                terms = np.unique(hashes)
-                df = frequencies.numbers(terms, "n").astype(np.float64)
+            for block, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, numbers, sizes, hashes, at, data = (np.load(f"{folder}/{block}-{c}.npy") for c in ("ids", "numbers", "sizes", "hashes", "at", "data"))
+                words, df = Words(at, data), np.zeros(len(hashes))
+                for part, here, there in store.find(hashes, words):
+                    df[here] = store.array(part, "n")[there]
                 idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-                at = np.concatenate([[0], np.cumsum(sizes)])
+                cut = np.concatenate([[0], np.cumsum(sizes)])
                 asked = []
                 for i in range(len(ids)):
-                    t, n = np.unique(hashes[at[i] : at[i + 1]], return_counts=True)
-                    place = np.searchsorted(terms, t)
+                    place, n = np.unique(numbers[cut[i] : cut[i + 1]], return_counts=True)
                     asked.append((place, n * idf[place]))
-                best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
-                for name in own:
-                    shard = Shard.load(f"{folder}/shards/{name}")
+                best = [(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0)) for _ in ids]
+                for name in names:
+                    shard = Shard.load(f"{folder}/{name}")
                     if not len(shard.terms):
                         continue
                     shard.prepare(mean)
-                    where = np.searchsorted(shard.terms, terms)
-                    where[where == len(shard.terms)] = 0
-                    there = shard.terms[where] == terms
-                    own_terms = [(where[place[there[place]]], weight[there[place]]) for place, weight in asked]
+                    where = locate(shard.terms, Words(shard.word_at, shard.word), hashes, words)
+                    own_terms = [(where[place[where[place] >= 0]], weight[where[place] >= 0]) for place, weight in asked]
                     at_once = max(1, BASE_BYTES // (8 * max(1, len(shard.length))))
                     for i, (place, weight) in enumerate(own_terms):
                         if i % at_once == 0:
                             base = shard.base_scores(own_terms[i : i + at_once])
-                        had, scores = best[i]
+                        had, null, scores = best[i]
                         found, new = shard.search(place, weight, k, scores[-1] if len(scores) == k else -np.inf, base[i % at_once])
-                        joined = np.concatenate([had, np.asarray(shard.ids[found])])
-                        order, ranked = top(np.arange(len(joined)), np.concatenate([scores, new]), joined, k)
-                        best[i] = joined[order], ranked
-                n = [len(s) for _, s in best]
-                out = np.concatenate([d for d, _ in best]) if best else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(out, mask=out == _NO_ID), pa.array(np.concatenate([s for _, s in best]) if best else np.zeros(0))], names=["query_id", "doc_id", "score"])
-
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("shards", T.ArrayType(T.StringType()))])
-    tasks = spark.createDataFrame(pairs, schema).repartition(max(1, len(pairs)))
-    found = tasks.mapInArrow(search, "query_id long, doc_id long, score double").withColumn("score", F.round("score", 6))
+                        joined = np.concatenate([had, shard.ids[found]]), np.concatenate([null, shard.null[found]]), np.concatenate([scores, new])
+                        order = top(*joined, k)
+                        best[i] = tuple(x[order] for x in joined)
+                n = [len(x[0]) for x in best]
+                doc, null, score = (np.concatenate(x) for x in zip(*best, strict=True)) if best else (np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(doc, mask=null > 0), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+    # each block meets each group of shards: names only, which tasks then map
+    n_groups, n_blocks = max(1, -(-n_shards // group)), max(1, -(-n_queries // block_queries))
+    groups = shards.groupBy(F.pmod(F.xxhash64("name"), F.lit(n_groups)).alias("_group")).agg(F.sort_array(F.collect_list("name")).alias("names"))
+    meets = blocks.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long")))).join(groups, "_group")
+    tasks = meets.select("block", "names").repartition(min(MOST_TASKS, n_groups * n_blocks))
+    found = tasks.mapInArrow(search, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-
-
-def hash_of(name: str) -> int:
-    """A small number that is the same on every machine."""
-    return sum((i + 1) * ord(c) for i, c in enumerate(name))

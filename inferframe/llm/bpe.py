@@ -10,18 +10,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokenize import PATTERN, Splitter, splitter_of
+from .shared import small_batches
 from .store import HashStore, write_store
-from .textops import arrow_columns, expand, pieces, word_hashes
+from .textops import Words, arrow_columns, distinct, expand, pieces
 
 #: Buckets of the literal rank map; Spark looks a key up in a map entry by entry, so each bucket's map is short.
 BUCKETS = 1 << 16
-#: Distinct words that a task remembers, so as not to send them again.
-REMEMBERED = 2_000_000
+#: Bytes of distinct words that a task remembers, so as not to send them again.
+REMEMBERED = 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -115,48 +117,42 @@ def encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _long_words(ranks: dict[bytes, int]):
     """Fills in the ids of words that the fold left out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(2)
-            if ids.null_count:
-                there = ids.is_valid()
-                long = [encode_long(w, ranks) for w in batch.column(1).filter(ids.is_null()).cast(pa.binary()).to_pylist()]
-                where = there.to_numpy(zero_copy_only=False)
-                place = np.where(where, np.cumsum(where) - 1, where.sum() + np.cumsum(~where) - 1)
-                ids = pa.concat_arrays([ids.filter(there), pa.array(long, ids.type)]).take(pa.array(place))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["h", "ids"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(2)
+        if not ids.null_count:
+            return batch
+        there = ids.is_valid()
+        long = [encode_long(w, ranks) for w in batch.column(1).filter(ids.is_null()).cast(pa.binary()).to_pylist()]
+        where = there.to_numpy(zero_copy_only=False)
+        place = np.where(where, np.cumsum(where) - 1, where.sum() + np.cumsum(~where) - 1)
+        ids = pa.concat_arrays([ids.filter(there), pa.array(long, ids.type)]).take(pa.array(place))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], ids], names=["h", "word", "ids"])
 
     return run
 
 
-def _matches(splitter: Splitter, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, signed hashes) of the matches in some texts."""
+def _matches(splitter: Splitter, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words]:
+    """(starts of the matches in some texts, number of each match among the distinct ones, these)."""
     starts = splitter(offsets, data)
-    ends = np.append(starts[1:], len(data)) if len(starts) else starts
-    return starts, ends, word_hashes(data, starts, ends).view(np.int64)
+    return starts, *distinct(data, starts, np.append(starts[1:], len(data)) if len(starts) else starts)
 
 
 def _distinct_words(splitter: Splitter):
-    """(h, word) of the matches that a task meets for the first time."""
+    """The matches that a task meets for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
+        seen = pa.array([], pa.string())
         for batch in batches:
             for _, offsets, data in pieces(batch.column(0)):
-                starts, ends, hashes = _matches(splitter, offsets, data)
-                own, at = np.unique(hashes, return_index=True)
-                new = ~np.isin(own, seen, assume_unique=True)
-                own, at = own[new], at[new]
-                seen = np.concatenate([seen, own]) if len(seen) < REMEMBERED else own
-                sizes = ends[at] - starts[at]
-                ends_at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                words = pa.Array.from_buffers(pa.string(), len(own), [None, pa.py_buffer(ends_at), pa.py_buffer(data[expand(starts[at], sizes)])])
-                yield pa.RecordBatch.from_arrays([pa.array(own), words], names=["h", "word"])
+                found = _matches(splitter, offsets, data)[2].array()
+                found = found.filter(pc.invert(pc.is_in(found, value_set=seen)))
+                seen = pa.concat_arrays([seen, found]) if seen.nbytes < REMEMBERED else found
+                yield pa.RecordBatch.from_arrays([found], names=["word"])
 
     return run
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, text_col: str = "text", fold_bytes: int = 64) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, text_col: str = "text", fold_bytes: int = 512) -> DataFrame:
     """Adds `ids` (array of int): the ids of each text, each match of `pattern` encoded by itself.
 
     The ids are those of the ranks in `ranks_path` (base64 and rank on a line)
@@ -164,27 +160,31 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, text_co
     fold of higher-order functions over a literal rank map (bounded by the
     vocabulary); those over `fold_bytes` bytes, where the fold's cost grows with
     the square, by a heap. The encoded words lie in the shared folder as sorted
-    hash arrays (64-bit), which the workers map to assemble whole texts; a
-    row's words are never shuffled. The matches of a pattern must cover a text.
+    arrays, which the workers map to assemble whole texts: a hash says where a
+    word is, its bytes whether it is that word. A row's words are never shuffled. The
+    matches of a pattern must cover a text.
 
     A null or empty text has no ids. Repeated rows are encoded alike. A column
     named ids is replaced. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     ranks, splitter = read_ranks(ranks_path), splitter_of(pattern)
-    words = docs.select(text_col).mapInArrow(_distinct_words(splitter), "h long, word string").distinct()
-    encoded = words.select("h", "word", F.when(F.octet_length("word") <= fold_bytes, encode_word(F.col("word"), ranks)).alias("ids"))
-    folder, shards, _ = write_store(encoded.mapInArrow(_long_words(ranks), "h long, ids array<int>"), "bpe-words")
+    words = docs.select(text_col).mapInArrow(_distinct_words(splitter), "word string").distinct()
+    encoded = words.select(F.xxhash64("word").alias("h"), "word", F.when(F.octet_length("word") <= fold_bytes, encode_word(F.col("word"), ranks)).alias("ids"))
+    stored = write_store(encoded, "bpe-words", complete=_long_words(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
-        store = HashStore(folder, shards)
+        store = HashStore(stored)
         for batch in batches:
             values, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
             for _, offsets, data in pieces(batch.column(batch.schema.get_field_index(text_col))):
-                starts, _, hashes = _matches(splitter, offsets, data)
-                own, back = np.unique(hashes, return_inverse=True)
-                at, n, ids = store.lists(own, "ids")
-                n = n[back]
-                values.append(ids[expand(at[back], n)])
+                starts, number, words = _matches(splitter, offsets, data)
+                hashes = words.hashes()
+                order = np.argsort(hashes)
+                at, n = np.empty((2, len(order)), np.int64)
+                at[order], n[order], ids = store.lists(hashes[order], "ids", words.take(order))
+                n = n[number]
+                values.append(ids[expand(at[number], n)])
                 total = np.concatenate([[0], np.cumsum(n)])
                 sizes.append(np.diff(total[np.searchsorted(starts, offsets)]))
             ends = np.cumsum(np.concatenate(sizes)).astype(np.int32)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import checkpoint_dir
-from .textops import ALNUM, LOWER, arrow_columns, pieces, word_hashes, words
+from .textops import ALNUM, LOWER, Words, arrow_columns, distinct, locate, pieces, words
 
 
 class WaveletMatrix:
@@ -81,17 +81,18 @@ class FmIndex:
     def step_back(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.symbols_before[symbols - 1] + self.tree.rank(symbols, at)
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search of all patterns together: first and last+1 suffix of each.
 
-        patterns: one in a row, its symbols at the right end.
+        A pattern: the `lengths` entries of `symbols` before its place in `ends`.
         """
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.bwt), np.int64)
-        for back in range(1, patterns.shape[1] + 1):
-            live = np.flatnonzero((lengths >= back) & (low < high))
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.bwt), np.int64)
+        live = np.arange(len(ends))
+        for back in range(1, int(lengths.max(initial=0)) + 1):
+            live = live[(lengths[live] >= back) & (low[live] < high[live])]
             if not len(live):
                 break
-            c = patterns[live, -back]
+            c = symbols[ends[live] - back].astype(np.int64)
             low[live], high[live] = self.step_back(c, low[live]), self.step_back(c, high[live])
         return low, np.maximum(low, high)
 
@@ -110,31 +111,36 @@ class FmIndex:
 
 
 class Patterns:
-    """The distinct windows of benchmark items as symbols of their own vocabulary."""
+    """The windows of benchmark items over a vocabulary of their own, in flat arrays.
+
+    symbols: the words of all items, one after another; a window is the `lengths`
+    words before its place in `ends`, and belongs to an item, `owner` in `ids`.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
-        column = pa.array([t or "" for _, t in items], pa.string())
-        hashes: list[np.ndarray] = []
-        for _, offsets, data in pieces(column):
-            data = LOWER[data]
-            starts, ends, first = words(data, offsets, ALNUM)
-            h = word_hashes(data, starts, ends)
-            hashes += [h[first[i] : first[i + 1]] for i in range(len(offsets) - 1)]
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        owners: dict[bytes, set[int]] = {}
+        parts = list(pieces(pa.array([t or "" for _, t in items], pa.string()), 1 << 62))
+        offsets, data = parts[0][1:] if parts else (np.zeros(1, np.int64), np.zeros(0, np.uint8))
+        data = LOWER[data]
+        starts, ends, first = words(data, offsets, ALNUM)
+        number, own = distinct(data, starts, ends)
+        hashes = own.hashes()
+        order = np.argsort(hashes)
+        self.hashes, self.vocabulary = hashes[order], own.take(order)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(1, len(order) + 1)
+        self.symbols = place[number]
         self.ids = sorted({i for i, _ in items})
-        number = {x: k for k, x in enumerate(self.ids)}
-        for (item, _), h in zip(items, hashes, strict=True):
-            s = (np.searchsorted(self.vocabulary, h) + 1).astype(np.int64)
-            for a in range(max(1, len(s) - window + 1) if len(s) else 0):
-                owners.setdefault(s[a : a + window].tobytes(), set()).add(number[item])
-        self.lengths = np.array([len(k) // 8 for k in owners], np.int64)
-        self.symbols = np.zeros((len(owners), window), np.int64)
-        for row, k in enumerate(owners):
-            s = np.frombuffer(k, np.int64)
-            self.symbols[row, window - len(s) :] = s
-        self.owner_at = np.concatenate([[0], np.cumsum([len(x) for x in owners.values()])]).astype(np.int64)
-        self.owners = np.array([x for v in owners.values() for x in sorted(v)], np.int64)
+        names = {x: k for k, x in enumerate(self.ids)}
+        sizes = np.diff(first)
+        windows = np.where(sizes > 0, np.maximum(1, sizes - window + 1), 0)
+        of, inside = _expand(windows)
+        self.lengths = np.minimum(sizes, window)[of].astype(np.int32)
+        self.ends = (first[of] + inside + self.lengths).astype(np.int32)
+        self.owner = np.array([names[i] for i, _ in items], np.int32)[of] if len(of) else np.zeros(0, np.int32)
+
+    def symbols_of(self, own: Words) -> np.ndarray:
+        """The symbol of each word, by its bytes; 0 for those that no item has."""
+        return locate(self.hashes, self.vocabulary, own.hashes(), own) + 1
 
 
 def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,22 +149,22 @@ def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def find(patterns: Patterns, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find(patterns: Patterns, symbols: np.ndarray, first: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hit mask of the words, document and item of each distinct pair found) in one shard.
 
-    Only runs of words that all occur in the benchmark, as long as its shortest
-    window, can hold a match; the index is built over these.
+    symbols: of all words of the shard, 0 for those that occur in no item. Only
+    runs of words that all occur in the benchmark, as long as its shortest
+    window, can hold a match; the index is built over these, or over all words if `every`.
     """
-    hit = np.zeros(len(hashes), bool)
+    hit = np.zeros(len(symbols), bool)
     none = np.zeros(0, np.int64)
-    if not len(patterns.lengths) or not len(hashes):
+    if not len(patterns.lengths) or not len(symbols):
         return hit, none, none
-    place = np.searchsorted(patterns.vocabulary, hashes)
-    place[place == len(patterns.vocabulary)] = 0
-    known = patterns.vocabulary[place] == hashes
+    other = len(patterns.vocabulary) + 1
+    known = symbols > 0 if not every else np.ones(len(symbols), bool)
     begins = known.copy()
     begins[1:] &= ~known[:-1]
-    edges = first[(first > 0) & (first < len(hashes))]
+    edges = first[(first > 0) & (first < len(symbols))]
     begins[edges] = known[edges]
     stops = known.copy()
     stops[:-1] &= ~known[1:]
@@ -168,27 +174,22 @@ def find(patterns: Patterns, hashes: np.ndarray, first: np.ndarray) -> tuple[np.
     run_at, run_end = run_at[long], run_end[long]
     if not len(run_at):
         return hit, none, none
-    sizes = run_end - run_at + 1
-    run, inside = _expand(sizes)
+    run, inside = _expand(run_end - run_at + 1)
     word = run_at[run] + inside - 1  # the separator stands before its run
-    symbols = np.where(inside == 0, 0, place[np.maximum(word, 0)] + 1)
-    index = FmIndex(symbols, len(patterns.vocabulary))
-    low, high = index.search(patterns.symbols, patterns.lengths)
+    symbols = np.where(inside == 0, 0, np.where(symbols > 0, symbols, other)[np.maximum(word, 0)])
+    index = FmIndex(symbols, other)
+    low, high = index.search(patterns.symbols, patterns.ends, patterns.lengths)
     which, inside = _expand(high - low)
     if not len(which):
         return hit, none, none
     at = word[index.locate(low[which] + inside)]
-    edge = np.zeros(len(hashes) + 1, np.int64)
+    edge = np.zeros(len(hit) + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + patterns.lengths[which], -1)
     hit = np.cumsum(edge)[:-1] > 0
     doc = np.searchsorted(first, at, side="right") - 1
-    pairs = np.unique(doc * (len(patterns.lengths) + 1) + which)
-    doc, which = pairs // (len(patterns.lengths) + 1), pairs % (len(patterns.lengths) + 1)
-    n = patterns.owner_at[which + 1] - patterns.owner_at[which]
-    group, inside = _expand(n)
-    pairs = np.unique(doc[group] * (len(patterns.ids) + 1) + patterns.owners[patterns.owner_at[which[group]] + inside])
-    return hit, pairs // (len(patterns.ids) + 1), pairs % (len(patterns.ids) + 1)
+    pairs = np.unique(doc * len(patterns.ids) + patterns.owner[which])
+    return hit, pairs // len(patterns.ids), pairs % len(patterns.ids)
 
 
 def _search(block, text_col: str, shard_bytes: int):
@@ -204,7 +205,8 @@ def _search(block, text_col: str, shard_bytes: int):
             for row, offsets, data in pieces(batch.column(batch.schema.get_field_index(text_col)), shard_bytes):
                 data = LOWER[data]
                 starts, ends, first = words(data, offsets, ALNUM)
-                hit, doc, item = find(patterns, word_hashes(data, starts, ends), first)
+                number, own = distinct(data, starts, ends)
+                hit, doc, item = find(patterns, patterns.symbols_of(own)[number], first)
                 n_words[row : row + len(offsets) - 1] = np.diff(first).tolist()
                 for d in np.unique(doc).tolist():
                     items[row + d] = [names[x] for x in item[doc == d].tolist()]
@@ -237,7 +239,7 @@ def merge(spans: list[dict]) -> list[dict]:
 SPANS = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("first_word", "last_word", "start", "end")]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, shard_bytes: int = 8 << 20, block_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, shard_bytes: int = 8 << 20, block_bytes: int = 8 << 20) -> DataFrame:
     """Finds words of `docs` inside any occurrence of a window of a benchmark item.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in
@@ -249,7 +251,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     n_words).
 
     Each `shard_bytes` of training text get an FM-index; all windows are
-    searched backward in it together. The items go to the workers in blocks of
+    searched backward in it together. Words are the same only if their bytes are. The items go to the workers in blocks of
     `block_bytes` of text, each its own pass (after the first, from a
     checkpoint), so no broadcast grows with the benchmark. No row is shuffled.
 
@@ -257,7 +259,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     null item id is "null". Items that repeat count once for each id.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t")).distinct()
     total = items.agg(F.sum(F.octet_length("t") + 40)).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]

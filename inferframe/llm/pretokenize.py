@@ -18,9 +18,10 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 def character_kinds() -> np.ndarray:
     """SPACE, LETTER, NUMBER or OTHER for each code point, as the pattern's classes say."""
     kinds = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, sys.maxunicode + 1)))
-    for kind, pattern in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
-        kinds[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
+    every = np.arange(sys.maxunicode + 1, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for run in regex.finditer(pattern, every):
+            kinds[run.start() : run.end()] = kind
     return kinds
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import LOWER, NOT_SPACE, PIECE, arrow_columns, mix, pieces, word_hashes, words
+from .textops import LOWER, NOT_SPACE, PIECE, arrow_columns, distinct, mix, pieces, words
 
 _SHAPES, _PAIRS, _WORDS = 768, 1024, 512
 FEATURES = _SHAPES + _PAIRS + _WORDS
@@ -43,9 +43,10 @@ def features(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     upper, marks, digits = (_within(k, data, starts, ends) for k in (_UPPER, _MARK, _DIGIT))
     capital = np.where(upper == 0, 0, np.where(upper == 1, 1, np.where(2 * upper > size - marks, 3, 2)))
     shape = ((capital * 4 + np.minimum(marks, 3)) * 2 + (digits > 0)) * 12 + np.minimum(size, 23) // 2
-    hashes = word_hashes(LOWER[data], starts, ends)
+    number, own = distinct(LOWER[data], starts, ends)
+    hashes = mix(own.hashes())[number]
     again = np.zeros(len(starts), bool)
-    again[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
+    again[1:] = (number[1:] == number[:-1]) & (row[1:] == row[:-1])
     shape = shape + again * (_SHAPES // 2)
     out = np.bincount(row * FEATURES + shape, minlength=n * FEATURES)
     pair = (mix(shape[:-1].astype(np.uint64) * np.uint64(1000) + shape[1:].astype(np.uint64)) % np.uint64(_PAIRS)).astype(np.int64)

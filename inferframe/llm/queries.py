@@ -77,7 +77,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by a window of 35 words that also starts anywhere else go."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup(docs, length=35, derive={"kept_sha256": lambda kept: F.sha2(kept, 256)}, keep_text=False)
+    return substring_dedup(docs, length=35, derive={"kept_sha256": lambda kept: F.sha2(kept, 256)}, keep_text=False).drop("spans")
 
 
 _ALL_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"

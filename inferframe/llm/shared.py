@@ -28,12 +28,30 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def mounted(path: str) -> str:
-    """The path of a shared folder as every machine mounts it, for memory-mapping.
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder as every machine mounts it, for files that workers write and memory-map.
 
-    Raises ValueError for stores that are not mounted as a file system.
+    Raises ValueError for stores that are not mounted as a file system, and, off
+    a single machine, where spark.checkpoint.dir is unset: the warehouse may then be one machine's own.
     """
+    path = new_folder(spark, what)
     parts = urlparse(path)
     if parts.scheme not in ("", "file"):
         raise ValueError(f"memory-mapped files need spark.checkpoint.dir on a mounted file system, not {parts.scheme}://")
-    return os.path.abspath(parts.path)
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    folder = os.path.abspath(parts.path)
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of at most 4 MB from now on: each is held some times over, on both sides, by every task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key).lower()
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    size = size.removesuffix("b") if size[-2:-1] in units else size
+    if (int(size[:-1]) * units[size[-1]] if size[-1] in units else int(size)) > most:
+        spark.conf.set(key, f"{most}b")

@@ -1,8 +1,8 @@
-"""Removal of word passages that occur more than once: seeds on winnowed anchors, extended both ways."""
+"""Removal of word passages that occur more than once: winnowed anchors as seeds, whose extensions both ways are compared."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import NOT_SPACE, pieces, window_hashes, word_hashes, words
+from .shared import small_batches
+from .textops import NOT_SPACE, distinct_words, window_hashes
 
 _PACKET = "bucket long, chunk long, hashes binary, flags binary"
 _MANY, _ASKS = 1, 2
+SPANS = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("first_word", "last_word")]))
+_SPANS_ARROW = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64())]))
 
 
 def _slide(values: np.ndarray, width: int, better: np.ufunc) -> np.ndarray:
@@ -37,15 +40,15 @@ class Chunk:
     def __init__(self, table: pa.Table | pa.RecordBatch, length: int, k: int):
         column = table.column(table.schema.get_field_index("text"))
         copies = table.column(table.schema.get_field_index("copies")).to_numpy()
-        hashes, firsts, n = [], [np.zeros(1, np.int64)], 0
-        for _, offsets, data in pieces(column):
-            starts, ends, first = words(data, offsets, NOT_SPACE)
-            hashes.append(word_hashes(data, starts, ends))
+        hashes, firsts, n = [np.zeros((0, 2), np.uint64)], [np.zeros(1, np.int64)], 0
+        for _, first, number, own in distinct_words(column, NOT_SPACE, lower=False):
+            hashes.append(np.stack([own.hashes(seed).view(np.uint64) for seed in (42, 7)], axis=1)[number])
             firsts.append(first[1:] + n)
-            n += len(starts)
+            n += len(number)
         self.length, self.k = length, k
         self.first = np.concatenate(firsts)
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        #: of each word, two independent hashes
+        self.hashes = np.concatenate(hashes)
         row = np.repeat(np.arange(len(copies)), np.diff(self.first))
         windows = max(0, n - length + 1)
         #: of each window start, whether its window ends in the same text
@@ -55,7 +58,7 @@ class Chunk:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the k-grams at window starts and beyond, and which of them are anchors."""
-        grams = window_hashes(self.hashes, self.k)
+        grams = window_hashes(self.hashes[:, 0], self.k)
         if not len(self.whole):
             return grams, np.zeros(len(grams), bool)
         span = self.length - self.k + 1
@@ -66,7 +69,8 @@ class Chunk:
         return grams, _slide(padded, span, np.maximum) == grams
 
     def windows(self) -> np.ndarray:
-        return window_hashes(self.hashes, self.length)
+        """Two independent hashes of each window."""
+        return np.stack([window_hashes(self.hashes[:, i], self.length) for i in range(2)], axis=1)
 
     def near(self, anchors: np.ndarray) -> np.ndarray:
         """Window starts whose window holds one of these anchor places."""
@@ -77,21 +81,35 @@ class Chunk:
         return (np.cumsum(edge)[:n] > 0) & self.whole
 
 
-def _packets(chunk: int, buckets: int, hashes: np.ndarray, many: np.ndarray, asks: np.ndarray) -> pa.Table:
-    """The distinct hashes of one chunk for each bucket, with flags: occurs more than once, wants an answer."""
-    order = np.argsort(hashes, kind="stable")
-    hashes, many, asks = hashes[order], many[order], asks[order]
-    begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+def _in_order(keys: np.ndarray) -> np.ndarray:
+    """An order of the rows of `keys` (one or two columns) in which equal rows lie together, by the first column."""
+    order = np.argsort(keys[:, 0], kind="stable")
+    now = keys[order]
+    if keys.shape[1] > 1 and ((now[1:, 0] == now[:-1, 0]) & (now[1:, 1] != now[:-1, 1])).any():
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+    return order
+
+
+def _begins(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _packets(chunk: int, buckets: int, keys: np.ndarray, many: np.ndarray, asks: np.ndarray) -> pa.Table:
+    """The distinct keys of one chunk for each bucket, with flags: occurs more than once, wants an answer."""
+    order = _in_order(keys)
+    keys, many, asks = keys[order], many[order], asks[order]
+    begin = _begins(keys)
     flags = np.zeros(len(begin), np.uint8)
     if len(begin):
-        flags |= np.where((np.diff(np.append(begin, len(hashes))) > 1) | np.logical_or.reduceat(many, begin), _MANY, 0).astype(np.uint8)
+        flags |= np.where((np.diff(np.append(begin, len(keys))) > 1) | np.logical_or.reduceat(many, begin), _MANY, 0).astype(np.uint8)
         flags |= np.where(np.logical_or.reduceat(asks, begin), _ASKS, 0).astype(np.uint8)
-    hashes = hashes[begin]
-    bucket = _bucket(hashes, buckets)
+    keys = keys[begin]
+    bucket = _bucket(keys[:, 0], buckets)
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(bucket))
     return pa.table(
-        {"bucket": pa.array(bucket[cut]), "chunk": pa.array(np.full(len(cut), chunk, np.int64)), "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary()), "flags": pa.array([flags[a:b].tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary())}
+        {"bucket": pa.array(bucket[cut]), "chunk": pa.array(np.full(len(cut), chunk, np.int64)), "hashes": pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary()), "flags": pa.array([flags[a:b].tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary())}
     )
 
 
@@ -100,17 +118,21 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _answers(packets: DataFrame) -> DataFrame:
-    """(chunk, repeated): for each chunk that asks, its hashes that occur more than once in all."""
+def _answers(packets: DataFrame, buckets: int, width: int) -> DataFrame:
+    """(chunk, repeated): for each chunk that asks, its keys (of `width` hashes) that occur more than once in all."""
 
-    def run(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        keys = [np.frombuffer(x, np.uint64).reshape(-1, width) for x in table.column("hashes").to_pylist()]
         flags = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8)
-        chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in hashes])
-        every = np.concatenate(hashes)
-        order = np.argsort(every, kind="stable")
+        chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in keys])
+        every = np.concatenate(keys)
+        order = _in_order(every)
         every, flags, chunk = every[order], flags[order], chunk[order]
-        begin = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        begin = _begins(every)
         sizes = np.diff(np.append(begin, len(every)))
         repeated = np.repeat((sizes > 1) | (np.bitwise_or.reduceat(flags, begin) & _MANY > 0), sizes)
         some = repeated & (flags & _ASKS > 0)
@@ -118,19 +140,31 @@ def _answers(packets: DataFrame) -> DataFrame:
         order = np.argsort(chunk, kind="stable")
         every, chunk = every[order], chunk[order]
         cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.zeros(0, np.int64)
-        return pa.table({"chunk": pa.array(chunk[cut]), "repeated": pa.array([every[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(chunk)), strict=False)], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[cut]), pa.array([every[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(chunk)), strict=False)], pa.binary())], names=["chunk", "repeated"])
 
-    return packets.groupBy("bucket").applyInArrow(run, "chunk long, repeated binary")
+    return packets.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, "chunk long, repeated binary")
 
 
 def _among(values: np.ndarray, table: pa.Table) -> np.ndarray:
-    """Which values are in the answers to a chunk."""
-    known = np.sort(np.frombuffer(b"".join(table.column("repeated").to_pylist()), np.uint64))
-    if not len(known):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(known, values)
-    at[at == len(known)] = 0
-    return known[at] == values
+    """Which rows of values are in the answers to a chunk."""
+    width = values.shape[1]
+    known = np.frombuffer(b"".join(table.column("repeated").to_pylist()), np.uint64).reshape(-1, width)
+    known = known[_in_order(known)]
+    out, left, place = np.zeros(len(values), bool), np.arange(len(values)), np.searchsorted(known[:, 0], values[:, 0])
+    while len(left):
+        left = left[place[left] < len(known)]
+        left = left[known[place[left], 0] == values[left, 0]]
+        same = (known[place[left]] == values[left]).all(axis=1)
+        out[left[same]] = True
+        left = left[~same]
+        place[left] += 1
+    return out
+
+
+def _spans(removed: np.ndarray) -> list[dict]:
+    """Runs of removed words."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], removed.astype(np.int8), [0]]))).reshape(-1, 2)
+    return [{"first_word": a, "last_word": b - 1} for a, b in edge.tolist()]
 
 
 def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, anchor: int = 12, derive: dict[str, Callable[[Column], Column]] | None = None, keep_text: bool = True, chunk_bytes: int = 2 << 20) -> DataFrame:
@@ -138,24 +172,26 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
 
     Words are runs of non-space characters, unchanged; the kept words are
     joined by one space. Returns the rows of `docs` with `text_col` replaced by
-    the kept words (left out if not keep_text) and with n_words, n_removed and
-    the columns of `derive` (each made from the kept words, once for each
-    distinct text); columns of these names are replaced.
+    the kept words (left out if not keep_text) and with n_words, n_removed, spans
+    (first and last word of each removed run) and the columns of `derive` (each made
+    from the kept words, once for each distinct text); columns of these names are replaced.
 
     Equal texts collapse to one with a count. The distinct texts are dealt into
     chunks of about `chunk_bytes`. Each chunk sends its distinct anchors to
-    buckets by hash, which answer with those that occur elsewhere (the seeds);
-    then the windows that extend a seed to either side by up to
-    length - anchor words go the same way, and runs of repeated windows are
-    the maximal repeats of `length` words or more. What a chunk sends has each
-    hash once, so a passage in a third of all documents is one entry for each
-    chunk; no pair of documents is formed. Windows are compared by 64-bit hash: over n windows
-    the odds of any false match are n * n / 2^65.
+    buckets by hash, which answer with those that occur elsewhere (the seeds).
+    An extension of a seed is a window that has it, and up to
+    length - anchor words on either side: the extensions go the same way, and runs of repeated
+    ones are the maximal repeats of `length` words or more. What a chunk sends has each
+    key once, so a passage in a third of all documents is one entry for each
+    chunk; no pair of documents is formed. Seeds only prefilter; windows are
+    the same if both of two independent 64-bit hashes of their words are
+    (odds of any false match among n windows: n * n / 2^129).
 
     A null or empty text has no words. Repeated rows are copies of each other. An
     empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)}
@@ -172,23 +208,23 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
         if len(c.copied):
             copied[: len(c.copied)] = c.copied
             copied[len(c.copied) :] = c.copied[-1]
-        return _packets(table.column("chunk")[0].as_py(), parts, grams[at], copied[at], np.ones(len(at), bool))
+        return _packets(table.column("chunk")[0].as_py(), parts, grams[at, None], copied[at], np.ones(len(at), bool))
 
     def extend(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _packets(0, parts, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool))
+            return _packets(0, parts, np.zeros((0, 2), np.uint64), np.zeros(0, bool), np.zeros(0, bool))
         c = Chunk(table, length, anchor)
         grams, chosen = c.anchors()
         at = np.flatnonzero(chosen)
-        at = at[_among(grams[at], answers)]
+        at = at[_among(grams[at, None], answers)]
         near = np.flatnonzero(c.near(at))
         copied = c.copied[near]
         return _packets(table.column("chunk")[0].as_py(), parts, c.windows()[near], copied, ~copied)
 
-    made = T.StructType([T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType()), T.StructField("_kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    made = T.StructType([T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType()), T.StructField("_kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", SPANS)])
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
-        kept, n_removed, c = [], [], None
+        kept, n_removed, spans, c = [], [], [], None
         if table.num_rows:
             c = Chunk(table, length, anchor)
             hit = np.flatnonzero((_among(c.windows(), answers) & c.whole) | c.copied)
@@ -199,21 +235,19 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
             for i, x in enumerate(table.column("text").cast(pa.binary()).to_pylist()):
                 mask, own = stays[c.first[i] : c.first[i + 1]], x.split()
                 n_removed.append(len(mask) - int(mask.sum()))
+                spans.append(_spans(~mask))
                 kept.append(b" ".join(own if not n_removed[-1] else [w for w, s in zip(own, mask.tolist(), strict=True) if s]))
         return pa.table(
-            {"_h1": table.column("_h1"), "_h2": table.column("_h2"), "_kept": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(np.diff(c.first) if c else [], pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+            {"_h1": table.column("_h1"), "_h2": table.column("_h2"), "_kept": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(np.diff(c.first) if c else [], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, _SPANS_ARROW)}
         )
 
-    seeded = _answers(dealt.groupBy("chunk").applyInArrow(seeds, _PACKET))
-    repeated = _answers(dealt.groupBy("chunk").cogroup(seeded.groupBy("chunk")).applyInArrow(extend, _PACKET))
+    seeded = _answers(dealt.groupBy("chunk").applyInArrow(seeds, _PACKET), parts, 1)
+    repeated = _answers(dealt.groupBy("chunk").cogroup(seeded.groupBy("chunk")).applyInArrow(extend, _PACKET), parts, 2)
     done = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(remove, made)
     derive = {**({text_col: lambda c: c} if keep_text else {}), **(derive or {})}
-    done = done.select("_h1", "_h2", "n_words", "n_removed", *(f(F.col("_kept")).alias(f"_new_{n}") for n, f in derive.items()))
-    new = ["n_words", "n_removed", *derive]
+    done = done.select("_h1", "_h2", "n_words", "n_removed", "spans", *(f(F.col("_kept")).alias(f"_new_{n}") for n, f in derive.items()))
+    new = ["n_words", "n_removed", "spans", *derive]
     base = docs.withColumns(keys).drop(text_col, *new)
     out = base.join(done, ["_h1", "_h2"]).drop("_h1", "_h2")
     out = out.withColumnsRenamed({f"_new_{n}": n for n in derive})
     return out.select(*dict.fromkeys([*(c for c in docs.columns if c in out.columns), *new]))
-
-
-

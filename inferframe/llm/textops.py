@@ -1,4 +1,4 @@
-"""Vectorised text work on Arrow batches: words, word hashes, sequence hashes.
+"""Vectorised text work on Arrow batches: words, distinct words, sequence hashes.
 
 All functions work on the UTF-8 bytes of whole texts. Memory stays bounded by
 `PIECE` bytes of text plus one document, however large a batch is.
@@ -7,15 +7,19 @@ All functions work on the UTF-8 bytes of whole texts. Memory stays bounded by
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .shared import small_batches
+
 #: Bytes of text that are worked on at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 _BYTE = np.arange(256, dtype=np.int64)
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
@@ -24,16 +28,6 @@ NOT_SPACE = ~((_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13)))
 #: ASCII letters and digits, and all of a multi-byte character.
 ALNUM = (_BYTE >= 128) | ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 97) & (_BYTE <= 122)) | ((_BYTE >= 65) & (_BYTE <= 90))
 
-_M64 = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _mix_int(x: int) -> int:
-    x = (x + 0x9E3779B97F4A7C15) & _M64
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _M64
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _M64
-    return x ^ (x >> 31)
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
@@ -47,30 +41,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_CODE = np.array([_mix_int(i + 1000) for i in range(256)], dtype=np.uint64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, PIECE + 1)
-        up = np.full(size, _BASE, dtype=np.uint64)
-        down = np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        _POWERS["up"], _POWERS["down"] = np.cumprod(up), np.cumprod(down)
-    return _POWERS["up"], _POWERS["down"]
-
-
-def _range_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each range; the ranges may overlap."""
-    up, down = _powers(len(values))
-    total = np.empty(len(values) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
-
-
 def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (first row, offsets, bytes) for runs of rows of a text column; null is empty.
 
@@ -113,29 +83,97 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, side="right")))
-        a, b = starts[i], ends[j - 1]
-        out[i:j] = _range_sums(_CODE[data[a:b]], starts[i:j] - a, ends[i:j] - a)
-        i = j
-    return mix(out + (ends - starts).astype(np.uint64))
+class Words(NamedTuple):
+    """Distinct words: word i is data[at[i]:at[i + 1]]."""
+
+    at: np.ndarray
+    data: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def array(self, kind: pa.DataType = pa.string()) -> pa.Array:
+        return pa.Array.from_buffers(kind, len(self), [None, pa.py_buffer(self.at.astype(np.int32)), pa.py_buffer(self.data)])
+
+    def hashes(self, seed: int = 42) -> np.ndarray:
+        """XXH64 of each word as a signed integer, as Spark's xxhash64 gives it."""
+        data, hash_of = self.data.tobytes(), xxhash.xxh64_intdigest
+        return np.array([hash_of(data[a:b], seed) for a, b in zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)], np.uint64).view(np.int64)
+
+    def take(self, which: np.ndarray) -> Words:
+        sizes = np.diff(self.at)[which]
+        return Words(np.concatenate([[0], np.cumsum(sizes)]), self.data[expand(self.at[which], sizes)])
+
+
+def words_of(column: pa.Array) -> Words:
+    """The rows of a text column without nulls, as Words."""
+    for _, offsets, data in pieces(column, 1 << 62):
+        return Words(offsets, data)
+    return Words(np.zeros(1, np.int64), np.zeros(0, np.uint8))
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, Words]:
+    """(number of each word among the distinct ones, these), told apart by their bytes."""
+    sizes = ends - starts
+    whole = len(starts) and starts[0] == 0 and ends[-1] == len(data) == sizes.sum()
+    found = Words(np.concatenate([[0], np.cumsum(sizes)]), data if whole else data[expand(starts, sizes)])
+    encoded = found.array(pa.binary()).dictionary_encode()
+    return encoded.indices.to_numpy().astype(np.int64), words_of(encoded.dictionary)
+
+
+def distinct_words(column: pa.Array, kind: np.ndarray, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, Words]]:
+    """(first row, first word of each row, number of each word, the distinct words) for pieces of a text column."""
+    for row, offsets, data in pieces(column):
+        data = LOWER[data] if lower else data
+        starts, ends, first = words(data, offsets, kind)
+        yield row, first, *distinct(data, starts, ends)
+
+
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether a[i] has the bytes of b[j], for each pair of numbers."""
+    sizes = a.at[i + 1] - a.at[i]
+    same = sizes == b.at[j + 1] - b.at[j]
+    some = np.flatnonzero(same)
+    sizes = sizes[some]
+    differ = a.data[expand(a.at[i[some]], sizes)] != b.data[expand(b.at[j[some]], sizes)]
+    same[np.repeat(some, sizes)[differ]] = False
+    return same
+
+
+def locate(hashes: np.ndarray, known: Words, asked: np.ndarray, wanted: Words) -> np.ndarray:
+    """The place of each of `wanted` (whose hashes are `asked`) among `known`, which lie in the order of their hashes; -1 if it isn't there.
+
+    Bytes decide: a hash only says where to look.
+    """
+    out, place, left = np.full(len(asked), -1, np.int64), np.searchsorted(hashes, asked), np.arange(len(asked))
+    while len(left):
+        left = left[place[left] < len(hashes)]
+        left = left[hashes[place[left]] == asked[left]]
+        same = same_words(known, place[left], wanted, left)
+        out[left[same]] = place[left[same]]
+        left = left[~same]
+        place[left] += 1
+    return out
 
 
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive entries; has len(hashes) - k + 1 entries, or none."""
+    """Hash of each k consecutive entries; has len(hashes) - k + 1 entries, or none.
+
+    Built by doubling: each step mixes the hashes of two windows that overlap or touch.
+    """
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
     for a in range(0, n, PIECE // 2):
         b = min(n, a + PIECE // 2)
-        at = np.arange(b - a)
-        out[a:b] = _range_sums(hashes[a : b + k - 1], at, at + k)
-    return mix(out)
+        now, have = mix(hashes[a : b + k - 1]), 1
+        while have < k:
+            step = min(have, k - have)
+            now = mix(now[:-step] * np.uint64(0xD6E8FEB86659FD93) + now[step:])
+            have += step
+        out[a:b] = now
+    return out
 
 
 def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -150,6 +188,7 @@ def arrow_columns(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iter
     make gets the batches and yields (batch, {name: array}). A new column
     replaces one of the same name.
     """
+    small_batches(df.sparkSession)
     made = {f.name for f in fields}
     kept = [f for f in df.schema.fields if f.name not in made and f.name not in drop]
     schema = T.StructType([*kept, *fields])

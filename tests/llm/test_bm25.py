@@ -3,8 +3,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from inferframe.llm import bm25
+from inferframe.llm import bm25, textops
 
 
 def terms(text):
@@ -56,58 +57,89 @@ def test_edge_rows(spark):
     assert got(bm25.bm25_top_k(docs.limit(0), queries)) == [] and got(bm25.bm25_top_k(docs, queries.limit(0))) == []
 
 
-def test_pruning_skips_blocks_but_no_result():
+def shard_of(tokens, sizes):
+    """(shard, place of each token in it) of tokens that are whole numbers."""
+    own, numbers = np.unique(tokens, return_inverse=True)
+    shard = bm25.Shard.build(pa.array(np.arange(len(sizes))), numbers, sizes, pa.array([str(x).encode() for x in own], pa.binary()))
+    shard.prepare(float(sizes.mean()))
+    return shard, {int(w): i for i, w in enumerate(textops.Words(shard.word_at, shard.word).array().to_pylist())}
+
+
+def plain_scores(shard, places, weights):
+    want = np.zeros(len(shard.length))
+    for p, w in zip(places, weights):
+        own = slice(shard.term_posts[p], shard.term_posts[p + 1])
+        want[shard.docs[own]] += w * shard.impact[own]
+    return np.round(want, 6)
+
+
+def best(scores, k):
+    order = np.lexsort((np.arange(len(scores)), -scores))[:k]
+    return order[scores[order] > 0]
+
+
+def test_bounds_lose_no_result():
     rng = np.random.default_rng(0)
     sizes = rng.integers(5, 40, 3000)
-    hashes = (rng.zipf(1.3, sizes.sum()) % 500).astype(np.int64)
-    shard = bm25.Shard.build(np.arange(3000), hashes, sizes)
-    shard.prepare(float(sizes.mean()))
-    opened = []
-    real = shard.blocks
+    shard, place_of = shard_of(rng.zipf(1.3, sizes.sum()) % 500, sizes)
     for _ in range(40):
-        query = rng.choice(shard.terms, 6, replace=False)
-        places = np.searchsorted(shard.terms, np.sort(query))
+        places = np.sort(rng.choice(len(place_of), 6, replace=False))
         weights = np.log(1 + 3000 / shard.document_frequencies()[places])
         docs, scores = shard.search(places, weights, 10)
-        want = np.zeros(3000)
-        for p, w in zip(places, weights):
-            for e in range(shard.entry_at[shard.term_at[p]], shard.entry_at[shard.term_at[p + 1]]):
-                want[shard.doc[e]] += w * shard.impact[e]
-        order = np.lexsort((np.arange(3000), -want))[:10]
-        order = order[want[order] > 0]
+        want = plain_scores(shard, places, weights)
+        order = best(want, 10)
         assert (docs == order).all() and np.allclose(scores, want[order])
-        bound = np.bincount(real[bm25.expand(shard.term_at[places], shard.term_at[places + 1] - shard.term_at[places])], minlength=47)
-        opened.append((bound > 0).sum())
-        floor = want[order[4]]
-        fewer, _ = shard.search(places, weights, 10, floor)
+        fewer, _ = shard.search(places, weights, 10, want[order[4]])
         assert set(order[:5].tolist()) <= set(fewer.tolist())
+        for k in (1, 2, 5):
+            head, _ = shard.search(places, weights, k)
+            assert head.tolist() == order[:k].tolist()
 
 
 def test_blocks_of_like_documents_are_skipped(monkeypatch):
     rng = np.random.default_rng(1)
     n, topics = 40 * bm25.BLOCK, 40
-    sizes = np.full(n, 30)
     weak = rng.integers(0, 400, n * 30)
     topic = np.repeat(np.arange(n) // bm25.BLOCK, 30)
     strong = 1000 + topic * 50 + rng.integers(0, 10, n * 30)
-    hashes = np.where(rng.random(n * 30) < 0.5, strong, weak).astype(np.int64)
-    shard = bm25.Shard.build(np.arange(n), hashes, sizes)
-    shard.prepare(30.0)
+    shard, place_of = shard_of(np.where(rng.random(n * 30) < 0.5, strong, weak), np.full(n, 30))
     assert not (shard.row_of >= 0).any()
     read, real = [], bm25.expand
     monkeypatch.setattr(bm25, "expand", lambda starts, sizes: (read.append(int(np.sum(sizes))), real(starts, sizes))[1])
     for t in range(topics):
-        query = np.array([t, t + 100, 1000 + t * 50, 1001 + t * 50, 1002 + t * 50])
-        places = np.searchsorted(shard.terms, query)
-        assert (shard.terms[places] == query).all()
+        places = np.array([place_of[x] for x in (t, t + 100, 1000 + t * 50, 1001 + t * 50, 1002 + t * 50)])
         df = shard.document_frequencies()[places]
         weights = np.log(1 + (n - df + 0.5) / (df + 0.5))
         read.clear()
         docs, scores = shard.search(places, weights, 10)
         # the first call lists the blocks of the terms, the others the postings that are read
         assert sum(read[1:]) < 0.6 * df.sum()
-        want = np.zeros(n)
-        for p, w in zip(places, weights):
-            own = slice(shard.term_posts[p], shard.term_posts[p + 1])
-            want[shard.docs[own]] += w * shard.impact[own]
-        assert np.allclose(scores, np.sort(want)[::-1][:10])
+        assert docs.tolist() == best(plain_scores(shard, places, weights), 10).tolist()
+
+
+def test_rank_does_not_depend_on_k(spark):
+    rows = [(1, "a " * 3000), (2, "a " * 3001), (3, "b c"), (-(1 << 63), "d"), (None, "d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    asked = [(7, "a"), (8, "d")]
+    queries = spark.createDataFrame(asked, "doc_id long, text string")
+    for k in (1, 2, 3):
+        same(got(bm25.bm25_top_k(docs, queries, k=k)), brute(rows, asked, k))
+    assert got(bm25.bm25_top_k(docs, queries, k=1))[0][2] == 1
+
+
+def test_terms_are_told_apart_by_bytes(spark, monkeypatch):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, f"{b} x"), (4, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = [(1, a), (4, "x z")]
+    queries = spark.createDataFrame(asked, "doc_id long, text string")
+    same(got(bm25.bm25_top_k(docs, queries, k=3)), brute(rows, asked, 3))
+
+
+def test_equal_hashes_of_different_terms():
+    """With one hash for all words their bytes decide alone."""
+    words = [b"a", b"b", b"ab", b"ba", b"c"]
+    known = textops.words_of(pa.array(words, pa.binary()))
+    wanted = textops.words_of(pa.array([b"ba", b"zz", b"a", b"c", b""], pa.binary()))
+    assert textops.locate(np.zeros(5, np.int64), known, np.zeros(5, np.int64), wanted).tolist() == [3, -1, 0, 4, -1]

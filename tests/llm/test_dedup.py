@@ -85,10 +85,11 @@ def test_substring_edge_rows(spark):
     rows += [(15, prose(10) + " " + " ".join(passage.split(" ")[:35]) + " " + prose(3)), (16, " ".join(passage.split(" ")[:34])), (17, "A " + " ".join(w.upper() for w in passage.split(" ")))]
     docs = spark.createDataFrame([(i, t, "c", 3) for i, t in rows], "doc_id long, text string, chunk string, copies int")
     got = substring_dedup(docs, chunk_bytes=2000, derive={"digest": lambda c: F.sha2(c, 256)})
-    assert got.columns == ["doc_id", "text", "chunk", "copies", "n_words", "n_removed", "digest"]
+    assert got.columns == ["doc_id", "text", "chunk", "copies", "n_words", "n_removed", "spans", "digest"]
     found = got.collect()
     assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in found), key=str) == brute_windows(rows)
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.digest for r in found)
+    assert all(sum(x.last_word - x.first_word + 1 for x in r.spans) == r.n_removed and all(x.last_word - x.first_word >= 34 for x in r.spans) for r in found)
     assert substring_dedup(docs.limit(0)).collect() == []
 
 
