@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from .operators.schema_export import TYPES, schema_text
@@ -17,7 +18,8 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("input", nargs="?", help="CSV or JSONL; standard input if left out")
         c.add_argument("-m", "--model", default="echo")
         c.add_argument("-p", "--prompt", required=name == "chat")
-        c.add_argument("-o", "--out", required=True, help="folder of the result files")
+        c.add_argument("-o", "--out", default=None, help="folder of the result files; standard output if left out")
+        c.add_argument("--models-url", default=None, help="proxy that lists models and prices; OPENAI_API_BASE if left out")
         c.add_argument("-j", "--jobs", type=int, default=8)
         c.add_argument("--limit", "--take-first", type=int, default=None)
         c.add_argument("--offset", type=int, default=0)
@@ -64,6 +66,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from .operators.chat import RunOptions, chat, run_and_write
     from .operators.metrics import FailureRateError, Summary, observed
+    from .operators.models import fetch_models
     from .operators.ocr import ocr
     from .operators.prompt import PromptError
     from .operators.providers import LlmOptions
@@ -82,13 +85,15 @@ def main(argv: list[str] | None = None) -> int:
     run = RunOptions(args.jobs, args.offset, args.limit, args.allow_reordering, args.allowed_failure_rate)
     options = LlmOptions(args.max_completion_tokens, args.temperature, args.top_p, args.timeout, args.rate_limit)
     try:
-        source = args.input or spool()
+        source = args.input or spool(spark)
+        proxy = args.models_url or os.environ.get("OPENAI_API_BASE")
+        models = fetch_models(spark, proxy, os.environ.get("OPENAI_API_KEY")) if proxy else None
         if args.command == "chat":
-            summary = run_and_write(chat(source, args.prompt, args.driver, args.model, run, options, spark=spark), args.out, run)
+            summary = run_and_write(chat(source, args.prompt, args.driver, args.model, run, options, models, spark), args.out, run)
         else:
             pages = PageOptions(args.rasterize, args.rasterize_dpi, args.max_pages, args.include_page_breaks)
-            rows = ocr(source, args.model, args.driver, args.prompt, pages, run, options, spark=spark)
-            if args.out.endswith(".csv"):
+            rows = ocr(source, args.model, args.driver, args.prompt, pages, run, options, models, spark)
+            if args.out and args.out.endswith(".csv"):
                 seen_rows, seen = observed(rows)
                 write_csv(flat_rows(seen_rows), args.out)
                 summary = Summary.of(seen.get)

@@ -21,9 +21,18 @@ TOO_MANY_PAGES = "Only %d/%d pages processed (because of --max-pages)"
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens of a text in order; runs of underscores alone are none, null has none."""
+    return F.transform(F.filter(token_column(text), is_token), F.lower)
+
+
+def token_column(text: Column) -> Column:
+    """The tokens of a text as they stand, runs of underscores included: to be exploded, and then told apart by is_token and lower-cased."""
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), TAG, " "), IMAGE, " ")
-    found = F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0))
-    return F.transform(F.filter(found, lambda t: ~t.rlike("^_+$")), F.lower)
+    return F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0))
+
+
+def is_token(token: Column) -> Column:
+    """Whether a token holds more than underscores."""
+    return ~token.startswith("_") | (F.ltrim(token, F.lit("_")) != "")
 
 
 def token_counts(text: Column) -> Column:

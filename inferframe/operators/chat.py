@@ -5,22 +5,21 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import template as tpl
 from ..sources.files import read_file
-from ..sources.records import ENVELOPE, number_partitions, quoted, read_records, take, write_jsonl
-from .metrics import Summary, observed
-from .models import with_cost
+from ..sources.records import ENVELOPE, discard, json_lines, number_partitions, quoted, read_records, scratch_path, take, write_jsonl
+from .metrics import Summary, run_counters
+from .models import vendor_of, with_cost
 from .pages import USAGE
 from .prompt import Prompt, last_user_text, load_prompt, render_columns
 from .providers import Completion, EchoProvider, LlmOptions, Provider, echo_problem, make_provider
-from .retry import Bucket, Fatal, RateLimit, Transient, attempt
+from .retry import Bucket, Fatal, Throttle, Transient, attempt, slots_for
 from .schema import ExternalSchema, is_valid, problems, to_json_schema
 
 RESULT = f"status string, errors array<string>, response string, token_usage {USAGE}"
@@ -128,8 +127,7 @@ class Caller:
     schema: dict
     options: LlmOptions
     jobs: int
-    permits: list[int] | None = None
-    seconds: float = 1.0
+    throttle: Throttle | None = None
     rendered: Callable[[dict], dict] | None = None
     sleep: Callable[[float], None] | None = field(default=None)
 
@@ -158,8 +156,7 @@ class Caller:
 
     def __call__(self, frames):
         """For mapInPandas over frames with a column `prompt` (JSON text)."""
-        part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        bucket = Bucket(self.permits[part % len(self.permits)], self.seconds) if self.permits else None
+        bucket = self.throttle.bucket() if self.throttle else None
         for pdf in frames:
             prompts = [json.loads(p) for p in pdf["prompt"]]
             rows = self.rows([self.rendered(p) for p in prompts] if self.rendered else prompts, bucket)
@@ -196,10 +193,9 @@ def provider_results(df: DataFrame, prompt: Prompt, provider: Provider, model: s
         as_json = F.to_json("row") if dict(df.dtypes).get("row") == "variant" else F.to_json(F.struct(*(F.col(f"`{c}`") for c in user)), {"ignoreNullFields": "false"})
     else:
         as_json = F.to_json(render_columns(prompt, bindings(df), files), {"ignoreNullFields": "false"})
-    limit = RateLimit.parse(options.rate_limit) if options.rate_limit else None
-    slots = partitions or max(1, min(spark.sparkContext.defaultParallelism, jobs, limit.n if limit else jobs))
+    slots = partitions or min(spark.sparkContext.defaultParallelism, slots_for(jobs, options.rate_limit))
     work = df.where(~skip).select(*carried, as_json.alias("prompt")).repartition(slots)
-    caller = Caller(provider, model, to_json_schema(prompt.response_schema), options, -(-jobs // slots), limit.share(slots) if limit else None, limit.seconds if limit else 1.0, render_blocks(prompt) if blocks else None)
+    caller = Caller(provider, model, to_json_schema(prompt.response_schema), options, -(-jobs // slots), Throttle.of(options.rate_limit, slots), render_blocks(prompt) if blocks else None)
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*carried).schema.fields)
     return work.mapInPandas(caller, f"{kept}, {RESULT}").unionByName(_skipped(df.where(skip), carried))
 
@@ -213,6 +209,8 @@ def chat(source: DataFrame | str, prompt: str | dict | Prompt, provider: str | P
     """
     prompt, provider = load_prompt(prompt), make_provider(provider)
     prompt.check()
+    if models is not None and options.vendor is None:
+        options = replace(options, vendor=vendor_of(models, model))
     if isinstance(source, str):
         df = read_records(spark or SparkSession.getActiveSession(), source)
     else:
@@ -241,22 +239,30 @@ class Broken:
         raise Fatal(self.reason)
 
 
-def run_and_write(results: DataFrame, out: str, run: RunOptions = RunOptions(), single: bool = False) -> Summary:
-    """Writes result rows as JSON lines, in input order unless reordering is allowed, and then applies the failure gate.
+def write_results(results: DataFrame, out: str | None, run: RunOptions = RunOptions(), single: bool = False) -> Summary:
+    """Writes result rows as JSON lines, in input order unless reordering is allowed; to standard output without `out`.
 
-    The counters are observed while the rows are written, so every row is made once.
+    The rows are made once: they go to the shared folder as they come, and are sorted,
+    counted and written from there, so a lost executor costs its own unfinished rows only.
     """
-    rows, seen = observed(results)
-    if run.allow_reordering:
-        write_jsonl(rows.drop("_seq"), out, OPTIONAL, RAW, single)
+    spark, path = results.sparkSession, scratch_path(results.sparkSession, "results")
+    results.write.parquet(path)
+    rows = spark.read.parquet(path)
+    order = None if run.allow_reordering or "_seq" not in rows.columns else "_seq"
+    if out is None:
+        ordered = rows.orderBy(order) if order else rows
+        for line in ordered.select(json_lines(ordered.drop("_seq"), OPTIONAL, RAW).alias("line")).toLocalIterator():
+            print(line.line)
     else:
-        # the sort samples its input; keep that from making the rows twice
-        from pyspark import StorageLevel
+        write_jsonl(rows if order else rows.drop("_seq"), out, OPTIONAL, RAW, single, order)
+    summary = Summary.of(run_counters(rows).first().asDict())
+    discard(spark, path)
+    return summary
+
 
-        rows = rows.persist(StorageLevel.DISK_ONLY)
-        write_jsonl(rows, out, OPTIONAL, RAW, single, order="_seq")
-        rows.unpersist()
-    summary = Summary.of(seen.get)
+def run_and_write(results: DataFrame, out: str | None, run: RunOptions = RunOptions(), single: bool = False) -> Summary:
+    """write_results, and then the failure gate."""
+    summary = write_results(results, out, run, single)
     summary.check(run.allowed_failure_rate)
     return summary
 

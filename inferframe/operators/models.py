@@ -34,6 +34,12 @@ def fetch_models(spark: SparkSession, base_url: str, api_key: str | None = None,
     return spark.createDataFrame(rows, MODELS)
 
 
+def vendor_of(models: DataFrame, model: str) -> str | None:
+    """Who stands behind a model name, as the table says; null if it doesn't."""
+    found = models.where(F.col("model") == model).select("provider").first()
+    return found.provider if found else None
+
+
 def cost(prompt_tokens: Column, completion_tokens: Column, input_price: Column, output_price: Column) -> Column:
     """Estimated cost; null without prices or usage, 0 for free models."""
     return prompt_tokens * input_price + completion_tokens * output_price

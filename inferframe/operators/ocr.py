@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import json
 import os
+import struct
 import subprocess
 import tempfile
 import time
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
@@ -21,11 +23,11 @@ from ..sources.files import FileError, PageOptions, pages_of, read_file, run_too
 from ..sources.records import number_partitions, read_records, take
 from .chat import Caller, RunOptions, envelope, render_blocks
 from .layout import layout_text
-from .models import with_cost
+from .models import vendor_of, with_cost
 from .pages import FLAGS, SOURCES, USAGE, merge_pages
 from .prompt import Prompt, load_prompt
-from .providers import LlmOptions, Provider, make_provider, post
-from .retry import RateLimit, Transient, attempt
+from .providers import TRANSIENT_CODES, LlmOptions, Provider, aws_access, make_provider, post
+from .retry import Throttle, Transient, attempt, slots_for
 from .schema import DRAFT_07, ExternalSchema
 
 ANALYSIS = "struct<image_source:string," + ",".join(f"{f}:boolean" for f in FLAGS) + ">"
@@ -34,13 +36,36 @@ PAGE_RESULT = f"text string, errors array<string>, analysis {ANALYSIS}, estimate
 #: Price of a page of the layout service, its polls and the wait between them.
 LAYOUT_PRICE, POLLS, POLL_SECONDS = 0.004, 60, 5.0
 
+#: Letters of the example page, seven rows of five pixels each.
+GLYPHS = {"A": "01110 10001 10001 11111 10001 10001 10001", "E": "11111 10000 10000 11110 10000 10000 11111", "I": "01110 00100 00100 00100 00100 00100 01110", "L": "10000 10000 10000 10000 10000 10000 11111", "M": "10001 11011 10101 10101 10001 10001 10001", "O": "01110 10001 10001 10001 10001 10001 01110", "S": "01111 10000 10000 01110 00001 00001 11110", "T": "11111 00100 00100 00100 00100 00100 00100", "X": "10001 01010 00100 00100 00100 01010 10001"}
+
+
+def drawn(*lines: tuple[str, int], width: int = 320) -> bytes:
+    """A PNG image, black on white, of lines of GLYPHS, each with the pixels that a dot takes."""
+    rows = []
+    for text, scale in lines:
+        rows += [bytes([255]) * width] * (2 * scale)
+        for i in range(7):
+            dots = "0".join(GLYPHS[c].split()[i] if c in GLYPHS else "000" for c in text)
+            rows += [bytes(x for d in "00" + dots for x in [0 if d == "1" else 255] * scale).ljust(width, b"\xff")[:width]] * scale
+    rows += [bytes([255]) * width] * 8
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
+
+
+_EXAMPLE = {"full_markdown": "# A TITLE\n\nSOME TEXT", "analysis": {"image_source": "DIGITAL", **{f: False for f in FLAGS}}}
+EXAMPLE_OUTPUT = json.dumps(_EXAMPLE)
+EXAMPLE_INPUT = "data:image/png;base64," + base64.b64encode(drawn(("A TITLE", 4), ("SOME TEXT", 2))).decode()
+
 #: The built-in prompt; any other may use the same bindings.
 DEFAULT_PROMPT = {
-    "developer": "Transcribe the page in the image as Markdown. Keep the reading order, headings, lists and tables; leave out nothing and add nothing. Then judge the image with the given flags. An answer looks like this:\n{{example_output}}",
+    "developer": "Transcribe the page in the image as Markdown. Keep the reading order, headings, lists and tables; leave out nothing and add nothing. Then judge the image with the given flags.",
     "response_schema": {"description": "Replaced by the page schema."},
-    "messages": [{"user": {"images": ["{{page_data_url}}"]}}],
+    "messages": [{"user": {"images": ["{{example_input_data_url}}"]}}, {"assistant": {"json": _EXAMPLE}}, {"user": {"images": ["{{page_data_url}}"]}}],
 }
-EXAMPLE_OUTPUT = json.dumps({"full_markdown": "# A title\n\nSome text.", "analysis": {"image_source": "DIGITAL", **{f: False for f in FLAGS}}})
 
 
 def page_schema() -> dict:
@@ -80,7 +105,7 @@ def pdftotext(content: bytes, options: PageOptions, password: str | None) -> tup
 
 @dataclass
 class LayoutService:
-    """The page-analysis service, over HTTPS with a bearer token or through a stub."""
+    """The page-analysis service, over HTTPS with a bearer token or AWS keys, or through a stub."""
 
     base_url: str | None = None
     region: str = "us-east-1"
@@ -88,8 +113,8 @@ class LayoutService:
 
     def call(self, action: str, body: dict) -> dict:
         base = self.base_url or f"https://textract.{self.region}.amazonaws.com"
-        token = self.token or os.environ.get("AWS_BEARER_TOKEN") or ""
-        return post(base, body, {"X-Amz-Target": f"Textract.{action}", "Authorization": f"Bearer {token}"}, 300, frozenset({"ThrottlingException", "ProvisionedThroughputExceededException", "InternalServerError", "LimitExceededException"}))
+        headers, sign = aws_access(self.token or os.environ.get("AWS_BEARER_TOKEN"), self.region, "textract")
+        return post(base, body, {"Content-Type": "application/x-amz-json-1.1", "X-Amz-Target": f"Textract.{action}", **headers}, 300, TRANSIENT_CODES["textract"], sign)
 
     @staticmethod
     def blocks(answer: dict) -> list[dict]:
@@ -103,14 +128,19 @@ class LayoutService:
             return page_result(errors=[str(e)])
         return page_result(layout_text(self.blocks(answer)), cost=LAYOUT_PRICE)
 
-    def document(self, path: str, page_breaks: bool, sleep: Callable[[float], None] = time.sleep) -> tuple:
-        """File engine for s3:// paths: starts a job, polls it, and follows its pages of results."""
+    def document(self, path: str, page_breaks: bool, sleep: Callable[[float], None] = time.sleep, take: Callable[[], None] | None = None) -> tuple:
+        """File engine for s3:// paths: starts a job, polls it, and follows its pages of results. Each attempt of a call takes a permit."""
         bucket, _, key = path.removeprefix("s3://").partition("/")
         if not path.startswith("s3://") or not key:
             raise FileError(f"{path} is no s3://bucket/key")
 
         def tried(action: str, body: dict) -> dict:
-            done = attempt(lambda: self.call(action, body), sleep=sleep)
+            def call() -> dict:
+                if take:
+                    take()
+                return self.call(action, body)
+
+            done = attempt(call, sleep=sleep)
             if done.value is None:
                 raise FileError("; ".join(done.errors))
             return done.value
@@ -173,14 +203,16 @@ class PageEngine:
 
     engine: Any
     caller: Caller | None = None
+    throttle: Throttle | None = None
 
     def __call__(self, frames):
+        bucket = self.throttle.bucket() if self.throttle else None
         for pdf in frames:
             rows = []
             if self.caller is not None:
                 some = [d is not None for d in pdf["data"]]
                 urls = [f"data:{m};base64,{base64.b64encode(d).decode()}" for m, d, s in zip(pdf["mime_type"], pdf["data"], some, strict=True) if s]
-                done = iter(self.caller.rows([self.caller.rendered({"page_data_url": u, "example_output": EXAMPLE_OUTPUT, "example_input_data_url": ""}) for u in urls], None))
+                done = iter(self.caller.rows([self.caller.rendered({"page_data_url": u, "example_output": EXAMPLE_OUTPUT, "example_input_data_url": EXAMPLE_INPUT}) for u in urls], bucket))
                 for s in some:
                     if not s:
                         rows.append(page_result())
@@ -191,6 +223,8 @@ class PageEngine:
             else:
                 for mime, data in zip(pdf["mime_type"], pdf["data"], strict=True):
                     try:
+                        if bucket and data is not None:
+                            bucket.take()
                         rows.append(page_result() if data is None else self.engine(mime, data))
                     except (FileError, OSError, ValueError) as e:
                         rows.append(page_result(error=str(e)))
@@ -224,32 +258,35 @@ def ocr(source: DataFrame | str, model: str = "echo", provider: str | Provider =
     df = df.withColumn("password", F.when(F.col("password") != "", F.col("password")))
     skip = F.coalesce("skip_processing", F.lit(False))
     work, service = df.where(~skip), service or LayoutService()
+    slots = slots_for(run.jobs, options.rate_limit)
+    throttle = Throttle.of(options.rate_limit, slots)
     if kind in ("pdftotext", "textract-async"):
 
         def whole(frames):
+            bucket = throttle.bucket() if throttle else None
             for pdf in frames:
                 rows = []
                 for path, password, content in zip(pdf["path"], pdf["password"], pdf["content"], strict=True):
                     try:
-                        rows.append(pdftotext(content if content is not None else read_file(path), pages, password) if kind == "pdftotext" else service.document(path, pages.include_page_breaks))
+                        rows.append(pdftotext(content if content is not None else read_file(path), pages, password) if kind == "pdftotext" else service.document(path, pages.include_page_breaks, take=bucket.take if bucket else None))
                     except (FileError, OSError, ValueError, Transient) as e:
                         rows.append(("failed", None, [f"{path}: {e}"], None, None))
                 found = pd.DataFrame(rows, columns=["status", "text", "errors", "page_count", "estimated_cost"], index=pdf.index)
                 yield pd.concat([pdf[["_seq"]], found.assign(token_usage=None)], axis=1)
 
-        merged = work.select("_seq", "path", "password", "content").mapInPandas(whole, f"_seq long, status string, text string, errors array<string>, page_count long, estimated_cost double, token_usage {USAGE}")
+        files = work.select("_seq", "path", "password", "content")
+        merged = (files.repartition(slots) if throttle else files).mapInPandas(whole, f"_seq long, status string, text string, errors array<string>, page_count long, estimated_cost double, token_usage {USAGE}")
     else:
         if kind == "llm":
             given = load_prompt(prompt or DEFAULT_PROMPT)
             given = replace(given, response_schema=ExternalSchema(page_schema()))
             given.check()
-            limit = RateLimit.parse(options.rate_limit) if options.rate_limit else None
-            slots = max(1, min(run.jobs, limit.n if limit else run.jobs))
-            caller = Caller(make_provider(provider), model, page_schema(), options, -(-run.jobs // slots), limit.share(slots) if limit else None, limit.seconds if limit else 1.0, render_blocks(given))
-            worker = PageEngine(None, caller)
+            if models is not None and options.vendor is None:
+                options = replace(options, vendor=vendor_of(models, model))
+            caller = Caller(make_provider(provider), model, page_schema(), options, -(-run.jobs // slots), None, render_blocks(given))
+            worker = PageEngine(None, caller, throttle)
         else:
-            slots = max(1, run.jobs)
-            worker = PageEngine(engine or {"tesseract": tesseract, "textract": service.page}[kind])
+            worker = PageEngine(engine or {"tesseract": tesseract, "textract": service.page}[kind], None, throttle)
         found = explode_pages(work, pages).repartition(slots).mapInPandas(worker, f"_seq long, page_idx int, total_pages long, warnings array<string>, error string, {PAGE_RESULT.replace(', error string', '')}")
         if kind == "llm" and models is not None:
             found = with_cost(found.withColumn("model", F.lit(model)), models).drop("model")

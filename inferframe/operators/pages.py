@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NO_TEXT, TOO_MANY_PAGES
@@ -21,6 +21,16 @@ def split_pages(df: DataFrame, text: str, separator: str = "\n", page: str = "pa
     return df.select("*", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), re.escape(separator), -1)).alias("page_idx", page))
 
 
+def number_pages(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds page_idx: the place, from 0, of each part among those with its key."""
+    return df.withColumn("page_idx", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+
+
+def page_id(document: Column, page_idx: Column) -> Column:
+    """Id of a page as JSON text: that of its document (JSON text) and its number."""
+    return F.concat(F.lit("["), document, F.lit(","), page_idx.cast("string"), F.lit("]"))
+
+
 def first_pages(df: DataFrame, most: int | None) -> DataFrame:
     return df if most is None else df.where(F.col("page_idx") < most)
 

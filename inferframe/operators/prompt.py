@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tomllib
 from dataclasses import dataclass, field
 from typing import Any
@@ -12,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import template as tpl
-from .schema import ExternalSchema, Schema, check_supported, parse_schema
+from .schema import ExternalSchema, Schema, SchemaError, check_supported, parse_schema
 
 
 class PromptError(ValueError):
@@ -124,7 +125,23 @@ def load_prompt(prompt: str | dict | Prompt) -> Prompt:
         return prompt
     if isinstance(prompt, dict):
         return parse_prompt(prompt)
-    return parse_prompt(read_document(prompt), os.path.dirname(prompt) or ".")
+    document = read_document(prompt)
+    try:
+        return parse_prompt(document, os.path.dirname(prompt) or ".")
+    except (PromptError, SchemaError) as e:
+        raise PromptError(f"{prompt}{_line_of(prompt, str(e))}: {e}") from e
+
+
+def _line_of(path: str, message: str) -> str:
+    """`:line` of the field that a message names last, where the file has it."""
+    names = re.findall(r"[`']([\w-]+)[`']|\.(\w+)(?=:)", message)
+    with open(path, encoding="utf-8") as f:
+        lines = f.read().splitlines()
+    for name in (a or b for a, b in reversed(names)):
+        for i, line in enumerate(lines, 1):
+            if re.search(rf"\b{re.escape(name)}\b", line):
+                return f":{i}"
+    return ""
 
 
 def render_columns(prompt: Prompt, bindings: tpl.Bindings, files: tpl.Files | None = None) -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +100,30 @@ class Bucket:
             self.sleep(wait)
 
 
+@dataclass(frozen=True)
+class Throttle:
+    """A rate limit shared out over the partitions of a stage; pickled to workers, where each task makes its bucket of it."""
+
+    permits: tuple[int, ...]
+    seconds: float
+
+    @classmethod
+    def of(cls, limit: str | None, slots: int) -> Throttle | None:
+        if not limit:
+            return None
+        parsed = RateLimit.parse(limit)
+        return cls(tuple(parsed.share(slots)), parsed.seconds)
+
+    def bucket(self) -> Bucket:
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        return Bucket(self.permits[part % len(self.permits)], self.seconds)
+
+
+def slots_for(jobs: int, limit: str | None) -> int:
+    """Partitions that `jobs` calls at a time may run in: no more than share the permits."""
+    return max(1, min(jobs, RateLimit.parse(limit).n if limit else jobs))
+
+
 def outcome_status(kind: Column) -> Column:
     return F.when(kind.isin("ok", "recovered"), "ok").otherwise("failed")
 

@@ -5,49 +5,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import text_jaccard, tokens
+from ..functions.text import is_token, text_jaccard, token_column
 
 #: Total tokens of the smaller side, up to which it is broadcast.
 BROADCAST_TOKENS = 2_000_000
 
 
-def count_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, n) of each row's text."""
-    exploded = df.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("token"))
-    return exploded.groupBy(id_col, "token").agg(F.count("*").alias("n"))
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt out to all of them: a small file is often a single part. Larger ones stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def token_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, token) of every token, lower-cased; all in generated code."""
+    return df.select(F.col(id_col), F.explode(token_column(F.col(text_col))).alias("_token")).where(is_token(F.col("_token"))).select(id_col, F.lower("_token").alias("token"))
 
 
-def sizes(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """(id, number of tokens), for rows without tokens too."""
-    return df.select(F.col(id_col), F.size(tokens(F.col(text_col))).cast("bigint").alias(name))
+def count_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, token, n) of each row's text."""
+    return token_rows(df, id_col, text_col).groupBy(id_col, "token").agg(F.count("*").alias("n"))
 
 
 def pair_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_col: str = "text", threshold: float | None = None) -> DataFrame:
     """(left_id, right_id, inter, uni, jaccard) of all pairs that share a token.
 
     right is the small side; it is broadcast if its tokens are few (counted first).
-    With a threshold, pairs are dropped by size before their tokens are
-    summed: jaccard can't be above the ratio of the sizes.
+    With a threshold t only candidates are added up: pairs that share a rare token. Jaccard can't reach t unless
+    a pair shares t times the tokens of either, so one of the rarest n - ceil(t * n) + 1 tokens of
+    each side (n: with repeats) is shared, rare being by the right side's counts; and it can't be above the
+    ratio of the sizes. Both bounds lose no pair.
     """
-    small = (right.select(F.sum(F.size(tokens(F.col(text_col))))).first()[0] or 0) <= BROADCAST_TOKENS
-    r = count_tokens(right, right_id, text_col).withColumnRenamed("n", "m").join(sizes(right, right_id, text_col, "nb"), right_id)
-    known = r.select("token").distinct()
-    # one scan of the large side; tokens that no right row has go before the first shuffle
-    l = left.select(F.col(left_id), tokens(F.col(text_col)).alias("_tokens")).select(left_id, F.size("_tokens").cast("bigint").alias("na"), F.explode("_tokens").alias("token"))
-    l = l.join(F.broadcast(known) if small else known, "token", "left_semi").groupBy(left_id, "na", "token").agg(F.count("*").alias("n"))
-    joined = l.join(F.broadcast(r) if small else r, "token")
+    r = count_tokens(right, right_id, text_col).withColumnRenamed("n", "m")
+    small = (r.agg(F.sum("m")).first()[0] or 0) <= BROADCAST_TOKENS
+    r = r.join(r.groupBy(right_id).agg(F.sum("m").alias("nb")), right_id)
+    l = count_tokens(left, left_id, text_col)
+
+    def with_right(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+        return rows.join(F.broadcast(side) if small else side, on)
+
     if threshold:
-        joined = joined.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    out = joined.groupBy(left_id, right_id, "na", "nb").agg(F.sum(F.least("n", "m")).alias("inter"))
+        often = r.groupBy("token").agg(F.sum("m").alias("_often"))
+
+        def rarest(rows: DataFrame, key: str, n: str, size: str) -> DataFrame:
+            """Rows of the rare tokens: those that the right side lacks come first, then its others by their counts."""
+            before = F.coalesce(F.sum(n).over(Window.partitionBy(key).orderBy("_often", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            rare = rows.withColumns({"_before": before, size: F.sum(n).over(Window.partitionBy(key))})
+            return rare.where(F.col("_before") <= F.col(size) - F.ceil(threshold * F.col(size) - 1e-9)).select(key, "token", size)
+
+        marked = l.join(F.broadcast(often) if small else often, "token", "left").withColumn("_often", F.coalesce("_often", F.lit(0)))
+        rare_right = rarest(r.join(often, "token"), right_id, "m", "nb")
+        met = with_right(rarest(marked, left_id, "n", "na"), rare_right, ["token"]).where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+        candidates = met.select(left_id, right_id, "na", "nb").distinct()
+        out = with_right(candidates.join(l, left_id), r.drop("nb"), [right_id, "token"]).groupBy(left_id, right_id).agg(F.sum(F.least("n", "m")).alias("inter"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    else:
+        out = with_right(l, r, ["token"]).groupBy(left_id, right_id).agg(F.sum(F.least("n", "m")).alias("inter"), F.first("nb").alias("nb"))
+        out = out.join(l.groupBy(left_id).agg(F.sum("n").alias("na")), left_id)
     out = out.select(left_id, right_id, "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("uni"))
     out = out.withColumn("jaccard", F.col("inter") / F.col("uni"))
     return out.where(F.col("jaccard") >= threshold) if threshold else out
 
 
-def best_match(pairs: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """The most similar right row of each left row; ties go to the smaller id."""
-    w = Window.partitionBy(left_id).orderBy(F.desc("jaccard"), right_id)
-    return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def best_match(pairs: DataFrame, left: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """The most similar right row of each left row and its similarity; ties go to the smaller id. Rows of `left` without a pair have 0 and no right row."""
+    best = pairs.groupBy(left_id).agg(F.max_by(right_id, F.struct("jaccard", -F.col(right_id))).alias(right_id), F.max("jaccard").alias("jaccard"))
+    return left.select(left_id).join(best, left_id, "left").withColumn("jaccard", F.coalesce("jaccard", F.lit(0.0)))
 
 
 def token_changes(left: DataFrame, right: DataFrame, key: str, text_col: str = "text") -> DataFrame:

@@ -6,20 +6,19 @@ statuses, attempts), the query makes it from the rows by a rule that its docstri
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import data_url as urls
 from ..functions import text as tx
 from ..operators import chat as ch
-from ..operators import metrics, pages, retry, schema, similarity
+from ..operators import benchmark, metrics, pages, retry, schema, similarity
 from ..operators.layout import BLOCKS, layout_cost, layout_text_column
 from ..operators.models import with_cost
 from ..operators.prompt import last_user_text, openai_messages, parse_prompt, render_columns, valid_roles
-from ..sources.records import flat_rows, quoted, read_records, write_csv, write_jsonl
+from ..sources.records import count_records, export_text, flat_rows, number_partitions, quoted, read_records, scratch_path, take, write_csv, write_jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, for work on each row: dealt out to all cores if its files are few."""
+    return similarity.dealt(table(spark, sf_dir, name))
+
+
 def echo_prompt(user: str, developer: str | None = None) -> dict:
     return {"developer": developer, "response_schema": {"description": "Echo.", "properties": {"echo": {"description": "The text."}}}, "messages": [{"user": {"text": user}}]}
 
@@ -151,8 +155,8 @@ def passthrough_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def offset_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offset before limit, in input order (here the order key's)."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").offset(100).limit(50)
+    """Offset before limit, in input order (here the order key's): a filter on row numbers, and no sort."""
+    return take(number_partitions(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")), 100, 50).drop("_seq")
 
 
 def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,20 +208,15 @@ def token_usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sources and sinks
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the warehouse, which all machines share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""
 SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS seq, to_json(CAST(doc_id AS VARCHAR)) AS id, toxic = 1 AS skip, text, source
-FROM documents JOIN labels USING (doc_id)
+FROM documents LEFT JOIN labels USING (doc_id)
 """)
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents written as CSV and scanned as records: all strings, quotes and line breaks kept, rows numbered in order."""
-    path = _scratch(spark, "csv") + ".csv"
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").orderBy("doc_id")
-    write_csv(docs.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("skip_processing"), "text", "source"), path, single=True)
+    """Documents written as CSV files in order and scanned as records: all strings, quotes and line breaks kept, rows numbered in order."""
+    path = scratch_path(spark, "csv") + ".csv"
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").orderBy("doc_id")
+    write_csv(docs.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("skip_processing"), "text", "source"), path)
     return read_records(spark, path).select(F.col("_seq").alias("seq"), "id", F.col("skip_processing").alias("skip"), "text", "source")
 
 
@@ -226,7 +225,7 @@ SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS seq, event_i
 """)
 def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as JSON lines in order of their ids and scanned as records that keep JSON types."""
-    path = _scratch(spark, "jsonl") + ".jsonl"
+    path = scratch_path(spark, "jsonl") + ".jsonl"
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("_seq"), F.col("event_id").alias("id"), F.col("props").alias("passthrough_data"), "value", "event_type")
     write_jsonl(events, path, optional=("passthrough_data",), raw=("passthrough_data",), order="_seq")
     rows = read_records(spark, path)
@@ -247,6 +246,13 @@ def split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.split_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", page="page").select("doc_id", "page_idx", "page")
 
 
+@query(_PAGES + "SELECT '[' || to_json(source || doc_id) || ',' || page_idx || ']' AS page_id FROM p")
+def composite_page_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of pages: the document's id (here a string) and the page's number, as JSON."""
+    found = pages.split_pages(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    return found.select(pages.page_id(quoted(F.concat("source", F.col("doc_id").cast("string"))), F.col("page_idx")).alias("page_id"))
+
+
 @query(_PAGES + """
 SELECT doc_id, count(*) FILTER (page_idx < 3) AS page_count, CASE WHEN count(*) > 3 THEN 'Only 3/' || count(*) || ' pages processed (because of --max-pages)' END AS message FROM p GROUP BY doc_id
 """)
@@ -292,8 +298,8 @@ def merge_pages_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_PAGES + """
-SELECT doc_id, ['PHOTO_OR_VIDEO', 'SCAN', 'DIGITAL'][min(length(page) % 3) + 1] AS image_source, bool_or(contains(page, '!!')) AS contains_handwriting, bool_or(contains(page, '|')) AS background_is_noisy,
-  bool_or(contains(page, '!!') OR contains(page, '%%%')) AS flagged FROM p WHERE length(page) % 5 <> 0 GROUP BY doc_id
+SELECT doc_id, ['PHOTO_OR_VIDEO', 'SCAN', 'DIGITAL'][min(length(page) % 3) FILTER (good) + 1] AS image_source, bool_or(contains(page, '!!')) FILTER (good) AS contains_handwriting, bool_or(contains(page, '|')) FILTER (good) AS background_is_noisy,
+  coalesce(bool_or(contains(page, '!!') OR contains(page, '%%%')) FILTER (good), false) AS flagged FROM (SELECT *, length(page) % 5 <> 0 AS good FROM p) GROUP BY doc_id
 """)
 def analysis_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyses of pages with text merged; flags stand for marks in the page, the source for its length modulo three."""
@@ -301,7 +307,7 @@ def analysis_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = {f: F.lit(False) for f in pages.FLAGS} | {"contains_handwriting": F.col("page").contains("!!"), "background_is_noisy": F.col("page").contains("|"), "contains_faint_text": F.col("page").contains("%%%")}
     analysis = F.struct(pages.source_name(F.length("page") % 3).alias("image_source"), *(c.alias(f) for f, c in flags.items()))
     found = found.select("doc_id", F.when(F.length("page") % 5 != 0, F.col("page")).alias("text"), analysis.alias("analysis"))
-    out = found.groupBy("doc_id").agg(*pages.analysis_columns()).where(F.col("image_source").isNotNull())
+    out = found.groupBy("doc_id").agg(*pages.analysis_columns())
     whole = F.struct("image_source", *pages.FLAGS)
     return out.select("doc_id", "image_source", "contains_handwriting", "background_is_noisy", pages.is_flagged(whole).alias("flagged"))
 
@@ -329,13 +335,13 @@ def textract_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY ALL")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token multisets of documents in long form."""
-    return similarity.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return similarity.count_tokens(texts(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(f"SELECT page_id, token, count(*) AS n FROM (SELECT page_id, unnest({TOKENS.format('html')}) AS token FROM pages) GROUP BY ALL")
 def tokenize_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token multisets of pages; simple tags are no text."""
-    return similarity.count_tokens(table(spark, sf_dir, "pages"), "page_id", "html")
+    return similarity.count_tokens(texts(spark, sf_dir, "pages"), "page_id", "html")
 
 
 _PAIRS = f"""
@@ -348,7 +354,7 @@ pairs AS (SELECT doc_id, item_id, CAST(inter AS BIGINT) AS inter, CAST(na + nb -
 
 
 def _benchmark_pairs(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> DataFrame:
-    return similarity.pair_similarity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", threshold=threshold)
+    return similarity.pair_similarity(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", threshold=threshold)
 
 
 @query(_PAIRS + "SELECT doc_id, item_id, inter, uni, round(jaccard, 6) AS jaccard FROM pairs")
@@ -363,10 +369,10 @@ def jaccard_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _benchmark_pairs(spark, sf_dir, 0.2).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query(_PAIRS + "SELECT doc_id, item_id, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, item_id) AS k FROM pairs) WHERE k = 1")
+@query(_PAIRS + "SELECT doc_id, coalesce(item_id, -1) AS item_id, coalesce(round(jaccard, 6), 0) AS jaccard FROM documents LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, item_id) AS k FROM pairs) USING (doc_id) WHERE k IS NULL OR k = 1")
 def jaccard_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark item most like each document."""
-    return similarity.best_match(_benchmark_pairs(spark, sf_dir), "doc_id", "item_id").select("doc_id", "item_id", F.round("jaccard", 6).alias("jaccard"))
+    """The benchmark item most like each document; none (shown as -1) where they share no token."""
+    return similarity.best_match(_benchmark_pairs(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "item_id").select("doc_id", F.coalesce("item_id", F.lit(-1)).alias("item_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
 _DIFFS = f"""
@@ -390,16 +396,14 @@ _BY_SOURCE = _PAIRS + ", best AS (SELECT doc_id, max(jaccard) AS jaccard FROM pa
 
 
 @query(_BY_SOURCE + """
-SELECT source, round(avg(CASE WHEN quality IS NULL OR quality <> 0 THEN jaccard END), 6) AS avg_jaccard, count(*) FILTER (quality IS NULL OR quality <> 0) AS n_scored
-FROM best JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY source
+SELECT source, round(avg(CASE WHEN quality IS NULL OR quality <> 0 THEN coalesce(jaccard, 0) END), 6) AS avg_jaccard, count(*) FILTER (quality IS NULL OR quality <> 0) AS n_scored
+FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY source
 """)
 def avg_jaccard_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average of each document's best similarity by source as the model, without documents of quality 0, best first."""
-    from ..operators.benchmark import model_averages
-
-    best = similarity.best_match(_benchmark_pairs(spark, sf_dir), "doc_id", "item_id").select("doc_id", "jaccard")
+    best = similarity.best_match(_benchmark_pairs(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "item_id").select("doc_id", "jaccard")
     rows = best.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    out = model_averages(rows, "source", F.col("quality") == 0)
+    out = benchmark.model_averages(rows, "source", F.col("quality") == 0)
     return out.withColumn("avg_jaccard", F.round("avg_jaccard", 6))
 
 
@@ -412,10 +416,44 @@ def jaccard_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _benchmark_pairs(spark, sf_dir).groupBy(tx.similarity_band(F.col("jaccard")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT 'q' || quality AS model, count(DISTINCT doc_id) AS n_outputs, (SELECT count(DISTINCT doc_id) FROM documents) - count(DISTINCT doc_id) AS n_missing FROM labels WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY ALL")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without a label."""
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    """How many documents each model (a quality label stands for one) has no output for."""
+    return benchmark.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").withColumn("model", F.concat(F.lit("q"), "quality")), "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN quality = 0 THEN 'q0 t' || toxic END AS ground_truth_issue FROM documents LEFT JOIN labels USING (doc_id)")
+def ground_truth_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues (labels of quality 0) joined to images (documents); most have none."""
+    issues = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("image_id"), F.concat(F.lit("q0 t"), "toxic").alias("issue"))
+    return benchmark.with_issues(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), issues).select(F.col("id").alias("doc_id"), "ground_truth_issue")
+
+
+@query(f"""
+WITH o AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN replace(text, 'a', 'o') END AS out FROM documents),
+a AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS t FROM o WHERE out IS NOT NULL) GROUP BY ALL),
+b AS (SELECT doc_id, t, count(*) AS m FROM (SELECT doc_id, unnest({TOKENS.format('out')}) AS t FROM o WHERE out IS NOT NULL) GROUP BY ALL),
+j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, sum(least(coalesce(n, 0), coalesce(m, 0))) / sum(greatest(coalesce(n, 0), coalesce(m, 0))) AS jaccard,
+  count(*) FILTER (m IS NULL) AS removed, count(*) FILTER (n <> m) AS changed, count(*) FILTER (n IS NULL) AS added FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.t = b.t GROUP BY ALL)
+SELECT o.doc_id, CASE WHEN out IS NOT NULL THEN 'm' END AS model, CASE WHEN out IS NOT NULL THEN round(coalesce(jaccard, 1), 6) END AS jaccard,
+  CASE WHEN out IS NOT NULL THEN coalesce(removed, 0) ELSE -1 END AS removed, CASE WHEN out IS NOT NULL THEN coalesce(changed, 0) ELSE -1 END AS changed, CASE WHEN out IS NOT NULL THEN coalesce(added, 0) ELSE -1 END AS added
+FROM o LEFT JOIN j USING (doc_id)
+""")
+def images_to_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images (documents) joined to a model's outputs (every second text, with a for o), compared; images without an output stay (their numbers are shown as -1)."""
+    docs = texts(spark, sf_dir, "documents")
+    images = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("true_markdown"))
+    outputs = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("m").alias("model"), F.replace("text", F.lit("a"), F.lit("o")).alias("text"))
+    found = benchmark.compare_outputs(images, outputs)
+    there = F.col("model").isNotNull()
+    return found.select(F.col("id").alias("doc_id"), "model", F.round("jaccard", 6).alias("jaccard"), *(F.when(there, F.size(f"diff.{k}").cast("bigint")).otherwise(-1).alias(k) for k in ("removed", "changed", "added")))
+
+
+@query("SELECT doc_id, lang AS format, source AS quality, text FROM documents")
+def json_in_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground-truth rows whose metadata is JSON in text and whose Markdown is a JSON string in text."""
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.col("lang").alias("format"), F.col("source").alias("documentQuality"))).alias("metadata"), quoted(F.col("text")).alias("true_markdown_output"))
+    return benchmark.read_images(raw).select("doc_id", "metadata.format", F.col("metadata.documentQuality").alias("quality"), F.col("true_markdown").alias("text"))
 
 
 # scalar functions
@@ -438,11 +476,35 @@ def parse_data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MAGIC = (("89504E470D0A1A0A00", "image/png"), ("FFD8FFE000104A464946", "image/jpeg"), ("474946383961", "image/gif"), ("524946460000000057454250", "image/webp"), ("255044462D312E37", "application/pdf"), ("3C68746D6C", None), ("", None))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if m is None else repr(m)})" for i, (_, m) in enumerate(_MAGIC)) + ") AS t(i, mime_type)")
+@query("SELECT doc_id, CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{m}'" for i, (_, m) in enumerate(_MAGIC) if m) + " END AS mime_type FROM documents")
 def mime_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MIME types by first bytes."""
-    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{h}')" for i, (h, _) in enumerate(_MAGIC)) + " AS t(i, h)")
-    return rows.select("i", urls.mime_type(F.unhex("h")).alias("mime_type"))
+    """MIME types by first bytes: of each document's text with one of seven heads before it."""
+    heads = F.array(*(F.lit(h) for h, _ in _MAGIC))
+    data = F.concat(F.unhex(F.get(heads, (F.col("doc_id") % 7).cast("int"))), F.encode("text", "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", urls.mime_type(data).alias("mime_type"))
+
+
+@query("SELECT event_id, event_id % 3 <> 0 OR (regexp_matches(event_type, '(?i)er') AND event_id % 2 = 0) AS failed FROM events")
+def command_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a command failed: by its exit code (the event's number modulo three), or a line of its output (made from the event's type) that names an error, but not the harmless one."""
+    i = F.col("event_id")
+    line = F.when(F.col("event_type").rlike("(?i)er"), F.when(i % 2 == 0, "an Error: x").otherwise("error: xref num 5")).otherwise("fine")
+    return table(spark, sf_dir, "events").select("event_id", tx.command_failed((i % 3).cast("int"), F.concat(F.lit("start\n"), line)).alias("failed"))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS n, line FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, trim(unnest(ls), ' ') AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE line <> ''")
+def tool_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the output of tools: their trimmed lines that aren't empty."""
+    return texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.tool_warnings(F.col("text"))).alias("n", "line"))
+
+
+@query(r"""
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda t: CASE WHEN lower(t) IN ('the', 'und', 'les') THEN '<span class="changed">' || t || '</span>' ELSE t END), '') AS text FROM documents
+""")
+def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some words marked as changed, in any case."""
+    words = F.array(*map(F.lit, ("the", "und", "les")))
+    return texts(spark, sf_dir, "documents").select("doc_id", tx.highlight(F.col("text"), words, F.array().cast("array<string>")).alias("text"))
 
 
 @query("""
@@ -523,6 +585,56 @@ def rate_limit_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retry.admitted(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", ["ts", "event_id"], retry.RateLimit.parse("1/m")).select("event_id", "admitted")
 
 
+class Flaky:
+    """A provider for retried_calls: the text's number of failures come first, and count as usage."""
+
+    name = "flaky"
+
+    def __init__(self):
+        self.failed: dict[str, int] = {}
+
+    def complete(self, model, prompt, schema_, options):
+        from ..operators.providers import Completion, last_user
+
+        key = last_user(prompt)
+        failures = int(key.split(" ")[1])
+        if self.failed.get(key, 0) < failures:
+            self.failed[key] = self.failed.get(key, 0) + 1
+            raise retry.Transient("busy")
+        return Completion({"a": key}, 100 + failures, 1 + failures)
+
+
+@query("SELECT doc_id, 'ok' AS status, doc_id % 3 AS n_errors, round((100 + doc_id % 3) * 0.001 + (1 + doc_id % 3) * 0.002, 6) AS estimated_cost FROM documents")
+def retried_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that fail up to two times before they answer, with the errors kept and the cost from the table of models."""
+    models = spark.sql("SELECT * FROM VALUES ('m', 'x', 0.001D, 0.002D) AS t(model, provider, input_cost_per_token, output_cost_per_token)")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).alias("failures"))
+    prompt = {"response_schema": {"description": "x", "properties": {"a": {"description": "a"}}}, "messages": [{"user": {"text": "{{doc_id}} {{failures}}"}}]}
+    out = ch.chat(docs, prompt, Flaky(), "m", models=models, id_col="doc_id")
+    return out.select(F.col("id").cast("bigint").alias("doc_id"), "status", F.size("errors").cast("bigint").alias("n_errors"), F.round("estimated_cost", 6).alias("estimated_cost"))
+
+
+@query("SELECT (SELECT count(*) FROM events) AS jsonl, (SELECT count(*) FROM documents) AS csv")
+def record_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records counted in files: JSON lines and CSV with line breaks in its cells."""
+    lines, cells = scratch_path(spark, "count") + ".jsonl", scratch_path(spark, "count") + ".csv"
+    write_jsonl(table(spark, sf_dir, "events").select(F.col("event_id").alias("id")), lines)
+    write_csv(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), cells)
+    return spark.range(1).select(F.lit(count_records(spark, lines)).cast("bigint").alias("jsonl"), F.lit(count_records(spark, cells)).cast("bigint").alias("csv"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def exported_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each row's text, in a folder that all machines share, and the files read back by their paths."""
+    folder = scratch_path(spark, "texts").removeprefix("file:")
+    written = export_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", "path", folder + "/{id}.txt")
+    paths = scratch_path(spark, "paths")
+    written.write.parquet(paths)
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
+    found = spark.read.parquet(paths).select("doc_id", F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+    return found.join(files, "name").select("doc_id", "text")
+
+
 @query("""
 SELECT doc_id, 'Title' || chr(10) || source || chr(10) || chr(10) || 'a b ' || chr(10) AS text FROM documents
 """)
@@ -539,8 +651,7 @@ def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS page_idx FROM conversations")
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a whole numbered from 0 in order."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "role", (F.row_number().over(w) - 1).alias("page_idx"))
+    return pages.number_pages(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "role", "page_idx")
 
 
 @query("SELECT doc_id, lower(lang) AS a, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'failed' END AS status FROM documents")

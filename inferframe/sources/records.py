@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +18,35 @@ def is_json(path: str) -> bool:
     return os.path.splitext(path)[1].lower() in (".json", ".jsonl")
 
 
-def spool(stream=None, folder: str | None = None) -> str:
-    """Copies standard input to a file, named by its first byte: `{` is JSONL, else CSV."""
-    data = (stream or sys.stdin.buffer).read()
-    if not data.strip():
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path (not made yet) in the folder of spark.checkpoint.dir, which all machines share; without it in the warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spool(spark: SparkSession, stream=None) -> str:
+    """Copies standard input to a file that all machines can read, named by its first byte that isn't blank: `{` is JSONL, else CSV.
+
+    The input passes in blocks, of which one is held.
+    """
+    stream, head = stream or sys.stdin.buffer, b""
+    while not head.strip() and (block := stream.read(1 << 20)):
+        head += block
+    if not head.strip():
         raise ValueError("the input is empty")
-    fd, path = tempfile.mkstemp(suffix=".jsonl" if data.lstrip()[:1] == b"{" else ".csv", dir=folder)
-    with os.fdopen(fd, "wb") as f:
-        f.write(data)
+    path = scratch_path(spark, "stdin") + (".jsonl" if head.lstrip()[:1] == b"{" else ".csv")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    while head:
+        out.write(bytearray(head))
+        head = stream.read(1 << 20)
+    out.close()
     return path
 
 
@@ -90,13 +111,14 @@ def quoted(text: Column) -> Column:
     return F.substring(j, F.lit(2), F.length(j) - 2)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """Rows of a CSV file with a header: _seq, the envelope, and the user's columns as strings.
 
     Empty cells are empty strings. A ragged row fails the run. `true` and `false` are accepted in
-    skip_processing; passthrough_data stays a JSON string.
+    skip_processing; passthrough_data stays a JSON string. Quoted cells may hold line breaks, for which each
+    file is read by one task; with line_breaks=False they may not, and large files are split.
     """
-    options = {"header": True, "inferSchema": False, "mode": "FAILFAST", "multiLine": True, "escape": '"', "nullValue": "\0", "emptyValue": ""}
+    options = {"header": True, "inferSchema": False, "mode": "FAILFAST", "multiLine": line_breaks, "escape": '"', "nullValue": "\0", "emptyValue": ""}
     df = spark.read.options(**options).csv(path)
     if "id" not in df.columns:
         raise ValueError(f"{path}: no column id")
@@ -108,8 +130,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select("_seq", quoted(F.col("id")).alias("id"), flag.alias("skip_processing"), passed.alias("passthrough_data"), *user)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path) if is_json(path) else read_csv(spark, path)
+def read_records(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    return read_jsonl(spark, path) if is_json(path) else read_csv(spark, path, line_breaks)
 
 
 def count_records(spark: SparkSession, path: str) -> int:
@@ -166,8 +188,6 @@ def export_text(df: DataFrame, id_col: str, key: str, new_key: str, pattern: str
     get their names, so a task that runs again does no harm. The folder must be
     shared by all machines.
     """
-    import uuid
-
     from pyspark.sql import types as T
 
     kept = [f for f in df.schema.fields if f.name != key]

@@ -1,14 +1,19 @@
 import json
 import random
+import sys
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from pyspark import cloudpickle
 
 from inferframe.operators import chat as ch
 from inferframe.operators import metrics, prompt, providers, retry, schema
 from inferframe.sources.records import read_records
 
+# workers can't import test modules
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ECHO = {"developer": "Repeat.", "response_schema": {"description": "d", "properties": {"echo": {"description": "e", "type": "string"}}}, "messages": [{"user": {"text": "{{message}}"}}]}
 JOKE = {"response_schema": {"description": "d", "properties": {"punchline": {"description": "p"}}}, "messages": [{"user": {"text": "{{joke}}"}}]}
 
@@ -226,6 +231,59 @@ def test_rate_limits():
     assert times == [0, 0, 1, 1, 2]
 
 
+def test_signatures():
+    """The worked example in AWS's public documentation of version 4."""
+    key = providers.AwsKey("AKIDEXAMPLE", "wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY")
+    headers = key.sign("GET", "https://iam.amazonaws.com/?Action=ListUsers&Version=2010-05-08", b"", {"Content-Type": "application/x-www-form-urlencoded; charset=utf-8"}, "us-east-1", "iam", "20150830T123600Z")
+    assert headers["Authorization"].endswith("SignedHeaders=content-type;host;x-amz-date, Signature=5d672d79c15b13162d9279b0855cfba6789a8edb4c82c400e06b5924a6f2b5d7")
+
+
+def test_errors_name_the_line(tmp_path):
+    (tmp_path / "p.toml").write_text('[response_schema]\ndescription = "d"\n\n[[messages]]\nuser.txt = "x"\n')
+    with pytest.raises(prompt.PromptError, match=r"p\.toml:5: .*unknown field 'txt'"):
+        prompt.load_prompt(str(tmp_path / "p.toml"))
+
+
+def test_shares_of_a_rate_limit():
+    throttle = retry.Throttle.of("10/m", retry.slots_for(4, "10/m"))
+    assert throttle.permits == (3, 3, 2, 2) and throttle.seconds == 60 and throttle.bucket().permits == 3
+    assert retry.Throttle.of(None, 4) is None and retry.slots_for(8, "2/s") == 2 and retry.slots_for(8, None) == 8
+
+
+def test_what_a_model_table_says_of_its_vendor():
+    p = {"developer": None, "messages": []}
+    bodies = {(m, v): providers.openai_body(m, p, {}, providers.LlmOptions(vendor=v)) for m in ("claude-x", "alias") for v in (None, "anthropic", "other")}
+    assert [k for k, b in bodies.items() if "store" not in b] == [("claude-x", None), ("claude-x", "anthropic"), ("alias", "anthropic")]
+
+
+class Counting:
+    """Answers, and leaves a file for each call."""
+
+    name = "counting"
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def complete(self, model, prompt, schema_, options):
+        import os
+        import uuid
+
+        text = providers.last_user(prompt)
+        with open(os.path.join(self.folder, f"{text}-{uuid.uuid4().hex}"), "w"):
+            pass
+        return providers.Completion({"punchline": text}, 1, 1)
+
+
+def test_rows_are_made_once(spark, tmp_path):
+    """The ordered write reads what was written, so every call is made once and counted once."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    rows = spark.createDataFrame([(i, str(i)) for i in range(40)], "id int, joke string")
+    summary = ch.run_and_write(ch.chat(rows, JOKE, Counting(str(calls)), "m"), str(tmp_path / "out"))
+    assert summary.total == 40 and summary.prompt_tokens == 40 and len(list(calls.iterdir())) == 40
+    assert [r["id"] for r in written(tmp_path / "out")] == list(range(40))
+
+
 def test_gate(spark):
     for failures, total, want in ((1, 100, False), (2, 100, True), (0, 0, False), (1, 99, True)):
         assert metrics.Summary(total, failures).too_many_failures(0.01) is want

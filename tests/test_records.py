@@ -45,10 +45,10 @@ def test_csv(spark, tmp_path):
         rec.read_records(spark, str(tmp_path / "noid.csv"))
 
 
-def test_sniffing():
-    assert rec.spool(io.BytesIO(b'{"id":1}\n')).endswith(".jsonl") and rec.spool(io.BytesIO(b"id\n1\n")).endswith(".csv")
+def test_sniffing(spark):
+    assert rec.spool(spark, io.BytesIO(b'{"id":1}\n')).endswith(".jsonl") and rec.spool(spark, io.BytesIO(b" \nid\n1\n")).endswith(".csv")
     with pytest.raises(ValueError):
-        rec.spool(io.BytesIO(b""))
+        rec.spool(spark, io.BytesIO(b""))
 
 
 def test_jsonl_sink_has_both_kinds_of_null(spark, tmp_path):
