@@ -17,8 +17,6 @@ from .textops import LOWER, PIECE, pieces
 LANGUAGES = ("de", "en", "es", "fr")
 #: Hashed byte trigrams of the text model.
 DIMS = 1 << 14
-#: Trigrams that a text's evidence counts for at most: neighbours overlap, so long texts would be far too sure.
-EVIDENCE = 40
 #: Added to every count of the text model.
 SMOOTH = 0.02
 #: Part of an even spread in the model that tells known languages from others: an unseen trigram weighs alike at every corpus size.
@@ -90,7 +88,7 @@ def _spread(scores: Column) -> Column:
     return F.transform(F.array(power), lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda s, v: s + v)))[0]
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, languages: Sequence[str] = LANGUAGES, confidence: float = 0.5, strength: float = 20.0, floor: float = 0.0) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, languages: Sequence[str] = LANGUAGES, confidence: float = 0.5, strength: float = 20.0, floor: float = 0.0, evidence: int = 40) -> DataFrame:
     """Returns a row for each row of `docs`: id, language, posterior, text_language, n_trigrams, rejected.
 
     Naive Bayes over what is known of a document, each part learned from the whole
@@ -101,6 +99,9 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels), that towards the whole table's, `strength` documents' worth each.
     The counts are grouped aggregations of the text's verdicts, joined back on
     narrow rows; a hot host is combined on the map side and its join can be split.
+    A text's mean log ratio counts for at most `evidence` trigrams: neighbours
+    overlap, and as independent ones they would drown every other evidence. Of languages
+    that are equally likely the first in `languages` is taken.
 
     A document is rejected if it has no letter, if its text isn't more likely in some
     language (mixed with EVEN of an even spread of trigrams) than in the even spread
@@ -133,8 +134,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     sums[first : first + rows, k] += np.bincount(row, weights=known[k][code], minlength=rows)
                     against[first : first + rows, k] += np.bincount(row, weights=mixed[k][code], minlength=rows)
             mean = sums / np.maximum(count, 1)[:, None]
-            evidence = mean * np.minimum(count, EVIDENCE)[:, None]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n, pa.int32()), pa.array(evidence.ravel()))
+            weighed = mean * np.minimum(count, evidence)[:, None]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n, pa.int32()), pa.array(weighed.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(count), flat, pa.array(against.max(axis=1) / np.maximum(count, 1))], names=["id", "said", "host", "n", "ll", "over"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("said", T.StringType()), T.StructField("host", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("over", T.DoubleType())])

@@ -103,13 +103,13 @@ class LatentVotes:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        """Share of label 1 in the similarity-weighted votes of the nearest; all cosines are computed, in blocks."""
+        """Share of label 1 in the similarity-weighted votes of the nearest (of equally near ones those labelled first); all cosines are computed, in blocks."""
         out = np.full(len(rows), 0.5)
         if not len(self.labels):
             return out
         for a in range(0, len(rows), 512):
             cosine = self.unit(self.weigh(rows[a : a + 512])) @ self.vectors.T
-            near = np.argpartition(-cosine, self.neighbours - 1, axis=1)[:, : self.neighbours]
+            near = np.argsort(-cosine, axis=1, kind="stable")[:, : self.neighbours]
             vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4 * self.weights[near] + 1e-9
             out[a : a + 512] = (vote * self.labels[near]).sum(axis=1) / vote.sum(axis=1)
         return np.clip(out, 0, 1)
@@ -126,7 +126,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     with all of them.
 
     Nulls: a null text is empty; a null id counts as empty text; labels other
-    than 0 and 1 are ignored. Repeated rows are scored alike. Without labelled
+    than 0 and 1 are ignored. Repeated rows are scored alike; of different texts with one labelled
+    id that with the least features is learned. Without labelled
     rows every score is 0.5. Columns of the three names are replaced. An empty
     table gives an empty one.
     """
@@ -144,7 +145,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "label", "features"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("features", T.BinaryType())])
-    got = sorted(rows.mapInArrow(measure, schema).dropDuplicates(["id", "label"]).collect(), key=lambda r: (r.id, r.label))
+    rows = rows.mapInArrow(measure, schema).groupBy("id", "label").agg(F.min("features").alias("features"))
+    got = sorted(rows.collect(), key=lambda r: (r.id, r.label))
     fit = np.frombuffer(b"".join(r.features for r in got), np.float32).reshape(-1, FEATURES)
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(LatentVotes(fit, np.array([r.label for r in got], np.int64), rank, neighbours) if got else None, 5))
 

@@ -26,9 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table documents; fewer files than cores (small tables only) are dealt out to all cores."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 def op1_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every document whose id is divisible by 100, whole texts on both sides."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return bm25_top_k(docs, docs.where(F.col("doc_id") % 100 == 0), k=10)
 
 
@@ -51,14 +57,14 @@ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under a bigram model of nine in ten of them."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) == 0
     return lm_scores(docs, held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from its text, declared language and source."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return identify_languages(docs, declared=F.col("lang"), host=F.col("source")).withColumnRenamed("id", "doc_id")
 
 
@@ -70,13 +76,13 @@ def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
-    out = simhash_components(table(spark, sf_dir, "documents"), shingle=4, seed=42, max_distance=4)
+    out = simhash_components(documents(spark, sf_dir), shingle=4, seed=42, max_distance=4)
     return out.withColumnRenamed("id", "doc_id")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by a window of 35 words that also starts anywhere else go."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return substring_dedup(docs, length=35, derive={"kept_sha256": lambda kept: F.sha2(kept, 256)}, keep_text=False).drop("spans")
 
 
@@ -106,13 +112,13 @@ def bpe_columns(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text with the public 50k byte-level vocabulary."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return bpe_columns(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality votes of the nearest labelled documents, learned from two of three folds."""
-    return quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+    return quality_scores(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +153,7 @@ SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(0)}, CASE WHEN mar
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points or more in 5 documents or more stay only in the largest doc_id."""
-    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
+    out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"), min_chars=40, min_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -170,7 +176,7 @@ FROM marked GROUP BY doc_id
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside any occurrence of a 13-word window of a benchmark item."""
-    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=13, share=20)
+    out = decontaminate(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=13, share=20)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 

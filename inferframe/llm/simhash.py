@@ -290,7 +290,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = keyed.mapInArrow(_verify(max_distance), "a long, b long")
     groups = connected_components(links)
     labelled = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that both sides of the join on roots are plain and a giant component's part can be split
+    smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id")).checkpoint()
     labels = labelled.join(smallest, "root").select(F.col("fp").alias("of"), "component_id")
     return rows.join(labels, rows.fp == labels.of).select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

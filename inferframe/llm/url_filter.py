@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,10 +86,29 @@ def train(spark: SparkSession, labelled=LABELLED) -> list[int]:
     return fitted.select(F.transform("w", lambda v: F.round(v * SCALE).cast("long"))).first()[0]
 
 
-def fits(host: Column, path: Column, rule: str) -> Column:
-    """Whether a rule's host is the url's or a parent of it, and the path starts with the rule's."""
-    cut = rule.index("/")
-    return ((host == rule[:cut]) | host.endswith("." + rule[:cut])) & path.startswith(rule[cut:])
+def fitting(host: Column, path: Column, rules) -> Column:
+    """(rank, rule, verdict) of the rule that decides, or null.
+
+    The rules are a literal: an array of maps by the CRC-32 of a host, so that a look-up meets few
+    keys however many there are. Each end of the url's host that starts at a label is looked up.
+    """
+    ranked = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
+    size = 1 << max(0, len(ranked) - 1).bit_length()
+    buckets: list[dict[str, list[dict]]] = [{} for _ in range(size)]
+    for rank, (verdict, text) in enumerate(ranked):
+        own, cut = buckets, text.index("/")
+        own[zlib.crc32(text[:cut].encode()) % size].setdefault(text[:cut], []).append({"rank": -rank, "path": text[cut:], "rule": text, "verdict": verdict})
+    kind = "struct<rank:int,path:string,rule:string,verdict:string>"
+    literal = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,array<{kind}>>>")
+    parts = F.split(host, r"\.", -1)
+
+    def of_end(i: Column) -> Column:
+        end = F.array_join(F.slice(parts, i, F.size(parts)), ".")
+        return F.element_at(F.get(literal, F.crc32(end).bitwiseAND(F.lit(size - 1)).cast("int")), end)
+
+    found = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), of_end), lambda r: r.isNotNull())
+    fit = F.filter(F.flatten(found), lambda r: path.startswith(r["path"]))
+    return F.array_max(F.transform(fit, lambda r: F.struct(r["rank"].alias("rank"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
 
 
 def url_verdicts(pages: DataFrame, url_col: str = "url", rules=RULES, weights: list[int] | None = None, labelled=LABELLED) -> DataFrame:
@@ -97,25 +117,21 @@ def url_verdicts(pages: DataFrame, url_col: str = "url", rules=RULES, weights: l
     The longest fitting rule decides (of equally long ones the first in order
     of text); without one, logistic regression on hashed character trigrams of
     host and path, trained on `labelled`. All in SQL functions; a row is never
-    moved. Rules are a list of at most 1,000 entries.
+    moved. The rules are a literal of the plan.
 
     A null url, or one without `://`, has an empty host and path and is judged by
     the model. Repeated rows are judged alike. Columns of the four names are
     replaced. An empty table gives an empty one.
     """
-    if len(rules) > 1000:
-        raise ValueError("more than 1,000 rules")
     weights = weights or train(pages.sparkSession, labelled)
     host, path = host_and_path(F.col(url_col))
     out = pages.select(*(c for c in pages.columns if c not in ("host", "path", "rule", "verdict")), host.alias("host"), path.alias("path"))
-    rule, word = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for verdict, text in sorted(rules, key=lambda r: (len(r[1]), [-ord(c) for c in r[1]])):
-        fit = fits(F.col("host"), F.col("path"), text)
-        rule, word = F.when(fit, F.lit(text)).otherwise(rule), F.when(fit, F.lit(verdict)).otherwise(word)
+    out = out.withColumn("_rule", fitting(F.col("host"), F.col("path"), rules))
     known = F.from_json(F.lit(json.dumps(weights)), "array<bigint>")
     g = grams(F.col("host"), F.col("path"))
     margin = F.aggregate(g, F.lit(0).cast("bigint"), lambda s, i: s + F.element_at(known, i + 1) * BIAS) + F.element_at(known, -1) * F.size(g)
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(word, F.when(margin > 0, "block").otherwise("allow"))})
+    judged = F.coalesce(F.col("_rule.verdict"), F.when(margin > 0, "block").otherwise("allow"))
+    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": judged}).drop("_rule")
 
 
 def train_plain(labelled=LABELLED) -> list[int]:

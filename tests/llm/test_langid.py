@@ -1,10 +1,11 @@
 import math
 
+import re
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
-from inferframe.llm import langid, queries, textops
+from inferframe.llm import langid, queries
 
 
 def test_agrees_with_declared_languages(spark):
@@ -16,24 +17,32 @@ def test_agrees_with_declared_languages(spark):
     assert len(pages) == 250 and {r.language for r in pages} <= {"de", "en", "es", "fr"}
 
 
-def plain(rows, languages=langid.LANGUAGES, strength=20.0):
-    """The same evidence, one row at a time."""
-    def codes(text):
-        column = pa.array([text or ""])
-        return [c for _, offsets, data in textops.pieces(column) for c in langid.trigrams(offsets, data)[1].tolist()]
+def codes(text):
+    """Hashed byte trigrams, one byte at a time: letters in lower case, gaps for the rest, a gap on either side."""
+    sound = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()]
+    framed = [32, *sound, 32]
+    out = []
+    for a, b, c in zip(framed, framed[1:], framed[2:]):
+        if not a == b == c == 32:
+            out.append(((a << 16 | b << 8 | c) * 0x9E3779B1 >> 11) & (2**14 - 1))
+    return out
+
 
+def plain(rows, languages=("de", "en", "es", "fr"), strength=20.0, evidence=40):
+    """The same evidence, one row at a time."""
     n = len(languages)
-    counts = np.zeros((n, langid.DIMS))
+    counts = np.zeros((n, 2**14))
     for text, said, _ in rows:
         if said in languages:
             np.add.at(counts[languages.index(said)], codes(text), 1)
-    model = np.log((counts + langid.SMOOTH) / (counts + langid.SMOOTH).sum(axis=1, keepdims=True) * langid.DIMS)
+    model = np.log((counts + 0.02) / (counts + 0.02).sum(axis=1, keepdims=True) * 2**14)
+    mixed = np.log(0.98 * counts / np.maximum(counts.sum(axis=1, keepdims=True), 1) * 2**14 + 0.02)
     lls, guesses = [], []
     for text, _, _ in rows:
         c = codes(text)
-        ll = model[:, c].mean(axis=1) * min(len(c), langid.EVIDENCE) if c else np.zeros(n)
+        ll = model[:, c].mean(axis=1) * min(len(c), evidence) if c else np.zeros(n)
         lls.append(ll)
-        guesses.append(int(ll.argmax()) if c and ll.max() > -3.0 * min(len(c), langid.EVIDENCE) else None)
+        guesses.append(int(ll.argmax()) if c and mixed[:, c].mean(axis=1).max() > 0 else None)
 
     def tally(keys):
         out = {}
@@ -80,6 +89,36 @@ def test_against_plain(spark):
     assert langid.identify_languages(docs.limit(0)).collect() == []
 
 
+def test_pages_against_plain(spark):
+    """The query over pages, with markup, host and text taken by other means."""
+    pages = sorted((r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect())
+    rows = []
+    for _, url, html in pages:
+        said = re.search(r"<html[^>]*\blang\s*=\s*[\"']?([a-z]+)", html or "", re.I)
+        bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html or "")
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        rows.append((re.sub(r"<[^>]*>", " ", bare), said and said[1].lower(), re.split(r"[/?#]", rest)[0].lower()))
+    got = {r.page_id: (r.language, r.posterior) for r in queries.op3_language_id_pages(spark, "/root/testdata/sf0.01").collect()}
+    want = plain(rows)
+    assert [got[i][0] for i, _, _ in pages] == [w[0] for w in want]
+    assert all(abs(got[i][1] - w[1]) < 1e-3 for (i, _, _), w in zip(pages, want) if w[0] != "und")
+
+
+def test_accuracy_where_nothing_is_declared(spark):
+    """A third of the rows lose declaration and host, which teach nothing of them and say nothing for them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("said", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    hidden = docs.where("said IS NULL").count()
+    got = langid.identify_languages(docs, declared=F.col("said"), host=F.when(F.col("said").isNotNull(), F.col("source")))
+    rows = got.join(docs.select(F.col("doc_id").alias("id"), "lang", "said"), "id").where("said IS NULL").collect()
+    assert len(rows) == hidden > 300
+    assert sum(r.text_language == r.lang for r in rows) >= 0.99 * hidden and sum(r.language == r.lang for r in rows) >= 0.99 * hidden
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = spark.createDataFrame([(1, "abc abc", "fr"), (2, "abc abc", "es"), (3, "abc abc", None)], "doc_id long, text string, lang string")
+    got = {r.id: r for r in langid.identify_languages(rows, declared=F.col("lang"), confidence=0.0).collect()}
+    assert got[3].text_language == "es" and got[3].language == "es"
+
 
 def test_markup(spark):
     pages = [('<HTML class="a" lang=\'fr\'><script>var t="</p>";</script>un<b>e</b><!-- <p> --> rue', "fr"), ("<html><p lang='de'>x", None), (None, None)]

@@ -1,6 +1,8 @@
+import re
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from inferframe.llm import quality, queries
@@ -41,6 +43,66 @@ def test_votes_are_exact_cosines():
         assert abs(got[i] - (w * labels[near]).sum() / w.sum()) < 1e-4
 
 
+def plain_features(text):
+    """Log-count features of a text, one word at a time."""
+    counts, before, last = np.zeros(768 + 1024 + 512), None, None
+    for w in re.findall(rb"[^ \t\n\x0b\x0c\r]+", (text or "").encode()):
+        upper, marks = len(re.findall(rb"[A-Z]", w)), len(re.findall(rb"[^A-Za-z0-9\x80-\xff]", w))
+        capital = 0 if upper == 0 else 1 if upper == 1 else 3 if 2 * upper > len(w) - marks else 2
+        shape = ((capital * 4 + min(marks, 3)) * 2 + bool(re.search(rb"[0-9]", w))) * 12 + min(len(w), 23) // 2
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+        shape += 384 if low == last else 0
+        counts[shape] += 1
+        if before is not None:
+            counts[768 + spread(before * 1000 + shape) % 1024] += 1
+        counts[768 + 1024 + spread(xxhash.xxh64_intdigest(low, 42)) % 512] += 1
+        before, last = shape, low
+    return counts
+
+
+def spread(x):
+    m = (1 << 64) - 1
+    x = (x + 0x9E3779B97F4A7C15) & m
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m
+    return x ^ (x >> 31)
+
+
+def test_query_against_brute_force(spark):
+    """All of the query again, in plain steps: features, an exact decomposition, every cosine, the votes."""
+    sf = "/root/testdata/sf0.01"
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    labels = sorted((r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1)
+    rows = {i: plain_features(t) for i, t in docs}
+    fit, y = np.array([rows[i] for i, _ in labels]), np.array([q for _, q in labels])
+    idf = np.log((1 + len(fit)) / (1 + (fit > 0).sum(axis=0))) + 1
+
+    def weigh(x):
+        out = np.log1p(x) * idf
+        for a, b in ((0, 768), (768, 1792), (1792, 2304)):
+            out[:, a:b] /= np.maximum(np.linalg.norm(out[:, a:b], axis=1, keepdims=True), 1e-9)
+        out[:, 1792:] *= 0.3
+        return out
+
+    basis = np.linalg.svd(weigh(fit), full_matrices=False)[2][:48].T
+
+    def unit(x):
+        out = weigh(x) @ basis
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    cosine = unit(np.array([rows[i] for i, _ in docs])) @ unit(fit).T
+    near = np.argsort(-cosine, axis=1, kind="stable")[:, :25]
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4 * weight[near] + 1e-9
+    want = dict(zip([i for i, _ in docs], (vote * y[near]).sum(axis=1) / vote.sum(axis=1)))
+    got = {r.doc_id: r for r in queries.op6_quality(spark, sf).collect()}
+    assert set(got) == set(want)
+    # the operator's decomposition is iterated, so a neighbour at the edge may differ
+    far = [abs(got[i].score - want[i]) for i in want]
+    assert np.mean(far) < 0.002 and np.quantile(far, 0.99) < 0.05
+    assert sum(got[i].predicted == (want[i] >= 0.5) for i in want) >= len(want) - 3
+
+
 def test_edge_rows(spark):
     rows = [(i, t) for i, t in enumerate(["a plain sentence of words", None, "", "SHOUT!! SHOUT!!", "x " * 300_000, "é" * 10, "a plain sentence of words"])]
     docs = spark.createDataFrame([(i, t, 9.0, "q") for i, t in [*rows, (None, "no id")]], "doc_id long, text string, score double, quality string")

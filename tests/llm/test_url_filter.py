@@ -23,6 +23,24 @@ def test_rules_and_odd_urls(spark):
     assert url_filter.url_verdicts(pages.limit(0)).collect() == []
 
 
+def test_many_rules_and_equal_lengths(spark):
+    rules = [("block" if i % 2 else "allow", f"h{i}.test/{'p' * (i % 3)}") for i in range(3000)] + [("allow", "b.test/x"), ("block", "a.test/x"), ("block", "s.a.test/"), ("allow", "test/zz/")]
+    urls = [f"http://{'w.' * (i % 2)}h{i}.test/{'p' * (i % 4)}" for i in range(0, 3000, 7)] + ["http://a.test/xy", "http://s.a.test/xy", "http://b.test/x", "http://q.b.test/y", "http://any.test/zz/1", "http://test/zz/", "http://nota.testx/zz/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.url: r.rule for r in url_filter.url_verdicts(pages, rules=rules, weights=[0] * (2 * url_filter.DIMS + 1)).collect()}
+    for url in urls:
+        host, _, path = url[7:].partition("/")
+        fit = [r for _, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and ("/" + path).startswith(r[r.index("/") :])]
+        assert got[url] == min(fit, key=lambda r: (-len(r), r), default=None), url
+
+
+def test_held_out_urls(spark):
+    taught, left = url_filter.LABELLED[::2], url_filter.LABELLED[1::2]
+    weights = url_filter.train_plain(taught)
+    got = url_filter.url_verdicts(spark.createDataFrame(left, "url string, y int"), rules=(), weights=weights).collect()
+    assert sum((r.verdict == "block") == bool(r.y) for r in got) >= 0.7 * len(got)
+
+
 def test_no_python_in_the_plan(spark):
     plan = queries.op8_url_filter(spark, "/root/testdata/sf0.01")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Exchange" not in plan
