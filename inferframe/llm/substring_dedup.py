@@ -15,6 +15,8 @@ from .textops import NOT_SPACE, distinct_words, window_hashes
 
 _PACKET = "bucket long, chunk long, hashes binary, flags binary"
 _MANY, _ASKS = 1, 2
+#: Text of a part at most, about; there are more parts than shuffle partitions where the texts ask for them.
+PART_BYTES = 64 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("first_word", "last_word")]))
 _SPANS_ARROW = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64())]))
 
@@ -192,13 +194,19 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)}
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     chunks = max(2 * parts, -(-total // chunk_bytes))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Chunks dealt out evenly: so many to each part, which keeps its place through the steps."""
+        return rows.withColumn("part", F.floor(F.col("chunk") * parts / chunks).cast("int")).repartitionById(parts, "part")
+
     distinct = docs.select(*(c.alias(k) for k, c in keys.items()), text.alias("text")).groupBy("_h1", "_h2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    dealt = distinct.select(F.pmod(F.xxhash64("_h2", "_h1"), F.lit(chunks)).alias("chunk"), "_h1", "_h2", "text", "copies").repartition(parts, "chunk")
+    dealt = placed(distinct.select(F.pmod(F.xxhash64("_h2", "_h1"), F.lit(chunks)).alias("chunk"), "_h1", "_h2", "text", "copies"))
+    keys_of = ["part", "chunk"]
 
     def seeds(table: pa.Table) -> pa.Table:
         c = Chunk(table, length, anchor)
@@ -241,9 +249,9 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
             {"_h1": table.column("_h1"), "_h2": table.column("_h2"), "_kept": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(np.diff(c.first) if c else [], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, _SPANS_ARROW)}
         )
 
-    seeded = _answers(dealt.groupBy("chunk").applyInArrow(seeds, _PACKET), parts, 1)
-    repeated = _answers(dealt.groupBy("chunk").cogroup(seeded.groupBy("chunk")).applyInArrow(extend, _PACKET), parts, 2)
-    done = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(remove, made)
+    seeded = placed(_answers(dealt.groupBy(keys_of).applyInArrow(seeds, _PACKET), parts, 1))
+    repeated = placed(_answers(dealt.groupBy(keys_of).cogroup(seeded.groupBy(keys_of)).applyInArrow(extend, _PACKET), parts, 2))
+    done = dealt.groupBy(keys_of).cogroup(repeated.groupBy(keys_of)).applyInArrow(remove, made)
     derive = {**({text_col: lambda c: c} if keep_text else {}), **(derive or {})}
     done = done.select("_h1", "_h2", "n_words", "n_removed", "spans", *(f(F.col("_kept")).alias(f"_new_{n}") for n, f in derive.items()))
     new = ["n_words", "n_removed", "spans", *derive]

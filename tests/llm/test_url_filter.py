@@ -35,10 +35,13 @@ def test_many_rules_and_equal_lengths(spark):
 
 
 def test_held_out_urls(spark):
-    taught, left = url_filter.LABELLED[::2], url_filter.LABELLED[1::2]
-    weights = url_filter.train_plain(taught)
-    got = url_filter.url_verdicts(spark.createDataFrame(left, "url string, y int"), rules=(), weights=weights).collect()
-    assert sum((r.verdict == "block") == bool(r.y) for r in got) >= 0.7 * len(got)
+    """Eight folds of the small table, each judged by a model of the other seven: about seven in ten are right."""
+    good, every = 0, url_filter.LABELLED
+    for i in range(8):
+        left = spark.createDataFrame(every[i::8], "url string, y int")
+        weights = url_filter.train_plain([x for j, x in enumerate(every) if j % 8 != i])
+        good += sum((r.verdict == "block") == bool(r.y) for r in url_filter.url_verdicts(left, rules=(), weights=weights).collect())
+    assert good == 34 and len(every) == 48
 
 
 def test_no_python_in_the_plan(spark):
