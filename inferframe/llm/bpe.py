@@ -143,11 +143,11 @@ def _distinct_words(splitter: Splitter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = pa.array([], pa.string())
         for batch in batches:
-            for _, offsets, data in pieces(batch.column(0)):
-                found = _matches(splitter, offsets, data)[2].array()
-                found = found.filter(pc.invert(pc.is_in(found, value_set=seen)))
-                seen = pa.concat_arrays([seen, found]) if seen.nbytes < REMEMBERED else found
-                yield pa.RecordBatch.from_arrays([found], names=["word"])
+            some = [_matches(splitter, offsets, data)[2].array() for _, offsets, data in pieces(batch.column(0))]
+            found = pc.unique(pa.concat_arrays([pa.array([], pa.string()), *some]))
+            found = found.filter(pc.invert(pc.is_in(found, value_set=seen)))
+            seen = pa.concat_arrays([seen, found]) if seen.nbytes < REMEMBERED else found
+            yield pa.RecordBatch.from_arrays([found], names=["word"])
 
     return run
 
