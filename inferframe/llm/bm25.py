@@ -1,4 +1,4 @@
-"""Exact BM25 top-k: inverted indexes of shards, block-max WAND in each, merged with global statistics."""
+"""Exact BM25 top-k: inverted indexes of shards, block-max pruning in each, merged with global statistics."""
 
 from __future__ import annotations
 
@@ -18,10 +18,8 @@ from .textops import ALNUM, Words, distinct_words, expand, locate, words_of
 K1, B = 1.2, 0.75
 #: Documents of a block, for which each term keeps its bound.
 BLOCK = 64
-#: A term in over one in FREQUENT of a shard's documents has its impacts in a dense row, in DENSE_BYTES for all rows.
-FREQUENT, DENSE_BYTES = 20, 64 << 20
-#: Bytes of base scores of the queries that are multiplied at once.
-BASE_BYTES = 16 << 20
+#: Documents are ordered by which of the shard's most frequent terms they use most, of those in over one in COMMON_IN documents.
+COMMON, COMMON_IN = 64, 10
 #: Decimal places of scores, wherever they are compared.
 PLACES = 6
 #: Tasks of the search at most; each has one or more blocks of queries with a group of shards.
@@ -61,7 +59,8 @@ class Shard:
 
     terms (sorted hashes, and the words themselves) -> entries, one for each block of documents that has
     the term, with its largest tf and the shortest length there -> postings (document, tf).
-    Files hold sizes in place of starts, and all numbers in the least type that fits.
+    Documents that are alike (by their most used common term, then by length) lie together, so that a
+    block's bounds are close to what its documents reach. Files hold sizes in place of starts, and all numbers in the least type that fits.
     """
 
     ARRAYS = ("terms", "entry_block", "entry_tf", "entry_len", "doc", "tf", "length", "ids", "word", "null")
@@ -70,10 +69,12 @@ class Shard:
     @classmethod
     def build(cls, ids: pa.Array, numbers: np.ndarray, sizes: np.ndarray, terms: pa.Array) -> Shard:
         self = cls()
-        self.ids, self.null, self.length = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), sizes.astype(np.uint32)
-        doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
         numbers, self.terms, own = _in_order(numbers, terms)
         self.word_at, self.word = own
+        alike = cls.order(numbers, sizes, len(own))
+        numbers, sizes, ids = numbers[expand((np.cumsum(sizes) - sizes)[alike], sizes[alike])], sizes[alike], ids.take(pa.array(alike))
+        self.ids, self.null, self.length = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), sizes.astype(np.uint32)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
         order = np.argsort(numbers, kind="stable")
         numbers, doc = numbers[order], doc[order]
         new_term = np.concatenate([[True], numbers[1:] != numbers[:-1]]) if len(numbers) else np.zeros(0, bool)
@@ -94,6 +95,24 @@ class Shard:
         self.term_at = np.append(first, len(entry)).astype(np.int64)
         return self
 
+    @staticmethod
+    def order(numbers: np.ndarray, sizes: np.ndarray, n_terms: int) -> np.ndarray:
+        """Documents by the common term that they use most, then by length; without common terms by length alone."""
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        often = np.argsort(-np.bincount(numbers, minlength=n_terms), kind="stable")[:COMMON]
+        place = np.full(n_terms, -1)
+        place[often] = np.arange(len(often))
+        some = place[numbers] >= 0
+        holders = np.bincount(np.unique(place[numbers[some]] * len(sizes) + doc[some]) // max(1, len(sizes)), minlength=len(often))
+        common = often[holders * COMMON_IN > len(sizes)]
+        if not len(common):
+            return np.argsort(sizes, kind="stable")
+        place[:] = -1
+        place[common] = np.arange(len(common))
+        at = place[numbers]
+        used = np.bincount((doc * COMMON + at)[at >= 0], minlength=len(sizes) * COMMON)
+        return np.lexsort((sizes, used.reshape(len(sizes), COMMON).argmax(axis=1)))
+
     def save(self, path: str) -> None:
         for name in self.ARRAYS:
             values = getattr(self, name)
@@ -124,46 +143,23 @@ class Shard:
         self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
         self.bound = most * (K1 + 1) / (most + K1 * (1 - B + B * np.asarray(self.entry_len) / mean_length))
         self.term_posts = self.entry_at[self.term_at]
-        df, n = np.diff(self.term_posts), max(1, len(self.length))
-        frequent = np.flatnonzero(df * FREQUENT > n)
-        frequent = frequent[np.argsort(-df[frequent], kind="stable")[: DENSE_BYTES // (8 * n)]]
-        self.row_of = np.full(len(df), -1, np.int64)
-        self.row_of[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), len(self.length)))
-        for row, t in enumerate(frequent.tolist()):
-            a, b = self.term_posts[t], self.term_posts[t + 1]
-            self.dense[row, self.docs[a:b]] = self.impact[a:b]
-
-    def base_scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What frequent terms give each document (a column) in each query (a row), by one matrix product."""
-        weights = np.zeros((len(queries), len(self.dense)))
-        for i, (places, w) in enumerate(queries):
-            rows = self.row_of[places]
-            weights[i, rows[rows >= 0]] = w[rows >= 0]
-        return weights @ self.dense
-
-    def search(self, places: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the best k, or of fewer that reach `floor`.
-
-        places, weights: of the query's terms in `terms`; base: its base_scores.
-        The largest base score of a block and the block-max bounds of
-        the other terms sum to a bound of the block. Blocks are visited from the
+
+    def search(self, places: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the best k, or of fewer that reach `floor`; places, weights: of the query's terms in `terms`.
+
+        The block-max bounds of the terms sum to a bound of each block. Blocks are visited from the
         highest bound down, in growing runs; after each, the k-th best score is
-        the threshold, and blocks whose bound is below it are never opened. Where
-        most blocks stay above it, whole lists are added up at once, which
-        costs less than to pick out their blocks. Scores are rounded to six places before
+        the threshold, and the blocks whose bound is below it (the pivot and all after it) are
+        never opened: none of their postings is read. Scores are rounded to six places before
         any is compared, so that what is found doesn't depend on k.
         """
         if not len(places):
             return np.zeros(0, np.int64), np.zeros(0)
-        base = self.base_scores([(places, weights)])[0] if base is None else base
-        rare = self.row_of[places] < 0
-        places, weights = places[rare], weights[rare]
         sizes = self.term_at[places + 1] - self.term_at[places]
         entries, weight = expand(self.term_at[places], sizes), np.repeat(weights, sizes)
         block = self.blocks[entries]
-        n_blocks = -(-len(self.length) // BLOCK)
-        bound = np.bincount(block, weights=weight * self.bound[entries], minlength=n_blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
+        n_docs = len(self.length)
+        bound = np.bincount(block, weights=weight * self.bound[entries], minlength=-(-n_docs // BLOCK))
         bound = np.where(bound > 0, bound * (1 + 1e-9) + 1e-6, 0)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
@@ -171,27 +167,19 @@ class Shard:
         at, run = 0, max(4, -(-4 * k // BLOCK))
         while at < len(order):
             threshold = max(floor, best[-1] if len(best) == k else -np.inf)
-            left = int(np.searchsorted(-bound[order[at:]], -threshold, side="right"))
-            if not left:
+            pivot = at + int(np.searchsorted(-bound[order[at:]], -threshold, side="right"))
+            if pivot == at:
                 break
-            whole = at > 0 and left > n_blocks // 4
-            opened = order[at : at + (left if whole else min(run, left))]
-            at, run = at + len(opened), run * 4
-            mask = np.zeros(n_blocks, bool)
+            opened = order[at : min(at + run, pivot)]
+            at, run = at + len(opened), run * 8
+            mask = np.zeros(len(bound), bool)
             mask[opened] = True
-            if whole:
-                own, w = places, weights
-                first, last = self.term_posts[own], self.term_posts[own + 1]
-            else:
-                some = mask[block]
-                own, w = entries[some], weight[some]
-                first, last = self.entry_at[own], self.entry_at[own + 1]
+            own = np.flatnonzero(mask[block])
+            first, last = self.entry_at[entries[own]], self.entry_at[entries[own] + 1]
             posts = expand(first, last - first)
-            docs, impact, w = self.docs[posts], self.impact[posts], np.repeat(w, last - first)
-            exact = base + np.bincount(docs, weights=w * impact, minlength=len(base))
+            exact = np.bincount(self.docs[posts], weights=np.repeat(weight[own], last - first) * self.impact[posts], minlength=n_docs)
             scores = np.round(exact, PLACES)
             found = np.flatnonzero((exact > 0) & (scores >= threshold))
-            found = found[mask[found // BLOCK]]
             best_docs, best = self.best(np.concatenate([best_docs, found]), np.concatenate([best, scores[found]]), k)
         return best_docs, best
 
@@ -312,12 +300,9 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
                     shard.prepare(mean)
                     where = locate(shard.terms, Words(shard.word_at, shard.word), hashes, words)
                     own_terms = [(where[place[where[place] >= 0]], weight[where[place] >= 0]) for place, weight in asked]
-                    at_once = max(1, BASE_BYTES // (8 * max(1, len(shard.length))))
                     for i, (place, weight) in enumerate(own_terms):
-                        if i % at_once == 0:
-                            base = shard.base_scores(own_terms[i : i + at_once])
                         had, null, scores = best[i]
-                        found, new = shard.search(place, weight, k, scores[-1] if len(scores) == k else -np.inf, base[i % at_once])
+                        found, new = shard.search(place, weight, k, scores[-1] if len(scores) == k else -np.inf)
                         joined = np.concatenate([had, shard.ids[found]]), np.concatenate([null, shard.null[found]]), np.concatenate([scores, new])
                         order = top(*joined, k)
                         best[i] = tuple(x[order] for x in joined)
