@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
@@ -131,8 +131,8 @@ class Caller:
     rendered: Callable[[dict], dict] | None = None
     sleep: Callable[[float], None] | None = field(default=None)
 
-    def rows(self, prompts: list[dict], bucket: Bucket | None) -> list[tuple]:
-        """(status, errors, response, token usage) of each prompt, in order."""
+    def started(self, pool: ThreadPoolExecutor, prompts: list[dict], bucket: Bucket | None) -> list[Future]:
+        """Calls of each prompt, in order: (status, errors, response, token usage)."""
         extra = {"sleep": self.sleep} if self.sleep else {}
 
         def one(prompt: dict) -> tuple:
@@ -151,17 +151,30 @@ class Caller:
             usage = None if c.prompt_tokens is None or c.completion_tokens is None else {"prompt_tokens": c.prompt_tokens, "completion_tokens": c.completion_tokens}
             return "ok", outcome.errors, json.dumps(c.response, ensure_ascii=False, separators=(",", ":")), usage
 
+        return [pool.submit(one, p) for p in prompts]
+
+    def rows(self, prompts: list[dict], bucket: Bucket | None) -> list[tuple]:
         with ThreadPoolExecutor(max(1, self.jobs)) as pool:
-            return list(pool.map(one, prompts))
+            return [call.result() for call in self.started(pool, prompts, bucket)]
 
     def __call__(self, frames):
-        """For mapInPandas over frames with a column `prompt` (JSON text)."""
+        """For mapInPandas over frames with a column `prompt` (JSON text); the next frame's calls fill the pool while the last of one are awaited."""
         bucket = self.throttle.bucket() if self.throttle else None
-        for pdf in frames:
-            prompts = [json.loads(p) for p in pdf["prompt"]]
-            rows = self.rows([self.rendered(p) for p in prompts] if self.rendered else prompts, bucket)
-            found = pd.DataFrame(rows, columns=["status", "errors", "response", "token_usage"], index=pdf.index)
-            yield pd.concat([pdf.drop(columns=["prompt"]), found], axis=1)
+
+        def finished(pdf: pd.DataFrame, calls: list[Future]) -> pd.DataFrame:
+            found = pd.DataFrame([c.result() for c in calls], columns=["status", "errors", "response", "token_usage"], index=pdf.index)
+            return pd.concat([pdf.drop(columns=["prompt"]), found], axis=1)
+
+        with ThreadPoolExecutor(max(1, self.jobs)) as pool:
+            before: tuple[pd.DataFrame, list[Future]] | None = None
+            for pdf in frames:
+                prompts = [json.loads(p) for p in pdf["prompt"]]
+                calls = self.started(pool, [self.rendered(p) for p in prompts] if self.rendered else prompts, bucket)
+                if before:
+                    yield finished(*before)
+                before = pdf, calls
+            if before:
+                yield finished(*before)
 
 
 def render_blocks(prompt: Prompt) -> Callable[[dict], dict]:

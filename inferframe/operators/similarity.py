@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_token, text_jaccard, token_column
+from ..sources.files import read_file
 
 #: Total tokens of the smaller side, up to which it is broadcast.
 BROADCAST_TOKENS = 2_000_000
+#: Paths that the driver names to Spark's reader.
+NAMED_PATHS = 100_000
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -81,18 +87,25 @@ def token_changes(left: DataFrame, right: DataFrame, key: str, text_col: str = "
     return joined.withColumn("change", change).where(F.col("change").isNotNull()).select(key, "token", "change")
 
 
+def _read_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        for path in pdf["p"]:
+            yield pd.DataFrame({"path": [path], "text": [read_file(path).decode()]})
+
+
 def compare_paths(df: DataFrame, column1: str, column2: str, files: DataFrame | None = None, out: str = "jaccard") -> DataFrame:
     """Adds the similarity of the texts in two columns of paths; null where a path or text is blank.
 
-    files: (path, text). Without it Spark reads each named path (whole texts) in one scan.
+    files: (path, text). Without it Spark reads each named path (whole texts) in one scan; over
+    NAMED_PATHS different ones are opened by the workers instead, which must then have them mounted.
     """
     names = (column1, column2)
     if files is None:
         wanted = df.select(F.explode(F.array(*names)).alias("p")).where("p <> ''").distinct()
-        paths = [r.p for r in wanted.limit(100_001).collect()]
-        if len(paths) > 100_000:
-            raise ValueError("more than 100,000 paths: give `files`")
-        if paths:
+        paths = [r.p for r in wanted.limit(NAMED_PATHS + 1).collect()]
+        if len(paths) > NAMED_PATHS:
+            files = wanted.mapInPandas(_read_texts, "path string, text string")
+        elif paths:
             read = df.sparkSession.read.text(paths, wholetext=True).select(F.input_file_name().alias("_uri"), F.col("value").alias("text"))
             files = read.withColumn("path", F.regexp_replace("_uri", "^file:/*", "/"))
         else:

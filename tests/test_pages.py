@@ -219,11 +219,13 @@ def test_benchmark_report(spark):
     assert {r.model: r.n_missing for r in benchmark.coverage(images, outputs).collect()} == {"m": 0, "n": 2, "o": 2}
 
 
-def test_compare_paths(spark, tmp_path):
+def test_compare_paths(spark, tmp_path, monkeypatch):
     (tmp_path / "a").write_text("x y")
     (tmp_path / "b").write_text("x z")
     df = spark.createDataFrame([(1, str(tmp_path / "a"), str(tmp_path / "b")), (2, str(tmp_path / "a"), None), (3, "", str(tmp_path / "b"))], "i int, p string, q string")
     assert [r.jaccard for r in similarity.compare_paths(df, "p", "q").orderBy("i").collect()] == [1 / 3, None, None]
+    monkeypatch.setattr(similarity, "NAMED_PATHS", 1)
+    assert [r.jaccard for r in similarity.compare_paths(df, "p", "q").orderBy("i").collect()] == [1 / 3, None, None]
 
 
 def test_models(spark):
