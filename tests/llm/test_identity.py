@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from inferframe.llm import decontaminate, ngram_lm, queries, store, substring_dedup, textops
@@ -102,3 +103,40 @@ def test_missing_files_raise(spark):
     os.rename(f"{stored.folder}/{shard}-n", f"{stored.folder}/gone")
     with pytest.raises(FileNotFoundError):
         store.HashStore(stored).array(shard, "n")
+
+
+def test_store_survives_a_task_that_fails_half_way(spark):
+    rows = [(i * 7919 << 40, f"w{i}") for i in range(-4000, 4000)]
+
+    def failing(batch):
+        context = TaskContext.get()
+        if context.attemptNumber() == 0 and context.partitionId() % 2 and batch.column(0)[-1].as_py() % 3:
+            raise RuntimeError("lost")
+        return batch
+
+    df = spark.createDataFrame(rows, "h long, word string").repartition(5)
+    stored = store.write_store(df, "failing", shards=4, complete=failing)
+    assert sum(stored.rows) == len(rows)
+    own = store.HashStore(stored)
+    found = [(int(h), w) for i in range(4) for h, w in zip(own.array(i, "h"), textops.Words(own.array(i, "word-at"), own.array(i, "word")).array().to_pylist())]
+    assert found == sorted(rows)
+
+
+def test_many_partitions_and_the_named_folder(spark, tmp_path):
+    """With 200 shuffle partitions most shards are empty; files go to the folder of spark.checkpoint.dir."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        own, texts = reference(), ["one two", "two three \u00e9", None]
+        got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.bpe_columns(table(spark, *texts), PATH, public_tokenizers.PATTERN).collect()}
+        assert got == {i: expected(t, own) for i, t in enumerate(texts)}
+        assert [p for p in os.listdir(tmp_path / "shared") if p.startswith("bpe-words")]
+        scores = ngram_lm.lm_scores(table(spark, "a b", "b a", "c"), F.col("doc_id") == 2).collect()
+        assert {r.doc_id: r.n_known for r in scores} == {0: 3, 1: 3, 2: 1}
+        rows = [(0, " ".join(map(str, range(40)))), (1, "x " + " ".join(map(str, range(40)))), (2, "y")]
+        kept = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.text, r.n_words, r.n_removed) for r in kept) == brute_windows(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.checkpoint.dir")
