@@ -122,7 +122,7 @@ class Patterns:
         offsets, data = parts[0][1:] if parts else (np.zeros(1, np.int64), np.zeros(0, np.uint8))
         data = LOWER[data]
         starts, ends, first = words(data, offsets, ALNUM)
-        number, own = distinct(data, starts, ends)
+        number, own = distinct(data, starts, ends, ALNUM)
         hashes = own.hashes()
         order = np.argsort(hashes)
         self.hashes, self.vocabulary = hashes[order], own.take(order)
@@ -205,7 +205,7 @@ def _search(block, text_col: str, shard_bytes: int):
             for row, offsets, data in pieces(batch.column(batch.schema.get_field_index(text_col)), shard_bytes):
                 data = LOWER[data]
                 starts, ends, first = words(data, offsets, ALNUM)
-                number, own = distinct(data, starts, ends)
+                number, own = distinct(data, starts, ends, ALNUM)
                 hit, doc, item = find(patterns, patterns.symbols_of(own)[number], first)
                 n_words[row : row + len(offsets) - 1] = np.diff(first).tolist()
                 for d in np.unique(doc).tolist():

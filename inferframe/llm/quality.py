@@ -43,7 +43,7 @@ def features(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     upper, marks, digits = (_within(k, data, starts, ends) for k in (_UPPER, _MARK, _DIGIT))
     capital = np.where(upper == 0, 0, np.where(upper == 1, 1, np.where(2 * upper > size - marks, 3, 2)))
     shape = ((capital * 4 + np.minimum(marks, 3)) * 2 + (digits > 0)) * 12 + np.minimum(size, 23) // 2
-    number, own = distinct(LOWER[data], starts, ends)
+    number, own = distinct(LOWER[data], starts, ends, NOT_SPACE)
     hashes = mix(own.hashes())[number]
     again = np.zeros(len(starts), bool)
     again[1:] = (number[1:] == number[:-1]) & (row[1:] == row[:-1])

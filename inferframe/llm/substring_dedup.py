@@ -44,12 +44,12 @@ class Chunk:
         copies = table.column(table.schema.get_field_index("copies")).to_numpy()
         hashes, firsts, n = [np.zeros((0, 2), np.uint64)], [np.zeros(1, np.int64)], 0
         for _, first, number, own in distinct_words(column, NOT_SPACE, lower=False):
-            hashes.append(np.stack([own.hashes(seed).view(np.uint64) for seed in (42, 7)], axis=1)[number])
+            hashes.append(own.hashes128()[number])
             firsts.append(first[1:] + n)
             n += len(number)
         self.length, self.k = length, k
         self.first = np.concatenate(firsts)
-        #: of each word, two independent hashes
+        #: of each word, the halves of its 128-bit hash
         self.hashes = np.concatenate(hashes)
         row = np.repeat(np.arange(len(copies)), np.diff(self.first))
         windows = max(0, n - length + 1)

@@ -83,6 +83,44 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
 
 
+#: The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def short_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of byte ranges that are shorter than 32 bytes, for which it has no stripes."""
+    whole = np.zeros(len(data) // 8 + 5, np.uint64)
+    whole.view(np.uint8)[: len(data)] = data
+
+    def eight(at: np.ndarray) -> np.ndarray:
+        low, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return whole[low] >> shift | (whole[low + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+
+    h = np.full(len(starts), (seed + int(_P5)) % (1 << 64), np.uint64) + sizes.astype(np.uint64)
+    done = np.zeros(len(starts), np.int64)
+    for width in (8, 8, 8, 4, 1, 1, 1):
+        some = np.flatnonzero(sizes - done >= width)
+        if not len(some):
+            continue
+        value, now = eight(starts[some] + done[some]), h[some]
+        if width == 8:
+            h[some] = _turn(now ^ _turn(value * _P2, 31) * _P1, 27) * _P1 + _P4
+        elif width == 4:
+            h[some] = _turn(now ^ (value & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+        else:
+            h[some] = _turn(now ^ (value & np.uint64(0xFF)) * _P5, 11) * _P1
+        done[some] += width
+    h ^= h >> np.uint64(33)
+    h *= _P2
+    h ^= h >> np.uint64(29)
+    h *= _P3
+    return h ^ h >> np.uint64(32)
+
+
 class Words(NamedTuple):
     """Distinct words: word i is data[at[i]:at[i + 1]]."""
 
@@ -97,8 +135,15 @@ class Words(NamedTuple):
 
     def hashes(self, seed: int = 42) -> np.ndarray:
         """XXH64 of each word as a signed integer, as Spark's xxhash64 gives it."""
-        data, hash_of = self.data.tobytes(), xxhash.xxh64_intdigest
-        return np.array([hash_of(data[a:b], seed) for a, b in zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)], np.uint64).view(np.int64)
+        sizes = np.diff(self.at)
+        out = short_hashes(self.data, self.at[:-1], np.minimum(sizes, 31), seed)
+        for i in np.flatnonzero(sizes > 31).tolist():
+            out[i] = xxhash.xxh64_intdigest(self.data[self.at[i] : self.at[i + 1]].tobytes(), seed)
+        return out.view(np.int64)
+
+    def hashes128(self) -> np.ndarray:
+        """XXH64 of each word with two seeds, as unsigned columns."""
+        return np.stack([self.hashes(42), self.hashes(7)], axis=1).view(np.uint64)
 
     def take(self, which: np.ndarray) -> Words:
         sizes = np.diff(self.at)[which]
@@ -112,11 +157,12 @@ def words_of(column: pa.Array) -> Words:
     return Words(np.zeros(1, np.int64), np.zeros(0, np.uint8))
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, Words]:
-    """(number of each word among the distinct ones, these), told apart by their bytes."""
-    sizes = ends - starts
-    whole = len(starts) and starts[0] == 0 and ends[-1] == len(data) == sizes.sum()
-    found = Words(np.concatenate([[0], np.cumsum(sizes)]), data if whole else data[expand(starts, sizes)])
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, Words]:
+    """(number of each word among the distinct ones, these), told apart by their bytes.
+
+    The words are the bytes of this kind, or all bytes.
+    """
+    found = Words(np.concatenate([[0], np.cumsum(ends - starts)]), data if kind is None else data[kind[data]])
     encoded = found.array(pa.binary()).dictionary_encode()
     return encoded.indices.to_numpy().astype(np.int64), words_of(encoded.dictionary)
 
@@ -126,7 +172,7 @@ def distinct_words(column: pa.Array, kind: np.ndarray, lower: bool = True) -> It
     for row, offsets, data in pieces(column):
         data = LOWER[data] if lower else data
         starts, ends, first = words(data, offsets, kind)
-        yield row, first, *distinct(data, starts, ends)
+        yield row, first, *distinct(data, starts, ends, kind)
 
 
 def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
@@ -140,3 +141,13 @@ def test_many_partitions_and_the_named_folder(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_hashes_are_xxh64(spark):
+    rng = np.random.default_rng(9)
+    words = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in [*range(40), *rng.integers(0, 40, 400), 300, 5000]]
+    own = textops.words_of(pa.array(words, pa.binary()))
+    for seed in (42, 7, 0):
+        assert own.hashes(seed).view(np.uint64).tolist() == [xxhash.xxh64_intdigest(w, seed) for w in words]
+    texts = ["", "a", "four", "eightsss", "ninebytes", "z\u00e4hlen", "x" * 31, "y" * 32, "w" * 1000]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t")).collect()] == textops.words_of(pa.array(texts)).hashes().tolist()
