@@ -109,9 +109,11 @@ class LatentVotes:
             return out
         for a in range(0, len(rows), 512):
             cosine = self.unit(self.weigh(rows[a : a + 512])) @ self.vectors.T
-            near = np.argsort(-cosine, axis=1, kind="stable")[:, : self.neighbours]
-            vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4 * self.weights[near] + 1e-9
-            out[a : a + 512] = (vote * self.labels[near]).sum(axis=1) / vote.sum(axis=1)
+            least = np.partition(cosine, -self.neighbours, axis=1)[:, [-self.neighbours]]
+            near, tied = cosine > least, cosine == least
+            near |= tied & (np.cumsum(tied, axis=1) <= self.neighbours - near.sum(axis=1, keepdims=True))
+            vote = np.where(near, np.square(np.square(np.maximum(cosine, 0))) * self.weights + 1e-9, 0)
+            out[a : a + 512] = vote @ self.labels / vote.sum(axis=1)
         return np.clip(out, 0, 1)
 
 
