@@ -209,15 +209,15 @@ def token_usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS seq, to_json(CAST(doc_id AS VARCHAR)) AS id, toxic = 1 AS skip, text, source
+SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS seq, to_json(CAST(doc_id AS VARCHAR)) AS id, coalesce(CAST(toxic = 1 AS INT), -1) AS skip, text, source
 FROM documents LEFT JOIN labels USING (doc_id)
 """)
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as CSV files in order and scanned as records: all strings, quotes and line breaks kept, rows numbered in order."""
+    """Documents written as CSV files in order and scanned as records: all strings, quotes and line breaks kept, rows numbered in order; -1 stands for an empty flag."""
     path = scratch_path(spark, "csv") + ".csv"
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").orderBy("doc_id")
     write_csv(docs.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("skip_processing"), "text", "source"), path)
-    return read_records(spark, path).select(F.col("_seq").alias("seq"), "id", F.col("skip_processing").alias("skip"), "text", "source")
+    return read_records(spark, path).select(F.col("_seq").alias("seq"), "id", F.coalesce(F.col("skip_processing").cast("int"), F.lit(-1)).alias("skip"), "text", "source")
 
 
 @query("""
@@ -298,18 +298,19 @@ def merge_pages_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_PAGES + """
-SELECT doc_id, ['PHOTO_OR_VIDEO', 'SCAN', 'DIGITAL'][min(length(page) % 3) FILTER (good) + 1] AS image_source, bool_or(contains(page, '!!')) FILTER (good) AS contains_handwriting, bool_or(contains(page, '|')) FILTER (good) AS background_is_noisy,
+SELECT doc_id, ['PHOTO_OR_VIDEO', 'SCAN', 'DIGITAL'][min(length(page) % 3) FILTER (good) + 1] AS image_source, coalesce(CAST(bool_or(contains(page, '!!')) FILTER (good) AS INT), -1) AS contains_handwriting, coalesce(CAST(bool_or(contains(page, '|')) FILTER (good) AS INT), -1) AS background_is_noisy,
   coalesce(bool_or(contains(page, '!!') OR contains(page, '%%%')) FILTER (good), false) AS flagged FROM (SELECT *, length(page) % 5 <> 0 AS good FROM p) GROUP BY doc_id
 """)
 def analysis_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analyses of pages with text merged; flags stand for marks in the page, the source for its length modulo three."""
+    """Analyses of pages with text merged; flags stand for marks in the page (-1 without an analysis), the source for its length modulo three."""
     found = pages.split_pages(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")), "whole", page="page")
     flags = {f: F.lit(False) for f in pages.FLAGS} | {"contains_handwriting": F.col("page").contains("!!"), "background_is_noisy": F.col("page").contains("|"), "contains_faint_text": F.col("page").contains("%%%")}
     analysis = F.struct(pages.source_name(F.length("page") % 3).alias("image_source"), *(c.alias(f) for f, c in flags.items()))
     found = found.select("doc_id", F.when(F.length("page") % 5 != 0, F.col("page")).alias("text"), analysis.alias("analysis"))
     out = found.groupBy("doc_id").agg(*pages.analysis_columns())
     whole = F.struct("image_source", *pages.FLAGS)
-    return out.select("doc_id", "image_source", "contains_handwriting", "background_is_noisy", pages.is_flagged(whole).alias("flagged"))
+    shown = (F.coalesce(F.col(f).cast("int"), F.lit(-1)).alias(f) for f in ("contains_handwriting", "background_is_noisy"))
+    return out.select("doc_id", "image_source", *shown, pages.is_flagged(whole).alias("flagged"))
 
 
 @query(_STATUSES + """
