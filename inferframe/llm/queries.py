@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align_tokenizers
 from .bm25 import bm25_top_k
 from .bpe import bpe_decode, bpe_encode, read_ranks
 from .decontaminate import decontaminate
@@ -202,5 +203,12 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bm25_top_k": op1_bm25_top_k, "op2_lm_score": op2_lm_score, "op3_language_id": op3_language_id, "op3_language_id_pages": op3_language_id_pages, "op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tokens of a byte-level and of a piece vocabulary end together in every text, and how often their ids are linked so in all."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bm25_top_k": op1_bm25_top_k, "op2_lm_score": op2_lm_score, "op3_language_id": op3_language_id, "op3_language_id_pages": op3_language_id_pages, "op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate, "op13_token_alignment": op13_token_alignment}
 ORACLE_SQL: dict[str, str] = {"op1_bm25_top_k": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op8_url_filter": op8_sql(), "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
