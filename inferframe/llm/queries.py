@@ -15,6 +15,7 @@ from .decontaminate import decontaminate
 from .langid import identify_languages, page_declared, page_text
 from .line_dedup import line_dedup
 from .ngram_lm import lm_scores
+from .phrases import collocations
 from .quality import quality_scores
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
@@ -204,11 +205,41 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each language: phrases of 2 to 5 words that occur 100 times or more."""
+    return collocations(documents(spark, sf_dir).select("lang", "text"), min_count=100, share=100, top=2000)
+
+
+OP12_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), s AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+t AS (SELECT lang, sum(len(ws)) AS n FROM s GROUP BY lang),
+g AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM s, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m)
+), f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS x, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, p.f AS l, q.f AS r, n, (1000::HUGEINT * a * n) // (p.f::HUGEINT * q.f) AS score
+  FROM cuts JOIN f AS p ON p.lang = cuts.lang AND p.phrase = x JOIN f AS q ON q.lang = cuts.lang AND q.phrase = y JOIN t ON t.lang = cuts.lang
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, f AS longer, array_to_string(string_split(phrase, ' ')[b:b + size - 1], ' ') AS phrase
+  FROM (SELECT lang, f, phrase, m, size, unnest(range(1, m - size + 2)) AS b FROM (SELECT *, unnest(range(2, m)) AS size FROM f WHERE m > 2))
+), gone AS (SELECT DISTINCT best.lang, best.phrase FROM best JOIN inner_parts USING (lang, phrase) WHERE 100 * longer >= 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best ANTI JOIN gone USING (lang, phrase) QUALIFY rank <= 2000
+"""
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the tokens of a byte-level and of a piece vocabulary end together in every text, and how often their ids are linked so in all."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bm25_top_k": op1_bm25_top_k, "op2_lm_score": op2_lm_score, "op3_language_id": op3_language_id, "op3_language_id_pages": op3_language_id_pages, "op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate, "op13_token_alignment": op13_token_alignment}
-ORACLE_SQL: dict[str, str] = {"op1_bm25_top_k": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op8_url_filter": op8_sql(), "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bm25_top_k": op1_bm25_top_k, "op2_lm_score": op2_lm_score, "op3_language_id": op3_language_id, "op3_language_id_pages": op3_language_id_pages, "op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate, "op12_collocations": op12_collocations, "op13_token_alignment": op13_token_alignment}
+ORACLE_SQL: dict[str, str] = {"op1_bm25_top_k": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op8_url_filter": op8_sql(), "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL, "op12_collocations": OP12_SQL}
