@@ -28,6 +28,8 @@ from .textops import expand, pieces, words_of
 ENCODED = 4 << 20
 #: Below this code point (Latin letters, all long assigned) the tables of characters of both libraries agree.
 AGREED = "\u0250"
+#: Buckets of B ids: each holds a part of the pairs' counts, and a row has contributions from each at most.
+BUCKETS = 16
 #: Bytes of postings that one slot is meant to hold.
 SLOT_BYTES = 32 << 20
 #: Pairs that a task counts before it sends some.
@@ -278,7 +280,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
     width = len(byte_level(a_path)[1])
     if width * len(piece_level(b_path)[1]) >= 1 << 40:
         raise ValueError("pairs of ids don't fit in 40 bits")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     fields = [T.StructField(k, T.LongType() if v == pa.int64() else T.StringType() if v == pa.string() else T.BinaryType()) for k, v in _COLUMNS.items()]
 
