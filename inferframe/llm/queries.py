@@ -12,6 +12,7 @@ from .align import align_tokenizers
 from .bm25 import bm25_top_k
 from .bpe import bpe_decode, bpe_encode, read_ranks
 from .decontaminate import decontaminate
+from .fingerprints import fingerprint_edits
 from .langid import identify_languages, page_declared, page_text
 from .line_dedup import line_dedup
 from .ngram_lm import lm_scores
@@ -205,6 +206,11 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited form, and how like it and the next document's they are."""
+    return fingerprint_edits(documents(spark, sf_dir).select("doc_id", "text"), samples=128)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best collocations of each language: phrases of 2 to 5 words that occur 100 times or more."""
     return collocations(documents(spark, sf_dir).select("lang", "text"), min_count=100, share=100, top=2000)
@@ -241,5 +247,5 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bm25_top_k": op1_bm25_top_k, "op2_lm_score": op2_lm_score, "op3_language_id": op3_language_id, "op3_language_id_pages": op3_language_id_pages, "op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate, "op12_collocations": op12_collocations, "op13_token_alignment": op13_token_alignment}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bm25_top_k": op1_bm25_top_k, "op2_lm_score": op2_lm_score, "op3_language_id": op3_language_id, "op3_language_id_pages": op3_language_id_pages, "op4_simhash": op4_simhash, "op5_substring_dedup": op5_substring_dedup, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate, "op11_fingerprints": op11_fingerprints, "op12_collocations": op12_collocations, "op13_token_alignment": op13_token_alignment}
 ORACLE_SQL: dict[str, str] = {"op1_bm25_top_k": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op8_url_filter": op8_sql(), "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL, "op12_collocations": OP12_SQL}
