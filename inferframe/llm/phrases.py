@@ -187,8 +187,8 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     A-Z count as lower case. Texts are split at `.,;:!?` and line ends into pieces, these at spaces and
     tabs into words; phrases lie inside a piece, and all their occurrences count. No language is `und`.
 
-    Words are counted, then pairs of frequent words, and the frequent ones kept as sorted arrays in the
-    shared folder. An occurrence of a frequent pair is projected: it points at the words behind it, as far as pairs
+    Words are counted, then pairs of frequent words and threes of frequent pairs, and the frequent ones kept as sorted arrays in the
+    shared folder. An occurrence of a pair that starts a frequent three is projected: it points at the words behind it, as far as threes
     are frequent (no other phrase can be). Projected occurrences, equal ones added up by each task, go
     to their pair's task, which grows the pair to the right depth first, over ranges of its sorted occurrences. A pair of more than
     HOT occurrences makes a task for each word behind it, and where that may be as frequent for each two;
@@ -221,8 +221,34 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
 
     pairs = write_store(by_shard(count_keys(narrow, pair_keys, shards), shards, often, "h long, n long"), "phrases-pairs", shards)
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs_of(known: Places, known_pairs: Places, found: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word its id, and the frequent pair that it starts (-1: none) with its occurrences; padded, so that places behind the end exist."""
+        ids, both = _sequence(known, found[0], *found[1:])
+        at = np.flatnonzero(both)
+        keys, of = np.unique(_pair_keys(ids[at], ids[at + 1], vocabulary), return_inverse=True)
+        places, (counts,) = known_pairs.look_up(keys, ("n",))
+        pair, n = np.full(len(ids) + LONGEST, -1, np.int64), np.zeros(len(ids) + LONGEST, np.int64)
+        pair[at], n[at] = places[of], counts[of]
+        return np.append(ids, np.full(LONGEST, -1)), pair, n
+
+    def extended(ids: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places at which two frequent pairs follow each other, and the keys of their three words."""
+        at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
+        return at, _pair_keys(pair[at], ids[at + 2], vocabulary)
+
+    def triple_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         known, known_pairs = Places(stored), Places(pairs)
+        for batch in batches:
+            for found in _by_language(batch):
+                ids, pair, _ = pairs_of(known, known_pairs, found)
+                yield extended(ids, pair)[1]
+
+    if sum(pairs.rows) * (vocabulary + 1) >= 1 << 64:
+        raise ValueError("three words don't fit in 64 bits")
+    triples = write_store(by_shard(count_keys(narrow, triple_keys, shards), shards, often, "h long, n long"), "phrases-triples", shards)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_pairs, known_triples = Places(stored), Places(pairs), Places(triples)
         held, room = [np.zeros((0, len(_PROJECTED)), np.int64)], HELD_ROWS
 
         def sent(rows: np.ndarray) -> pa.RecordBatch:
@@ -230,17 +256,14 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
 
         for batch in batches:
             for found in _by_language(batch):
-                ids, both = _sequence(known, found[0], *found[1:])
-                at = np.flatnonzero(both)
-                keys, of = np.unique(_pair_keys(ids[at], ids[at + 1], vocabulary), return_inverse=True)
-                places, (counts,) = known_pairs.look_up(keys, ("n",))
-                # of each word, the frequent pair that it starts (-1: none) and how often that occurs; padded, so that places behind the end exist
-                pair, n, ids = np.full(len(ids) + LONGEST, -1, np.int64), np.zeros(len(ids) + LONGEST, np.int64), np.append(ids, np.full(LONGEST, -1))
-                pair[at], n[at] = places[of], counts[of]
-                at = at[(pair[at] >= 0) & (pair[at + 1] >= 0)]
-                goes = pair[at + 2] >= 0
-                w4 = np.where(goes, ids[at + 3], -1)
-                w5 = np.where(goes & (pair[at + 3] >= 0), ids[at + 4], -1)
+                ids, pair, n = pairs_of(known, known_pairs, found)
+                at, keys = extended(ids, pair)
+                keys, of = np.unique(keys, return_inverse=True)
+                goes = np.zeros(len(ids), bool)
+                goes[at] = (known_triples.look_up(keys)[0] >= 0)[of]
+                at = np.flatnonzero(goes)
+                w4 = np.where(goes[at + 1], ids[at + 3], -1)
+                w5 = np.where(goes[at + 1] & goes[at + 2], ids[at + 4], -1)
                 depth = 2 + (n[at] > HOT) + ((n[at] > HOT) & (n[at + 1] > HOT))
                 held.append(_sum_rows([np.stack([pair[at], depth, ids[at + 2], w4, w5, np.ones(len(at), np.int64)], axis=1)]))
                 room -= len(held[-1])
