@@ -35,43 +35,6 @@ def is_token(token: Column) -> Column:
     return ~token.startswith("_") | (F.ltrim(token, F.lit("_")) != "")
 
 
-def token_counts(text: Column) -> Column:
-    """Multiset of tokens as a map. For one text; over tables, explode and group instead."""
-    sorted_tokens = F.array_sort(tokens(text))
-    kinds = F.array_distinct(sorted_tokens)
-    return F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, (F.size(sorted_tokens) - F.size(F.array_remove(sorted_tokens, k))).cast("bigint"))))
-
-
-def _both(a: Column, b: Column, f) -> Column:
-    zero = F.lit(0).cast("bigint")
-    return F.map_values(F.map_zip_with(a, b, lambda _, x, y: f(F.coalesce(x, zero), F.coalesce(y, zero))))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Multiset Jaccard similarity of two token-count maps; two empty ones are alike."""
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0).cast("bigint"), lambda s, x: s + x)
-
-    union = total(_both(a, b, F.greatest))
-    return F.when(union == 0, F.lit(1.0)).otherwise(total(_both(a, b, F.least)) / union)
-
-
-def text_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two texts; null if either is missing or blank."""
-    given = a.isNotNull() & b.isNotNull() & (F.trim(a) != "") & (F.trim(b) != "")
-    return F.when(given, jaccard(token_counts(a), token_counts(b)))
-
-
-def token_diff(a: Column, b: Column) -> Column:
-    """Struct of the sorted tokens removed from, changed in count between, and added to two count maps."""
-    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
-    return F.struct(
-        F.array_sort(F.array_except(F.map_keys(a), F.map_keys(b))).alias("removed"),
-        F.filter(keys, lambda k: F.element_at(a, k).isNotNull() & F.element_at(b, k).isNotNull() & (F.element_at(a, k) != F.element_at(b, k))).alias("changed"),
-        F.array_sort(F.array_except(F.map_keys(b), F.map_keys(a))).alias("added"),
-    )
-
-
 def highlight_text(markdown: str | None, changed: list[str] | None, added: list[str] | None) -> str | None:
     """Marks changed and added tokens with spans, in one pass, so markup is never marked itself."""
     if markdown is None:

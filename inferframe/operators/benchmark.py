@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, token_counts, token_diff
 from .pages import is_flagged
+from .similarity import compare_texts
 
 METADATA = "struct<format:string,documentQuality:string,fontFamily:string,rotation:double>"
 
@@ -31,14 +31,13 @@ def unknown_issues(images: DataFrame, issues: DataFrame, key: str = "id", image_
     return issues.join(images.select(F.col(key).alias("_key")), issues[image_key] == F.col("_key"), "left_anti")
 
 
-def compare_outputs(images: DataFrame, outputs: DataFrame, key: str = "id", truth: str = "true_markdown", text: str = "text") -> DataFrame:
-    """A row for each image and model: jaccard, the token diff, and whether the result is flagged."""
+def compare_outputs(images: DataFrame, outputs: DataFrame, key: str = "id", truth: str = "true_markdown", text: str = "text", lists: bool = True) -> DataFrame:
+    """A row for each image and model: jaccard, counts of differing tokens (and with `lists` these tokens, as diff), and whether the result is flagged."""
     joined = images.join(outputs.select(F.col(key).alias("_key"), "model", F.col(text).alias("_text"), *(["analysis"] if "analysis" in outputs.columns else [])), images[key] == F.col("_key"), "left").drop("_key")
-    a, b = token_counts(F.col(truth)), token_counts(F.col("_text"))
-    out = joined.withColumns({"_a": a, "_b": b}).withColumns({"jaccard": F.when(F.col("model").isNotNull(), jaccard(F.col("_a"), F.col("_b"))), "diff": token_diff(F.col("_a"), F.col("_b"))})
+    out = compare_texts(joined, F.col(truth), F.col("_text"), F.col("model").isNotNull(), lists)
     if "analysis" in out.columns:
         out = out.withColumn("flagged", is_flagged(F.col("analysis")))
-    return out.withColumnRenamed("_text", "output_text").drop("_a", "_b")
+    return out.withColumnRenamed("_text", "output_text")
 
 
 def model_averages(results: DataFrame, by: str = "model", excluded: Column | None = None) -> DataFrame:

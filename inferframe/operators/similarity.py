@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import is_token, text_jaccard, token_column
+from ..functions.text import is_token, token_column, tokens
 from ..sources.files import read_file
+from ..sources.records import scratch_path
 
 #: Total tokens of the smaller side, up to which it is broadcast.
 BROADCAST_TOKENS = 2_000_000
-#: Paths that the driver names to Spark's reader.
-NAMED_PATHS = 100_000
+#: Similarities from which a search for best matches looks, one after another: each next one asks for longer prefixes.
+FALLING = (0.5, 0.25, 0.1, 0.05)
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -42,10 +47,25 @@ def pair_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     each side (n: with repeats) is shared, rare being by the right side's counts; and it can't be above the
     ratio of the sizes. Both bounds lose no pair.
     """
-    r = count_tokens(right, right_id, text_col).withColumnRenamed("n", "m")
+    r = with_sizes(count_tokens(right, right_id, text_col).withColumnRenamed("n", "m"), right_id, "m", "nb")
     small = (r.agg(F.sum("m")).first()[0] or 0) <= BROADCAST_TOKENS
-    r = r.join(r.groupBy(right_id).agg(F.sum("m").alias("nb")), right_id)
-    l = count_tokens(left, left_id, text_col)
+    return _pairs(sized_tokens(left, left_id, text_col), r, left_id, right_id, small, threshold)
+
+
+def sized_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, token, n, na): counted tokens with the number of all tokens of the row's text, which are split once."""
+    rows = df.select(id_col, F.monotonically_increasing_id().alias("_row"), tokens(F.col(text_col)).alias("_tokens"))
+    rows = rows.select(id_col, F.size("_tokens").cast("long").alias("na"), F.explode("_tokens").alias("token"))
+    counted = rows.groupBy(id_col, "token", "na").agg(F.count("*").alias("n"))
+    return counted.select(id_col, "token", "n", "na")
+
+
+def with_sizes(counted: DataFrame, key: str, n: str, size: str) -> DataFrame:
+    return counted.join(counted.groupBy(key).agg(F.sum(n).alias(size)), key)
+
+
+def _pairs(l: DataFrame, r: DataFrame, left_id: str, right_id: str, small: bool, threshold: float | None) -> DataFrame:
+    """pair_similarity over counted tokens: (left_id, token, n, na) and (right_id, token, m, nb)."""
 
     def with_right(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
         return rows.join(F.broadcast(side) if small else side, on)
@@ -56,26 +76,140 @@ def pair_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: s
         def rarest(rows: DataFrame, key: str, n: str, size: str) -> DataFrame:
             """Rows of the rare tokens: those that the right side lacks come first, then its others by their counts."""
             before = F.coalesce(F.sum(n).over(Window.partitionBy(key).orderBy("_often", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            rare = rows.withColumns({"_before": before, size: F.sum(n).over(Window.partitionBy(key))})
-            return rare.where(F.col("_before") <= F.col(size) - F.ceil(threshold * F.col(size) - 1e-9)).select(key, "token", size)
+            return rows.withColumn("_before", before).where(F.col("_before") <= F.col(size) - F.ceil(threshold * F.col(size) - 1e-9)).select(key, "token", size)
 
         marked = l.join(F.broadcast(often) if small else often, "token", "left").withColumn("_often", F.coalesce("_often", F.lit(0)))
-        rare_right = rarest(r.join(often, "token"), right_id, "m", "nb")
-        met = with_right(rarest(marked, left_id, "n", "na"), rare_right, ["token"]).where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-        candidates = met.select(left_id, right_id, "na", "nb").distinct()
-        out = with_right(candidates.join(l, left_id), r.drop("nb"), [right_id, "token"]).groupBy(left_id, right_id).agg(F.sum(F.least("n", "m")).alias("inter"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        met = with_right(rarest(marked, left_id, "n", "na"), rarest(r.join(often, "token"), right_id, "m", "nb"), ["token"])
+        candidates = met.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select(left_id, right_id).distinct()
+        l = candidates.join(l, left_id)
+        out = with_right(l, r, [right_id, "token"])
     else:
-        out = with_right(l, r, ["token"]).groupBy(left_id, right_id).agg(F.sum(F.least("n", "m")).alias("inter"), F.first("nb").alias("nb"))
-        out = out.join(l.groupBy(left_id).agg(F.sum("n").alias("na")), left_id)
+        out = with_right(l, r, ["token"])
+    out = out.groupBy(left_id, right_id).agg(F.sum(F.least("n", "m")).alias("inter"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     out = out.select(left_id, right_id, "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("uni"))
     out = out.withColumn("jaccard", F.col("inter") / F.col("uni"))
     return out.where(F.col("jaccard") >= threshold) if threshold else out
 
 
-def best_match(pairs: DataFrame, left: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """The most similar right row of each left row and its similarity; ties go to the smaller id. Rows of `left` without a pair have 0 and no right row."""
-    best = pairs.groupBy(left_id).agg(F.max_by(right_id, F.struct("jaccard", -F.col(right_id))).alias(right_id), F.max("jaccard").alias("jaccard"))
-    return left.select(left_id).join(best, left_id, "left").withColumn("jaccard", F.coalesce("jaccard", F.lit(0.0)))
+class _Postings:
+    """The counted tokens of a small side by token, as arrays: postings of token i are those from at[i] to at[i + 1]."""
+
+    def __init__(self, rows: pd.DataFrame, right_id: str):
+        ids = np.sort(rows[right_id].unique())
+        self.ids, place = pa.array(ids), np.searchsorted(ids, rows[right_id].to_numpy())
+        names, token = np.unique(rows["token"].to_numpy(str), return_inverse=True) if len(rows) else (np.zeros(0, str), np.zeros(0, np.int64))
+        order = np.argsort(token, kind="stable")
+        self.tokens, self.at = pa.array(names, pa.string()), np.searchsorted(token[order], np.arange(len(names) + 1))
+        self.item, self.m = place[order], rows["m"].to_numpy(np.int64)[order]
+        self.sizes = np.zeros(len(ids), np.int64)
+        np.add.at(self.sizes, self.item, self.m)
+
+    def best(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+        """(place of the right row most like each list of tokens or -1, similarity, pairs added up)."""
+        n = len(lists)
+        first = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + n + 1].astype(np.int64)
+        row = np.repeat(np.arange(n), np.diff(first))
+        found = pc.index_in(lists.values.slice(first[0], first[-1] - first[0]), self.tokens)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        key, times = np.unique(row[known] * (len(self.tokens) + 1) + found.drop_null().to_numpy(), return_counts=True)
+        row, token = key // (len(self.tokens) + 1), key % (len(self.tokens) + 1)
+        sizes = self.at[token + 1] - self.at[token]
+        post = np.arange(sizes.sum()) + np.repeat(self.at[token] - np.cumsum(sizes) + sizes, sizes)
+        pair = np.repeat(row, sizes) * len(self.ids) + self.item[post]
+        order = np.argsort(pair, kind="stable")
+        begin = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        inter = np.add.reduceat(np.minimum(np.repeat(times, sizes), self.m[post])[order], begin) if len(begin) else begin
+        row, item = pair[order][begin] // max(1, len(self.ids)), pair[order][begin] % max(1, len(self.ids))
+        similar = inter / (np.diff(first)[row] + self.sizes[item] - inter)
+        order = np.lexsort((item, -similar, row))
+        top = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+        place, value = np.full(n, -1, np.int64), np.zeros(n)
+        place[row[top]], value[row[top]] = item[top], similar[top]
+        return place, value, len(begin)
+
+
+def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(left_id, keep ..., right_id, jaccard): the most similar right row of each left row; ties go to the smaller right_id. Rows that share no token with any have 0 and no right row.
+
+    A right side of few tokens (counted first) is sent to the tasks as postings; each left text is split once
+    in the JVM, meets them where it is, and nothing is shuffled. A larger one is searched by
+    rising prefixes (search_best). right_id is a number and repeats in neither way; left rows may repeat.
+    """
+    r = count_tokens(right, right_id, text_col).withColumnRenamed("n", "m")
+    if (r.agg(F.sum("m")).first()[0] or 0) > BROADCAST_TOKENS:
+        kept = left.select(left_id, *keep)
+        return kept.join(search_best(left, right, left_id, right_id, text_col)[0], left_id, "left").withColumn("jaccard", F.coalesce("jaccard", F.lit(0.0)))
+    postings = _Postings(r.toPandas(), right_id)
+    schema = T.StructType([*(left.schema[c] for c in (left_id, *keep)), T.StructField(right_id, right.schema[right_id].dataType), T.StructField("jaccard", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, similar, _ = postings.best(batch.column(batch.num_columns - 1))
+            found = postings.ids.take(pa.array(place, mask=place < 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found, pa.array(similar)], names=schema.names)
+
+    return left.select(left_id, *keep, tokens(F.col(text_col)).alias("_tokens")).mapInArrow(run, schema)
+
+
+def search_best(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_col: str = "text") -> tuple[DataFrame, list[int]]:
+    """((left_id, right_id, jaccard) of the left rows that share a token with any, pairs added up in each round).
+
+    Exact without all pairs: the first round finds every pair of a similarity of FALLING[0] or more, by the prefix filter of
+    pair_similarity. A row that has one is settled, since nothing it hasn't met is as similar; the others
+    go on with longer prefixes, and only what is left at the end meets every row that shares a token. left_id doesn't repeat.
+    Tokens are counted once, and each round's settled rows written, to the shared folder.
+    """
+    spark = left.sparkSession
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        path = scratch_path(spark, what)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    r = kept(with_sizes(count_tokens(right, right_id, text_col).withColumnRenamed("n", "m"), right_id, "m", "nb"), "right-tokens")
+    rest = kept(sized_tokens(left, left_id, text_col), "left-tokens")
+    settled, added = None, []
+    for threshold in (*FALLING, None):
+        pairs = kept(_pairs(rest, r, left_id, right_id, False, threshold), "pairs")
+        added.append(pairs.count())
+        best = pairs.groupBy(left_id).agg(F.max_by(right_id, F.struct("jaccard", -F.col(right_id))).alias(right_id), F.max("jaccard").alias("jaccard"))
+        settled = best if settled is None else settled.unionByName(best)
+        if threshold:
+            rest = rest.join(best.select(left_id), left_id, "left_anti")
+    return settled, added
+
+
+def _ticket(a: Column, b: Column) -> Column:
+    """Tells pairs of texts apart: a digest of both."""
+    return F.unhex(F.sha2(F.concat(F.sha2(a, 256), F.sha2(b, 256)), 256))
+
+
+def compare_texts(df: DataFrame, a: Column, b: Column, given: Column, lists: bool = False) -> DataFrame:
+    """Adds jaccard, n_removed, n_changed and n_added of the token multisets of two texts, and with `lists` the struct diff of these sorted tokens.
+
+    Null where `given` isn't true; a null text has no tokens, and two without are alike. Tokens of both
+    sides are exploded in one pass under a ticket of the pair (a digest, so rows of equal pairs
+    share the work: shares and signs don't change when counts are multiplied), grouped by ticket and
+    token, and added up by ticket in bounded state; lists are made only where they are asked for.
+    """
+    texts = [F.coalesce(c, F.lit("")) for c in (a, b)]
+    marked = df.withColumn("_ticket", F.when(given, _ticket(*texts)))
+    sides = marked.where(F.col("_ticket").isNotNull()).select("_ticket", F.posexplode(F.array(*texts)).alias("_side", "_text"))
+    split = sides.select("_ticket", "_side", F.explode(token_column(F.col("_text"))).alias("_token")).where(is_token(F.col("_token")))
+    counted = split.groupBy("_ticket", F.lower("_token").alias("_token")).agg(F.count_if(F.col("_side") == 0).alias("_n"), F.count_if(F.col("_side") == 1).alias("_m"))
+    n, m = F.col("_n"), F.col("_m")
+    kinds = {"removed": m == 0, "changed": (n > 0) & (m > 0) & (n != m), "added": n == 0}
+    sums = [F.sum(F.least(n, m)).alias("_inter"), F.sum(F.greatest(n, m)).alias("_uni"), *(F.count_if(c).alias(f"_n_{k}") for k, c in kinds.items())]
+    lists_of = [F.array_sort(F.collect_list(F.when(c, F.col("_token")))).alias(f"_l_{k}") for k, c in kinds.items()] if lists else []
+    found = counted.groupBy("_ticket").agg(*sums, *lists_of).withColumnRenamed("_ticket", "_of")
+    out = marked.join(found, F.col("_ticket") == F.col("_of"), "left")
+    there = F.col("_ticket").isNotNull()
+    out = out.withColumn("jaccard", F.when(there, F.coalesce(F.col("_inter") / F.col("_uni"), F.lit(1.0))))
+    out = out.withColumns({f"n_{k}": F.when(there, F.coalesce(f"_n_{k}", F.lit(0))) for k in kinds})
+    if lists:
+        none = F.array().cast("array<string>")
+        out = out.withColumn("diff", F.when(there, F.struct(*(F.coalesce(f"_l_{k}", none).alias(k) for k in kinds))))
+    return out.drop("_ticket", "_of", "_inter", "_uni", *(f"_n_{k}" for k in kinds), *(f"_l_{k}" for k in kinds))
 
 
 def token_changes(left: DataFrame, right: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -96,20 +230,12 @@ def _read_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def compare_paths(df: DataFrame, column1: str, column2: str, files: DataFrame | None = None, out: str = "jaccard") -> DataFrame:
     """Adds the similarity of the texts in two columns of paths; null where a path or text is blank.
 
-    files: (path, text). Without it Spark reads each named path (whole texts) in one scan; over
-    NAMED_PATHS different ones are opened by the workers instead, which must then have them mounted.
+    files: (path, text), read in any way. Without it each different path is opened once by a worker, which must have it
+    mounted, however many there are; none reaches the driver. A missing file fails the run.
     """
     names = (column1, column2)
     if files is None:
-        wanted = df.select(F.explode(F.array(*names)).alias("p")).where("p <> ''").distinct()
-        paths = [r.p for r in wanted.limit(NAMED_PATHS + 1).collect()]
-        if len(paths) > NAMED_PATHS:
-            files = wanted.mapInPandas(_read_texts, "path string, text string")
-        elif paths:
-            read = df.sparkSession.read.text(paths, wholetext=True).select(F.input_file_name().alias("_uri"), F.col("value").alias("text"))
-            files = read.withColumn("path", F.regexp_replace("_uri", "^file:/*", "/"))
-        else:
-            files = df.sparkSession.createDataFrame([], "path string, text string")
+        files = df.select(F.explode(F.array(*names)).alias("p")).where("p <> ''").distinct().mapInPandas(_read_texts, "path string, text string")
     joined = df
     for i, c in enumerate(names):
         f = files.select(F.col("path").alias(f"_p{i}"), F.col("text").alias(f"_t{i}"))
@@ -117,4 +243,7 @@ def compare_paths(df: DataFrame, column1: str, column2: str, files: DataFrame |
     for i, c in enumerate(names):
         missing = (F.col(c) != "") & F.col(f"_p{i}").isNull()
         joined = joined.withColumn(f"_t{i}", F.when(missing, F.raise_error(F.concat(F.lit("no such file: "), F.col(c))).cast("string")).otherwise(F.col(f"_t{i}")))
-    return joined.withColumn(out, text_jaccard(F.col("_t0"), F.col("_t1"))).drop("_p0", "_p1", "_t0", "_t1")
+    given = (F.trim("_t0") != "") & (F.trim("_t1") != "")
+    kept = {c: f"_kept{i}" for i, c in enumerate(df.columns)}
+    compared = compare_texts(joined.withColumnsRenamed(kept), F.col("_t0"), F.col("_t1"), given)
+    return compared.select(*(F.col(k).alias(c) for c, k in kept.items() if c != out), F.col("jaccard").alias(out))

@@ -373,7 +373,8 @@ def jaccard_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PAIRS + "SELECT doc_id, coalesce(item_id, -1) AS item_id, coalesce(round(jaccard, 6), 0) AS jaccard FROM documents LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, item_id) AS k FROM pairs) USING (doc_id) WHERE k IS NULL OR k = 1")
 def jaccard_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark item most like each document; none (shown as -1) where they share no token."""
-    return similarity.best_match(_benchmark_pairs(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "item_id").select("doc_id", F.coalesce("item_id", F.lit(-1)).alias("item_id"), F.round("jaccard", 6).alias("jaccard"))
+    best = similarity.best_match(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return best.select("doc_id", F.coalesce("item_id", F.lit(-1)).alias("item_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
 _DIFFS = f"""
@@ -402,8 +403,8 @@ FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN labels USING (doc_id) GRO
 """)
 def avg_jaccard_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average of each document's best similarity by source as the model, without documents of quality 0, best first."""
-    best = similarity.best_match(_benchmark_pairs(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "item_id").select("doc_id", "jaccard")
-    rows = best.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    best = similarity.best_match(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", keep=("source",))
+    rows = best.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     out = benchmark.model_averages(rows, "source", F.col("quality") == 0)
     return out.withColumn("avg_jaccard", F.round("avg_jaccard", 6))
 
@@ -445,9 +446,8 @@ def images_to_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir, "documents")
     images = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("true_markdown"))
     outputs = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("m").alias("model"), F.replace("text", F.lit("a"), F.lit("o")).alias("text"))
-    found = benchmark.compare_outputs(images, outputs)
-    there = F.col("model").isNotNull()
-    return found.select(F.col("id").alias("doc_id"), "model", F.round("jaccard", 6).alias("jaccard"), *(F.when(there, F.size(f"diff.{k}").cast("bigint")).otherwise(-1).alias(k) for k in ("removed", "changed", "added")))
+    found = benchmark.compare_outputs(images, outputs, lists=False)
+    return found.select(F.col("id").alias("doc_id"), "model", F.round("jaccard", 6).alias("jaccard"), *(F.coalesce(f"n_{k}", F.lit(-1)).alias(k) for k in ("removed", "changed", "added")))
 
 
 @query("SELECT doc_id, lang AS format, source AS quality, text FROM documents")

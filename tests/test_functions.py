@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inferframe.functions import data_url as urls
 from inferframe.functions import template as tpl
 from inferframe.functions import text as tx
+from inferframe.operators import similarity
 
 
 def one(spark, column, **values):
@@ -38,13 +39,83 @@ def test_tokens_and_similarity(spark):
     texts = TEXTS + [" ".join(rng.choices(["a", "b", "cc", "<i>", "_", "É"], k=rng.randrange(12))) for _ in range(40)]
     pairs = [(i, a, texts[(i * 7 + 3) % len(texts)]) for i, a in enumerate(texts)]
     df = spark.createDataFrame(pairs, "i int, a string, b string")
-    ca, cb = tx.token_counts(F.col("a")), tx.token_counts(F.col("b"))
-    for r in df.select("i", "a", "b", tx.tokens(F.col("a")).alias("t"), tx.jaccard(ca, cb).alias("j"), tx.jaccard(cb, ca).alias("k"), tx.jaccard(ca, ca).alias("s"), tx.text_jaccard(F.col("a"), F.col("b")).alias("n"), tx.token_diff(ca, cb).alias("d")).collect():
+    given = F.col("a").isNotNull() & F.col("b").isNotNull()
+    found = similarity.compare_texts(df.withColumn("t", tx.tokens(F.col("a"))), F.col("a"), F.col("b"), given, lists=True).collect()
+    assert len(found) == len(pairs)
+    for r in found:
         assert r.t == plain_tokens(r.a)
-        assert r.j == pytest.approx(plain_jaccard(r.a, r.b)) == r.k and r.s == 1.0 and 0 <= r.j <= 1
-        assert (r.n is None) == (not (r.a or "").strip() or not (r.b or "").strip())
+        if r.a is None or r.b is None:
+            assert r.jaccard is None and r.diff is None and r.n_added is None
+            continue
+        assert r.jaccard == pytest.approx(plain_jaccard(r.a, r.b)) and 0 <= r.jaccard <= 1
         a, b = pd.Series(plain_tokens(r.a)).value_counts().to_dict(), pd.Series(plain_tokens(r.b)).value_counts().to_dict()
-        assert r.d.removed == sorted(set(a) - set(b)) and r.d.added == sorted(set(b) - set(a)) and r.d.changed == sorted(k for k in set(a) & set(b) if a[k] != b[k])
+        assert r.diff.removed == sorted(set(a) - set(b)) and r.diff.added == sorted(set(b) - set(a)) and r.diff.changed == sorted(k for k in set(a) & set(b) if a[k] != b[k])
+        assert (r.n_removed, r.n_changed, r.n_added) == tuple(map(len, r.diff))
+
+
+def test_comparison_of_long_and_repeated_texts(spark):
+    """Texts of 20,000 different words, the same pair in many rows, and both sides the same: one row for each row."""
+    words = [f"w{i}" for i in range(20000)]
+    a, b = " ".join(words), " ".join(words[5000:] + ["new"] * 3)
+    rows = [(1, a, b), (2, a, a), (3, "", ""), (4, "", "x")] + [(i, "p q q", "q r") for i in range(5, 305)]
+    df = spark.createDataFrame(rows, "i int, a string, b string").repartition(4)
+    got = {r.i: r for r in similarity.compare_texts(df, F.col("a"), F.col("b"), F.lit(True)).collect()}
+    assert len(got) == len(rows)
+    assert (got[1].jaccard, got[1].n_removed, got[1].n_changed, got[1].n_added) == (15000 / 20003, 5000, 0, 1)
+    assert got[2].jaccard == got[3].jaccard == 1.0 and got[4].jaccard == 0.0
+    assert {(got[i].jaccard, got[i].n_removed, got[i].n_changed, got[i].n_added) for i in range(5, 305)} == {(1 / 4, 1, 1, 1)}
+
+
+def some_sides(seed, n=120, m=40):
+    rng = random.Random(seed)
+    common, rare = [f"c{i}" for i in range(8)], [f"r{i}" for i in range(400)]
+    text = lambda k: " ".join(rng.choices(common, k=k) + rng.choices(rare, k=k))
+    right = [(j, text(rng.randint(1, 12))) for j in range(m)] + [(m, ""), (m + 1, None)]
+    left = [(i, text(rng.randint(0, 15))) for i in range(n)] + [(n + i, right[i][1]) for i in range(10)] + [(n + 10 + i, right[i][1] + " more c1") for i in range(10)] + [(n + 20, None), (n + 21, "nothing"), (n + 22, "c1")]
+    return left, right
+
+
+def plain_best(left, right):
+    out = {}
+    for i, a in left:
+        best = (0.0, None)
+        for j, b in right:
+            shared = set(plain_tokens(a)) & set(plain_tokens(b))
+            if shared and (s := plain_jaccard(a, b)) > best[0]:
+                best = (s, j)
+        out[i] = (best[1], pytest.approx(best[0]))
+    return out
+
+
+def test_best_match_both_ways(spark, monkeypatch):
+    """The small right side at the tasks and the search by rising prefixes find the same, ties to the smaller id."""
+    left, right = some_sides(7)
+    want = plain_best(left, right)
+    l = spark.createDataFrame(left, "i long, text string").withColumn("source", F.lit("s")).repartition(3)
+    r = spark.createDataFrame(right, "j long, text string")
+    got = similarity.best_match(l, r, "i", "j", keep=("source",))
+    assert got.columns == ["i", "source", "j", "jaccard"]
+    assert {x.i: (x.j, x.jaccard) for x in got.collect()} == want
+    monkeypatch.setattr(similarity, "BROADCAST_TOKENS", 0)
+    got = similarity.best_match(l, r, "i", "j", keep=("source",))
+    assert {x.i: (x.j, x.jaccard) for x in got.collect()} == want
+    none = spark.createDataFrame([], "j long, text string")
+    monkeypatch.undo()
+    assert {(x.j, x.jaccard) for x in similarity.best_match(l, none, "i", "j").collect()} == {(None, 0.0)}
+    assert similarity.best_match(l.limit(0), r, "i", "j").count() == 0
+
+
+def test_search_adds_up_few_of_all_pairs(spark):
+    """Where most rows have a near one, the rounds add up a few pairs of those that share a token, and all rows are right."""
+    left, right = some_sides(9, n=10, m=150)
+    rng = random.Random(1)
+    left += [(1000 + i, " ".join(t.split() + [f"x{i}"])) for i, t in enumerate(rng.choice(right[:150])[1] for _ in range(300))]
+    l, r = spark.createDataFrame(left, "i long, text string"), spark.createDataFrame(right, "j long, text string")
+    every = similarity.pair_similarity(l, r, "i", "j").count()
+    found, added = similarity.search_best(l, r, "i", "j")
+    want = {i: v for i, v in plain_best(left, right).items() if v[0] is not None}
+    assert {x.i: (x.j, x.jaccard) for x in found.collect()} == want
+    assert len(added) == len(similarity.FALLING) + 1 and sum(added) < every / 4
 
 
 def test_highlight_never_marks_its_own_markup():

@@ -219,13 +219,17 @@ def test_benchmark_report(spark):
     assert {r.model: r.n_missing for r in benchmark.coverage(images, outputs).collect()} == {"m": 0, "n": 2, "o": 2}
 
 
-def test_compare_paths(spark, tmp_path, monkeypatch):
+def test_compare_paths(spark, tmp_path):
     (tmp_path / "a").write_text("x y")
     (tmp_path / "b").write_text("x z")
     df = spark.createDataFrame([(1, str(tmp_path / "a"), str(tmp_path / "b")), (2, str(tmp_path / "a"), None), (3, "", str(tmp_path / "b"))], "i int, p string, q string")
     assert [r.jaccard for r in similarity.compare_paths(df, "p", "q").orderBy("i").collect()] == [1 / 3, None, None]
-    monkeypatch.setattr(similarity, "NAMED_PATHS", 1)
-    assert [r.jaccard for r in similarity.compare_paths(df, "p", "q").orderBy("i").collect()] == [1 / 3, None, None]
+    clash = df.withColumn("diff", F.lit(1)).withColumn("n_added", F.lit(2)).withColumn("jaccard", F.lit("old"))
+    got = similarity.compare_paths(clash, "p", "q", out="same").orderBy("i").collect()
+    assert [(r.diff, r.n_added, r.jaccard, r.same) for r in got] == [(1, 2, "old", 1 / 3), (1, 2, "old", None), (1, 2, "old", None)]
+    missing = spark.createDataFrame([(1, str(tmp_path / "none"), str(tmp_path / "b"))], "i int, p string, q string")
+    with pytest.raises(Exception, match="none"):
+        similarity.compare_paths(missing, "p", "q").collect()
 
 
 def test_models(spark):
