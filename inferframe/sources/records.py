@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv_splits import count_csv, csv_records
+
 #: Columns of the envelope; everything else is the user's.
 ENVELOPE = ("id", "skip_processing", "passthrough_data")
 
@@ -115,14 +117,19 @@ def read_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFr
     """Rows of a CSV file with a header: _seq, the envelope, and the user's columns as strings.
 
     Empty cells are empty strings. A ragged row fails the run. `true` and `false` are accepted in
-    skip_processing; passthrough_data stays a JSON string. Quoted cells may hold line breaks, for which each
-    file is read by one task; with line_breaks=False they may not, and large files are split.
+    skip_processing; passthrough_data stays a JSON string. Files are split. Quoted cells may hold line breaks, for
+    which a first pass finds where records start (csv_splits); with line_breaks=False they may not, and there is none.
     """
     options = {"header": True, "inferSchema": False, "mode": "FAILFAST", "multiLine": line_breaks, "escape": '"', "nullValue": "\0", "emptyValue": ""}
     df = spark.read.options(**options).csv(path)
     if "id" not in df.columns:
         raise ValueError(f"{path}: no column id")
-    df = number_rows(df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]))
+    texts = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]
+    if line_breaks:
+        cells = F.from_csv("record", ", ".join(f"`{c}` string" for c in df.columns), {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items() if k not in ("header", "inferSchema")})
+        df = csv_records(spark, path).select("_seq", cells.alias("_cells")).select("_seq", "_cells.*").select("_seq", *texts)
+    else:
+        df = number_rows(df.select(texts))
     skip = F.lower(F.trim("skip_processing")) if "skip_processing" in df.columns else F.lit("")
     flag = F.when(skip == "true", True).when(skip == "false", False).when(skip != "", F.raise_error(F.lit("skip_processing must be true or false")).cast("boolean"))
     passed = F.when(F.col("passthrough_data") != "", quoted(F.col("passthrough_data"))) if "passthrough_data" in df.columns else F.lit(None).cast("string")
@@ -136,7 +143,7 @@ def read_records(spark: SparkSession, path: str, line_breaks: bool = True) -> Da
 
 def count_records(spark: SparkSession, path: str) -> int:
     """Number of records (rows of a CSV, lines of a JSONL file)."""
-    return spark.read.text(path).count() if is_json(path) else spark.read.options(header=True, multiLine=True, escape='"').csv(path).count()
+    return spark.read.text(path).count() if is_json(path) else count_csv(spark, path)
 
 
 def take(df: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
