@@ -22,8 +22,8 @@ BLOCK = 64
 COMMON, COMMON_IN = 64, 10
 #: Decimal places of scores, wherever they are compared.
 PLACES = 6
-#: Tasks of the search at most; each has one or more blocks of queries with a group of shards.
-MOST_TASKS = 20_000
+#: Bytes of text that a row counts for besides its own.
+ROW_BYTES = 64
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -110,8 +110,12 @@ class Shard:
         place[:] = -1
         place[common] = np.arange(len(common))
         at = place[numbers]
-        used = np.bincount((doc * COMMON + at)[at >= 0], minlength=len(sizes) * COMMON)
-        return np.lexsort((sizes, used.reshape(len(sizes), COMMON).argmax(axis=1)))
+        used, times = np.unique((doc.astype(np.int64) * COMMON + at)[at >= 0], return_counts=True)
+        most = np.lexsort((used, -times, used // COMMON))  # of each document the term used most, of several the first
+        most = used[most[np.flatnonzero(np.diff(used[most] // COMMON, prepend=-1))]]
+        favourite = np.zeros(len(sizes), np.int64)
+        favourite[most // COMMON] = most % COMMON
+        return np.lexsort((sizes, favourite))
 
     def save(self, path: str) -> None:
         for name in self.ARRAYS:
@@ -226,7 +230,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]] = []
-        room, number = shard_bytes, 0
+        room, number = shard_bytes, 0  # a row takes room of its own, so a shard of short ones has no more than it can hold
 
         def flush() -> pa.RecordBatch:
             ids, numbers, sizes, terms = zip(*held, strict=True)
@@ -240,7 +244,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 held.append((part.column(0).cast(pa.int64()), *_terms(part.column(1))))
-                room -= part.column(1).nbytes
+                room -= part.column(1).nbytes + ROW_BYTES * part.num_rows
                 if room < 0:
                     yield flush()
                     held, room, number = [], shard_bytes, number + 1
@@ -314,7 +318,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
     n_groups, n_blocks = max(1, -(-n_shards // group)), max(1, -(-n_queries // block_queries))
     groups = shards.groupBy(F.pmod(F.xxhash64("name"), F.lit(n_groups)).alias("_group")).agg(F.sort_array(F.collect_list("name")).alias("names"))
     meets = blocks.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long")))).join(groups, "_group")
-    tasks = meets.select("block", "names").repartition(min(MOST_TASKS, n_groups * n_blocks))
+    tasks = meets.select("block", "names").repartition(n_groups * n_blocks)
     found = tasks.mapInArrow(search, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

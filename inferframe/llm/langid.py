@@ -35,20 +35,25 @@ def trigrams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     row = np.repeat(np.arange(n), sizes + 2)
     place = np.arange(len(data)) + 2 * np.repeat(np.arange(n), sizes) + 1
     framed[place] = _SOUND[LOWER[data]]
+    return _codes(framed, row)
+
+
+def _codes(framed: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code = (framed[:-2] << 16) + (framed[1:-1] << 8) + framed[2:]
     keep = (row[:-2] == row[2:]) & ((framed[:-2] != 32).astype(np.int8) + (framed[1:-1] != 32) + (framed[2:] != 32) >= 1)
     return row[:-2][keep], (code[keep] * 0x9E3779B1 >> 11) & (DIMS - 1)
 
 
-def _blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """As pieces(), with very long texts in parts of the same row."""
+def coded(column: pa.Array, part: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, row and code of each trigram) of runs of rows, and of parts of a very long text, which overlap by two bytes: no trigram is lost or made by a cut."""
     for first, offsets, data in pieces(column, PIECE // 4):
-        if len(offsets) > 2 or len(data) <= PIECE:
-            yield first, offsets, data
-        else:
-            for a in range(0, len(data), PIECE):
-                part = data[a : a + PIECE]
-                yield first, np.array([0, len(part)]), part
+        if len(offsets) > 2 or len(data) <= part:
+            yield first, len(offsets) - 1, *trigrams(offsets, data)
+            continue
+        for a in range(0, len(data), part):  # the trigrams around the bytes from a to a + part
+            inner = _SOUND[LOWER[data[max(0, a - 1) : a + part + 1]]]
+            framed = np.concatenate([[32] * (a == 0), inner, [32] * (a + part >= len(data))]).astype(np.int64)
+            yield first, 1, *_codes(framed, np.zeros(len(framed), np.int64))
 
 
 def text_model(docs: DataFrame, text_col: str, declared: Column, languages: Sequence[str]) -> np.ndarray:
@@ -62,8 +67,7 @@ def text_model(docs: DataFrame, text_col: str, declared: Column, languages: Sequ
         total = np.zeros((len(languages), DIMS), np.int64)
         for batch in batches:
             spoken = np.array([-1 if x is None else x for x in batch.column(1).to_pylist()], np.int64)
-            for first, offsets, data in _blocks(batch.column(0)):
-                row, code = trigrams(offsets, data)
+            for first, _, row, code in coded(batch.column(0)):
                 own = spoken[first + row]
                 total += np.bincount(own[own >= 0] * DIMS + code[own >= 0], minlength=total.size).reshape(total.shape)
         own, code = np.nonzero(total)
@@ -126,9 +130,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             sums, count = np.zeros((batch.num_rows, n)), np.zeros(batch.num_rows, np.int64)
             against = np.zeros((batch.num_rows, n))
-            for first, offsets, data in _blocks(batch.column(3)):
-                row, code = trigrams(offsets, data)
-                rows = len(offsets) - 1
+            for first, rows, row, code in coded(batch.column(3)):
                 count[first : first + rows] += np.bincount(row, minlength=rows)
                 for k in range(n):
                     sums[first : first + rows, k] += np.bincount(row, weights=known[k][code], minlength=rows)

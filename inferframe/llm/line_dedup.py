@@ -43,30 +43,31 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests to drop; the kept lines stay in their order.
 
     Nulls: a null or empty text is one empty line. Rows with a null id lose
-    every shared line and don't count as documents. Repeated rows with one id
+    every shared line, which they look up by a digest of their text, and don't count as documents. Repeated rows with one id
     count as one document and are treated alike. An empty table gives an empty
     one. The two groupings combine on the map side, and the joins are on
     columns whose large partitions Spark can split, so a line in a third of all
     documents doesn't meet in one task.
     """
-    keys = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType())])
+    keys = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_none", T.StringType()), T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType())])
     at = docs.columns.index(id_col)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, digests = [], []
-            for i, text in enumerate(texts(batch, "_text")):
+            for i, text in enumerate(texts(batch, "_text")):  # column 2 tells rows without an id apart
                 found = {k for k in line_keys(text, min_chars) if k}
                 rows.extend([i] * len(found))
                 digests.extend(found)
             two = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["_id", "_h1", "_h2"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, pa.int64())) for k in (0, 2)), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["_id", "_none", "_h1", "_h2"])
 
-    lines = docs.select(docs.columns[at], text_col).toDF("_id", "_text").mapInArrow(explode, keys).distinct()
+    none = F.when(F.col(id_col).isNull(), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    lines = docs.select(docs.columns[at], text_col, none).toDF("_id", "_text", "_none").mapInArrow(explode, keys).distinct()
     shared = lines.groupBy("_h1", "_h2").agg(F.count("_id").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs)
     drops = lines.join(shared, ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
-    drops = drops.groupBy(F.col("_id").alias("_drop_id")).agg(F.collect_list(F.struct("_h1", "_h2")).alias("_drops"))
-    joined = docs.join(drops, docs[id_col].eqNullSafe(drops["_drop_id"]), "left").drop("_drop_id")
+    drops = drops.groupBy(F.col("_id").alias("_drop_id"), F.col("_none").alias("_drop_none")).agg(F.collect_list(F.struct("_h1", "_h2")).alias("_drops"))
+    joined = docs.join(drops, docs[id_col].eqNullSafe(drops["_drop_id"]) & none.eqNullSafe(drops["_drop_none"]), "left").drop("_drop_id", "_drop_none")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
         for batch in batches:

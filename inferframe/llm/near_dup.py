@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .components import connected_components
 from .shared import checkpoint_dir
 from .store import HashStore, write_store
-from .textops import NOT_SPACE, distinct_words, expand, mix, window_hashes
+from .textops import NOT_SPACE, distinct_words, expand, mix, window_hashes, words_of
 
 #: Bands, and minima in each: two sets of Jaccard similarity 0.8 share no band with odds (1 - 0.8^4)^24, 3 in a million.
 BANDS, ROWS = 24, 4
@@ -30,15 +30,16 @@ _A = _RANDOM.integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2)
 _B = _RANDOM.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
 
 
-def shingled(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, signed hash of each row's words, first shingle of each row, shingle hashes).
+def shingled(column: pa.Array, shingle: int) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """(first row, digest of each row's words, first shingle of each row, shingle hashes).
 
     A text of fewer words has one shingle, its whole sequence; without words none.
     """
     for row, first, number, own in distinct_words(column, NOT_SPACE):
-        hashes = own.hashes().view(np.uint64)[number]
+        halves = own.digests()[number]
         n = np.diff(first)
-        nodes = np.array([xxhash.xxh64_intdigest(hashes[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], np.uint64)
+        nodes = [blake2b(halves[a:b].tobytes(), digest_size=16).hexdigest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        hashes = np.ascontiguousarray(halves[:, 0])
         sizes = np.where(n >= shingle, n - shingle + 1, n > 0)
         at = np.concatenate([[0], np.cumsum(sizes)])
         out = np.empty(at[-1], np.uint64)
@@ -46,8 +47,8 @@ def shingled(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray,
         whole = n >= shingle
         out[expand(at[:-1][whole], sizes[whole])] = windows[expand(first[:-1][whole], sizes[whole])]
         short = (n > 0) & ~whole
-        out[at[:-1][short]] = mix(nodes[short])
-        yield row, nodes.view(np.int64), at, out
+        out[at[:-1][short]] = mix(np.array([int(nodes[i][:16], 16) for i in np.flatnonzero(short)], np.uint64))
+        yield row, nodes, at, out
 
 
 def band_keys(at: np.ndarray, shingles: np.ndarray) -> np.ndarray:
@@ -63,17 +64,17 @@ def band_keys(at: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, node, keys) for each row of (id, text); the keys of a text without words are empty."""
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("node", T.LongType()), T.StructField("keys", T.BinaryType())])
+    """(id, digest, keys) for each row of (id, text); the keys of a text without words are empty."""
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("digest", T.StringType()), T.StructField("keys", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [np.zeros(0, np.int64)], []
+            nodes, keys = [], []
             for _, own, at, shingles in shingled(batch.column(1), shingle):
                 found = iter(band_keys(at, shingles))
-                nodes.append(own)
+                nodes += own
                 keys += [next(found).tobytes() if n else b"" for n in np.diff(at).tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(nodes)), pa.array(keys, pa.binary())], names=["id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.string()), pa.array(keys, pa.binary())], names=["id", "digest", "keys"])
 
     return docs.mapInArrow(run, schema)
 
@@ -188,11 +189,11 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Jaccard similarity of at least `similarity`; texts without words are alike.
     component_id is the smallest id that links reach.
 
-    Texts of equal words collapse first. The distinct ones meet by bands of
-    MinHash minima; those that meet any other have their exact sets (64-bit hashes)
+    Texts of equal words (by 128 bits of BLAKE2b over those of the words) collapse first, and get numbers. The distinct ones meet by bands of
+    MinHash minima; those that meet any other have their sets of shingles (64-bit hashes of words' digests)
     in the shared folder, and each bucket's are compared there. The table of
-    texts is read twice and never shuffled. No false pair is linked but for
-    equal hashes; a pair at 0.8 is missed with odds of 3 in a million, a closer one more rarely.
+    texts is read twice and never shuffled. No digest of two texts is known to be the same; two
+    sets of n shingles each share a false one with odds of n * n / 2^64. A pair at 0.8 is missed with odds of 3 in a million, a closer one more rarely.
 
     Nulls, repeated rows, empty tables and other columns: as in simhash_components.
     """
@@ -200,7 +201,15 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     checkpoint_dir(spark)
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rows = _signatures(narrow, shingle).checkpoint()
-    distinct = rows.groupBy("node").agg(F.min("id").alias("first"), F.first("keys").alias("keys")).checkpoint()
+    distinct = rows.groupBy("digest").agg(F.min("id").alias("first"), F.first("keys").alias("keys")).withColumn("number", F.monotonically_increasing_id())
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers by a bijection that spreads them over all shards."""
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(mix(batch.column(3).to_numpy().view(np.uint64)).view(np.int64))], names=["digest", "first", "keys", "node"])
+
+    # numbers hold once they are written
+    distinct = distinct.mapInArrow(spread, T.StructType([distinct.schema["digest"], distinct.schema["first"], distinct.schema["keys"], T.StructField("node", T.LongType())])).checkpoint()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,19 +219,25 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     met = distinct.select("node", "keys").mapInArrow(keyed, "key long, node long").repartition("key").sortWithinPartitions("key")
     met = met.mapInArrow(_buckets, "route long, key long, node long").checkpoint()
-    wanted = write_store(met.select(F.col("node").alias("h")).distinct(), "near-dup-nodes")
+    named = distinct.join(met.select("node").distinct(), "node", "left_semi")
+    wanted = write_store(named.select(F.xxhash64("digest").alias("h"), F.col("digest").alias("word"), "node"), "near-dup-nodes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, seen = HashStore(wanted), set()
         for batch in batches:
-            for _, nodes, at, shingles in shingled(batch.column(0), shingle):
-                own, place = np.unique(nodes, return_index=True)
-                known = [i for _, here, _ in store.find(own) for i in here.tolist() if own[i] not in seen]
-                seen.update(own[known].tolist())
-                found = [np.unique(shingles[at[p] : at[p + 1]]).view(np.int64) for p in place[known].tolist()]
+            for _, digests, at, shingles in shingled(batch.column(0), shingle):
+                words = words_of(pa.array(digests, pa.string()))
+                hashes = words.hashes()
+                order, nodes, found = np.argsort(hashes, kind="stable"), [], []
+                for shard, here, there in store.find(hashes[order], words.take(order)):
+                    for place, node in zip(order[here].tolist(), store.array(shard, "node")[there].tolist(), strict=True):
+                        if node not in seen:
+                            seen.add(node)
+                            nodes.append(node)
+                            found.append(np.unique(shingles[at[place] : at[place + 1]]).view(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 values = np.concatenate([np.zeros(0, np.int64), *found])
-                yield pa.RecordBatch.from_arrays([pa.array(own[known]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["h", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["h", "s"])
 
     links = spark.createDataFrame([], "a long, b long")
     if sum(wanted.rows):
@@ -249,15 +264,23 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         links = met.repartition("route").sortWithinPartitions("route", "key").mapInArrow(verified, "a long, b long")
     groups = connected_components(links).withColumnRenamed("node", "of")
-    labelled = distinct.join(groups, distinct.node == groups.of, "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    labelled = distinct.join(groups, distinct.node == groups.of, "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     # written, so that both sides of the join on roots are plain and a giant component's part can be split
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id")).checkpoint()
-    labels = labelled.join(smallest, "root").select(F.col("node").alias("_of"), "component_id")
-    return rows.join(labels, rows.node == labels["_of"]).select("id", "component_id")
+    labels = labelled.join(smallest, "root").select(F.col("digest").alias("_of"), "component_id")
+    return rows.join(labels, rows.digest == labels["_of"]).select("id", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that stand for their group of near-duplicates, as in simhash_dedup; options as in near_dup_components."""
     kept = near_dup_components(docs, id_col, text_col, **options).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(docs[id_col].isNull()))
+    return one_of_each(docs.join(kept, docs[id_col] == kept["_kept"], "left_semi"), docs, id_col, text_col).unionByName(docs.where(docs[id_col].isNull()))
+
+
+def one_of_each(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row for each id of `rows`, some of `docs`: of several that with the least digest of its text. Only rows whose ids repeat are shuffled."""
+    often = docs.groupBy(F.col(id_col).alias("_often")).agg(F.count("*").alias("_n")).where("_n > 1").select("_often").checkpoint()
+    if not often.take(1):
+        return rows
+    again = rows.join(often, rows[id_col] == often["_often"], "left_semi").select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_digest"))
+    return rows.join(often, rows[id_col] == often["_often"], "left_anti").unionByName(again.groupBy("_id").agg(F.min_by("_row", "_digest").alias("_row")).select("_row.*"))

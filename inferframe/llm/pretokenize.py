@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import regex
+import tiktoken
 
 #: Fixed value: the pattern that `split` follows.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -16,12 +17,16 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 
 @cache
 def character_kinds() -> np.ndarray:
-    """SPACE, LETTER, NUMBER or OTHER for each code point, as the pattern's classes say."""
+    """SPACE, LETTER, NUMBER or OTHER for each code point, as the installed tiktoken's tables of characters say.
+
+    An encoding whose pieces are single bytes gives back what its pattern matches and nothing else, so each class is asked for once.
+    """
     kinds = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    every = np.arange(sys.maxunicode + 1, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for run in regex.finditer(pattern, every):
-            kinds[run.start() : run.end()] = kind
+    every = "".join(chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+    for kind, pattern in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        found = bytes(probe.encode_ordinary(every)).decode()
+        kinds[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     return kinds
 
 
@@ -70,7 +75,10 @@ Splitter = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def splitter_of(pattern: str) -> Splitter:
-    """Splits by PATTERN with arrays, and by any other pattern whose matches cover a text match by match."""
+    """Splits by PATTERN with arrays, and by any other pattern whose matches cover a text match by match.
+
+    The first has tiktoken's tables of characters, made here on the driver and sent along; the others those of the module regex.
+    """
     if pattern == PATTERN:
         kinds = character_kinds()
         return lambda offsets, data: split(offsets, data, kinds)

@@ -15,6 +15,8 @@ from .textops import LOWER, NOT_SPACE, PIECE, arrow_columns, distinct, mix, piec
 
 _SHAPES, _PAIRS, _WORDS = 768, 1024, 512
 FEATURES = _SHAPES + _PAIRS + _WORDS
+#: Rows that have features at once, however short.
+ROWS = 512
 
 _BYTE = np.arange(256)
 _UPPER = (_BYTE >= 65) & (_BYTE <= 90)
@@ -56,18 +58,26 @@ def features(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return out.reshape(n, FEATURES).astype(np.float32)
 
 
-def feature_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, features) for runs of rows; texts of any length, a piece at a time."""
-    for first, offsets, data in pieces(column, PIECE // 4):
-        if len(data) <= PIECE:
+def feature_rows(column: pa.Array, part: int = PIECE) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, features) for runs of rows, ROWS at most; texts of any length.
+
+    A very long text is cut between words into parts of `part` bytes, or one word. Each part has the two words before it along, whose
+    own features are taken off again, so pairs of words over a cut count and every word knows the one before.
+    """
+    for first, offsets, data in pieces(column, PIECE // 4, ROWS):
+        if len(data) <= part:
             yield first, features(offsets, data)
             continue
-        total, a = np.zeros((1, FEATURES), np.float32), 0
-        while a < len(data):  # one long text, cut at white space where there is some
-            b = min(len(data), a + PIECE)
-            gaps = np.flatnonzero(~NOT_SPACE[data[a:b]]) if b < len(data) else ()
-            b = a + int(gaps[-1]) + 1 if len(gaps) else b
-            total += features(np.array([0, b - a]), data[a:b])
+        total, before, a = np.zeros((1, FEATURES), np.float32), data[:0], 0
+        while a < len(data):
+            b = a + part
+            while b < len(data) and NOT_SPACE[data[b - 1]] and NOT_SPACE[data[b]]:
+                gaps = np.flatnonzero(~NOT_SPACE[data[b : b + part]])
+                b += int(gaps[0]) if len(gaps) else part
+            now = np.concatenate([before, data[a:b]])
+            total += features(np.array([0, len(now)]), now) - features(np.array([0, len(before)]), before)
+            starts, ends, _ = words(now, np.array([0, len(now)]), NOT_SPACE)
+            before = np.append(now[starts[-2:][0] : ends[-1]], np.uint8(32)) if len(starts) else now[:0]
             a = b
         yield first, total
 

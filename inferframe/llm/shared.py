@@ -10,13 +10,15 @@ from pyspark.sql import SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset (tests on one machine), one in the warehouse."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one in the warehouse on a single machine (tests), and else ValueError: the warehouse may be one machine's own."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(where)
         return where
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(own)
@@ -31,17 +33,12 @@ def new_folder(spark: SparkSession, what: str) -> str:
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder as every machine mounts it, for files that workers write and memory-map.
 
-    Raises ValueError for stores that are not mounted as a file system, and, off
-    a single machine, where spark.checkpoint.dir is unset: the warehouse may then be one machine's own.
+    Raises ValueError for stores that are not mounted as a file system, and as checkpoint_dir does.
     """
     path = new_folder(spark, what)
     parts = urlparse(path)
     if parts.scheme not in ("", "file"):
         raise ValueError(f"memory-mapped files need spark.checkpoint.dir on a mounted file system, not {parts.scheme}://")
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     folder = os.path.abspath(parts.path)
     os.makedirs(folder, exist_ok=True)
     return folder

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
+from .near_dup import one_of_each
 from .shared import checkpoint_dir
 from .textops import texts
 
@@ -299,9 +300,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that stand for their group of near-duplicates: those with its smallest id.
 
-    Options as in simhash_components. Repeated rows with one id leave one.
+    Options as in simhash_components. Repeated rows with one id leave one, that with the least digest of its text.
     Rows with a null id can't be told apart and stay.
     """
     kept = simhash_components(docs, id_col, text_col, **options).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(docs[id_col].isNull()))
+    return one_of_each(docs.join(kept, docs[id_col] == kept["_kept"], "left_semi"), docs, id_col, text_col).unionByName(docs.where(docs[id_col].isNull()))

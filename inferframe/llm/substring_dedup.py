@@ -44,12 +44,12 @@ class Chunk:
         copies = table.column(table.schema.get_field_index("copies")).to_numpy()
         hashes, firsts, n = [np.zeros((0, 2), np.uint64)], [np.zeros(1, np.int64)], 0
         for _, first, number, own in distinct_words(column, NOT_SPACE, lower=False):
-            hashes.append(own.hashes128()[number])
+            hashes.append(own.digests()[number])
             firsts.append(first[1:] + n)
             n += len(number)
         self.length, self.k = length, k
         self.first = np.concatenate(firsts)
-        #: of each word, the halves of its 128-bit hash
+        #: of each word, the halves of its 128-bit digest
         self.hashes = np.concatenate(hashes)
         row = np.repeat(np.arange(len(copies)), np.diff(self.first))
         windows = max(0, n - length + 1)
@@ -71,7 +71,7 @@ class Chunk:
         return grams, _slide(padded, span, np.maximum) == grams
 
     def windows(self) -> np.ndarray:
-        """Two independent hashes of each window."""
+        """Two hashes of each window, one of either half of its words' digests."""
         return np.stack([window_hashes(self.hashes[:, i], self.length) for i in range(2)], axis=1)
 
     def near(self, anchors: np.ndarray) -> np.ndarray:
@@ -185,9 +185,9 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
     length - anchor words on either side: the extensions go the same way, and runs of repeated
     ones are the maximal repeats of `length` words or more. What a chunk sends has each
     key once, so a passage in a third of all documents is one entry for each
-    chunk; no pair of documents is formed. Seeds only prefilter; windows are
-    the same if both of two independent 64-bit hashes of their words are
-    (odds of any false match among n windows: n * n / 2^129).
+    chunk; no pair of documents is formed. Seeds only prefilter. Texts are the same if their SHA-256 is, words if
+    128 bits of their BLAKE2b are, and windows if two 64-bit hashes are, each of one half of their words' digests
+    (odds of any false match among n windows: n * n / 2^129, and no words are known that could be chosen for one).
 
     A null or empty text has no words. Repeated rows are copies of each other. An
     empty table gives an empty one.
@@ -195,7 +195,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)}
+    keys = {"_key": F.unhex(F.sha2(text, 256))}
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     chunks = max(2 * parts, -(-total // chunk_bytes))
@@ -204,8 +204,8 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
         """Chunks dealt out evenly: so many to each part, which keeps its place through the steps."""
         return rows.withColumn("part", F.floor(F.col("chunk") * parts / chunks).cast("int")).repartitionById(parts, "part")
 
-    distinct = docs.select(*(c.alias(k) for k, c in keys.items()), text.alias("text")).groupBy("_h1", "_h2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    dealt = placed(distinct.select(F.pmod(F.xxhash64("_h2", "_h1"), F.lit(chunks)).alias("chunk"), "_h1", "_h2", "text", "copies"))
+    distinct = docs.select(*(c.alias(k) for k, c in keys.items()), text.alias("text")).groupBy("_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    dealt = placed(distinct.select(F.pmod(F.xxhash64("_key"), F.lit(chunks)).alias("chunk"), "_key", "text", "copies"))
     keys_of = ["part", "chunk"]
 
     def seeds(table: pa.Table) -> pa.Table:
@@ -229,7 +229,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
         copied = c.copied[near]
         return _packets(table.column("chunk")[0].as_py(), parts, c.windows()[near], copied, ~copied)
 
-    made = T.StructType([T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType()), T.StructField("_kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", SPANS)])
+    made = T.StructType([T.StructField("_key", T.BinaryType()), T.StructField("_kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", SPANS)])
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         kept, n_removed, spans, c = [], [], [], None
@@ -246,16 +246,16 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
                 spans.append(_spans(~mask))
                 kept.append(b" ".join(own if not n_removed[-1] else [w for w, s in zip(own, mask.tolist(), strict=True) if s]))
         return pa.table(
-            {"_h1": table.column("_h1"), "_h2": table.column("_h2"), "_kept": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(np.diff(c.first) if c else [], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, _SPANS_ARROW)}
+            {"_key": table.column("_key"), "_kept": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(np.diff(c.first) if c else [], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, _SPANS_ARROW)}
         )
 
     seeded = placed(_answers(dealt.groupBy(keys_of).applyInArrow(seeds, _PACKET), parts, 1))
     repeated = placed(_answers(dealt.groupBy(keys_of).cogroup(seeded.groupBy(keys_of)).applyInArrow(extend, _PACKET), parts, 2))
     done = dealt.groupBy(keys_of).cogroup(repeated.groupBy(keys_of)).applyInArrow(remove, made)
     derive = {**({text_col: lambda c: c} if keep_text else {}), **(derive or {})}
-    done = done.select("_h1", "_h2", "n_words", "n_removed", "spans", *(f(F.col("_kept")).alias(f"_new_{n}") for n, f in derive.items()))
+    done = done.select("_key", "n_words", "n_removed", "spans", *(f(F.col("_kept")).alias(f"_new_{n}") for n, f in derive.items()))
     new = ["n_words", "n_removed", "spans", *derive]
     base = docs.withColumns(keys).drop(text_col, *new)
-    out = base.join(done, ["_h1", "_h2"]).drop("_h1", "_h2")
+    out = base.join(done, "_key").drop("_key")
     out = out.withColumnsRenamed({f"_new_{n}": n for n in derive})
     return out.select(*dict.fromkeys([*(c for c in docs.columns if c in out.columns), *new]))

@@ -7,6 +7,7 @@ All functions work on the UTF-8 bytes of whole texts. Memory stays bounded by
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -41,10 +42,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, limit: int = PIECE, rows: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (first row, offsets, bytes) for runs of rows of a text column; null is empty.
 
-    A piece has `limit` bytes at most, or a single row.
+    A piece has `limit` bytes at most, or a single row; and no more than `rows` rows.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -60,7 +61,7 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, np.ndarr
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1)
-        last = min(last, n)
+        last = min(last, n, first + rows if rows else n)
         yield first, at[first : last + 1] - at[first], data[at[first] : at[last]]
         first = last
 
@@ -141,9 +142,10 @@ class Words(NamedTuple):
             out[i] = xxhash.xxh64_intdigest(self.data[self.at[i] : self.at[i + 1]].tobytes(), seed)
         return out.view(np.int64)
 
-    def hashes128(self) -> np.ndarray:
-        """XXH64 of each word with two seeds, as unsigned columns."""
-        return np.stack([self.hashes(42), self.hashes(7)], axis=1).view(np.uint64)
+    def digests(self) -> np.ndarray:
+        """128 bits of BLAKE2b of each word, as two unsigned columns: nobody knows two words with the same."""
+        data, at = self.data.tobytes(), self.at.tolist()
+        return np.frombuffer(b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]), np.uint64).reshape(-1, 2)
 
     def take(self, which: np.ndarray) -> Words:
         sizes = np.diff(self.at)[which]

@@ -1,5 +1,6 @@
 """Words, windows and terms are the same only if their bytes are."""
 
+import hashlib
 import os
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from inferframe.llm import decontaminate, ngram_lm, queries, shared, store, substring_dedup, textops
+from inferframe.llm import decontaminate, near_dup, ngram_lm, pretokenize, queries, shared, store, substring_dedup, textops
 from tests.llm.test_bpe import PATH, expected, reference
 from tests.llm.test_dedup import brute_windows
 
@@ -150,3 +151,64 @@ def test_hashes_are_xxh64(spark):
         assert own.hashes(seed).view(np.uint64).tolist() == [xxhash.xxh64_intdigest(w, seed) for w in words]
     texts = ["", "a", "four", "eightsss", "ninebytes", "z\u00e4hlen", "x" * 31, "y" * 32, "w" * 1000]
     assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t")).collect()] == textops.words_of(pa.array(texts)).hashes().tolist()
+
+
+# two words that XXH64 takes for the same with the seed 42 and with 7
+SAME = ('c$#$"k<qabcdefghabcdefghabcdefgh\'bk"dfb\'abcdefghabcdefghabcdefgh', 'c$#$"k,,abcdefghabcdefghabcdefgh\'b#(d/<fabcdefghabcdefghabcdefgh')
+
+
+def test_chosen_words(spark):
+    """Documents that differ in one of these words alone share no window of 35, and no shingle where they are all there is."""
+    assert all(xxhash.xxh64_intdigest(SAME[0], seed) == xxhash.xxh64_intdigest(SAME[1], seed) for seed in (42, 7))
+    ws = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*ws[:20], w, *ws[21:]])) for i, w in enumerate(SAME)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text, r.n_words, r.n_removed) for r in got) == brute_windows(rows) and all(r.n_removed == 0 for r in got)
+    rows = [(i, w) for i, w in enumerate(SAME)] + [(5, SAME[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dup.near_dup_components(docs).collect()) == [(0, 0), (1, 1), (5, 0)]
+    assert sorted(r.doc_id for r in near_dup.near_dedup(docs).collect()) == [0, 1]
+
+
+def test_digests_tell_words_apart():
+    own = textops.words_of(pa.array([*SAME, "a", "", SAME[0]]))
+    assert len({x.tobytes() for x in own.digests()}) == 4 and (own.digests()[0] == own.digests()[4]).all()
+
+
+@pytest.mark.parametrize("form", ["c's", " c", "1c2", "cc", "c 's", "  c", "a'c"])
+def test_splits_at_every_character(form):
+    """All code points in places where their class matters: matches are those of the library that is followed."""
+    own = reference()
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    # between line ends, which no match goes over but for white space
+    texts = [form.replace("c", c) for c in every]
+    split = pretokenize.splitter_of(public_tokenizers.PATTERN)
+    rows = {}
+    for first, offsets, data in textops.pieces(pa.array(texts)):
+        starts = split(offsets, data)
+        of = np.searchsorted(offsets, starts, side="right") - 1
+        for r, s in zip(of.tolist(), (starts - offsets[of]).tolist(), strict=True):
+            rows.setdefault(first + r, []).append(s)
+    for i, (text, ids) in enumerate(zip(texts, own.encode_ordinary_batch(texts, num_threads=2), strict=True)):
+        raw, cut = text.encode(), [*rows[i], len(text.encode())]
+        pieces = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        assert [x for p in pieces for x in own._encode_single_piece(p)] == ids, (text, pieces)
+
+
+def test_many_repeats_of_one_id(spark):
+    """One row for each id: that with the least digest, whatever the order."""
+    rows = [(1, "b"), (1, "a"), (1, None), (2, "x"), (None, "n"), (None, "n")]
+    for seed in (1, 2):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.rand(seed)).repartition(3)
+        got = near_dup.one_of_each(docs.where("doc_id IS NOT NULL"), docs, "doc_id", "text").collect()
+        least = min(["b", "a", ""], key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+        assert sorted((r.doc_id, r.text or "") for r in got) == [(1, least), (2, "x")]
+
+
+def test_no_folder_off_one_machine():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})()
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: type("C", (), {"get": staticmethod(lambda *_: None)})())})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.checkpoint_dir(Session())
