@@ -44,11 +44,17 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("input")
     c.add_argument("--column1", required=True)
     c.add_argument("--column2", required=True)
-    c.add_argument("-o", "--out", required=True)
+    c.add_argument("-o", "--out", default=None, help="folder of the result files; standard output if left out")
     c = sub.add_parser("export-text")
     c.add_argument("input")
-    for option in ("--key", "--new-key", "--path-pattern", "-o"):
+    for option in ("--key", "--new-key", "--path-pattern"):
         c.add_argument(option, required=True)
+    c.add_argument("-o", "--out", default=None, help="folder of the result files; standard output if left out")
+    c = sub.add_parser("finish", help="write results that a run made but couldn't write")
+    c.add_argument("kept", help="the folder that its error named")
+    c.add_argument("-o", "--out", default=None)
+    c.add_argument("--allow-reordering", action="store_true")
+    c.add_argument("--allowed-failure-rate", type=float, default=0.01)
     return p
 
 
@@ -64,8 +70,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from .operators.chat import RunOptions, chat, run_and_write
-    from .operators.metrics import FailureRateError, Summary, observed
+    from .operators.chat import ResultsKept, RunOptions, chat, finish_results, run_and_write
+    from .operators.metrics import FailureRateError
     from .operators.models import fetch_models
     from .operators.ocr import ocr
     from .operators.prompt import PromptError
@@ -73,14 +79,29 @@ def main(argv: list[str] | None = None) -> int:
     from .operators.schema import SchemaError
     from .operators.similarity import compare_paths
     from .sources.files import PageOptions
-    from .sources.records import export_text, flat_rows, spool, write_csv
+    from .sources.records import export_text, json_lines, print_csv, spool, write_csv
 
     spark = SparkSession.builder.appName("inferframe").config("spark.speculation", "false").getOrCreate()
     if args.command == "compare":
-        compare_paths(spark.read.csv(args.input, header=True, escape='"', multiLine=True), args.column1, args.column2).write.mode("overwrite").csv(args.out, header=True, quote='"', escape='"')
+        found = compare_paths(spark.read.csv(args.input, header=True, escape='"', multiLine=True), args.column1, args.column2)
+        write_csv(found, args.out) if args.out else print_csv(found)
         return 0
     if args.command == "export-text":
-        export_text(spark.read.json(args.input), "id", args.key, args.new_key, args.path_pattern).write.mode("overwrite").json(args.o)
+        found = export_text(spark.read.json(args.input), "id", args.key, args.new_key, args.path_pattern)
+        if args.out:
+            found.write.mode("overwrite").json(args.out)
+        else:
+            for row in found.select(json_lines(found).alias("line")).toLocalIterator():
+                print(row.line)
+        return 0
+    if args.command == "finish":
+        run = RunOptions(allow_reordering=args.allow_reordering)
+        try:
+            summary = finish_results(spark, args.kept, args.out, run, csv=bool(args.out) and args.out.endswith(".csv"))
+            summary.check(args.allowed_failure_rate)
+        except (FailureRateError, ResultsKept) as e:
+            print(f"error: {e}", file=sys.stderr)
+            return 1
         return 0
     run = RunOptions(args.jobs, args.offset, args.limit, args.allow_reordering, args.allowed_failure_rate)
     options = LlmOptions(args.max_completion_tokens, args.temperature, args.top_p, args.timeout, args.rate_limit)
@@ -93,14 +114,8 @@ def main(argv: list[str] | None = None) -> int:
         else:
             pages = PageOptions(args.rasterize, args.rasterize_dpi, args.max_pages, args.include_page_breaks)
             rows = ocr(source, args.model, args.driver, args.prompt, pages, run, options, models, spark)
-            if args.out and args.out.endswith(".csv"):
-                seen_rows, seen = observed(rows)
-                write_csv(flat_rows(seen_rows), args.out)
-                summary = Summary.of(seen.get)
-                summary.check(run.allowed_failure_rate)
-            else:
-                summary = run_and_write(rows, args.out, run)
-    except (FailureRateError, PromptError, SchemaError, ValueError, OSError) as e:
+            summary = run_and_write(rows, args.out, run, csv=bool(args.out) and args.out.endswith(".csv"))
+    except (FailureRateError, PromptError, ResultsKept, SchemaError, ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     for line in summary.lines():

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import template as tpl
 from ..sources.files import read_file
-from ..sources.records import ENVELOPE, discard, json_lines, number_partitions, quoted, read_records, scratch_path, take, write_jsonl
+from ..sources.records import ENVELOPE, discard, flat_rows, json_lines, number_partitions, print_csv, quoted, read_records, scratch_path, take, write_csv, write_jsonl
 from .metrics import Summary, run_counters
 from .models import vendor_of, with_cost
 from .pages import USAGE
 from .prompt import Prompt, last_user_text, load_prompt, render_columns
 from .providers import Completion, EchoProvider, LlmOptions, Provider, echo_problem, make_provider
-from .retry import Bucket, Fatal, Throttle, Transient, attempt, slots_for
+from .retry import Bucket, Fatal, LeasedBucket, Ledger, Throttle, Transient, attempt, dealt_jobs, limiter, own_jobs, tasks_for
 from .schema import ExternalSchema, is_valid, problems, to_json_schema
 
 RESULT = f"status string, errors array<string>, response string, token_usage {USAGE}"
@@ -126,12 +126,12 @@ class Caller:
     model: str
     schema: dict
     options: LlmOptions
-    jobs: int
-    throttle: Throttle | None = None
+    jobs: tuple[int, ...] | int
+    throttle: Ledger | Throttle | None = None
     rendered: Callable[[dict], dict] | None = None
     sleep: Callable[[float], None] | None = field(default=None)
 
-    def started(self, pool: ThreadPoolExecutor, prompts: list[dict], bucket: Bucket | None) -> list[Future]:
+    def started(self, pool: ThreadPoolExecutor, prompts: list[dict], bucket: Bucket | LeasedBucket | None) -> list[Future]:
         """Calls of each prompt, in order: (status, errors, response, token usage)."""
         extra = {"sleep": self.sleep} if self.sleep else {}
 
@@ -153,8 +153,8 @@ class Caller:
 
         return [pool.submit(one, p) for p in prompts]
 
-    def rows(self, prompts: list[dict], bucket: Bucket | None) -> list[tuple]:
-        with ThreadPoolExecutor(max(1, self.jobs)) as pool:
+    def rows(self, prompts: list[dict], bucket: Bucket | LeasedBucket | None) -> list[tuple]:
+        with ThreadPoolExecutor(own_jobs(self.jobs)) as pool:
             return [call.result() for call in self.started(pool, prompts, bucket)]
 
     def __call__(self, frames):
@@ -165,7 +165,7 @@ class Caller:
             found = pd.DataFrame([c.result() for c in calls], columns=["status", "errors", "response", "token_usage"], index=pdf.index)
             return pd.concat([pdf.drop(columns=["prompt"]), found], axis=1)
 
-        with ThreadPoolExecutor(max(1, self.jobs)) as pool:
+        with ThreadPoolExecutor(own_jobs(self.jobs)) as pool:
             before: tuple[pd.DataFrame, list[Future]] | None = None
             for pdf in frames:
                 prompts = [json.loads(p) for p in pdf["prompt"]]
@@ -190,9 +190,9 @@ def render_blocks(prompt: Prompt) -> Callable[[dict], dict]:
 
 
 def provider_results(df: DataFrame, prompt: Prompt, provider: Provider, model: str, options: LlmOptions = LlmOptions(), jobs: int = 8, partitions: int | None = None, files: tpl.Files | None = None) -> DataFrame:
-    """Result columns of any provider, called by Arrow batches of rows that aren't skipped, `jobs` at a time in all.
+    """Result columns of any provider, called by Arrow batches of rows that aren't skipped, `jobs` at a time in all, dealt exactly to the tasks.
 
-    With a rate limit the rows run in no more partitions than share the permits.
+    A rate limit holds for all tasks together (retry.limiter).
     The calls are neither duplicated nor moved by the optimizer; write the result before
     aggregating it, since running the plan again would call again.
     """
@@ -206,9 +206,10 @@ def provider_results(df: DataFrame, prompt: Prompt, provider: Provider, model: s
         as_json = F.to_json("row") if dict(df.dtypes).get("row") == "variant" else F.to_json(F.struct(*(F.col(f"`{c}`") for c in user)), {"ignoreNullFields": "false"})
     else:
         as_json = F.to_json(render_columns(prompt, bindings(df), files), {"ignoreNullFields": "false"})
-    slots = partitions or min(spark.sparkContext.defaultParallelism, slots_for(jobs, options.rate_limit))
-    work = df.where(~skip).select(*carried, as_json.alias("prompt")).repartition(slots)
-    caller = Caller(provider, model, to_json_schema(prompt.response_schema), options, -(-jobs // slots), Throttle.of(options.rate_limit, slots), render_blocks(prompt) if blocks else None)
+    limit = limiter(spark, options.rate_limit, min(jobs, spark.sparkContext.defaultParallelism))
+    dealt = dealt_jobs(jobs, partitions or tasks_for(spark, jobs, limit))
+    work = df.where(~skip).select(*carried, as_json.alias("prompt")).repartition(len(dealt))
+    caller = Caller(provider, model, to_json_schema(prompt.response_schema), options, dealt, limit, render_blocks(prompt) if blocks else None)
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*carried).schema.fields)
     return work.mapInPandas(caller, f"{kept}, {RESULT}").unionByName(_skipped(df.where(skip), carried))
 
@@ -252,30 +253,67 @@ class Broken:
         raise Fatal(self.reason)
 
 
-def write_results(results: DataFrame, out: str | None, run: RunOptions = RunOptions(), single: bool = False) -> Summary:
-    """Writes result rows as JSON lines, in input order unless reordering is allowed; to standard output without `out`.
+class ResultsKept(RuntimeError):
+    """Results were made but not all written; they lie in `path`, from which finish_results goes on without a new call."""
 
-    The rows are made once: they go to the shared folder as they come, and are sorted,
-    counted and written from there, so a lost executor costs its own unfinished rows only.
+    def __init__(self, path: str, reason: BaseException):
+        super().__init__(f"the results are kept in {path}; go on from there, no call has to be made again: {reason}")
+        self.path = path
+
+
+def in_order(rows: DataFrame, order: str = "_seq") -> DataFrame:
+    """Rows in the order of a column of numbers, over as many partitions as now.
+
+    Where the numbers are dense, as those of records are, each partition takes a range of them, and nothing is
+    sampled: one pass for their bounds, which reads that column alone. Else Spark's sort.
     """
-    spark, path = results.sparkSession, scratch_path(results.sparkSession, "results")
-    results.write.parquet(path)
-    rows = spark.read.parquet(path)
-    order = None if run.allow_reordering or "_seq" not in rows.columns else "_seq"
-    if out is None:
-        ordered = rows.orderBy(order) if order else rows
-        for line in ordered.select(json_lines(ordered.drop("_seq"), OPTIONAL, RAW).alias("line")).toLocalIterator():
-            print(line.line)
-    else:
-        write_jsonl(rows if order else rows.drop("_seq"), out, OPTIONAL, RAW, single, order)
-    summary = Summary.of(run_counters(rows).first().asDict())
+    low, high, n = rows.agg(F.min(order), F.max(order), F.count(order)).first()
+    if not n or high - low >= 4 * n:
+        return rows.orderBy(order)
+    parts = min(n, max(1, rows.rdd.getNumPartitions()))
+    width = -(-(high - low + 1) // parts)
+    part = F.coalesce(F.floor((F.col(order) - low) / width), F.lit(0)).cast("int")
+    return rows.withColumn("_part", part).repartitionById(parts, "_part").drop("_part").sortWithinPartitions(order)
+
+
+def finish_results(spark: SparkSession, path: str, out: str | None, run: RunOptions = RunOptions(), single: bool = False, csv: bool = False) -> Summary:
+    """Counts the results in the scratch folder `path` and writes them; then the folder goes.
+
+    As JSON lines, or with `csv` in the flat form, in input order unless reordering is allowed; to standard output
+    without `out`. If that fails, ResultsKept names the folder, which stays.
+    """
+    try:
+        rows = spark.read.parquet(path)
+        ordered = rows if run.allow_reordering or "_seq" not in rows.columns else in_order(rows)
+        ordered = ordered.coalesce(1) if single and out is not None else ordered
+        flat = flat_rows(ordered) if csv else ordered.drop("_seq")
+        if out is not None:
+            write_csv(flat, out) if csv else write_jsonl(flat, out, OPTIONAL, RAW)
+        elif csv:
+            print_csv(flat)
+        else:
+            for line in flat.select(json_lines(flat, OPTIONAL, RAW).alias("line")).toLocalIterator():
+                print(line.line)
+        summary = Summary.of(run_counters(rows).first().asDict())
+    except Exception as e:
+        raise ResultsKept(path, e) from e
     discard(spark, path)
     return summary
 
 
-def run_and_write(results: DataFrame, out: str | None, run: RunOptions = RunOptions(), single: bool = False) -> Summary:
+def write_results(results: DataFrame, out: str | None, run: RunOptions = RunOptions(), single: bool = False, csv: bool = False) -> Summary:
+    """Makes the result rows once: they go to the shared folder as they come, and finish_results does the rest from there.
+
+    So a lost executor costs its own unfinished rows only.
+    """
+    spark, path = results.sparkSession, scratch_path(results.sparkSession, "results")
+    results.write.parquet(path)
+    return finish_results(spark, path, out, run, single, csv)
+
+
+def run_and_write(results: DataFrame, out: str | None, run: RunOptions = RunOptions(), single: bool = False, csv: bool = False) -> Summary:
     """write_results, and then the failure gate."""
-    summary = write_results(results, out, run, single)
+    summary = write_results(results, out, run, single, csv)
     summary.check(run.allowed_failure_rate)
     return summary
 

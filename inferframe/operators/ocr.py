@@ -27,7 +27,7 @@ from .models import vendor_of, with_cost
 from .pages import FLAGS, SOURCES, USAGE, merge_pages
 from .prompt import Prompt, load_prompt
 from .providers import TRANSIENT_CODES, LlmOptions, Provider, aws_access, make_provider, post
-from .retry import Throttle, Transient, attempt, slots_for
+from .retry import Ledger, Throttle, Transient, attempt, dealt_jobs, limiter, tasks_for
 from .schema import DRAFT_07, ExternalSchema
 
 ANALYSIS = "struct<image_source:string," + ",".join(f"{f}:boolean" for f in FLAGS) + ">"
@@ -203,7 +203,7 @@ class PageEngine:
 
     engine: Any
     caller: Caller | None = None
-    throttle: Throttle | None = None
+    throttle: Ledger | Throttle | None = None
 
     def __call__(self, frames):
         bucket = self.throttle.bucket() if self.throttle else None
@@ -238,7 +238,8 @@ def ocr(source: DataFrame | str, model: str = "echo", provider: str | Provider =
     """Document rows of files: _seq, id, status, estimated_cost, token_usage, errors, passthrough_data, path, text, page_count and, if asked for, analysis.
 
     source has path, and may have password (empty: none) and content (binary;
-    else workers open the path). A file or page that can't be read is a failed row. The only
+    else workers open the path). A file or page that can't be read is a failed row. The layout engines
+    make `jobs` calls a second at most where no limit is given. The only
     shuffles are that of the pages by document and the join of their results.
     """
     kind = "custom" if engine else engine_kind(model)
@@ -258,8 +259,10 @@ def ocr(source: DataFrame | str, model: str = "echo", provider: str | Provider =
     df = df.withColumn("password", F.when(F.col("password") != "", F.col("password")))
     skip = F.coalesce("skip_processing", F.lit(False))
     work, service = df.where(~skip), service or LayoutService()
-    slots = slots_for(run.jobs, options.rate_limit)
-    throttle = Throttle.of(options.rate_limit, slots)
+    asked = options.rate_limit or (f"{max(1, run.jobs)}/s" if kind in ("textract", "textract-async") else None)
+    throttle = limiter(df.sparkSession, asked, min(run.jobs, df.sparkSession.sparkContext.defaultParallelism))
+    dealt = dealt_jobs(run.jobs, tasks_for(df.sparkSession, run.jobs, throttle))
+    slots = len(dealt)
     if kind in ("pdftotext", "textract-async"):
 
         def whole(frames):
@@ -283,7 +286,7 @@ def ocr(source: DataFrame | str, model: str = "echo", provider: str | Provider =
             given.check()
             if models is not None and options.vendor is None:
                 options = replace(options, vendor=vendor_of(models, model))
-            caller = Caller(make_provider(provider), model, page_schema(), options, -(-run.jobs // slots), None, render_blocks(given))
+            caller = Caller(make_provider(provider), model, page_schema(), options, dealt, None, render_blocks(given))
             worker = PageEngine(None, caller, throttle)
         else:
             worker = PageEngine(engine or {"tesseract": tesseract, "textract": service.page}[kind], None, throttle)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import random
 import re
 import threading
@@ -9,11 +11,14 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
+from urllib.parse import urlparse
 
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.records import scratch_path
+
 #: Fixed values of the retry policy: attempts after the first, bounds of the wait in seconds, jitter.
 RETRIES, WAIT_LEAST, WAIT_MOST, JITTER = 5, 0.001, 30.0, 0.2
 
@@ -119,9 +124,93 @@ class Throttle:
         return Bucket(self.permits[part % len(self.permits)], self.seconds)
 
 
-def slots_for(jobs: int, limit: str | None) -> int:
-    """Partitions that `jobs` calls at a time may run in: no more than share the permits."""
-    return max(1, min(jobs, RateLimit.parse(limit).n if limit else jobs))
+class LeasedBucket:
+    """Permits of a Ledger as one task takes them: a lease at a time, and only when a call asks."""
+
+    def __init__(self, ledger: Ledger, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):
+        self.ledger, self.clock, self.sleep, self.lock = ledger, clock, sleep, threading.Lock()
+        self.slice, self.next, self.left = -1, 0, 0
+
+    def take(self) -> None:
+        while True:
+            with self.lock:
+                now = self.clock()
+                if int(now // self.ledger.seconds) != self.slice:
+                    # what is left of a lease ends with its slice
+                    self.slice, self.next, self.left = int(now // self.ledger.seconds), 0, 0
+                while not self.left and self.next < len(self.ledger.leases):
+                    if self.ledger.claim(self.slice, self.next):
+                        self.left = self.ledger.leases[self.next]
+                    self.next += 1
+                if self.left:
+                    self.left -= 1
+                    return
+                wait = (self.slice + 1) * self.ledger.seconds - now
+            self.sleep(max(wait, 0.001))
+
+
+@dataclass(frozen=True)
+class Ledger:
+    """A rate limit for a whole run: each period's permits are leased, a few at a time, by creating a file in a folder that all machines mount.
+
+    Creation is atomic, so each lease of a period has one holder, and no more permits than n go out in
+    a period, whichever tasks ask: a busy task has what idle ones don't take. Periods are those of the machines' clocks.
+    """
+
+    folder: str
+    leases: tuple[int, ...]
+    seconds: float
+
+    @classmethod
+    def of(cls, folder: str, limit: str, tasks: int) -> Ledger:
+        """Leases of a sixteenth of a task's share, or single permits."""
+        parsed = RateLimit.parse(limit)
+        size = max(1, parsed.n // (16 * max(1, tasks)))
+        whole, rest = divmod(parsed.n, size)
+        return cls(folder, (size,) * whole + ((rest,) if rest else ()), parsed.seconds)
+
+    def claim(self, period: int, lease: int) -> bool:
+        """Whether this lease is the caller's from now on. The first of a period clears those of an old one."""
+        os.makedirs(self.folder, exist_ok=True)
+        try:
+            os.close(os.open(f"{self.folder}/{period}-{lease}", os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        if not lease:
+            for i in range(len(self.leases)):
+                with contextlib.suppress(FileNotFoundError):
+                    os.unlink(f"{self.folder}/{period - 5}-{i}")
+        return True
+
+    def bucket(self) -> LeasedBucket:
+        return LeasedBucket(self)
+
+
+def limiter(spark: SparkSession, limit: str | None, tasks: int) -> Ledger | Throttle | None:
+    """How the tasks of a run keep to one limit: by leases, or, where the scratch folder isn't a mounted file system, by fixed shares."""
+    if not limit:
+        return None
+    where = urlparse(scratch_path(spark, "permits"))
+    return Ledger.of(where.path, limit, tasks) if where.scheme in ("", "file") else Throttle.of(limit, min(tasks, RateLimit.parse(limit).n))
+
+
+def dealt_jobs(jobs: int, slots: int) -> tuple[int, ...]:
+    """Calls at a time in each of some tasks that run together: they add up to `jobs`, so there are no more tasks than that."""
+    slots = max(1, min(jobs, slots))
+    return tuple(jobs // slots + (i < jobs % slots) for i in range(slots))
+
+
+def own_jobs(dealt: tuple[int, ...] | int) -> int:
+    """This task's part; a number is that of every task."""
+    if isinstance(dealt, int):
+        return max(1, dealt)
+    return dealt[(TaskContext.get().partitionId() if TaskContext.get() else 0) % len(dealt)]
+
+
+def tasks_for(spark: SparkSession, jobs: int, limit: Ledger | Throttle | None = None) -> int:
+    """Tasks that `jobs` calls at a time run in: as many as can run at once, and as share the permits where these are shared."""
+    most = min(max(1, jobs), spark.sparkContext.defaultParallelism)
+    return min(most, len(limit.permits)) if isinstance(limit, Throttle) else most
 
 
 def outcome_status(kind: Column) -> Column:

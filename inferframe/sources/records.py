@@ -21,8 +21,11 @@ def is_json(path: str) -> bool:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path (not made yet) in the folder of spark.checkpoint.dir, which all machines share; without it in the warehouse."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path (not made yet) in the folder of spark.checkpoint.dir, which all machines share; without it in the warehouse on a single machine, and else ValueError."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    where = where or spark.conf.get("spark.sql.warehouse.dir")
     return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -182,6 +185,16 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
+def print_csv(df: DataFrame) -> None:
+    """Rows as CSV on standard output, a partition at a time."""
+    import csv
+
+    to = csv.writer(sys.stdout, lineterminator="\n")
+    to.writerow(df.columns)
+    for row in df.toLocalIterator():
+        to.writerow("" if v is None else str(v).lower() if isinstance(v, bool) else v for v in row)
+
+
 def flat_rows(df: DataFrame) -> DataFrame:
     """The CSV form of page results: id raw if it is a string, errors joined by a blank line or null, then path and text."""
     raw = F.when(F.col("id").startswith('"'), F.from_json(F.concat(F.lit("["), F.col("id"), F.lit("]")), "array<string>")[0]).otherwise(F.col("id"))

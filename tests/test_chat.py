@@ -5,6 +5,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark import cloudpickle
 
 from inferframe.operators import chat as ch
@@ -245,9 +246,106 @@ def test_errors_name_the_line(tmp_path):
 
 
 def test_shares_of_a_rate_limit():
-    throttle = retry.Throttle.of("10/m", retry.slots_for(4, "10/m"))
+    throttle = retry.Throttle.of("10/m", 4)
     assert throttle.permits == (3, 3, 2, 2) and throttle.seconds == 60 and throttle.bucket().permits == 3
-    assert retry.Throttle.of(None, 4) is None and retry.slots_for(8, "2/s") == 2 and retry.slots_for(8, None) == 8
+    assert retry.Throttle.of(None, 4) is None
+    for jobs in range(1, 20):
+        for slots in range(1, 12):
+            dealt = retry.dealt_jobs(jobs, slots)
+            assert sum(dealt) == jobs and min(dealt) >= 1 and max(dealt) - min(dealt) <= 1 and len(dealt) == min(jobs, slots)
+
+
+def test_leases_of_a_rate_limit(tmp_path):
+    """Tasks on one clock: no period goes over the limit, and one busy task among idle ones has nearly all of it."""
+    ledger = retry.Ledger.of(str(tmp_path / "permits"), "100/s", 8)
+    assert sum(ledger.leases) == 100
+    now = [1000.0]
+    tasks = [retry.LeasedBucket(ledger, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s)) for _ in range(8)]
+    times = []
+    for i in range(1000):
+        (tasks[0] if i % 50 else tasks[i // 50 % 8]).take()
+        times.append(now[0])
+    per = [sum(int(t) == s for t in times) for s in range(1000, int(times[-1]))]
+    assert max(per) <= 100 and min(per) >= 95 and len(per) == 9
+    odd = retry.Ledger.of(str(tmp_path / "odd"), "7/m", 1)
+    assert odd.leases == (1,) * 7 and odd.seconds == 60 and odd.claim(5, 0) and not odd.claim(5, 0)
+    assert retry.Ledger.of(str(tmp_path / "big"), "1800/m", 8).leases == (14,) * 128 + (8,)
+
+
+class Busy:
+    """Answers after a while, and leaves a line for the start and the end of each call."""
+
+    name = "busy"
+
+    def __init__(self, folder, seconds=0.05):
+        self.folder, self.seconds = folder, seconds
+
+    def complete(self, model, prompt, schema_, options):
+        import os
+        import time
+        import uuid
+
+        began = time.time()
+        time.sleep(self.seconds)
+        with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as f:
+            f.write(f"{began} {time.time()}")
+        return providers.Completion({"punchline": "x"}, 1, 1)
+
+    def calls(self):
+        import os
+
+        return sorted(tuple(map(float, open(os.path.join(self.folder, n)).read().split())) for n in os.listdir(self.folder))
+
+
+@pytest.mark.parametrize(("jobs", "slots"), [(5, 4), (6, 4), (3, 4), (1, 4), (4, 3)])
+def test_calls_at_a_time(spark, tmp_path, jobs, slots):
+    busy = Busy(str(tmp_path))
+    rows = spark.createDataFrame([(i, str(i)) for i in range(60)], "id int, joke string").withColumn("_seq", F.col("id").cast("long"))
+    out = ch.provider_results(ch.envelope(rows), prompt.load_prompt(JOKE), busy, "m", jobs=jobs, partitions=slots)
+    assert out.count() == 60
+    calls = busy.calls()
+    at_once = max(sum(a <= t < b for a, b in calls) for t, _ in calls)
+    assert at_once <= jobs and len(calls) == 60 and (at_once == jobs or jobs > 1)
+
+
+def test_one_limit_for_a_skewed_run(spark, tmp_path):
+    """All rows in one task: it has nearly the whole limit; and two tasks together don't go over it in any second of the clock."""
+    for name, parts in (("one", 1), ("two", 4)):
+        folder = tmp_path / name
+        folder.mkdir()
+        busy = Busy(str(folder), 0.001)
+        rows = spark.createDataFrame([(i, str(i)) for i in range(80)], "id int, joke string")
+        out = ch.provider_results(ch.envelope(rows), prompt.load_prompt(JOKE), busy, "m", providers.LlmOptions(rate_limit="20/s"), jobs=8, partitions=parts)
+        assert out.count() == 80
+        seconds = [int(a) for a, _ in busy.calls()]
+        per = {s: seconds.count(s) for s in set(seconds)}
+        assert max(per.values()) <= 21  # a permit of one second may be used at the start of the next
+        assert max(seconds) - min(seconds) <= 6
+
+
+def test_results_are_ordered_and_kept(spark, tmp_path, monkeypatch):
+    """CSV results come in input order, dense or not; what couldn't be written is named and finished without a call."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    rows = spark.createDataFrame([(i, str(i)) for i in range(200)], "id int, joke string").repartition(7)
+    rows = rows.withColumn("_seq", F.col("id").cast("long"))
+    results = ch.chat(rows, JOKE, Counting(str(calls)), "m")
+    assert [r._seq for r in ch.in_order(results.select("_seq", "id")).collect()] == list(range(200))
+    sparse = rows.select((F.col("_seq") * 1000 - 7).alias("_seq"))
+    assert [r._seq for r in ch.in_order(sparse).collect()] == [i * 1000 - 7 for i in range(200)]
+    for f in calls.iterdir():
+        f.unlink()
+    with pytest.raises(ch.ResultsKept) as e:
+        monkeypatch.setattr(ch, "write_jsonl", lambda *a, **k: (_ for _ in ()).throw(OSError("full")))
+        ch.write_results(results, str(tmp_path / "out"))
+    monkeypatch.undo()
+    assert e.value.path in str(e.value)
+    summary = ch.finish_results(spark, e.value.path, str(tmp_path / "out"))
+    assert summary.total == 200 and len(list(calls.iterdir())) == 200 and [r["id"] for r in written(tmp_path / "out")] == list(range(200))
+    flat = results.withColumns({"path": F.lit("p"), "text": F.concat(F.lit('t,"'), "id")})
+    ch.write_results(flat, str(tmp_path / "out.csv"), csv=True)
+    lines = [x for f in sorted((tmp_path / "out.csv").glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("id,")]
+    assert [int(x.split(",")[0]) for x in lines] == list(range(200))
 
 
 def test_what_a_model_table_says_of_its_vendor():

@@ -265,6 +265,11 @@ def test_cli(spark, tmp_path, capsys):
     capsys.readouterr()
     assert main(["chat", str(tmp_path / "in.csv"), "-p", str(tmp_path / "p.toml")]) == 0
     assert [json.loads(x)["response"]["echo"] for x in capsys.readouterr().out.splitlines() if x.startswith("{")] == ["Hello", "Bye"]
+    assert main(["compare", str(tmp_path / "same.csv"), "--column1", "a", "--column2", "b"]) == 0 if (tmp_path / "same.csv").write_text(f"a,b\n{tmp_path / 'in.csv'},{tmp_path / 'in.csv'}\n") else False
+    assert capsys.readouterr().out.splitlines()[-1].endswith(",1.0")
+    (tmp_path / "texts.jsonl").write_text('{"id":"1","t":"one"}\n')
+    assert main(["export-text", str(tmp_path / "texts.jsonl"), "--key", "t", "--new-key", "path", "--path-pattern", str(tmp_path / "{id}.txt")]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"id": "1", "path": str(tmp_path / "1.txt")} and (tmp_path / "1.txt").read_text() == "one"
     (tmp_path / "files.csv").write_text(f"id,path\n1,{tmp_path / 'in.csv'}\n")
     assert main(["ocr", str(tmp_path / "files.csv"), "-m", "pdftotext", "-o", str(tmp_path / "o3.csv"), "--allowed-failure-rate", "1"]) == 0
     assert main(["ocr", str(tmp_path / "files.csv"), "-m", "pdftotext", "-o", str(tmp_path / "o4"), "--allowed-failure-rate", "0.5"]) == 1
