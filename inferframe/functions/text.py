@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import html
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,27 +31,22 @@ def is_token(token: Column) -> Column:
     return ~token.startswith("_") | (F.ltrim(token, F.lit("_")) != "")
 
 
-def highlight_text(markdown: str | None, changed: list[str] | None, added: list[str] | None) -> str | None:
-    """Marks changed and added tokens with spans, in one pass, so markup is never marked itself."""
-    if markdown is None:
-        return None
-    kind = {t: "changed" for t in changed if t} if changed is not None else {}
-    kind |= {t: "added" for t in added if t} if added is not None else {}
-
-    def mark(m: re.Match) -> str:
-        what = kind.get(m[0].lower())
-        return f'<span class="{what}">{html.escape(m[0])}</span>' if what else m[0]
-
-    return re.sub(r"\w+", mark, markdown)
+def highlight(markdown: Column, changed: Column, added: Column) -> Column:
+    """Marks changed and added tokens (lower-cased lists) with spans, in one pass, so markup is never marked itself; of both, added holds.
 
+    The text is split at the edges of tokens with what is between them kept. A null list is empty, a null text null.
+    """
+    none = F.array().cast("array<string>")
+    lists = [(kind, F.coalesce(c, none)) for kind, c in (("added", added), ("changed", changed))]
 
-def highlight(markdown: Column, changed: Column, added: Column) -> Column:
-    """highlight_text over columns (Arrow batches)."""
-    @F.pandas_udf("string")
-    def run(m: pd.Series, c: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([highlight_text(*x) for x in zip(m, c, a, strict=True)])
+    def mark(part: Column) -> Column:
+        out = part
+        for kind, known in reversed(lists):
+            out = F.when(F.array_contains(known, F.lower(part)), F.concat(F.lit(f'<span class="{kind}">'), part, F.lit("</span>"))).otherwise(out)
+        return out
 
-    return run(markdown, changed, added)
+    parts = F.regexp_extract_all(markdown, F.lit(f"{TOKEN}|[^{TOKEN[1:]}"), F.lit(0))
+    return F.array_join(F.transform(parts, mark), "")
 
 
 def similarity_band(similarity: Column) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.records import scratch_path
+
 BLOCKS = "array<struct<id:string,block_type:string,text:string,children:array<string>>>"
 
 
@@ -62,19 +63,63 @@ def layout_text(blocks: Sequence[dict[str, Any]], include_page_breaks: bool = Fa
     return "".join(out)
 
 
-def layout_text_column(blocks: Column, include_page_breaks: bool = False) -> Column:
-    """Struct of text and error of a column of BLOCKS."""
-    @F.pandas_udf("text string, error string")
-    def run(found: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b in found:
-            try:
-                rows.append((None if b is None else layout_text(list(b), include_page_breaks), None))
-            except LayoutError as e:
-                rows.append((None, str(e)))
-        return pd.DataFrame(rows, columns=["text", "error"])
+def layout_texts(df: DataFrame, blocks: str = "blocks", include_page_breaks: bool = False) -> DataFrame:
+    """Adds text and error of a column of BLOCKS, as layout_text has them, for tables: joins and groupings of exploded blocks.
 
-    return run(blocks)
+    layout_text's depth-first visit comes to a block by the least path that comes to no block twice, a path
+    being the root's place and then the places among children. So each block keeps the least path found so far, and
+    every round the blocks whose path has changed offer theirs to their children, until none changes: as many
+    rounds as the graphs are deep, each written to the shared folder. Whether a block speaks follows from
+    the path's last step. Equal graphs share the work (under a digest). Null blocks have neither text
+    nor error; a visited block that names a missing child gives an error and no text.
+    """
+    spark = df.sparkSession
+
+    def kept(rows: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "layout")
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    marked = df.withColumn("_ticket", F.sha2(F.to_json(F.struct(blocks)), 256)).withColumn("_ticket", F.when(F.col(blocks).isNotNull(), F.col("_ticket")))
+    graphs = marked.where(F.col("_ticket").isNotNull()).select("_ticket", F.col(blocks).cast(BLOCKS).alias("b")).dropDuplicates(["_ticket"])
+    rows = graphs.select("_ticket", F.posexplode("b").alias("pos", "b")).select("_ticket", "pos", "b.id", F.coalesce("b.block_type", F.lit("")).alias("kind"), "b.text", "b.children")
+    rows = kept(rows.withColumn("key", F.when(F.col("id").isNull(), F.concat(F.lit("pos "), "pos")).otherwise(F.concat(F.lit("id "), "id"))))
+    content = ("kind", "text", "children")
+    # of blocks with one id, the last is whom children's names mean
+    named = rows.where(F.col("id").isNotNull()).groupBy("_ticket", "id").agg(F.max_by(F.struct(*content), "pos").alias("c")).select(F.col("_ticket").alias("_of"), F.col("id").alias("_child"), "c.*")
+
+    def least(found: DataFrame) -> DataFrame:
+        columns = [c for c in found.columns if c not in ("_ticket", "key")]
+        return found.groupBy("_ticket", "key").agg(F.min_by(F.struct(*columns), F.struct("path", "old")).alias("s")).select("_ticket", "key", "s.*")
+
+    roots = rows.where(F.col("kind").startswith("LAYOUT_")).select("_ticket", "key", F.array("pos").alias("path"), F.array("key").alias("keys"), F.col("text").isNotNull().alias("speaks"), *content, F.lit(False).alias("old"))
+    state = kept(least(roots))
+    while state.where(~F.col("old")).take(1):
+        asked = state.where(~F.col("old")).select("_ticket", "path", "keys", F.col("speaks").alias("told"), F.posexplode("children").alias("i", "_child"))
+        offered = asked.join(named, (asked["_ticket"] == named["_of"]) & (asked["_child"] == named["_child"])).select(
+            "_ticket", F.concat(F.lit("id "), named["_child"]).alias("key"), F.concat("path", F.array("i")).alias("path"), "keys", (F.col("text").isNotNull() & ~F.col("told")).alias("speaks"), *content
+        )
+        offered = offered.where(~F.array_contains("keys", F.col("key"))).withColumns({"keys": F.concat("keys", F.array("key")), "old": F.lit(False)})
+        # a path that is as before comes first, and is old
+        state = kept(least(state.withColumn("old", F.lit(True)).unionByName(offered.withColumn("old", F.lit(False)).select(*state.columns)).withColumn("old", ~F.col("old"))).withColumn("old", ~F.col("old")))
+    steps = state.select("_ticket", "path", F.posexplode("children").alias("i", "_child"))
+    missing = steps.join(named, (steps["_ticket"] == named["_of"]) & (steps["_child"] == named["_child"]), "left_anti").groupBy("_ticket").agg(F.min_by("_child", F.struct("path", "i")).alias("_missing"))
+    piece = F.concat("text", F.when(F.col("kind") == "LINE", "\n").when(F.col("kind") == "WORD", " ").otherwise(""))
+    told = state.where("speaks").groupBy("_ticket", F.col("path")[0].alias("pos")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("path", piece.alias("p")))).getField("p"), "").alias("t"))
+    told = told.where("t <> ''").select("_ticket", "pos", F.concat("t", F.lit("\n")).alias("t"), F.lit(0).alias("page"))
+    if include_page_breaks:
+        pages = rows.where("kind = 'PAGE'").select("_ticket", "pos", F.lit("").alias("t"), F.lit(1).alias("page"))
+        order = Window.partitionBy("_ticket").orderBy("pos")
+        told = told.unionByName(pages).withColumn("n", F.sum("page").over(order)).withColumn("after", F.greatest(F.col("n") - F.col("page"), F.lit(1)))
+        # a break follows a line end: that of what was written since the page before, or its own
+        wrote = F.max(1 - F.col("page")).over(Window.partitionBy("_ticket", "after"))
+        told = told.withColumn("t", F.when(F.col("page") == 0, F.col("t")).when(F.col("n") == 1, "").when(wrote == 1, "\f").otherwise("\n\f"))
+    done = told.groupBy("_ticket").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "t"))).getField("t"), "").alias("_text"))
+    done = done.join(missing, "_ticket", "full").withColumnRenamed("_ticket", "_of")
+    out = marked.drop("text", "error").join(done, F.col("_ticket") == F.col("_of"), "left")
+    text = F.when(F.col("_ticket").isNotNull() & F.col("_missing").isNull(), F.coalesce("_text", F.lit("")))
+    error = F.when(F.col("_missing").isNotNull(), F.concat(F.lit("child block "), "_missing", F.lit(" not found")))
+    return out.withColumns({"text": text, "error": error}).drop("_ticket", "_of", "_text", "_missing")
 
 
 def layout_cost(pages: Column, price: float = 0.004) -> Column:

@@ -15,7 +15,7 @@ from ..functions import data_url as urls
 from ..functions import text as tx
 from ..operators import chat as ch
 from ..operators import benchmark, metrics, pages, retry, schema, similarity
-from ..operators.layout import BLOCKS, layout_cost, layout_text_column
+from ..operators.layout import BLOCKS, layout_cost, layout_texts
 from ..operators.models import with_cost
 from ..operators.prompt import last_user_text, openai_messages, parse_prompt, render_columns, valid_roles
 from ..sources.records import count_records, export_text, flat_rows, number_partitions, quoted, read_records, scratch_path, take, write_csv, write_jsonl
@@ -636,17 +636,30 @@ def exported_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(files, "name").select("doc_id", "text")
 
 
-@query("""
-SELECT doc_id, 'Title' || chr(10) || source || chr(10) || chr(10) || 'a b ' || chr(10) AS text FROM documents
+@query(_PAGES + """
+SELECT doc_id, string_agg(page || CASE page_idx % 3 WHEN 0 THEN chr(10) WHEN 1 THEN 'w ' ELSE ' ' END || chr(10), '' ORDER BY page_idx) AS text FROM p GROUP BY doc_id
 """)
 def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of block graphs: a title with its own text, a layout with a line, and one with words."""
-    def block(i: str, kind: str, text, children: list[str]):
-        return F.struct(F.lit(i).alias("id"), F.lit(kind).alias("block_type"), (F.lit(None).cast("string") if text is None else text).alias("text"), F.array(*map(F.lit, children)).cast("array<string>").alias("children"))
-
-    blocks = F.array(block("p", "PAGE", None, ["t", "l"]), block("t", "LAYOUT_TITLE", F.lit("Title"), ["x"]), block("l", "LAYOUT_TEXT", None, ["x", "y"]), block("w", "LAYOUT_LIST", None, ["u", "v", "u"]), block("x", "LINE", F.lit("gone"), []), block("y", "LINE", F.col("source"), ["u2"]), block("u", "WORD", F.lit("a"), []), block("v", "WORD", F.lit("b"), []), block("u2", "WORD", F.lit("gone"), []))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", blocks.cast(BLOCKS).alias("blocks"))
-    return docs.select("doc_id", layout_text_column(F.col("blocks"))["text"].alias("text"))
+    """Text of block graphs made of documents' lines: layouts with a line, titles that speak for their line but not for its word, and lists that name themselves, a block of the one before, and one child twice."""
+    name = lambda kind, i: F.concat(F.lit(kind), i.cast("string"))
+
+    def graph(line, i):
+        kind, none = i % 3, F.lit(None).cast("string")
+
+        def block(own, block_type, text, children):
+            return F.struct(own.alias("id"), block_type.alias("block_type"), text.alias("text"), children.alias("children"))
+
+        x, w, own = name("x", i), name("w", i), name("L", i)
+        layout = F.when(kind == 0, "LAYOUT_TEXT").when(kind == 1, "LAYOUT_TITLE").otherwise("LAYOUT_LIST")
+        return F.array(
+            block(own, layout, F.when(kind == 1, line), F.when(kind == 2, F.array(x, name("x", i - 1), own, x)).otherwise(F.array(x))),
+            block(x, F.lit("LINE"), F.when(kind == 0, line).when(kind == 1, "gone"), F.array(w)),
+            block(w, F.lit("WORD"), F.when(kind == 2, line).when(kind == 1, "w").otherwise(none), F.array().cast("array<string>")),
+        )
+
+    lines = F.split("text", "\n", -1)
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.flatten(F.transform(lines, graph)).cast(BLOCKS).alias("blocks"))
+    return layout_texts(docs).select("doc_id", "text")
 
 
 @query("SELECT conv_id, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS page_idx FROM conversations")

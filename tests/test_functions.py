@@ -118,9 +118,16 @@ def test_search_adds_up_few_of_all_pairs(spark):
     assert len(added) == len(similarity.FALLING) + 1 and sum(added) < every / 4
 
 
-def test_highlight_never_marks_its_own_markup():
-    got = tx.highlight_text("A span of class text", ["span"], ["class", "a"])
-    assert got == '<span class="added">A</span> <span class="changed">span</span> of <span class="added">class</span> text'
+def test_highlight_never_marks_its_own_markup(spark):
+    rows = [("A span of class text", ["span"], ["class", "a"]), ("x_1 Été, <b>x</b> & y", ["été", "b", "y"], ["y"]), (None, ["a"], []), ("a b", None, None), ("", [], [])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, c array<string>, a array<string>").orderBy("i")
+    shown = df.select(tx.highlight(F.col("t"), F.col("c"), F.col("a")).alias("h"))
+    assert [r.h for r in shown.collect()] == [
+        '<span class="added">A</span> <span class="changed">span</span> of <span class="added">class</span> text',
+        'x_1 <span class="changed">Été</span>, <<span class="changed">b</span>>x</<span class="changed">b</span>> & <span class="added">y</span>',
+        None, "a b", "",
+    ]
+    assert "Python" not in shown._jdf.queryExecution().toString() and "Arrow" not in shown._jdf.queryExecution().toString()
 
 
 def test_bands(spark):

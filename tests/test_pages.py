@@ -1,5 +1,6 @@
 import base64
 import json
+import random
 import os
 import shutil
 import sys
@@ -206,6 +207,37 @@ def test_layout():
         layout.layout_text([{"id": "a", "block_type": "LAYOUT_TEXT", "text": None, "children": ["zz"]}])
 
 
+def random_graph(rng):
+    """Blocks with cycles, shared and repeated children, repeated and missing ids."""
+    n = rng.randint(0, 9)
+    ids = [rng.choice([f"b{i}", f"b{i}", f"b{i}", "b0", None]) for i in range(n)]
+    names = [f"b{i}" for i in range(n)] + (["lost"] if rng.random() < 0.1 else [])
+    return [{"id": i, "block_type": rng.choice(["PAGE", "LAYOUT_TEXT", "LAYOUT_TITLE", "LINE", "WORD", None]), "text": rng.choice([None, "t", "", f"own {k}"]), "children": rng.choice([None, [], rng.choices(names, k=rng.randint(1, 4))])} for k, i in enumerate(ids)]
+
+
+@pytest.mark.parametrize("breaks", [False, True])
+def test_layout_of_tables(spark, breaks):
+    """Random graphs, a long chain, a null: as the visit of one graph after another; no Python in the plan."""
+    rng = random.Random(5)
+    graphs = [random_graph(rng) for _ in range(400)] + [None, []]
+    graphs.append([{"id": f"c{i}", "block_type": "LAYOUT_TEXT" if i == 0 else "LINE", "text": f"{i}" if i % 2 else None, "children": [f"c{i + 1}"] if i < 8 else ["c0"]} for i in range(9)])
+
+    def want(blocks):
+        if blocks is None:
+            return None, None
+        try:
+            return layout.layout_text(blocks, breaks), None
+        except layout.LayoutError as e:
+            return None, str(e)
+
+    df = spark.createDataFrame([(i, g, 1) for i, g in enumerate(graphs)], f"i int, blocks {layout.BLOCKS}, error int").repartition(3)
+    out = layout.layout_texts(df, "blocks", breaks)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    got = {r.i: (r.text, r.error) for r in out.collect()}
+    assert got == {i: want(g) for i, g in enumerate(graphs)}
+    assert sum(e is not None for _, e in got.values()) > 5
+
+
 def test_benchmark_report(spark):
     raw = spark.createDataFrame([(i, '{"format":"a","documentQuality":"good"}', json.dumps(t)) for i, t in enumerate(["a b", "c", "d"])], "id int, metadata string, true_markdown_output string")
     images = benchmark.read_images(raw)
