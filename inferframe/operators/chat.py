@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
@@ -20,7 +21,7 @@ from .pages import USAGE
 from .prompt import Prompt, last_user_text, load_prompt, render_columns
 from .providers import Completion, EchoProvider, LlmOptions, Provider, echo_problem, make_provider
 from .retry import Bucket, Fatal, LeasedBucket, Ledger, Throttle, Transient, attempt, dealt_jobs, limiter, own_jobs, tasks_for
-from .schema import ExternalSchema, is_valid, problems, to_json_schema
+from .schema import ExternalSchema, RecursiveSchema, check_supported, fits_schema, is_valid, problems, to_json_schema
 
 RESULT = f"status string, errors array<string>, response string, token_usage {USAGE}"
 
@@ -319,9 +320,12 @@ def run_and_write(results: DataFrame, out: str | None, run: RunOptions = RunOpti
 
 
 def validated(df: DataFrame, text: str, schema) -> DataFrame:
-    """Adds `fits`: whether a column of JSON text parses and fits a response schema."""
+    """Adds `fits`: whether a column of JSON text parses and fits a response schema; in SQL functions, but for a JSON Schema that refers to itself."""
     if isinstance(schema, ExternalSchema):
         document = schema.document
+        check_supported(document)
+        with contextlib.suppress(RecursiveSchema):
+            return df.withColumn("fits", fits_schema(F.try_parse_json(F.col(text)), document))
 
         @F.pandas_udf("boolean")
         def fits(texts: pd.Series) -> pd.Series:

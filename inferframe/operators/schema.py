@@ -109,14 +109,13 @@ def is_valid(value: Column, schema: Schema) -> Column:
         keys = F.array_sort(F.json_object_keys(F.to_json(value)))
         fits = kind.startswith("OBJECT") & (keys == F.array(*map(F.lit, names)).cast("array<string>"))
         for name in names:
-            path = "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
-            fits = fits & is_valid(F.try_variant_get(value, path, "variant"), schema.properties[name])
+            fits = fits & is_valid(_member(value, name), schema.properties[name])
     elif schema.type == "string":
         fits = kind == "STRING"
     elif schema.type == "boolean":
         fits = kind == "BOOLEAN"
     else:
-        fits = kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)")
+        fits = kind.rlike(_NUMBER)
     if schema.enum is not None:
         fits = fits & F.try_variant_get(value, "$", "string").isin(*schema.enum)
     return F.coalesce(fits, F.lit(False))
@@ -154,7 +153,147 @@ def _is(value: Any, kind: str) -> bool:
 def _same(a: Any, b: Any) -> bool:
     if isinstance(a, bool) != isinstance(b, bool):
         return False
-    return json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True) or (not isinstance(a, (dict, list, str)) and a == b)
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return a == b
+
+
+def _target(root: Any, ref: str) -> Any:
+    """What a reference inside the document names."""
+    for part in ref.removeprefix("#").split("/"):
+        if part:
+            root = root[part.replace("~1", "/").replace("~0", "~")]
+    return root
+
+
+class RecursiveSchema(SchemaError):
+    """A schema that refers to itself, whose depth only a document tells."""
+
+
+def _member(value: Column, name: str) -> Column:
+    """A member of a VARIANT object; null if it isn't there (a JSON null is a VARIANT)."""
+    for quote in "'\"":
+        if quote not in name:
+            return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
+    # a path can't name both quotes
+    return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(name))
+
+
+def _equals(value: Column, constant: Any) -> Column:
+    """Whether a VARIANT is this JSON value; numbers by their value."""
+    kind = F.schema_of_variant(value)
+    if constant is None:
+        return kind == "VOID"
+    if isinstance(constant, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == constant)
+    if isinstance(constant, (int, float)):
+        return kind.rlike(_NUMBER) & (F.try_variant_get(value, "$", "double") == float(constant))
+    if isinstance(constant, str):
+        return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == constant)
+    if isinstance(constant, list):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        fits = kind.startswith("ARRAY") & (F.size(items) == len(constant))
+        for i, x in enumerate(constant):
+            fits = fits & F.coalesce(_equals(F.get(items, F.lit(i)), x), F.lit(False))
+        return fits
+    fits = kind.startswith("OBJECT") & (F.size(F.try_variant_get(value, "$", "map<string,variant>")) == len(constant))
+    for name, x in constant.items():
+        fits = fits & F.coalesce(_equals(_member(value, name), x), F.lit(False))
+    return fits
+
+
+_NUMBER = "^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"
+
+
+def fits_schema(value: Column, schema: Any, root: Any = None, within: tuple[str, ...] = ()) -> Column:
+    """Whether a VARIANT column fits a JSON Schema, as problems() finds none, in SQL functions only; false for null.
+
+    The keywords become predicates, and references those of what they name. Raises RecursiveSchema for one that
+    comes back to itself. Patterns are Java's, with Unicode classes.
+    """
+    root = schema if root is None else root
+    if schema is True or schema is None:
+        return F.lit(True)
+    if schema is False:
+        return F.lit(False)
+    if "$ref" in schema:
+        if schema["$ref"] in within:
+            raise RecursiveSchema(f"{schema['$ref']} refers to itself")
+        return fits_schema(value, _target(root, schema["$ref"]), root, (*within, schema["$ref"]))
+
+    def of(x: Column, inner: Any) -> Column:
+        return fits_schema(x, inner, root, within)
+
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    is_kind = {
+        "object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "string": kind == "STRING", "boolean": kind == "BOOLEAN",
+        "null": kind == "VOID", "number": kind.rlike(_NUMBER), "integer": kind.rlike(_NUMBER) & (number % 1.0 == 0),
+    }
+    every: list[Column] = []
+
+    def where(name: str, fits: Column) -> None:
+        """Asked of values of this kind only."""
+        every.append(~is_kind[name] | F.coalesce(fits, F.lit(False)))
+
+    if (kinds := schema.get("type")) is not None:
+        fits = F.lit(False)
+        for k in [kinds] if isinstance(kinds, str) else kinds:
+            fits = fits | is_kind.get(k, F.lit(False))
+        every.append(fits)
+    for constants in (schema.get("enum"), [schema["const"]] if "const" in schema else None):
+        if constants is not None:
+            fits = F.lit(False)
+            for x in constants:
+                fits = fits | F.coalesce(_equals(value, x), F.lit(False))
+            every.append(fits)
+    known = schema.get("properties", {})
+    for name in schema.get("required", []):
+        where("object", _member(value, name).isNotNull())
+    for name, inner in known.items():
+        where("object", _member(value, name).isNull() | of(_member(value, name), inner))
+    if (more := schema.get("additionalProperties")) is not None and more is not True:
+        entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+        where("object", F.forall(entries, lambda e: (e["key"].isin(*known) if known else F.lit(False)) | of(e["value"], more)))
+    array = F.try_variant_get(value, "$", "array<variant>")
+    items = schema.get("items")
+    if isinstance(items, list):
+        for i, inner in enumerate(items):
+            where("array", (F.size(array) <= i) | of(F.get(array, F.lit(i)), inner))
+    elif items is not None and items is not True:
+        where("array", F.forall(array, lambda x: of(x, items)))
+    text = F.try_variant_get(value, "$", "string")
+    bounds = (("array", F.size(array), "minItems", "maxItems"), ("string", F.length(text), "minLength", "maxLength"), ("number", number, "minimum", "maximum"))
+    for name, size, low, high in bounds:
+        if low in schema:
+            where(name, size >= schema[low])
+        if high in schema:
+            where(name, size <= schema[high])
+    if "exclusiveMinimum" in schema:
+        where("number", number > schema["exclusiveMinimum"])
+    if "exclusiveMaximum" in schema:
+        where("number", number < schema["exclusiveMaximum"])
+    if "multipleOf" in schema:
+        where("number", (number / schema["multipleOf"]) % 1.0 == 0)
+    if schema.get("uniqueItems"):
+        where("array", F.size(F.array_distinct(F.transform(array, F.to_json))) == F.size(array))
+    if "pattern" in schema:
+        where("string", text.rlike("(?U)" + schema["pattern"]))
+    every += [of(value, x) for x in schema.get("allOf", [])]
+    for key in ("anyOf", "oneOf"):
+        if key in schema:
+            fitting = F.lit(0)
+            for x in schema[key]:
+                fitting = fitting + of(value, x).cast("int")
+            every.append(fitting == 1 if key == "oneOf" else fitting > 0)
+    if "not" in schema:
+        every.append(~of(value, schema["not"]))
+    fits = value.isNotNull()
+    for x in every:
+        fits = fits & F.coalesce(x, F.lit(False))
+    return fits
 
 
 def problems(value: Any, schema: Any, root: dict | None = None, at: str = "$") -> list[str]:
@@ -165,11 +304,7 @@ def problems(value: Any, schema: Any, root: dict | None = None, at: str = "$") -
     if schema is False:
         return [f"{at}: not allowed"]
     if "$ref" in schema:
-        target: Any = root
-        for part in schema["$ref"].removeprefix("#").split("/"):
-            if part:
-                target = target[part.replace("~1", "/").replace("~0", "~")]
-        return problems(value, target, root, at)
+        return problems(value, _target(root, schema["$ref"]), root, at)
     out: list[str] = []
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):

@@ -557,6 +557,22 @@ def schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.validated(rows, "response", short).select("event_id", "fits")
 
 
+@query("SELECT event_id, event_id % 6 IN (0, 3) OR (event_id % 6 = 5 AND CAST(props->>'$.k' AS BIGINT) % 5 = 0) AS fits FROM events")
+def schema_validate_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses against a JSON Schema of its own, with references, alternatives, patterns and bounds: as they should be, without a needed member, with a tag that doesn't match, with a null that may be, with another member, and with a number that must be a multiple of five."""
+    i, k = F.col("event_id") % 6, F.get_json_object("props", "$.k")
+    tags = F.when(i == 2, F.lit('["UP"]')).otherwise(F.concat(F.lit('["'), "event_type", F.lit('","x"]')))
+    more = F.when(i == 4, ',"z":1').when(i == 5, F.concat(F.lit(',"five":'), k)).when(i == 3, ',"five":null').otherwise("")
+    text = F.concat(F.lit('{"tags":'), tags, F.when(i == 1, "").otherwise(F.concat(F.lit(',"k":{"n":'), k, F.lit("}"))), more, F.lit("}"))
+    document = {
+        "type": "object", "required": ["tags", "k"], "additionalProperties": False,
+        "properties": {"tags": {"type": "array", "items": {"$ref": "#/definitions/tag"}, "minItems": 1, "maxItems": 2}, "k": {"type": "object", "properties": {"n": {"type": "integer", "minimum": 0}}, "required": ["n"]}, "five": {"anyOf": [{"type": "null"}, {"type": "integer", "multipleOf": 5}]}},
+        "definitions": {"tag": {"type": "string", "pattern": "^[a-z_]+$"}},
+    }
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("response"))
+    return ch.validated(rows, "response", schema.ExternalSchema(document)).select("event_id", "fits")
+
+
 @query("SELECT doc_id, text || CASE WHEN doc_id % 3 = 2 THEN chr(12) ELSE '' END AS text FROM documents")
 def page_break_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exactly one form feed goes from the end (of none, one or two that are put there)."""

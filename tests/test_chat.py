@@ -429,3 +429,51 @@ def test_json_schema():
 def test_read_records_needs_no_inference(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,x\n007,1\n")
     assert read_records(spark, str(tmp_path / "a.csv")).first().x == "1"
+
+
+def random_schema(rng, depth=0):
+    """Keywords at random, nested a few levels, with references."""
+    out = {}
+    if rng.random() < 0.7:
+        out["type"] = rng.choice(["object", "array", "string", "number", "integer", "boolean", "null", ["string", "null"], ["integer", "array"]])
+    if rng.random() < 0.15:
+        return {"$ref": "#/definitions/d"}
+    pick = {
+        "enum": lambda: rng.sample(SOME_VALUES, 3), "const": lambda: rng.choice(SOME_VALUES), "minimum": lambda: rng.choice([0, 1.5]), "maximum": lambda: rng.choice([1, 2.5]),
+        "exclusiveMinimum": lambda: 0, "exclusiveMaximum": lambda: 2, "minLength": lambda: rng.choice([1, 2]), "maxLength": lambda: rng.choice([1, 3]), "pattern": lambda: rng.choice(["^a", "b$", r"\\d+", "é|x"]).replace("\\\\", "\\"),
+        "minItems": lambda: 1, "maxItems": lambda: rng.choice([1, 2]), "multipleOf": lambda: rng.choice([2, 0.5]), "required": lambda: ["a"], "additionalProperties": lambda: rng.choice([False, True, {"type": "string"}]),
+    }
+    for k in rng.sample(sorted(pick), rng.randint(0, 2)):
+        out[k] = pick[k]()
+    if depth < 2:
+        inner = {"properties": lambda: {k: random_schema(rng, depth + 1) for k in rng.sample(["a", "b", "it's", "q'\""], 2)}, "items": lambda: rng.choice([random_schema(rng, depth + 1), [random_schema(rng, depth + 1)]]), "anyOf": lambda: [random_schema(rng, depth + 1) for _ in range(2)], "oneOf": lambda: [random_schema(rng, depth + 1) for _ in range(2)], "allOf": lambda: [random_schema(rng, depth + 1)], "not": lambda: random_schema(rng, depth + 1)}
+        for k in rng.sample(sorted(inner), rng.randint(0, 2)):
+            out[k] = inner[k]()
+    return out
+
+
+SOME_VALUES = [None, True, False, 0, 1, 2, 1.5, -1, 1e20, "", "a", "ab", "é", "x12", [], [1], ["a", "b"], [[1], None], {}, {"a": 1}, {"a": "x", "b": None}, {"it's": [1, 2.5]}, {"q'\"": "a"}, {"a": {"a": "ab"}, "c": 1}]
+
+
+def test_external_schemas_as_predicates(spark):
+    """As problems() finds, on random schemas and values; no Python in the plan. Schemas that refer to themselves are judged by problems()."""
+    rng = random.Random(11)
+    texts = [json.dumps(v) for v in SOME_VALUES] + ["not json", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).cache()
+    documents = [random_schema(rng) | {"definitions": {"d": {"type": ["string", "object"], "maxLength": 1}}} for _ in range(60)]
+    columns = [schema.fits_schema(F.try_parse_json("t"), d).alias(f"f{k}") for k, d in enumerate(documents)]
+    agreed = 0
+    for a in range(0, len(columns), 20):
+        for r in df.select("i", *columns[a : a + 20]).collect():
+            for k in range(a, min(a + 20, len(columns))):
+                want = False if r.i >= len(SOME_VALUES) else not schema.problems(SOME_VALUES[r.i], documents[k])
+                assert r[f"f{k}"] == want, (documents[k], texts[r.i])
+                agreed += want
+    assert agreed > 150
+    external = schema.ExternalSchema({"type": "object", "properties": {"a": {"type": "integer"}}})
+    assert "Python" not in ch.validated(df, "t", external)._jdf.queryExecution().toString()
+    tree = {"type": "array", "items": {"$ref": "#"}}
+    with pytest.raises(schema.RecursiveSchema):
+        schema.fits_schema(F.col("t"), tree, within=("#",))
+    fits = {r.i: r.fits for r in ch.validated(spark.createDataFrame([(0, "[[],[[]]]"), (1, "[[1]]"), (2, None)], "i int, t string"), "t", schema.ExternalSchema(tree)).collect()}
+    assert fits == {0: True, 1: False, 2: False}
