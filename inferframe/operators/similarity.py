@@ -18,6 +18,8 @@ from ..sources.records import scratch_path
 
 #: Total tokens of the smaller side, up to which it is broadcast.
 BROADCAST_TOKENS = 2_000_000
+#: Characters of files that are handed on at once.
+READ_BYTES = 4 << 20
 #: Similarities from which a search for best matches looks, one after another: each next one asks for longer prefixes.
 FALLING = (0.5, 0.25, 0.1, 0.05)
 
@@ -222,9 +224,17 @@ def token_changes(left: DataFrame, right: DataFrame, key: str, text_col: str = "
 
 
 def _read_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The texts of paths, READ_BYTES or one at a time."""
+    held: list[tuple[str, str]] = []
+    size = 0
     for pdf in frames:
         for path in pdf["p"]:
-            yield pd.DataFrame({"path": [path], "text": [read_file(path).decode()]})
+            held.append((path, read_file(path).decode()))
+            size += len(held[-1][1])
+            if size > READ_BYTES:
+                yield pd.DataFrame(held, columns=["path", "text"])
+                held, size = [], 0
+    yield pd.DataFrame(held, columns=["path", "text"])
 
 
 def compare_paths(df: DataFrame, column1: str, column2: str, files: DataFrame | None = None, out: str = "jaccard") -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import benchmark, metrics, pages, retry, schema, similarity
 from ..operators.layout import BLOCKS, layout_cost, layout_texts
 from ..operators.models import with_cost
 from ..operators.prompt import last_user_text, openai_messages, parse_prompt, render_columns, valid_roles
+from ..sources.files import attach_files
 from ..sources.records import count_records, export_text, flat_rows, number_partitions, quoted, read_records, scratch_path, take, write_csv, write_jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -652,6 +653,82 @@ def exported_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(files, "name").select("doc_id", "text")
 
 
+def _text_files(spark: SparkSession, sf_dir: str, texts_of: DataFrame) -> DataFrame:
+    """(doc_id, kind, path): a file for each text, in a folder that all machines share."""
+    folder = scratch_path(spark, "texts").removeprefix("file:")
+    named = texts_of.select("doc_id", "kind", F.concat("kind", F.lit("-"), F.col("doc_id").cast("string")).alias("name"), "text")
+    paths = scratch_path(spark, "paths")
+    export_text(named, "name", "text", "path", folder + "/{id}.txt").write.parquet(paths)
+    return spark.read.parquet(paths).select("doc_id", "kind", "path")
+
+
+def _files_of(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """(path, content) of the folder that some paths lie in, read by Spark."""
+    folder = rows.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).first().f
+    found = spark.read.format("binaryFile").load(folder)
+    return found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+
+
+@query("SELECT doc_id, length(text) AS chars, text FROM documents")
+def files_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' texts in files, joined to their rows by path."""
+    rows = _text_files(spark, sf_dir, table(spark, sf_dir, "documents").withColumn("kind", F.lit("a")))
+    found = attach_files(rows, F.col("path"), _files_of(spark, rows))
+    return found.select("doc_id", F.decode("content", "UTF-8").alias("text")).withColumn("chars", F.length("text").cast("bigint"))
+
+
+@query("SELECT doc_id, 'Read: ' || text || '!' AS rendered FROM documents")
+def render_text_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text-file-contents helper, on files of documents' texts."""
+    from ..functions.template import compile_template
+
+    rows = _text_files(spark, sf_dir, table(spark, sf_dir, "documents").withColumn("kind", F.lit("a")))
+    found = attach_files(rows, F.col("path"), _files_of(spark, rows))
+    return found.select("doc_id", compile_template("Read: {{text-file-contents path}}!", ch.bindings(found), lambda _: F.col("content")).alias("rendered"))
+
+
+@query("SELECT doc_id, 'data:image/png;base64,' || to_base64(unhex('89504E470D0A1A0A') || encode(text)) AS rendered FROM documents")
+def render_image_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image-data-url helper, on documents' texts behind the first bytes of an image."""
+    from ..functions.template import compile_template
+
+    made = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode("text", "UTF-8")).alias("content"), F.lit("p").alias("path"))
+    return made.select("doc_id", compile_template("{{image-data-url path}}", ch.bindings(made), lambda _: F.col("content")).alias("rendered"))
+
+
+@query(f"""
+WITH o AS (SELECT doc_id, text, replace(text, 'a', 'o') AS out FROM documents),
+a AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS t FROM o) GROUP BY ALL),
+b AS (SELECT doc_id, t, count(*) AS m FROM (SELECT doc_id, unnest({TOKENS.format('out')}) AS t FROM o) GROUP BY ALL),
+j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, sum(least(coalesce(n, 0), coalesce(m, 0))) / sum(greatest(coalesce(n, 0), coalesce(m, 0))) AS jaccard FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.t = b.t GROUP BY ALL)
+SELECT doc_id, CASE WHEN trim(text, ' ') = '' THEN -1 ELSE round(coalesce(jaccard, 1), 6) END AS jaccard FROM o LEFT JOIN j USING (doc_id)
+""")
+def compared_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of the texts that two columns of paths name: documents, and the same with o for a. Blank texts have none (shown as -1)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = docs.withColumn("kind", F.lit("a")).unionByName(docs.select("doc_id", F.replace("text", F.lit("a"), F.lit("o")).alias("text")).withColumn("kind", F.lit("b")))
+    paths = _text_files(spark, sf_dir, both).groupBy("doc_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("path"))).alias(f"path_{k}") for k in "ab"))
+    return similarity.compare_paths(paths, "path_a", "path_b").select("doc_id", F.coalesce(F.round("jaccard", 6), F.lit(-1.0)).alias("jaccard"))
+
+
+@query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100")
+def first_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred images (documents) by id, which a report takes."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return benchmark.first_images(docs, 100).select(F.col("id").alias("doc_id"), "text")
+
+
+@query("SELECT doc_id, source AS a, 'ok' AS status FROM documents")
+def limited_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a provider under one rate limit for all tasks, by permits leased in the shared folder."""
+    from ..operators.providers import LlmOptions
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("answer").alias("what"), "source")
+    prompt = {"response_schema": {"description": "x", "properties": {"a": {"description": "a"}}}, "messages": [{"user": {"text": "{{what}} {{source}}"}}]}
+    out = ch.chat(docs, prompt, EvenOdd(), options=LlmOptions(rate_limit="5000/s"), id_col="doc_id")
+    return out.select(F.col("id").cast("bigint").alias("doc_id"), F.get_json_object("response", "$.a").alias("a"), "status")
+
+
 @query(_PAGES + """
 SELECT doc_id, string_agg(page || CASE page_idx % 3 WHEN 0 THEN chr(10) WHEN 1 THEN 'w ' ELSE ' ' END || chr(10), '' ORDER BY page_idx) AS text FROM p GROUP BY doc_id
 """)
