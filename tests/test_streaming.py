@@ -1,10 +1,16 @@
 import json
+import os
 import random
+import time
+import uuid
 
 from pyspark.sql import functions as F
 
+from inferframe.operators import providers, retry
+from inferframe.operators.chat import RESULT
 from inferframe.operators.pages import merge_pages
 from inferframe.streaming.page_merge import merge_page_stream
+from inferframe.streaming.retries import call_stream
 
 SCHEMA = "doc_id long, page_idx int, total_pages long, text string, errors array<string>, estimated_cost double, token_usage struct<prompt_tokens:bigint,completion_tokens:bigint>"
 
@@ -64,3 +70,59 @@ def test_rows_without_pages_pass_at_once(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA + ", error string").json(str(source))
     merge_page_stream(stream, ["doc_id"], lambda df, n: got.extend(df.select("doc_id", F.array_join("errors", "|").alias("e")).collect()), str(tmp_path / "checkpoint")).awaitTermination()
     assert [(r.doc_id, r.e) for r in got] == [(1, "gone")]
+
+
+class Failing:
+    """Fails as often as the row says, in all runs together, and leaves a file for each call."""
+
+    name = "failing"
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def complete(self, model, prompt, schema_, options):
+        text = providers.last_user(prompt)
+        name, failures = text.split(" ")
+        before = len([f for f in os.listdir(self.folder) if f.startswith(f"{name}-")])
+        with open(os.path.join(self.folder, f"{name}-{uuid.uuid4().hex}"), "w"):
+            pass
+        if failures == "fatal":
+            raise retry.Fatal("never")
+        if before < int(failures):
+            raise retry.Transient(f"busy {before}")
+        return providers.Completion({"a": name}, 1, 2)
+
+
+def test_failed_rows_wait_in_state(spark, tmp_path):
+    """Each row is called as often as it fails and once more, over batches and a restart; nothing that was answered is called again."""
+    calls, source, out = tmp_path / "calls", tmp_path / "in", str(tmp_path / "out")
+    calls.mkdir()
+    source.mkdir()
+    cases = {"a": "0", "b": "1", "c": "3", "d": "fatal", "e": "99", "f": "2"}
+    (source / "1.json").write_text("\n".join(json.dumps({"id": k, "n": v, "skip_processing": False}) for k, v in cases.items()) + '\n{"id":"s","n":"0","skip_processing":true}\n')
+    prompt = {"response_schema": {"description": "x", "properties": {"a": {"description": "a"}}}, "messages": [{"user": {"text": "{{name}} {{n}}"}}]}
+
+    def start():
+        rows = spark.readStream.schema("id string, n string, skip_processing boolean").json(str(source)).withColumn("name", F.col("id"))
+        found = call_stream(rows, prompt, Failing(str(calls)), "m", longest_ms=50)
+        return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="200 milliseconds").start()
+
+    def answered():
+        return {} if not os.path.exists(out) else {json.loads(r.id): r for r in spark.read.schema(f"id string, passthrough_data string, {RESULT}").parquet(out).collect()}
+
+    def until(query, n):
+        end = time.time() + 120
+        while len(answered()) < n and time.time() < end:
+            assert query.exception() is None
+            time.sleep(0.2)
+        query.stop()
+
+    until(start(), 3)
+    first = {k: len([f for f in os.listdir(calls) if f.startswith(f"{k}-")]) for k in answered()}
+    (source / "2.json").write_text('{"id":"g","n":"1","skip_processing":false}\n')
+    until(start(), 8)
+    got = answered()
+    assert {k: (r.status, len(r.errors)) for k, r in got.items()} == {"a": ("ok", 0), "b": ("ok", 1), "c": ("ok", 3), "d": ("failed", 1), "e": ("failed", 6), "f": ("ok", 2), "g": ("ok", 1), "s": ("skipped", 0)}
+    made = {k: len([f for f in os.listdir(calls) if f.startswith(f"{k}-")]) for k in got}
+    assert all(made[k] == n for k, n in first.items()) and made["a"] == made["d"] == 1 and made["s"] == 0
+    assert got["b"].errors == ["busy 0"] and got["c"].response == '{"a":"c"}' and got["c"].token_usage.completion_tokens == 2
