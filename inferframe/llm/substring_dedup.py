@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,17 +40,17 @@ class Chunk:
     every window of `length` words holds one, and equal windows hold the same.
     """
 
-    def __init__(self, table: pa.Table | pa.RecordBatch, length: int, k: int):
+    def __init__(self, table: pa.Table | pa.RecordBatch, length: int, k: int, key: tuple[int, ...]):
         column = table.column(table.schema.get_field_index("text"))
         copies = table.column(table.schema.get_field_index("copies")).to_numpy()
         hashes, firsts, n = [np.zeros((0, 2), np.uint64)], [np.zeros(1, np.int64)], 0
         for _, first, number, own in distinct_words(column, NOT_SPACE, lower=False):
-            hashes.append(own.digests()[number])
+            hashes.append(own.keyed(key)[number])
             firsts.append(first[1:] + n)
             n += len(number)
-        self.length, self.k = length, k
+        self.length, self.k, self.key = length, k, key
         self.first = np.concatenate(firsts)
-        #: of each word, the halves of its 128-bit digest
+        #: of each word, the halves of its 128 bits
         self.hashes = np.concatenate(hashes)
         row = np.repeat(np.arange(len(copies)), np.diff(self.first))
         windows = max(0, n - length + 1)
@@ -71,8 +72,8 @@ class Chunk:
         return grams, _slide(padded, span, np.maximum) == grams
 
     def windows(self) -> np.ndarray:
-        """Two hashes of each window, one of either half of its words' digests."""
-        return np.stack([window_hashes(self.hashes[:, i], self.length) for i in range(2)], axis=1)
+        """Two hashes of each window, one of either half of its words' bits, by factors of the key."""
+        return np.stack([window_hashes(self.hashes[:, i], self.length, self.key[i]) for i in range(2)], axis=1)
 
     def near(self, anchors: np.ndarray) -> np.ndarray:
         """Window starts whose window holds one of these anchor places."""
@@ -185,9 +186,10 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
     length - anchor words on either side: the extensions go the same way, and runs of repeated
     ones are the maximal repeats of `length` words or more. What a chunk sends has each
     key once, so a passage in a third of all documents is one entry for each
-    chunk; no pair of documents is formed. Seeds only prefilter. Texts are the same if their SHA-256 is, words if
-    128 bits of their BLAKE2b are, and windows if two 64-bit hashes are, each of one half of their words' digests
-    (odds of any false match among n windows: n * n / 2^129, and no words are known that could be chosen for one).
+    chunk; no pair of documents is formed. Seeds only prefilter. Texts are the same if their SHA-256 is; words of up to
+    15 bytes are told apart by their bytes, longer ones by 120 bits of their BLAKE2b; and windows are the same if two 64-bit hashes are, each of one half of
+    their words' 128 bits, under a secret key that every run draws anew (odds of any false match among n
+    windows: n * n / 2^129, and nobody can choose words for one).
 
     A null or empty text has no words. Repeated rows are copies of each other. An
     empty table gives an empty one.
@@ -196,6 +198,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = {"_key": F.unhex(F.sha2(text, 256))}
+    key = tuple(secrets.randbits(64) | 1 for _ in range(4))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     chunks = max(2 * parts, -(-total // chunk_bytes))
@@ -209,7 +212,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
     keys_of = ["part", "chunk"]
 
     def seeds(table: pa.Table) -> pa.Table:
-        c = Chunk(table, length, anchor)
+        c = Chunk(table, length, anchor, key)
         grams, chosen = c.anchors()
         at = np.flatnonzero(chosen)
         copied = np.zeros(len(grams), bool)
@@ -221,7 +224,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
     def extend(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _packets(0, parts, np.zeros((0, 2), np.uint64), np.zeros(0, bool), np.zeros(0, bool))
-        c = Chunk(table, length, anchor)
+        c = Chunk(table, length, anchor, key)
         grams, chosen = c.anchors()
         at = np.flatnonzero(chosen)
         at = at[_among(grams[at, None], answers)]
@@ -234,7 +237,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", length: int = 35, a
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         kept, n_removed, spans, c = [], [], [], None
         if table.num_rows:
-            c = Chunk(table, length, anchor)
+            c = Chunk(table, length, anchor, key)
             hit = np.flatnonzero((_among(c.windows(), answers) & c.whole) | c.copied)
             edge = np.zeros(len(c.hashes) + 1, np.int64)
             edge[hit] += 1

@@ -147,6 +147,27 @@ class Words(NamedTuple):
         data, at = self.data.tobytes(), self.at.tolist()
         return np.frombuffer(b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]), np.uint64).reshape(-1, 2)
 
+    def keyed(self, key: tuple[int, ...]) -> np.ndarray:
+        """128 bits of each word as two unsigned columns, which a secret key of four odd numbers mixes.
+
+        A word of up to 15 bytes is those bytes and its length, so no two are the same; a longer one is its digest. The
+        mixing (three rounds of a Feistel network) is a bijection, in which either column depends on all bits.
+        """
+        sizes = np.diff(self.at)
+        out = np.zeros((len(self), 16), np.uint8)
+        short = np.flatnonzero(sizes < 16)
+        out[:, 15] = np.where(sizes < 16, sizes, 255)
+        n = sizes[short]
+        out[np.repeat(short, n), expand(np.zeros(len(n), np.int64), n)] = self.data[expand(self.at[:-1][short], n)]
+        for i in np.flatnonzero(sizes > 15).tolist():
+            out[i, :15] = np.frombuffer(blake2b(self.data[self.at[i] : self.at[i + 1]].tobytes(), digest_size=15).digest(), np.uint8)
+        a, b = (np.ascontiguousarray(x) for x in out.view(np.uint64).T)
+        k = [np.uint64(x) for x in key]
+        a = a ^ mix(b * k[0] + k[1])
+        b = b ^ mix(a * k[2] + k[3])
+        a = a ^ mix(b * k[1] + k[2])
+        return np.stack([a, b], axis=1)
+
     def take(self, which: np.ndarray) -> Words:
         sizes = np.diff(self.at)[which]
         return Words(np.concatenate([[0], np.cumsum(sizes)]), self.data[expand(self.at[which], sizes)])
@@ -204,8 +225,8 @@ def locate(hashes: np.ndarray, known: Words, asked: np.ndarray, wanted: Words) -
     return out
 
 
-def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive entries; has len(hashes) - k + 1 entries, or none.
+def window_hashes(hashes: np.ndarray, k: int, factor: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    """Hash of each k consecutive entries, by an odd factor; has len(hashes) - k + 1 entries, or none.
 
     Built by doubling: each step mixes the hashes of two windows that overlap or touch.
     """
@@ -218,7 +239,7 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         now, have = mix(hashes[a : b + k - 1]), 1
         while have < k:
             step = min(have, k - have)
-            now = mix(now[:-step] * np.uint64(0xD6E8FEB86659FD93) + now[step:])
+            now = mix(now[:-step] * np.uint64(factor) + now[step:])
             have += step
         out[a:b] = now
     return out

@@ -171,8 +171,14 @@ def test_chosen_words(spark):
 
 
 def test_digests_tell_words_apart():
-    own = textops.words_of(pa.array([*SAME, "a", "", SAME[0]]))
-    assert len({x.tobytes() for x in own.digests()}) == 4 and (own.digests()[0] == own.digests()[4]).all()
+    words = [*SAME, "a", "", SAME[0], "\0", "\0\0", "x" * 15, "x" * 16, "é" * 7, "a" + "\0" * 14]
+    own = textops.words_of(pa.array(words))
+    for found in (own.digests(), own.keyed((3, 5, 7, 9)), own.keyed((1 << 63 | 1, 5, 11, 13))):
+        assert len({x.tobytes() for x in found}) == len(set(words)) and (found[0] == found[4]).all()
+    many = textops.words_of(pa.array([str(i) for i in range(200_000)]))
+    for half in many.keyed((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)).T:
+        assert len(np.unique(half)) == 200_000  # either half alone spreads
+        assert abs(np.bincount((half >> np.uint64(60)).astype(np.int64)) - 12_500).max() < 700
 
 
 @pytest.mark.parametrize("form", ["c's", " c", "1c2", "cc", "c 's", "  c", "a'c"])
