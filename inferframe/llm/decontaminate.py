@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import pickle
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import checkpoint_dir
+from .shared import shared_folder
 from .textops import ALNUM, LOWER, Words, arrow_columns, distinct, locate, pieces, words
 
 
@@ -192,48 +194,69 @@ def find(patterns: Patterns, symbols: np.ndarray, first: np.ndarray, every: bool
     return hit, pairs // len(patterns.ids), pairs % len(patterns.ids)
 
 
-def _search(block, text_col: str, shard_bytes: int):
-    """block: a broadcast of Patterns; merges with spans and items of earlier blocks."""
+def _search(patterns_of: Callable[[int], Patterns], n_blocks: int, text_col: str, shard_bytes: int):
+    """Searches each shard for the windows of all blocks, one block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
-        patterns = pickle.loads(block.value)
-        names = patterns.ids
         for batch in batches:
             n = batch.num_rows
-            had = {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("spans", "items")} if "spans" in batch.schema.names else None
             n_words, n_hit, spans, items = [0] * n, [0] * n, [[]] * n, [[]] * n
             for row, offsets, data in pieces(batch.column(batch.schema.get_field_index(text_col)), shard_bytes):
                 data = LOWER[data]
                 starts, ends, first = words(data, offsets, ALNUM)
                 number, own = distinct(data, starts, ends, ALNUM)
-                hit, doc, item = find(patterns, patterns.symbols_of(own)[number], first)
+                hit, found = np.zeros(len(number), bool), {}
+                for k in range(n_blocks):
+                    patterns = patterns_of(k)
+                    more, doc, item = find(patterns, patterns.symbols_of(own)[number], first)
+                    hit |= more
+                    for d in np.unique(doc).tolist():
+                        found.setdefault(d, set()).update(patterns.ids[x] for x in item[doc == d].tolist())
                 n_words[row : row + len(offsets) - 1] = np.diff(first).tolist()
-                for d in np.unique(doc).tolist():
-                    items[row + d] = [names[x] for x in item[doc == d].tolist()]
+                for d, names in found.items():
+                    items[row + d] = sorted(names)
                     h = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[d] : first[d + 1]].astype(np.int8), [0]]))).reshape(-1, 2)
-                    spans[row + d] = [(int(first[d] + a), int(first[d] + b)) for a, b in h.tolist()]
-                    spans[row + d] = [{"first_word": int(a - first[d]), "last_word": int(b - 1 - first[d]), "start": int(starts[a] - offsets[d]), "end": int(ends[b - 1] - offsets[d])} for a, b in spans[row + d]]
-            if had:
-                for i in range(n):
-                    if had["spans"][i]:
-                        spans[i] = merge(had["spans"][i] + spans[i])
-                        items[i] = sorted({*had["items"][i], *items[i]})
-            n_hit = [sum(s["last_word"] - s["first_word"] + 1 for s in x) for x in spans]
+                    n_hit[row + d] = int((h[:, 1] - h[:, 0]).sum())
+                    spans[row + d] = [{"first_word": a, "last_word": b - 1, "start": int(starts[first[d] + a] - offsets[d]), "end": int(ends[first[d] + b - 1] - offsets[d])} for a, b in h.tolist()]
             yield batch, {"n_words": n_words, "n_hit": n_hit, "spans": spans, "items": items}
 
     return run
 
 
-def merge(spans: list[dict]) -> list[dict]:
-    """Joins spans that overlap or touch."""
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: s["first_word"]):
-        if out and s["first_word"] <= out[-1]["last_word"] + 1:
-            if s["last_word"] > out[-1]["last_word"]:
-                out[-1] |= {"last_word": s["last_word"], "end": s["end"]}
-        else:
-            out.append(dict(s))
-    return out
+def _write_blocks(folder: str, window: int):
+    """Saves the patterns of each block of items under its number; a task has whole blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[str, str]]] = {}
+        for batch in batches:
+            for k, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(k, []).append((i, t))
+        for k, rows in held.items():
+            part = f"{folder}/{k}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as f:
+                pickle.dump(Patterns(rows, window), f, 5)
+            os.replace(part, f"{folder}/{k}")
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64())], names=["k"])
+
+    return run
+
+
+def _reader(folder: str, there: frozenset[int], window: int) -> Callable[[int], Patterns]:
+    """Reads a block's patterns; the last one stays."""
+    last: list = [None, None]
+
+    def read(k: int) -> Patterns:
+        if last[0] != k:
+            last[1] = None  # one at a time
+            if k in there:
+                with open(f"{folder}/{k}", "rb") as f:
+                    last[1] = pickle.load(f)
+            else:
+                last[1] = Patterns([], window)
+            last[0] = k
+        return last[1]
+
+    return read
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("first_word", "last_word", "start", "end")]))
@@ -251,9 +274,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     n_words).
 
     Each `shard_bytes` of training text get an FM-index; all windows are
-    searched backward in it together. Words are the same only if their bytes are. The items go to the workers in blocks of
-    `block_bytes` of text, each its own pass (after the first, from a
-    checkpoint), so no broadcast grows with the benchmark. No row is shuffled.
+    searched backward in it together. Words are the same only if their bytes are. Items of more than
+    `block_bytes` of text are made into blocks of that size, which tasks write to the shared folder; a shard meets them one at a
+    time, in one pass over `docs`. So neither the driver nor a broadcast grows with the benchmark. No row is shuffled.
 
     Nulls and empty texts have no words. An item without words has no window; a
     null item id is "null". Items that repeat count once for each id.
@@ -264,11 +287,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     n_blocks = max(1, -(-total // block_bytes))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
     out = docs.drop("spans", "items", "n_words", "n_hit", "contaminated")
-    for k in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k).collect()
-        block = spark.sparkContext.broadcast(pickle.dumps(Patterns([(r.i, r.t) for r in rows], window), 5))
-        if k:
-            checkpoint_dir(spark)
-            out = out.checkpoint()
-        out = arrow_columns(out, _search(block, text_col, shard_bytes), fields)
+    if n_blocks == 1:
+        block = spark.sparkContext.broadcast(pickle.dumps(Patterns([(r.i, r.t) for r in items.collect()], window), 5))
+        held: list[Patterns] = []
+
+        def patterns_of(_: int) -> Patterns:
+            if not held:
+                held.append(pickle.loads(block.value))
+            return held[0]
+    else:
+        folder = shared_folder(spark, "benchmark")
+        dealt = items.select(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)).alias("k"), "i", "t").repartition(n_blocks, "k")
+        written = dealt.mapInArrow(_write_blocks(folder, window), "k long")
+        patterns_of = _reader(folder, frozenset(r.k for r in written.collect()), window)
+    out = arrow_columns(out, _search(patterns_of, n_blocks, text_col, shard_bytes), fields)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
