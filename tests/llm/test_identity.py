@@ -182,9 +182,9 @@ def test_digests_tell_words_apart():
 
 
 def test_splits_at_every_character():
-    """All code points in places where their class matters: matches are those of the library that is followed."""
+    """All code points in places where their class matters (of planes 4 to 13, without characters, every seventh): matches are those of the library that is followed."""
     own, split = reference(), pretokenize.splitter_of(public_tokenizers.PATTERN)
-    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 and (not 0x40000 <= i < 0xE0000 or i % 7 == 0)]
     known = {p.encode(): own._encode_single_piece(p.encode()) for p in ("'s", "'", "s", "1", "2", "\n", " ", "x", " x")}
     for a in range(0, len(every), 1 << 16):
         texts = [f"{c}'s\n {c}x\n1{c}2\n{c}{c} {c}" for c in every[a : a + (1 << 16)]]
