@@ -11,7 +11,7 @@ from inferframe.sources.records import count_records, read_csv
 @pytest.fixture
 def tiny_splits(spark):
     """Splits of a few bytes, so that records and cells lie over many."""
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "37b")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "101b")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     yield
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
