@@ -72,7 +72,8 @@ def is_error_line(line: Column) -> Column:
 
 def tool_warnings(output: Column) -> Column:
     """Trimmed lines of a tool's output that aren't empty."""
-    return F.filter(F.transform(F.split(output, "\n"), F.trim), lambda x: x != "")
+    # not F.trim by itself: transform would give it the line's number as the characters to trim
+    return F.filter(F.transform(F.split(output, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def command_failed(exit_code: Column, stderr: Column, check_lines: bool = True) -> Column:

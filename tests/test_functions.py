@@ -218,3 +218,9 @@ def test_file_helpers(spark, tmp_path):
     assert got.startswith("data:image/png;base64,iVBOR")
     with pytest.raises(Exception, match="no such file"):
         attach_files(spark.createDataFrame([("/nope",)], "p string"), F.col("p"), files).collect()
+
+
+def test_tool_warnings_keep_digits_and_lose_spaces(spark):
+    df = spark.createDataFrame([("0 a 0\n1 b 1\n\n  2 c  \n   \n13 d 31",), (None,)], "output string")
+    got = [r.w for r in df.select(tx.tool_warnings(df.output).alias("w")).collect()]
+    assert got == [["0 a 0", "1 b 1", "2 c", "13 d 31"], None]
