@@ -18,6 +18,8 @@ from ..sources.records import scratch_path
 
 #: Total tokens of the smaller side, up to which it is broadcast.
 BROADCAST_TOKENS = 2_000_000
+#: Tokens of left texts, and postings that they meet, that a task holds at once (a single text's may be more).
+HELD_TOKENS, HELD_POSTINGS = 1 << 18, 1 << 19
 #: Characters of files that are handed on at once.
 READ_BYTES = 4 << 20
 #: Similarities from which a search for best matches looks, one after another: each next one asks for longer prefixes.
@@ -43,15 +45,29 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def pair_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_col: str = "text", threshold: float | None = None) -> DataFrame:
     """(left_id, right_id, inter, uni, jaccard) of all pairs that share a token.
 
-    right is the small side; it is broadcast if its tokens are few (counted first).
-    With a threshold t only candidates are added up: pairs that share a rare token. Jaccard can't reach t unless
+    right is the small side; if its tokens are few (counted first), they go to the tasks as postings, and left texts meet them
+    where they are, split once: nothing of the left side is shuffled, and left rows may repeat.
+    With a threshold t pairs are dropped by size, as Jaccard can't be above the ratio of the sizes.
+    With a larger right side both are joined by token, and with a threshold only candidates are added up: pairs that share a rare token. Jaccard can't reach t unless
     a pair shares t times the tokens of either, so one of the rarest n - ceil(t * n) + 1 tokens of
-    each side (n: with repeats) is shared, rare being by the right side's counts; and it can't be above the
-    ratio of the sizes. Both bounds lose no pair.
+    each side (n: with repeats) is shared, rare being by the right side's counts. Both bounds lose no pair.
     """
-    r = with_sizes(count_tokens(right, right_id, text_col).withColumnRenamed("n", "m"), right_id, "m", "nb")
-    small = (r.agg(F.sum("m")).first()[0] or 0) <= BROADCAST_TOKENS
-    return _pairs(sized_tokens(left, left_id, text_col), r, left_id, right_id, small, threshold)
+    r = count_tokens(right, right_id, text_col).withColumnRenamed("n", "m")
+    if (r.agg(F.sum("m")).first()[0] or 0) > BROADCAST_TOKENS:
+        return _pairs(sized_tokens(left, left_id, text_col), with_sizes(r, right_id, "m", "nb"), left_id, right_id, threshold)
+    postings = _Postings(r.where(F.col(right_id).isNotNull()).toPandas(), right_id)
+    schema = T.StructType([left.schema[left_id], T.StructField(right_id, right.schema[right_id].dataType), T.StructField("inter", T.LongType()), T.StructField("uni", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, row, item, inter, uni in postings.pairs(batch.column(1), threshold):
+                if threshold:
+                    near = inter >= threshold * uni - 1e-6
+                    row, item, inter, uni = row[near], item[near], inter[near], uni[near]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), postings.ids.take(pa.array(item)), pa.array(inter), pa.array(uni)], names=schema.names)
+
+    out = left.select(left_id, tokens(F.col(text_col)).alias("_tokens")).mapInArrow(run, schema).withColumn("jaccard", F.col("inter") / F.col("uni"))
+    return out.where(F.col("jaccard") >= threshold) if threshold else out
 
 
 def sized_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,12 +82,8 @@ def with_sizes(counted: DataFrame, key: str, n: str, size: str) -> DataFrame:
     return counted.join(counted.groupBy(key).agg(F.sum(n).alias(size)), key)
 
 
-def _pairs(l: DataFrame, r: DataFrame, left_id: str, right_id: str, small: bool, threshold: float | None) -> DataFrame:
+def _pairs(l: DataFrame, r: DataFrame, left_id: str, right_id: str, threshold: float | None) -> DataFrame:
     """pair_similarity over counted tokens: (left_id, token, n, na) and (right_id, token, m, nb)."""
-
-    def with_right(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
-        return rows.join(F.broadcast(side) if small else side, on)
-
     if threshold:
         often = r.groupBy("token").agg(F.sum("m").alias("_often"))
 
@@ -80,13 +92,13 @@ def _pairs(l: DataFrame, r: DataFrame, left_id: str, right_id: str, small: bool,
             before = F.coalesce(F.sum(n).over(Window.partitionBy(key).orderBy("_often", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             return rows.withColumn("_before", before).where(F.col("_before") <= F.col(size) - F.ceil(threshold * F.col(size) - 1e-9)).select(key, "token", size)
 
-        marked = l.join(F.broadcast(often) if small else often, "token", "left").withColumn("_often", F.coalesce("_often", F.lit(0)))
-        met = with_right(rarest(marked, left_id, "n", "na"), rarest(r.join(often, "token"), right_id, "m", "nb"), ["token"])
+        marked = l.join(often, "token", "left").withColumn("_often", F.coalesce("_often", F.lit(0)))
+        met = rarest(marked, left_id, "n", "na").join(rarest(r.join(often, "token"), right_id, "m", "nb"), ["token"])
         candidates = met.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select(left_id, right_id).distinct()
         l = candidates.join(l, left_id)
-        out = with_right(l, r, [right_id, "token"])
+        out = l.join(r, [right_id, "token"])
     else:
-        out = with_right(l, r, ["token"])
+        out = l.join(r, ["token"])
     out = out.groupBy(left_id, right_id).agg(F.sum(F.least("n", "m")).alias("inter"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     out = out.select(left_id, right_id, "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("uni"))
     out = out.withColumn("jaccard", F.col("inter") / F.col("uni"))
@@ -106,28 +118,55 @@ class _Postings:
         self.sizes = np.zeros(len(ids), np.int64)
         np.add.at(self.sizes, self.item, self.m)
 
-    def best(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-        """(place of the right row most like each list of tokens or -1, similarity, pairs added up)."""
+    def pairs(self, lists: pa.Array, threshold: float | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, row after the last, row, place of the right row, shared tokens, tokens of both together) of all pairs that share a token, some lists at a time.
+
+        With a threshold pairs whose sizes are too unlike are dropped before their tokens are added up.
+        """
         n = len(lists)
-        first = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + n + 1].astype(np.int64)
-        row = np.repeat(np.arange(n), np.diff(first))
-        found = pc.index_in(lists.values.slice(first[0], first[-1] - first[0]), self.tokens)
-        known = found.is_valid().to_numpy(zero_copy_only=False)
-        key, times = np.unique(row[known] * (len(self.tokens) + 1) + found.drop_null().to_numpy(), return_counts=True)
-        row, token = key // (len(self.tokens) + 1), key % (len(self.tokens) + 1)
-        sizes = self.at[token + 1] - self.at[token]
+        first = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        at = 0
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(first, first[at] + HELD_TOKENS, "right")) - 1)
+            found = pc.index_in(lists.values.slice(first[at], first[end] - first[at]), self.tokens)
+            known = found.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(at, end), np.diff(first[at : end + 1]))[known]
+            key, times = np.unique(row * (len(self.tokens) + 1) + found.drop_null().to_numpy(), return_counts=True)
+            row, token = key // (len(self.tokens) + 1), key % (len(self.tokens) + 1)
+            sizes = self.at[token + 1] - self.at[token]
+            ends = np.searchsorted(row, np.arange(at, end + 1))
+            before = np.concatenate([[0], np.cumsum(sizes)])[ends]
+            a = at
+            while a < end:
+                b = max(a + 1, at + int(np.searchsorted(before, before[a - at] + HELD_POSTINGS, "right")) - 1)
+                part = slice(ends[a - at], ends[b - at])
+                yield (a, b, *self._added(first, row[part], token[part], times[part], sizes[part], threshold))
+                a = b
+            at = end
+
+    def _added(self, first: np.ndarray, row: np.ndarray, token: np.ndarray, times: np.ndarray, sizes: np.ndarray, threshold: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         post = np.arange(sizes.sum()) + np.repeat(self.at[token] - np.cumsum(sizes) + sizes, sizes)
-        pair = np.repeat(row, sizes) * len(self.ids) + self.item[post]
+        row, item, shared = np.repeat(row, sizes), self.item[post], np.minimum(np.repeat(times, sizes), self.m[post])
+        if threshold:
+            na, nb = first[row + 1] - first[row], self.sizes[item]
+            like = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
+            row, item, shared = row[like], item[like], shared[like]
+        pair = row * len(self.ids) + item
         order = np.argsort(pair, kind="stable")
         begin = np.flatnonzero(np.diff(pair[order], prepend=-1))
-        inter = np.add.reduceat(np.minimum(np.repeat(times, sizes), self.m[post])[order], begin) if len(begin) else begin
+        inter = np.add.reduceat(shared[order], begin) if len(begin) else begin
         row, item = pair[order][begin] // max(1, len(self.ids)), pair[order][begin] % max(1, len(self.ids))
-        similar = inter / (np.diff(first)[row] + self.sizes[item] - inter)
-        order = np.lexsort((item, -similar, row))
-        top = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
-        place, value = np.full(n, -1, np.int64), np.zeros(n)
-        place[row[top]], value[row[top]] = item[top], similar[top]
-        return place, value, len(begin)
+        return row, item, inter, first[row + 1] - first[row] + self.sizes[item] - inter
+
+    def best(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the right row most like each list of tokens or -1, similarity)."""
+        place, value = np.full(len(lists), -1, np.int64), np.zeros(len(lists))
+        for _, _, row, item, inter, uni in self.pairs(lists):
+            similar = inter / uni
+            order = np.lexsort((item, -similar, row))
+            top = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+            place[row[top]], value[row[top]] = item[top], similar[top]
+        return place, value
 
 
 def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -141,12 +180,12 @@ def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     if (r.agg(F.sum("m")).first()[0] or 0) > BROADCAST_TOKENS:
         kept = left.select(left_id, *keep)
         return kept.join(search_best(left, right, left_id, right_id, text_col)[0], left_id, "left").withColumn("jaccard", F.coalesce("jaccard", F.lit(0.0)))
-    postings = _Postings(r.toPandas(), right_id)
+    postings = _Postings(r.where(F.col(right_id).isNotNull()).toPandas(), right_id)
     schema = T.StructType([*(left.schema[c] for c in (left_id, *keep)), T.StructField(right_id, right.schema[right_id].dataType), T.StructField("jaccard", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, similar, _ = postings.best(batch.column(batch.num_columns - 1))
+            place, similar = postings.best(batch.column(batch.num_columns - 1))
             found = postings.ids.take(pa.array(place, mask=place < 0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found, pa.array(similar)], names=schema.names)
 
@@ -172,7 +211,7 @@ def search_best(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     rest = kept(sized_tokens(left, left_id, text_col), "left-tokens")
     settled, added = None, []
     for threshold in (*FALLING, None):
-        pairs = kept(_pairs(rest, r, left_id, right_id, False, threshold), "pairs")
+        pairs = kept(_pairs(rest, r, left_id, right_id, threshold), "pairs")
         added.append(pairs.count())
         best = pairs.groupBy(left_id).agg(F.max_by(right_id, F.struct("jaccard", -F.col(right_id))).alias(right_id), F.max("jaccard").alias("jaccard"))
         settled = best if settled is None else settled.unionByName(best)

@@ -3,6 +3,7 @@ import random
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -224,3 +225,19 @@ def test_tool_warnings_keep_digits_and_lose_spaces(spark):
     df = spark.createDataFrame([("0 a 0\n1 b 1\n\n  2 c  \n   \n13 d 31",), (None,)], "output string")
     got = [r.w for r in df.select(tx.tool_warnings(df.output).alias("w")).collect()]
     assert got == [["0 a 0", "1 b 1", "2 c", "13 d 31"], None]
+
+
+@pytest.mark.parametrize("threshold", [None, 0.2])
+def test_pairs_meet_postings_and_joins_alike(spark, monkeypatch, threshold):
+    """All pairs that share a token: at the tasks, a few lists and postings at a time and with no shuffle of the left side, and by joins."""
+    left, right = some_sides(3)
+    want = {(i, j): pytest.approx(plain_jaccard(a, b)) for i, a in left for j, b in right if set(plain_tokens(a)) & set(plain_tokens(b)) and plain_jaccard(a, b) >= (threshold or 0)}
+    l, r = spark.createDataFrame(left, "i long, text string"), spark.createDataFrame([*right, (None, "c1")], "j long, text string")
+    monkeypatch.setattr(similarity, "HELD_TOKENS", 20)
+    monkeypatch.setattr(similarity, "HELD_POSTINGS", 30)
+    found = similarity.pair_similarity(l, r, "i", "j", threshold=threshold)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(x.i, x.j): x.jaccard for x in found.collect()} == want and len(want) > 10
+    assert all(x.jaccard == x.inter / x.uni for x in found.collect())
+    monkeypatch.setattr(similarity, "BROADCAST_TOKENS", 0)
+    assert {(x.i, x.j): x.jaccard for x in similarity.pair_similarity(l, r, "i", "j", threshold=threshold).collect()} == want
