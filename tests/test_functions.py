@@ -241,3 +241,14 @@ def test_pairs_meet_postings_and_joins_alike(spark, monkeypatch, threshold):
     assert all(x.jaccard == x.inter / x.uni for x in found.collect())
     monkeypatch.setattr(similarity, "BROADCAST_TOKENS", 0)
     assert {(x.i, x.j): x.jaccard for x in similarity.pair_similarity(l, r, "i", "j", threshold=threshold).collect()} == want
+
+
+def test_a_task_holds_few_postings():
+    """However long the batch: slices end at HELD_TOKENS and HELD_POSTINGS, and cover all lists once."""
+    right = pd.DataFrame([(j, f"t{k}", 1) for j in range(400) for k in range(j % 7, 60, 3)], columns=["j", "token", "m"])
+    postings = similarity._Postings(right, "j")
+    lists = pa.array([[f"t{k}" for k in range(60)] * 3] * 500 + [[]] * 50 + [["t1"]] * 3000)
+    parts = list(postings.pairs(lists))
+    assert [a for a, *_ in parts] == [0] + [b for _, b, *_ in parts][:-1] and parts[-1][1] == len(lists)
+    most = max(len(x) for _, _, x, *_ in parts)
+    assert len(parts) > 3 and most <= similarity.HELD_POSTINGS and sum(len(x) for _, _, x, *_ in parts) == 500 * 400 + 3000 * sum("t1" in set(g) for _, g in right.groupby("j").token)
