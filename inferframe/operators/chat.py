@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
@@ -20,7 +20,7 @@ from .models import vendor_of, with_cost
 from .pages import USAGE
 from .prompt import Prompt, last_user_text, load_prompt, render_columns
 from .providers import Completion, EchoProvider, LlmOptions, Provider, echo_problem, make_provider
-from .retry import Bucket, Fatal, LeasedBucket, Ledger, Throttle, Transient, attempt, dealt_jobs, limiter, own_jobs, tasks_for
+from .retry import Bucket, Fatal, LeasedBucket, Ledger, Outcome, Throttle, Transient, Waits, attempts, dealt_jobs, limiter, own_jobs, tasks_for
 from .schema import ExternalSchema, RecursiveSchema, check_supported, fits_schema, is_valid, problems, to_json_schema
 
 RESULT = f"status string, errors array<string>, response string, token_usage {USAGE}"
@@ -132,11 +132,10 @@ class Caller:
     rendered: Callable[[dict], dict] | None = None
     sleep: Callable[[float], None] | None = field(default=None)
 
-    def started(self, pool: ThreadPoolExecutor, prompts: list[dict], bucket: Bucket | LeasedBucket | None) -> list[Future]:
-        """Calls of each prompt, in order: (status, errors, response, token usage)."""
-        extra = {"sleep": self.sleep} if self.sleep else {}
+    def started(self, pool: ThreadPoolExecutor, waits: Waits, prompts: list[dict], bucket: Bucket | LeasedBucket | None) -> list[Future]:
+        """Calls of each prompt, in order: (status, errors, response, token usage). One that waits for its next attempt leaves its place in the pool to others."""
 
-        def one(prompt: dict) -> tuple:
+        def steps(prompt: dict) -> Generator[float, None, Outcome]:
             def call() -> Completion:
                 if bucket:
                     bucket.take()
@@ -145,18 +144,38 @@ class Caller:
                     raise Transient(f"the response doesn't fit the schema: {'; '.join(found[:5])}")
                 return done
 
-            outcome = attempt(call, **extra)
+            return attempts(call)
+
+        def result(outcome: Outcome) -> tuple:
             if outcome.kind not in ("ok", "recovered"):
                 return "failed", outcome.errors, None, None
             c = outcome.value
             usage = None if c.prompt_tokens is None or c.completion_tokens is None else {"prompt_tokens": c.prompt_tokens, "completion_tokens": c.completion_tokens}
             return "ok", outcome.errors, json.dumps(c.response, ensure_ascii=False, separators=(",", ":")), usage
 
-        return [pool.submit(one, p) for p in prompts]
+        def proceed(tries: Generator[float, None, Outcome], found: Future) -> None:
+            try:
+                wait = next(tries)
+                while self.sleep:
+                    self.sleep(wait)
+                    wait = next(tries)
+            except StopIteration as done:
+                found.set_result(result(done.value))
+            except BaseException as e:  # the row's reader raises it
+                found.set_exception(e)
+            else:
+                waits.add(wait, lambda: pool.submit(proceed, tries, found))
+
+        def start(prompt: dict) -> Future:
+            found: Future = Future()
+            pool.submit(proceed, steps(prompt), found)
+            return found
+
+        return [start(p) for p in prompts]
 
     def rows(self, prompts: list[dict], bucket: Bucket | LeasedBucket | None) -> list[tuple]:
-        with ThreadPoolExecutor(own_jobs(self.jobs)) as pool:
-            return [call.result() for call in self.started(pool, prompts, bucket)]
+        with ThreadPoolExecutor(own_jobs(self.jobs)) as pool, Waits() as waits:
+            return [call.result() for call in self.started(pool, waits, prompts, bucket)]
 
     def __call__(self, frames):
         """For mapInPandas over frames with a column `prompt` (JSON text); the next frame's calls fill the pool while the last of one are awaited."""
@@ -166,11 +185,11 @@ class Caller:
             found = pd.DataFrame([c.result() for c in calls], columns=["status", "errors", "response", "token_usage"], index=pdf.index)
             return pd.concat([pdf.drop(columns=["prompt"]), found], axis=1)
 
-        with ThreadPoolExecutor(own_jobs(self.jobs)) as pool:
+        with ThreadPoolExecutor(own_jobs(self.jobs)) as pool, Waits() as waits:
             before: tuple[pd.DataFrame, list[Future]] | None = None
             for pdf in frames:
                 prompts = [json.loads(p) for p in pdf["prompt"]]
-                calls = self.started(pool, [self.rendered(p) for p in prompts] if self.rendered else prompts, bucket)
+                calls = self.started(pool, waits, [self.rendered(p) for p in prompts] if self.rendered else prompts, bucket)
                 if before:
                     yield finished(*before)
                 before = pdf, calls

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import heapq
 import os
 import random
 import re
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import dataclass, field
 from typing import Any
 from urllib.parse import urlparse
@@ -40,8 +41,8 @@ class Outcome:
     errors: list[str] = field(default_factory=list)
 
 
-def attempt(call: Callable[[], Any], retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None) -> Outcome:
-    """Calls until it succeeds, fails for good, or has failed too often; waits grow exponentially."""
+def attempts(call: Callable[[], Any], retries: int = RETRIES, rng: random.Random | None = None) -> Generator[float, None, Outcome]:
+    """Calls until it succeeds, fails for good, or has failed too often; gives the seconds to wait before each next attempt, which grow exponentially."""
     rng = rng or random.Random()
     errors: list[str] = []
     for i in range(retries + 1):
@@ -53,10 +54,56 @@ def attempt(call: Callable[[], Any], retries: int = RETRIES, sleep: Callable[[fl
             errors.append(str(e))
         if i < retries:
             wait = min(WAIT_MOST, WAIT_LEAST * (WAIT_MOST / WAIT_LEAST) ** (i / max(1, retries - 1)))
-            sleep(wait * (1 + rng.uniform(-JITTER, JITTER)))
+            yield wait * (1 + rng.uniform(-JITTER, JITTER))
     return Outcome("given_up", None, errors)
 
 
+def attempt(call: Callable[[], Any], retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None) -> Outcome:
+    """All attempts of a call, one after another."""
+    steps = attempts(call, retries, rng)
+    while True:
+        try:
+            sleep(next(steps))
+        except StopIteration as done:
+            return done.value
+
+
+class Waits:
+    """Rows that wait for their next attempt, by one thread, so that none holds a place among the calls."""
+
+    def __init__(self):
+        self.heap: list[tuple[float, int, Callable[[], Any]]] = []
+        self.change, self.n, self.closed = threading.Condition(), 0, False
+        self.thread = threading.Thread(target=self._run, daemon=True)
+        self.thread.start()
+
+    def add(self, seconds: float, go: Callable[[], Any]) -> None:
+        with self.change:
+            self.n += 1
+            heapq.heappush(self.heap, (time.monotonic() + seconds, self.n, go))
+            self.change.notify()
+
+    def _run(self) -> None:
+        while True:
+            with self.change:
+                while not self.closed and (not self.heap or self.heap[0][0] > time.monotonic()):
+                    self.change.wait(self.heap[0][0] - time.monotonic() if self.heap else None)
+                if self.closed:
+                    return
+                go = heapq.heappop(self.heap)[2]
+            go()
+
+    def __enter__(self) -> Waits:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """What still waits is dropped: its results are no longer asked for."""
+        with self.change:
+            self.closed = True
+            self.change.notify()
+        self.thread.join()
+
+
 @dataclass(frozen=True)
 class RateLimit:
     """So many attempts a second or minute."""

@@ -477,3 +477,38 @@ def test_external_schemas_as_predicates(spark):
         schema.fits_schema(F.col("t"), tree, within=("#",))
     fits = {r.i: r.fits for r in ch.validated(spark.createDataFrame([(0, "[[],[[]]]"), (1, "[[1]]"), (2, None)], "i int, t string"), "t", schema.ExternalSchema(tree)).collect()}
     assert fits == {0: True, 1: False, 2: False}
+
+
+class Once:
+    """Fails each row's first attempt, and counts calls at a time."""
+
+    name = "once"
+
+    def __init__(self):
+        self.order, self.now, self.most, self.lock = [], 0, 0, threading.Lock()
+
+    def complete(self, model, prompt_, schema_, options):
+        key = providers.last_user(prompt_)
+        with self.lock:
+            self.now, first = self.now + 1, key not in self.order
+            self.most = max(self.most, self.now)
+            self.order.append(key)
+        threading.Event().wait(0.0005)
+        with self.lock:
+            self.now -= 1
+        if first:
+            raise retry.Transient("busy")
+        return providers.Completion({"a": key}, 1, 1)
+
+
+@pytest.mark.parametrize("jobs", [1, 3])
+def test_waiting_rows_leave_their_place(monkeypatch, jobs):
+    """Rows that wait for another attempt hold up no other, and no more than `jobs` calls run."""
+    monkeypatch.setattr(retry, "WAIT_LEAST", 0.3)
+    once = Once()
+    caller = ch.Caller(once, "m", schema.to_json_schema(prompt.parse_prompt({"response_schema": {"description": "x", "properties": {"a": {"description": "a"}}}, "messages": [{"user": {"text": "x"}}]}).response_schema), providers.LlmOptions(), jobs)
+    prompts = [{"developer": None, "messages": [{"role": "user", "text": str(i), "images": [], "json": None}]} for i in range(40)]
+    got = caller.rows(prompts, None)
+    assert [(s, e, json.loads(r)["a"]) for s, e, r, _ in got] == [("ok", ["busy"], str(i)) for i in range(40)]
+    assert sorted(once.order[:40], key=int) == [str(i) for i in range(40)] and len(once.order) == 80
+    assert once.most == jobs
