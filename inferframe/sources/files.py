@@ -8,14 +8,20 @@ import re
 import shutil
 import subprocess
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.data_url import PAGE_IMAGES, sniff
 from ..functions.text import TOO_MANY_PAGES
 
+#: Bytes of files that a task hands on at once.
+READ_BYTES = 4 << 20
+
 
 class FileError(ValueError):
     """A file that can't be turned into pages; its row fails, not the run."""
@@ -29,8 +35,14 @@ class PageOptions:
     include_page_breaks: bool = False
 
 
-def attach_files(df: DataFrame, path: Column, files: DataFrame, name: str = "content") -> DataFrame:
-    """Adds the content of each row's file, from a frame of (path, content); a missing file fails the run."""
+def attach_files(df: DataFrame, path: Column, files: DataFrame | None = None, name: str = "content") -> DataFrame:
+    """Adds the content of each row's file; a missing file fails the run.
+
+    files: (path, content), read in any way, and joined. Without it each row's file is opened by the worker that has the row,
+    which must have it mounted: no folder is listed, and no content shuffled.
+    """
+    if files is None:
+        return _opened(df.withColumn("_wanted", path), {"_wanted": name}, blank=False)
     f = files.select(F.col("path").alias("_path"), F.col("content").alias("_content"))
     out = df.withColumn("_wanted", path).join(f, F.col("_wanted") == F.col("_path"), "left")
     missing = F.raise_error(F.concat(F.lit("no such file: "), F.coalesce("_wanted", F.lit("null"))))
@@ -38,6 +50,38 @@ def attach_files(df: DataFrame, path: Column, files: DataFrame, name: str = "con
     return out.withColumn(name, found).drop("_wanted", "_path", "_content")
 
 
+def _opened(df: DataFrame, contents: dict[str, str], blank: bool) -> DataFrame:
+    """Puts the content of files in place of columns of paths, READ_BYTES or a row at a time; with `blank` a null or empty path has none."""
+    kept = [c for c in df.columns if c not in contents and c not in contents.values()]
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, T.BinaryType()) for c in contents.values())])
+
+    def content(path: str | None) -> bytes | None:
+        if blank and not path:
+            return None
+        try:
+            return read_file(path or "null")
+        except FileNotFoundError as e:
+            raise FileError(f"no such file: {path or 'null'}") from e
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, size = 0, [], 0
+            for paths in zip(*(c.to_pylist() for c in batch.columns[len(kept) :]), strict=True):
+                held.append([content(p) for p in paths])
+                size += sum(len(x) for x in held[-1] if x is not None)
+                if size > READ_BYTES:
+                    yield made(batch, start, held)
+                    start, held, size = start + len(held), [], 0
+            if held:
+                yield made(batch, start, held)
+
+    def made(batch: pa.RecordBatch, start: int, held: list[list[bytes | None]]) -> pa.RecordBatch:
+        own = batch.slice(start, len(held)).columns[: len(kept)]
+        return pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.binary()) for x in zip(*held, strict=True))], names=schema.names)
+
+    return df.select(*kept, *contents).mapInArrow(run, schema)
+
+
 def read_file(path: str) -> bytes:
     with open(path.removeprefix("file://"), "rb") as f:
         return f.read()

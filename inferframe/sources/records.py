@@ -214,6 +214,7 @@ def export_text(df: DataFrame, id_col: str, key: str, new_key: str, pattern: str
     schema = T.StructType([*kept, T.StructField(new_key, T.StringType())])
 
     def run(frames):
+        folders: set[str] = set()
         for pdf in frames:
             paths = []
             for i, text in zip(pdf[id_col], pdf[key], strict=True):
@@ -221,7 +222,9 @@ def export_text(df: DataFrame, id_col: str, key: str, new_key: str, pattern: str
                     paths.append(None)
                     continue
                 path = pattern.format(**{"id": i, id_col: i})
-                os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+                if (folder := os.path.dirname(path) or ".") not in folders:
+                    os.makedirs(folder, exist_ok=True)
+                    folders.add(folder)
                 part = f"{path}.{uuid.uuid4().hex}.part"
                 with open(part, "w", encoding="utf-8") as f:
                     f.write(text)

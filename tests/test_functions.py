@@ -252,3 +252,20 @@ def test_a_task_holds_few_postings():
     assert [a for a, *_ in parts] == [0] + [b for _, b, *_ in parts][:-1] and parts[-1][1] == len(lists)
     most = max(len(x) for _, _, x, *_ in parts)
     assert len(parts) > 3 and most <= similarity.HELD_POSTINGS and sum(len(x) for _, _, x, *_ in parts) == 500 * 400 + 3000 * sum("t1" in set(g) for _, g in right.groupby("j").token)
+
+
+def test_files_are_opened_where_their_rows_are(spark, tmp_path, monkeypatch):
+    """No listing, no join: a row's file goes in its row, however many are held at once, and a missing one fails the run."""
+    from inferframe.sources import files
+
+    monkeypatch.setattr(files, "READ_BYTES", 10)
+    rows = [(i, str(tmp_path / f"{i}.txt"), "old") for i in range(30)]
+    for i, path, _ in rows:
+        (tmp_path / f"{i}.txt").write_text("é" * i)
+    df = spark.createDataFrame(rows, "i int, p string, content string").repartition(3)
+    out = files.attach_files(df.withColumn("_x", F.lit(1)), F.col("p"))
+    assert out.columns == ["i", "p", "_x", "content"] and not re.search("Join|FileScan", out._jdf.queryExecution().executedPlan().toString())
+    assert {r.i: (r.p, r.content.decode()) for r in out.collect()} == {i: (p, "é" * i) for i, p, _ in rows}
+    for path in ("/nope", None):
+        with pytest.raises(Exception, match="no such file"):
+            files.attach_files(spark.createDataFrame([(path,)], "p string"), F.col("p")).collect()
