@@ -20,6 +20,8 @@ from ..sources.records import scratch_path
 BROADCAST_TOKENS = 2_000_000
 #: Tokens of left texts, and postings that they meet, that a task holds at once (a single text's may be more).
 HELD_TOKENS, HELD_POSTINGS = 1 << 18, 1 << 19
+#: Parts that one part of a table is dealt to where the tokens of each id are counted.
+PARTS = 16
 #: Characters of files that are handed on at once.
 READ_BYTES = 4 << 20
 #: Similarities from which a search for best matches looks, one after another: each next one asks for longer prefixes.
@@ -32,6 +34,14 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def by_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Texts dealt out by id, PARTS parts for each part of the table, so that a task counts the tokens of a few MB of text however large the table is.
+
+    What is grouped by id then needs no other shuffle. Rows of one id stay together; a task with too many of them spills.
+    """
+    return df.select(id_col, text_col).repartition(PARTS * df.rdd.getNumPartitions(), id_col)
+
+
 def token_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, token) of every token, lower-cased; all in generated code."""
     return df.select(F.col(id_col), F.explode(token_column(F.col(text_col))).alias("_token")).where(is_token(F.col("_token"))).select(id_col, F.lower("_token").alias("token"))

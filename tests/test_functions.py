@@ -269,3 +269,16 @@ def test_files_are_opened_where_their_rows_are(spark, tmp_path, monkeypatch):
     for path in ("/nope", None):
         with pytest.raises(Exception, match="no such file"):
             files.attach_files(spark.createDataFrame([(path,)], "p string"), F.col("p")).collect()
+
+
+def test_tokens_are_counted_in_small_parts(spark):
+    """By id in many parts, of which each holds little, and with no second shuffle; rows of one id add up."""
+    rows = [(i % 50, f"a a b{i % 3} c{i}") for i in range(100)] + [(None, "a"), (None, "a x"), (7, None)]
+    df = spark.createDataFrame(rows, "i long, t string").repartition(3)
+    dealt = similarity.by_id(df, "i", "t")
+    assert dealt.rdd.getNumPartitions() == similarity.PARTS * 3
+    out = similarity.count_tokens(dealt, "i", "t")
+    # the deal by id, and that into three parts above
+    assert len(re.findall("Exchange hashpartitioning", out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])) == 1
+    want = pd.Series([(i, t) for i, text in rows for t in plain_tokens(text)]).value_counts()
+    assert {(r.i, r.token): r.n for r in out.collect()} == want.to_dict()
