@@ -1,4 +1,6 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands for candidates, exact sets to verify them."""
+"""Near-duplicates by Jaccard similarity of word shingles, verified on exact sets.
+
+Candidates come from operator 4's SimHash fingerprints by generalised pigeonhole, and beyond its radius from MinHash bands."""
 
 from __future__ import annotations
 
@@ -12,12 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import checkpoint_dir
+from .shared import checkpoint_dir, one_of_each
+from .simhash import fingerprint, fingerprint_links
 from .store import HashStore, write_store
-from .textops import NOT_SPACE, distinct_words, expand, mix, window_hashes, words_of
+from .textops import NOT_SPACE, distinct_words, expand, mix, texts, window_hashes, words_of
 
 #: Bands, and minima in each: two sets of Jaccard similarity 0.8 share no band with odds (1 - 0.8^4)^24, 3 in a million.
 BANDS, ROWS = 24, 4
+#: Bits in which fingerprints differ that are candidates by pigeonhole. More make keys and pairs that grow too fast (README).
+RADIUS = 6
 #: Members up to which buckets are dealt by their least member, so that equal ones meet and are verified once.
 FEW = 8
 #: Members of a large bucket that candidates for a pivot are compared with.
@@ -64,8 +69,8 @@ def band_keys(at: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, digest, keys) for each row of (id, text); the keys of a text without words are empty."""
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("digest", T.StringType()), T.StructField("keys", T.BinaryType())])
+    """(id, digest, keys, fp) for each row of (id, text); the keys of a text without words are empty."""
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("digest", T.StringType()), T.StructField("keys", T.BinaryType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +79,8 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 found = iter(band_keys(at, shingles))
                 nodes += own
                 keys += [next(found).tobytes() if n else b"" for n in np.diff(at).tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.string()), pa.array(keys, pa.binary())], names=["id", "digest", "keys"])
+            fps = np.array([fingerprint(t, shingle) for t in texts(batch, "text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.string()), pa.array(keys, pa.binary()), pa.array(fps)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -181,7 +187,20 @@ def link_sets(members: np.ndarray, fetch, least: float) -> list[tuple[int, int]]
     return links
 
 
-def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def alike(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): pairs of (node, fp) that connect all nodes whose fingerprints differ in at most `radius` bits as all such pairs would.
+
+    Nodes of one fingerprint are paired with their least.
+    """
+    fps = nodes.groupBy("fp").agg(F.min("node").alias("least")).checkpoint()
+    near = fingerprint_links(fps.select("fp"), radius).toDF("x", "y")
+    for side, name in (("x", "a"), ("y", "b")):
+        near = near.join(fps.select(F.col("fp").alias(f"fp_{name}"), F.col("least").alias(name)), F.col(side) == F.col(f"fp_{name}"))
+    same = nodes.join(fps, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return near.select("a", "b").unionByName(same)
+
+
+def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """Returns (id, component_id) for each row of `docs`.
 
     Words are runs of non-space characters, A-Z in lower case. Texts are linked
@@ -189,9 +208,10 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Jaccard similarity of at least `similarity`; texts without words are alike.
     component_id is the smallest id that links reach.
 
-    Texts of equal words (by 128 bits of BLAKE2b over those of the words) collapse first, and get numbers. The distinct ones meet by bands of
-    MinHash minima; those that meet any other have their sets of shingles (64-bit hashes of words' digests)
-    in the shared folder, and each bucket's are compared there. The table of
+    Texts of equal words (by 128 bits of BLAKE2b over those of the words) collapse first, and get numbers. The distinct ones meet twice: by
+    operator 4's fingerprints of the shingles, within `radius` bits by generalised pigeonhole, and by bands of
+    MinHash minima, which find what is similar and farther apart. Those that meet any other have their sets of shingles (64-bit hashes of words' digests)
+    in the shared folder, and every link is verified there: first the pairs by fingerprints, then the buckets whose members these don't connect already. The table of
     texts is read twice and never shuffled. No digest of two texts is known to be the same; two
     sets of n shingles each share a false one with odds of n * n / 2^64. A pair at 0.8 is missed with odds of 3 in a million, a closer one more rarely.
 
@@ -201,15 +221,15 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     checkpoint_dir(spark)
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rows = _signatures(narrow, shingle).checkpoint()
-    distinct = rows.groupBy("digest").agg(F.min("id").alias("first"), F.first("keys").alias("keys")).withColumn("number", F.monotonically_increasing_id())
+    distinct = rows.groupBy("digest").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")).withColumn("number", F.monotonically_increasing_id())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Numbers by a bijection that spreads them over all shards."""
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(mix(batch.column(3).to_numpy().view(np.uint64)).view(np.int64))], names=["digest", "first", "keys", "node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(mix(batch.column(4).to_numpy().view(np.uint64)).view(np.int64))], names=["digest", "first", "keys", "fp", "node"])
 
     # numbers hold once they are written
-    distinct = distinct.mapInArrow(spread, T.StructType([distinct.schema["digest"], distinct.schema["first"], distinct.schema["keys"], T.StructField("node", T.LongType())])).checkpoint()
+    distinct = distinct.mapInArrow(spread, T.StructType([distinct.schema["digest"], distinct.schema["first"], distinct.schema["keys"], distinct.schema["fp"], T.StructField("node", T.LongType())])).checkpoint()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +239,8 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     met = distinct.select("node", "keys").mapInArrow(keyed, "key long, node long").repartition("key").sortWithinPartitions("key")
     met = met.mapInArrow(_buckets, "route long, key long, node long").checkpoint()
-    named = distinct.join(met.select("node").distinct(), "node", "left_semi")
+    pairs = alike(distinct.where(F.length("keys") > 0).select("node", "fp"), radius).checkpoint()
+    named = distinct.join(met.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), "node", "left_semi")
     wanted = write_store(named.select(F.xxhash64("digest").alias("h"), F.col("digest").alias("word"), "node"), "near-dup-nodes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +264,20 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if sum(wanted.rows):
         stored = write_store(narrow.select("text").mapInArrow(sets, "h long, s array<long>").dropDuplicates(["h"]), "near-dup-sets")
 
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store = HashStore(stored)
+            for batch in batches:
+                near = []
+                for pair in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    starts, sizes, values = store.lists(np.unique(np.array(pair, np.int64)), "s")
+                    both = len(np.intersect1d(values[: sizes[0]], values[starts[1] :], assume_unique=True))
+                    near.append(both >= similarity * (sizes.sum() - both) - 1e-12)
+                yield batch.filter(pa.array(near, pa.bool_()))
+
+        linked = pairs.repartition("a").mapInArrow(compared, "a long, b long").checkpoint()
+        known = connected_components(linked).select(F.col("node").alias("_of"), "root")
+        met = met.join(known, F.col("node") == F.col("_of"), "left").select("route", "key", "node", F.coalesce("root", "node").alias("group"))
+
         def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store = HashStore(stored)
 
@@ -250,9 +285,11 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 starts, sizes, values = store.lists(nodes, "s")
                 return starts, sizes, values.view(np.uint64)
 
-            for route, key, node in _runs(batches, 0):
+            for _, key, node, group in _runs(batches, 0):
                 cut, out, done = _edges(key), [], set()
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    if (group[a:b] == group[a]).all():
+                        continue
                     members = np.unique(node[a:b])
                     if (same := members.tobytes()) in done:
                         continue
@@ -262,7 +299,7 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 both = np.array(out, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
-        links = met.repartition("route").sortWithinPartitions("route", "key").mapInArrow(verified, "a long, b long")
+        links = linked.unionByName(met.repartition("route").sortWithinPartitions("route", "key").mapInArrow(verified, "a long, b long"))
     groups = connected_components(links).withColumnRenamed("node", "of")
     labelled = distinct.join(groups, distinct.node == groups.of, "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     # written, so that both sides of the join on roots are plain and a giant component's part can be split
@@ -275,12 +312,3 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of `docs` that stand for their group of near-duplicates, as in simhash_dedup; options as in near_dup_components."""
     kept = near_dup_components(docs, id_col, text_col, **options).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept")).distinct()
     return one_of_each(docs.join(kept, docs[id_col] == kept["_kept"], "left_semi"), docs, id_col, text_col).unionByName(docs.where(docs[id_col].isNull()))
-
-
-def one_of_each(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each id of `rows`, some of `docs`: of several that with the least digest of its text. Only rows whose ids repeat are shuffled."""
-    often = docs.groupBy(F.col(id_col).alias("_often")).agg(F.count("*").alias("_n")).where("_n > 1").select("_often").checkpoint()
-    if not often.take(1):
-        return rows
-    again = rows.join(often, rows[id_col] == often["_often"], "left_semi").select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_digest"))
-    return rows.join(often, rows[id_col] == often["_often"], "left_anti").unionByName(again.groupBy("_id").agg(F.min_by("_row", "_digest").alias("_row")).select("_row.*"))

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .near_dup import one_of_each
-from .shared import checkpoint_dir
+from .shared import checkpoint_dir, one_of_each
 from .textops import texts
 
 BITS = 64
@@ -261,6 +260,15 @@ def _links(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], names=["a", "b"])
 
 
+def fingerprint_links(nodes: DataFrame, max_distance: int) -> DataFrame:
+    """(a, b): links that connect distinct fingerprints (fp) within max_distance bits as all such pairs would, by generalised pigeonhole."""
+    n, both = bit_counts(nodes)
+    parts = allocate(n, both, max_distance) if n else []
+    keyed = probe(nodes, parts) if n else nodes.selectExpr("fp AS key", "fp")
+    keyed = keyed.repartition("key").sortWithinPartitions("key")
+    return keyed.mapInArrow(_verify(max_distance), "a long, b long")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, max_distance: int = 4) -> DataFrame:
     """Returns (id, fingerprint, component_id) for each row of `docs`.
 
@@ -283,13 +291,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     checkpoint_dir(docs.sparkSession)
     rows = fingerprints(docs, id_col, text_col, shingle, seed).checkpoint()
     distinct = rows.groupBy("fp").agg(F.min("id").alias("first")).checkpoint()
-    nodes = distinct.select("fp")
-    n, both = bit_counts(nodes)
-    parts = allocate(n, both, max_distance) if n else []
-    keyed = probe(nodes, parts) if n else nodes.selectExpr("fp AS key", "fp")
-    keyed = keyed.repartition("key").sortWithinPartitions("key")
-    links = keyed.mapInArrow(_verify(max_distance), "a long, b long")
-    groups = connected_components(links)
+    groups = connected_components(fingerprint_links(distinct.select("fp"), max_distance))
     labelled = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # written, so that both sides of the join on roots are plain and a giant component's part can be split
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id")).checkpoint()

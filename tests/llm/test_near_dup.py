@@ -125,3 +125,33 @@ def test_large_buckets_connect_what_all_pairs_would():
                 every.append((int(members[i]), int(members[j])))
     links = near_dup.link_sets(members, fetch, 0.8)
     assert components(links) == components(every) and len(links) < 3 * 900 < len(every)
+
+
+def test_candidates_by_fingerprints(spark):
+    """Pigeonhole pairs connect what all pairs of fingerprints within the radius would, and the components are the same with any radius."""
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 1 << 62, 300)
+    fps = np.concatenate([fps, fps[:100], fps[:60] ^ 0b111111, fps[:30] ^ 0b1111111])
+    root = list(range(len(fps)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= near_dup.RADIUS).tolist():
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    want = [top(i) for i in range(len(fps))]
+    nodes = spark.createDataFrame(list(enumerate(fps.tolist())), "node long, fp long")
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    pairs = near_dup.alike(nodes, near_dup.RADIUS).collect()
+    root = list(range(len(fps)))
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    assert [top(i) for i in range(len(fps))] == want and len(set(want)) < 310 and len(pairs) < 3 * len(fps)
+    words = rng.choice(SMALL_WORDS, 120).tolist()
+    rows = [(i, " ".join(edited(rng, words, i % 9))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for radius in (0, 12):
+        assert sorted((tuple(r) for r in near_dup.near_dup_components(docs, radius=radius).collect()), key=str) == brute_components(rows)
