@@ -24,6 +24,8 @@ HELD_TOKENS, HELD_POSTINGS = 1 << 18, 1 << 19
 PARTS = 16
 #: Characters of files that are handed on at once.
 READ_BYTES = 4 << 20
+#: Bytes of an Arrow batch of tokens: a task's Python holds each some times over.
+BATCH_BYTES = 4 << 20
 #: Similarities from which a search for best matches looks, one after another: each next one asks for longer prefixes.
 FALLING = (0.5, 0.25, 0.1, 0.05)
 
@@ -34,6 +36,14 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def small_batches(df: DataFrame) -> None:
+    """From now on Arrow batches of the session hold BATCH_BYTES at most; a smaller bound that is set in bytes stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = df.sparkSession.conf.get(key).lower().removesuffix("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def by_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Texts dealt out by id, PARTS parts for each part of the table, so that a task counts the tokens of a few MB of text however large the table is.
 
@@ -65,6 +75,7 @@ def pair_similarity(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     r = count_tokens(right, right_id, text_col).withColumnRenamed("n", "m")
     if (r.agg(F.sum("m")).first()[0] or 0) > BROADCAST_TOKENS:
         return _pairs(sized_tokens(left, left_id, text_col), with_sizes(r, right_id, "m", "nb"), left_id, right_id, threshold)
+    small_batches(left)
     postings = _Postings(r.where(F.col(right_id).isNotNull()).toPandas(), right_id)
     schema = T.StructType([left.schema[left_id], T.StructField(right_id, right.schema[right_id].dataType), T.StructField("inter", T.LongType()), T.StructField("uni", T.LongType())])
 
@@ -190,6 +201,7 @@ def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     if (r.agg(F.sum("m")).first()[0] or 0) > BROADCAST_TOKENS:
         kept = left.select(left_id, *keep)
         return kept.join(search_best(left, right, left_id, right_id, text_col)[0], left_id, "left").withColumn("jaccard", F.coalesce("jaccard", F.lit(0.0)))
+    small_batches(left)
     postings = _Postings(r.where(F.col(right_id).isNotNull()).toPandas(), right_id)
     schema = T.StructType([*(left.schema[c] for c in (left_id, *keep)), T.StructField(right_id, right.schema[right_id].dataType), T.StructField("jaccard", T.DoubleType())])
 

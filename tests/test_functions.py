@@ -282,3 +282,21 @@ def test_tokens_are_counted_in_small_parts(spark):
     assert len(re.findall("Exchange hashpartitioning", out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])) == 1
     want = pd.Series([(i, t) for i, text in rows for t in plain_tokens(text)]).value_counts()
     assert {(r.i, r.token): r.n for r in out.collect()} == want.to_dict()
+
+
+def test_batches_of_tokens_are_small(spark):
+    """Long texts come to a task's Python a few MB at a time, whatever the session's bound was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    try:
+        for bound in ("1g", "67108864"):
+            spark.conf.set(key, bound)
+            left = spark.createDataFrame([(i, "a b " * 50) for i in range(20)], "doc_id long, text string")
+            right = spark.createDataFrame([(1, "a b"), (2, "b c")], "item_id long, text string")
+            assert similarity.best_match(left, right, "doc_id", "item_id").count() == 20
+            assert spark.conf.get(key) == f"{similarity.BATCH_BYTES}b"
+        spark.conf.set(key, "1000b")
+        similarity.pair_similarity(left, right, "doc_id", "item_id")
+        assert spark.conf.get(key) == "1000b"
+    finally:
+        spark.conf.set(key, was)
