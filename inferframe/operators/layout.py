@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.records import scratch_path
-
 BLOCKS = "array<struct<id:string,block_type:string,text:string,children:array<string>>>"
+#: In layout_texts: a child that isn't there, and a page break; blocks without text, with nothing to write, and with something; what is written besides blocks.
+LOST, PAGE = -1, -1
+SILENT, EMPTY, LOUD = 0, 1, 2
+LINE_END, FORM_FEED, LINE_AND_FEED = -1, -2, -3
+SEEN = b"1"
 
 
 class LayoutError(ValueError):
@@ -64,62 +67,92 @@ def layout_text(blocks: Sequence[dict[str, Any]], include_page_breaks: bool = Fa
 
 
 def layout_texts(df: DataFrame, blocks: str = "blocks", include_page_breaks: bool = False) -> DataFrame:
-    """Adds text and error of a column of BLOCKS, as layout_text has them, for tables: joins and groupings of exploded blocks.
-
-    layout_text's depth-first visit comes to a block by the least path that comes to no block twice, a path
-    being the root's place and then the places among children. So each block keeps the least path found so far, and
-    every round the blocks whose path has changed offer theirs to their children, until none changes: as many
-    rounds as the graphs are deep, each written to the shared folder. Whether a block speaks follows from
-    the path's last step. Equal graphs share the work (under a digest). Null blocks have neither text
-    nor error; a visited block that names a missing child gives an error and no text.
+    """Adds text and error of a column of BLOCKS, as layout_text has them, for tables: each graph is walked where its row is, by SQL functions, and nothing is shuffled or written.
+
+    Names become places once, by halving steps over the sorted ids. Then the depth-first visit is an aggregate whose state is a stack
+    (the next block first), a byte for each block that says whether it was seen, and the places that speak; texts are
+    joined at the end. A step copies these bytes and the stack, so very large graphs have a small quadratic share. Null blocks have neither
+    text nor error; a visited block that names a missing child gives an error and no text.
     """
-    spark = df.sparkSession
-
-    def kept(rows: DataFrame) -> DataFrame:
-        path = scratch_path(spark, "layout")
-        rows.write.parquet(path)
-        return spark.read.parquet(path)
-
-    marked = df.withColumn("_ticket", F.sha2(F.to_json(F.struct(blocks)), 256)).withColumn("_ticket", F.when(F.col(blocks).isNotNull(), F.col("_ticket")))
-    graphs = marked.where(F.col("_ticket").isNotNull()).select("_ticket", F.col(blocks).cast(BLOCKS).alias("b")).dropDuplicates(["_ticket"])
-    rows = graphs.select("_ticket", F.posexplode("b").alias("pos", "b")).select("_ticket", "pos", "b.id", F.coalesce("b.block_type", F.lit("")).alias("kind"), "b.text", "b.children")
-    rows = kept(rows.withColumn("key", F.when(F.col("id").isNull(), F.concat(F.lit("pos "), "pos")).otherwise(F.concat(F.lit("id "), "id"))))
-    content = ("kind", "text", "children")
-    # of blocks with one id, the last is whom children's names mean
-    named = rows.where(F.col("id").isNotNull()).groupBy("_ticket", "id").agg(F.max_by(F.struct(*content), "pos").alias("c")).select(F.col("_ticket").alias("_of"), F.col("id").alias("_child"), "c.*")
-
-    def least(found: DataFrame) -> DataFrame:
-        columns = [c for c in found.columns if c not in ("_ticket", "key")]
-        return found.groupBy("_ticket", "key").agg(F.min_by(F.struct(*columns), F.struct("path", "old")).alias("s")).select("_ticket", "key", "s.*")
-
-    roots = rows.where(F.col("kind").startswith("LAYOUT_")).select("_ticket", "key", F.array("pos").alias("path"), F.array("key").alias("keys"), F.col("text").isNotNull().alias("speaks"), *content, F.lit(False).alias("old"))
-    state = kept(least(roots))
-    while state.where(~F.col("old")).take(1):
-        asked = state.where(~F.col("old")).select("_ticket", "path", "keys", F.col("speaks").alias("told"), F.posexplode("children").alias("i", "_child"))
-        offered = asked.join(named, (asked["_ticket"] == named["_of"]) & (asked["_child"] == named["_child"])).select(
-            "_ticket", F.concat(F.lit("id "), named["_child"]).alias("key"), F.concat("path", F.array("i")).alias("path"), "keys", (F.col("text").isNotNull() & ~F.col("told")).alias("speaks"), *content
+    b, names, halves, kids, own, speech, tops = map(F.col, ("_b", "_names", "_halves", "_kids", "_own", "_speech", "_tops"))
+    kind = lambda x: F.coalesce(x.block_type, F.lit(""))
+    piece = lambda x: F.concat(x.text, F.when(kind(x) == "LINE", "\n").when(kind(x) == "WORD", " ").otherwise(""))
+
+    def find(name: Column) -> Column:
+        """The place of the last block with this id, or null."""
+        hit = F.get(names, F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get(names, at + step - 1).id < name, at + step).otherwise(at)))
+        return F.when(hit.id == name, -hit.at)
+
+    def top(x: Column, i: Column) -> Column:
+        layout = F.when(kind(x).startswith("LAYOUT_"), i)
+        return layout.when(kind(x) == "PAGE", F.lit(PAGE)) if include_page_breaks else layout
+
+    none = F.array().cast("array<string>")
+    prepared = df.withColumn("_b", F.col(blocks).cast(BLOCKS))
+    prepared = prepared.withColumn("_names", F.array_sort(F.filter(F.transform(b, lambda x, i: F.struct(x.id.alias("id"), (-i).alias("at"))), lambda x: x.id.isNotNull())))
+    prepared = prepared.withColumn("_halves", F.transform(F.sequence(F.length(F.bin(F.size(names))) - 1, F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k)))
+    prepared = prepared.withColumns({
+        "_kids": F.transform(b, lambda x: F.transform(F.coalesce(x.children, none), lambda c: F.coalesce(find(c), F.lit(LOST)))),
+        "_own": F.transform(b, lambda x, i: F.coalesce(find(x.id), i)),
+        "_speech": F.transform(b, lambda x: F.when(x.text.isNull(), SILENT).when(piece(x) == "", EMPTY).otherwise(LOUD)),
+        "_tops": F.filter(F.transform(b, top), lambda t: t.isNotNull()),
+    })
+
+    if include_page_breaks:  # the first page breaks nothing
+        first = F.array_position(tops, PAGE) - 1
+        prepared = prepared.withColumn("_tops", F.filter(tops, lambda _, i: i != first))
+
+    def state(s: Column, **changed: Column) -> Column:
+        return F.struct(*(changed.get(k, s[k]).alias(k) for k in ("at", "stack", "seen", "out", "bad")))
+
+    def ended(out: Column) -> Column:
+        """With the line end of a layout block that wrote something."""
+        return F.when(F.try_element_at(out, F.lit(-1)) >= 0, F.concat(out, F.array(F.lit(LINE_END)))).otherwise(out)
+
+    def begin(s: Column) -> Column:
+        """The next layout block, or page break."""
+        at = F.get(tops, s.at)
+        broken = F.when(F.try_element_at(s.out, F.lit(-1)) >= LINE_END, FORM_FEED).otherwise(LINE_AND_FEED)
+        page = state(s, at=s.at + 1, out=F.concat(ended(s.out), F.array(broken)))
+        block = state(s, at=s.at + 1, out=ended(s.out), stack=F.array(at * 2))
+        return F.when(at >= 0, block).when(at == PAGE, page).otherwise(s)
+
+    def visit(s: Column) -> Column:
+        """The block on top of the stack: twice its place, and one more where it was spoken for."""
+        entry = F.get(s.stack, F.lit(0))
+        at, rest = F.call_function("shiftright", entry, F.lit(1)), F.slice(s.stack, F.lit(2), F.size(s.stack))
+        mark, said, under = F.get(own, at) + 1, F.get(speech, at), F.get(kids, at)
+        speaks = (entry % 2 == 0) & (said != SILENT)
+        new = state(
+            s,
+            stack=F.concat(F.transform(under, lambda k: k * 2 + speaks.cast("int")), rest),
+            seen=F.overlay(s.seen, F.lit(SEEN), mark, 1),
+            out=F.when(speaks & (said == LOUD), F.concat(s.out, F.array(at))).otherwise(s.out),
+            bad=F.when(F.array_contains(under, LOST), at).otherwise(s.bad),
         )
-        offered = offered.where(~F.array_contains("keys", F.col("key"))).withColumns({"keys": F.concat("keys", F.array("key")), "old": F.lit(False)})
-        # a path that is as before comes first, and is old
-        state = kept(least(state.withColumn("old", F.lit(True)).unionByName(offered.withColumn("old", F.lit(False)).select(*state.columns)).withColumn("old", ~F.col("old"))).withColumn("old", ~F.col("old")))
-    steps = state.select("_ticket", "path", F.posexplode("children").alias("i", "_child"))
-    missing = steps.join(named, (steps["_ticket"] == named["_of"]) & (steps["_child"] == named["_child"]), "left_anti").groupBy("_ticket").agg(F.min_by("_child", F.struct("path", "i")).alias("_missing"))
-    piece = F.concat("text", F.when(F.col("kind") == "LINE", "\n").when(F.col("kind") == "WORD", " ").otherwise(""))
-    told = state.where("speaks").groupBy("_ticket", F.col("path")[0].alias("pos")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("path", piece.alias("p")))).getField("p"), "").alias("t"))
-    told = told.where("t <> ''").select("_ticket", "pos", F.concat("t", F.lit("\n")).alias("t"), F.lit(0).alias("page"))
-    if include_page_breaks:
-        pages = rows.where("kind = 'PAGE'").select("_ticket", "pos", F.lit("").alias("t"), F.lit(1).alias("page"))
-        order = Window.partitionBy("_ticket").orderBy("pos")
-        told = told.unionByName(pages).withColumn("n", F.sum("page").over(order)).withColumn("after", F.greatest(F.col("n") - F.col("page"), F.lit(1)))
-        # a break follows a line end: that of what was written since the page before, or its own
-        wrote = F.max(1 - F.col("page")).over(Window.partitionBy("_ticket", "after"))
-        told = told.withColumn("t", F.when(F.col("page") == 0, F.col("t")).when(F.col("n") == 1, "").when(wrote == 1, "\f").otherwise("\n\f"))
-    done = told.groupBy("_ticket").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "t"))).getField("t"), "").alias("_text"))
-    done = done.join(missing, "_ticket", "full").withColumnRenamed("_ticket", "_of")
-    out = marked.drop("text", "error").join(done, F.col("_ticket") == F.col("_of"), "left")
-    text = F.when(F.col("_ticket").isNotNull() & F.col("_missing").isNull(), F.coalesce("_text", F.lit("")))
-    error = F.when(F.col("_missing").isNotNull(), F.concat(F.lit("child block "), "_missing", F.lit(" not found")))
-    return out.withColumns({"text": text, "error": error}).drop("_ticket", "_of", "_text", "_missing")
+        return F.when(F.substring(s.seen, mark, F.lit(1)) == F.lit(SEEN), state(s, stack=rest)).otherwise(new)
+
+    def step(s: Column, _: Column) -> Column:
+        return F.when(s.bad.isNotNull(), s).when(F.size(s.stack) == 0, begin(s)).otherwise(visit(s))
+
+    ints = F.array().cast("array<int>")
+    start = {"at": F.lit(0), "stack": ints, "seen": F.repeat(F.lit("0"), F.size(b)).cast("binary"), "out": ints, "bad": F.lit(None).cast("int")}
+    # each layout block is taken up and then visited, and each child of a block offered once
+    steps = F.sequence(F.lit(1), 2 * F.size(tops) + F.size(F.flatten(kids)) + 1)
+    walked = prepared.withColumn("_walk", F.aggregate(steps, F.struct(*(c.alias(k) for k, c in start.items())), step, lambda s: F.struct(ended(s.out).alias("out"), s.bad.alias("bad"))))
+    out, bad = F.col("_walk.out"), F.col("_walk.bad")
+    marks = {LINE_END: "\n", FORM_FEED: "\f", LINE_AND_FEED: "\n\f"}
+
+    def written(at: Column) -> Column:
+        found = F.when(at >= 0, piece(F.get(b, at)))
+        for mark, text in marks.items():
+            found = found.when(at == mark, text)
+        return found
+
+    lost = F.coalesce(F.get(F.get(b, bad).children, (F.array_position(F.get(kids, bad), LOST) - 1).cast("int")), F.lit("None"))
+    text = F.when(bad.isNull(), F.array_join(F.transform(out, written), ""))
+    error = F.when(bad.isNotNull(), F.concat(F.lit("child block "), lost, F.lit(" not found")))
+    return walked.drop("text", "error").withColumns({"text": text, "error": error}).drop("_b", "_names", "_halves", "_kids", "_own", "_speech", "_tops", "_walk")
 
 
 def layout_cost(pages: Column, price: float = 0.004) -> Column:

@@ -238,6 +238,26 @@ def test_layout_of_tables(spark, breaks):
     assert sum(e is not None for _, e in got.values()) > 5
 
 
+@pytest.mark.parametrize("breaks", [False, True])
+def test_layout_where_the_row_is(spark, breaks):
+    """Nothing is shuffled or written, however deep or wide a graph: a chain of 2,000 blocks, a block of 2,000 children, breaks around empty text, a null child."""
+    leaf = lambda i: {"id": f"c{i}", "block_type": "LINE", "text": f"{i}", "children": []}
+    root = {"id": "r", "block_type": "LAYOUT_TEXT", "text": None}
+    page = {"id": None, "block_type": "PAGE", "text": None, "children": None}
+    graphs = [
+        [root | {"children": ["c0"]}, *(leaf(i) | {"text": str(i) if i % 3 == 0 else None, "children": [f"c{i + 1}"] if i < 1999 else ["r"]} for i in range(2000))],
+        [*(leaf(i) for i in range(2000)), root | {"children": [f"c{i * 7 % 2000}" for i in range(2000)]}],
+        [page, {"id": "e", "block_type": "LAYOUT_TEXT", "text": "", "children": ["c1"]}, page, leaf(1), root | {"children": ["c1"]}, page, page, root | {"id": "s", "children": ["e", "c1"]}, page],
+        [root | {"children": [None, "c1"]}, leaf(1)],
+    ]
+    df = spark.createDataFrame(list(enumerate(graphs)), f"i int, blocks {layout.BLOCKS}")
+    out = layout.layout_texts(df, "blocks", breaks)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and "parquet" not in out._jdf.queryExecution().toString()
+    got = {r.i: (r.text, r.error) for r in out.collect()}
+    assert [got[i] for i in range(3)] == [(layout.layout_text(g, breaks), None) for g in graphs[:3]]
+    assert got[3] == (None, "child block None not found")
+
+
 def test_benchmark_report(spark):
     raw = spark.createDataFrame([(i, '{"format":"a","documentQuality":"good"}', json.dumps(t)) for i, t in enumerate(["a b", "c", "d"])], "id int, metadata string, true_markdown_output string")
     images = benchmark.read_images(raw)
