@@ -20,10 +20,18 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(token_column(text), is_token), F.lower)
 
 
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), TAG, " "), IMAGE, " ")
+
+
 def token_column(text: Column) -> Column:
     """The tokens of a text as they stand, runs of underscores included: to be exploded, and then told apart by is_token and lower-cased."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), TAG, " "), IMAGE, " ")
-    return F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(_bare(text), F.lit(TOKEN), F.lit(0))
+
+
+def token_line(text: Column) -> Column:
+    """The tokens of a text in one string, lower-cased, runs of underscores included, with a space between any two (and maybe at the ends): for what splits them itself."""
+    return F.lower(F.regexp_replace(_bare(text), f"[^{TOKEN[1:]}", " "))
 
 
 def is_token(token: Column) -> Column:

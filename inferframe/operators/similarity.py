@@ -12,18 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import is_token, token_column, tokens
-from ..sources.files import read_file
+from ..functions.text import is_token, token_column, token_line, tokens
+from ..sources.files import opened
 from ..sources.records import scratch_path
 
 #: Total tokens of the smaller side, up to which it is broadcast.
 BROADCAST_TOKENS = 2_000_000
 #: Tokens of left texts, and postings that they meet, that a task holds at once (a single text's may be more).
 HELD_TOKENS, HELD_POSTINGS = 1 << 18, 1 << 19
+#: Bytes of the tokens of pairs of texts that a task compares at once.
+HELD_CHARS = 2 << 20
 #: Parts that one part of a table is dealt to where the tokens of each id are counted.
 PARTS = 16
-#: Characters of files that are handed on at once.
-READ_BYTES = 4 << 20
 #: Bytes of an Arrow batch of tokens: a task's Python holds each some times over.
 BATCH_BYTES = 4 << 20
 #: Similarities from which a search for best matches looks, one after another: each next one asks for longer prefixes.
@@ -242,37 +242,62 @@ def search_best(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return settled, added
 
 
-def _ticket(a: Column, b: Column) -> Column:
-    """Tells pairs of texts apart: a digest of both."""
-    return F.unhex(F.sha2(F.concat(F.sha2(a, 256), F.sha2(b, 256)), 256))
+def _differences(a: pa.Array, b: pa.Array, lists: bool) -> pa.StructArray:
+    """For each pair of token_line's strings: shared tokens, tokens of both together, how many different ones are removed, changed or added, and with `lists` which, sorted."""
+    n = len(a)
+    split = [pc.split_pattern(x, " ") for x in (a, b)]
+    sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in split]
+    coded = pa.concat_arrays([x.flatten() for x in split]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    code, row = coded.indices.to_numpy(), np.concatenate([np.repeat(np.arange(n), x) for x in sizes])
+    is_token = pc.invert(pc.match_substring_regex(coded.dictionary, "^_*$")).to_numpy(zero_copy_only=False)[code]
+    cut = int(is_token[: sizes[0].sum()].sum())
+    code, row = code[is_token], row[is_token]
+    key, at = np.unique(row * max(1, len(order)) + place[code], return_inverse=True)
+    left, right = np.bincount(at[:cut], minlength=len(key)), np.bincount(at[cut:], minlength=len(key))
+    row, token = key // max(1, len(order)), key % max(1, len(order))
+    out = {"inter": np.bincount(row, np.minimum(left, right), n).astype(np.int64), "uni": np.bincount(row, np.maximum(left, right), n).astype(np.int64)}
+    kinds = {"removed": right == 0, "changed": (left > 0) & (right > 0) & (left != right), "added": left == 0}
+    out |= {f"n_{k}": np.bincount(row[which], minlength=n).astype(np.int64) for k, which in kinds.items()}
+    columns = {k: pa.array(x) for k, x in out.items()}
+    if lists:
+        for k, which in kinds.items():
+            ends = np.concatenate([[0], np.cumsum(out[f"n_{k}"])]).astype(np.int32)
+            columns[k] = pa.ListArray.from_arrays(pa.array(ends), coded.dictionary.take(pa.array(order[token[which]])))
+    return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
 
 def compare_texts(df: DataFrame, a: Column, b: Column, given: Column, lists: bool = False) -> DataFrame:
     """Adds jaccard, n_removed, n_changed and n_added of the token multisets of two texts, and with `lists` the struct diff of these sorted tokens.
 
-    Null where `given` isn't true; a null text has no tokens, and two without are alike. Tokens of both
-    sides are exploded in one pass under a ticket of the pair (a digest, so rows of equal pairs
-    share the work: shares and signs don't change when counts are multiplied), grouped by ticket and
-    token, and added up by ticket in bounded state; lists are made only where they are asked for.
+    Null where `given` isn't true; a null text has no tokens, and two without are alike. Both texts' tokens are found in the JVM where
+    their row is, and counted there, HELD_CHARS or a row at a time: neither texts nor tokens are shuffled.
     """
-    texts = [F.coalesce(c, F.lit("")) for c in (a, b)]
-    marked = df.withColumn("_ticket", F.when(given, _ticket(*texts)))
-    sides = marked.where(F.col("_ticket").isNotNull()).select("_ticket", F.posexplode(F.array(*texts)).alias("_side", "_text"))
-    split = sides.select("_ticket", "_side", F.explode(token_column(F.col("_text"))).alias("_token")).where(is_token(F.col("_token")))
-    counted = split.groupBy("_ticket", F.lower("_token").alias("_token")).agg(F.count_if(F.col("_side") == 0).alias("_n"), F.count_if(F.col("_side") == 1).alias("_m"))
-    n, m = F.col("_n"), F.col("_m")
-    kinds = {"removed": m == 0, "changed": (n > 0) & (m > 0) & (n != m), "added": n == 0}
-    sums = [F.sum(F.least(n, m)).alias("_inter"), F.sum(F.greatest(n, m)).alias("_uni"), *(F.count_if(c).alias(f"_n_{k}") for k, c in kinds.items())]
-    lists_of = [F.array_sort(F.collect_list(F.when(c, F.col("_token")))).alias(f"_l_{k}") for k, c in kinds.items()] if lists else []
-    found = counted.groupBy("_ticket").agg(*sums, *lists_of).withColumnRenamed("_ticket", "_of")
-    out = marked.join(found, F.col("_ticket") == F.col("_of"), "left")
-    there = F.col("_ticket").isNotNull()
-    out = out.withColumn("jaccard", F.when(there, F.coalesce(F.col("_inter") / F.col("_uni"), F.lit(1.0))))
-    out = out.withColumns({f"n_{k}": F.when(there, F.coalesce(f"_n_{k}", F.lit(0))) for k in kinds})
+    small_batches(df)
+    kinds = ("removed", "changed", "added")
+    fields = ["inter long", "uni long", *(f"n_{k} long" for k in kinds), *(f"{k} array<string>" for k in kinds if lists)]
+
+    @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':') for x in fields)}>")
+    def compared(x: pa.Array, y: pa.Array) -> pa.Array:
+        ends = np.cumsum(sum(pc.binary_length(s).to_numpy(zero_copy_only=False).astype(np.int64) for s in (x, y)))
+        parts, at = [], 0
+        while at < len(x) or not parts:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD_CHARS, "right")))
+            parts.append(_differences(x[at:end], y[at:end], lists))
+            at = end
+        return pa.concat_arrays(parts)
+
+    marked = df.withColumn("_given", F.coalesce(given, F.lit(False)))
+    there = F.col("_given")
+    found = marked.withColumn("_found", compared(*(token_line(F.when(there, c)) for c in (a, b))))
+    inter, uni = F.col("_found.inter"), F.col("_found.uni")
+    out = found.withColumn("jaccard", F.when(there, F.when(uni > 0, inter / uni).otherwise(1.0)))
+    out = out.withColumns({f"n_{k}": F.when(there, F.col(f"_found.n_{k}")) for k in kinds})
     if lists:
-        none = F.array().cast("array<string>")
-        out = out.withColumn("diff", F.when(there, F.struct(*(F.coalesce(f"_l_{k}", none).alias(k) for k in kinds))))
-    return out.drop("_ticket", "_of", "_inter", "_uni", *(f"_n_{k}" for k in kinds), *(f"_l_{k}" for k in kinds))
+        out = out.withColumn("diff", F.when(there, F.struct(*(F.col(f"_found.{k}").alias(k) for k in kinds))))
+    return out.drop("_given", "_found")
 
 
 def token_changes(left: DataFrame, right: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -284,36 +309,25 @@ def token_changes(left: DataFrame, right: DataFrame, key: str, text_col: str = "
     return joined.withColumn("change", change).where(F.col("change").isNotNull()).select(key, "token", "change")
 
 
-def _read_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The texts of paths, READ_BYTES or one at a time."""
-    held: list[tuple[str, str]] = []
-    size = 0
-    for pdf in frames:
-        for path in pdf["p"]:
-            held.append((path, read_file(path).decode()))
-            size += len(held[-1][1])
-            if size > READ_BYTES:
-                yield pd.DataFrame(held, columns=["path", "text"])
-                held, size = [], 0
-    yield pd.DataFrame(held, columns=["path", "text"])
-
-
 def compare_paths(df: DataFrame, column1: str, column2: str, files: DataFrame | None = None, out: str = "jaccard") -> DataFrame:
     """Adds the similarity of the texts in two columns of paths; null where a path or text is blank.
 
-    files: (path, text), read in any way. Without it each different path is opened once by a worker, which must have it
-    mounted, however many there are; none reaches the driver. A missing file fails the run.
+    files: (path, text), read in any way, and joined. Without it each row's two files are opened by the worker that has the row, which must have them
+    mounted, some MB at a time: no text is shuffled, and none reaches the driver. A missing file fails the run.
     """
     names = (column1, column2)
     if files is None:
-        files = df.select(F.explode(F.array(*names)).alias("p")).where("p <> ''").distinct().mapInPandas(_read_texts, "path string, text string")
-    joined = df
-    for i, c in enumerate(names):
-        f = files.select(F.col("path").alias(f"_p{i}"), F.col("text").alias(f"_t{i}"))
-        joined = joined.join(f, F.col(c) == F.col(f"_p{i}"), "left")
-    for i, c in enumerate(names):
-        missing = (F.col(c) != "") & F.col(f"_p{i}").isNull()
-        joined = joined.withColumn(f"_t{i}", F.when(missing, F.raise_error(F.concat(F.lit("no such file: "), F.col(c))).cast("string")).otherwise(F.col(f"_t{i}")))
+        wanted = dealt(df).withColumns({f"_p{i}": F.col(c) for i, c in enumerate(names)})
+        joined = opened(wanted, {f"_p{i}": f"_t{i}" for i in range(2)}, blank=True)
+        joined = joined.withColumns({f"_t{i}": F.decode(f"_t{i}", "UTF-8") for i in range(2)})
+    else:
+        joined = df
+        for i, c in enumerate(names):
+            f = files.select(F.col("path").alias(f"_p{i}"), F.col("text").alias(f"_t{i}"))
+            joined = joined.join(f, F.col(c) == F.col(f"_p{i}"), "left")
+        for i, c in enumerate(names):
+            missing = (F.col(c) != "") & F.col(f"_p{i}").isNull()
+            joined = joined.withColumn(f"_t{i}", F.when(missing, F.raise_error(F.concat(F.lit("no such file: "), F.col(c))).cast("string")).otherwise(F.col(f"_t{i}")))
     given = (F.trim("_t0") != "") & (F.trim("_t1") != "")
     kept = {c: f"_kept{i}" for i, c in enumerate(df.columns)}
     compared = compare_texts(joined.withColumnsRenamed(kept), F.col("_t0"), F.col("_t1"), given)

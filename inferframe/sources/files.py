@@ -42,7 +42,7 @@ def attach_files(df: DataFrame, path: Column, files: DataFrame | None = None, na
     which must have it mounted: no folder is listed, and no content shuffled.
     """
     if files is None:
-        return _opened(df.withColumn("_wanted", path), {"_wanted": name}, blank=False)
+        return opened(df.withColumn("_wanted", path), {"_wanted": name}, blank=False)
     f = files.select(F.col("path").alias("_path"), F.col("content").alias("_content"))
     out = df.withColumn("_wanted", path).join(f, F.col("_wanted") == F.col("_path"), "left")
     missing = F.raise_error(F.concat(F.lit("no such file: "), F.coalesce("_wanted", F.lit("null"))))
@@ -50,7 +50,7 @@ def attach_files(df: DataFrame, path: Column, files: DataFrame | None = None, na
     return out.withColumn(name, found).drop("_wanted", "_path", "_content")
 
 
-def _opened(df: DataFrame, contents: dict[str, str], blank: bool) -> DataFrame:
+def opened(df: DataFrame, contents: dict[str, str], blank: bool) -> DataFrame:
     """Puts the content of files in place of columns of paths, READ_BYTES or a row at a time; with `blank` a null or empty path has none."""
     kept = [c for c in df.columns if c not in contents and c not in contents.values()]
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, T.BinaryType()) for c in contents.values())])

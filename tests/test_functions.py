@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -67,6 +68,27 @@ def test_comparison_of_long_and_repeated_texts(spark):
     assert {(got[i].jaccard, got[i].n_removed, got[i].n_changed, got[i].n_added) for i in range(5, 305)} == {(1 / 4, 1, 1, 1)}
 
 
+def test_comparison_where_the_row_is(spark, tmp_path):
+    """Neither texts nor tokens are shuffled; letters whose lower case depends on what is beside them, runs of underscores, many pieces of a batch, and files."""
+    odd = ["ΟΔΟΣ ΣΑΣ'Σ Σ_Σ", "İI ıi DŽ ǅ", "__ _a_ ___ a__ _", "_" * 3000, "<A_b/><a_b>x</c >![a](b)_ y", "naïve\u0301 É e\u0301 \u00a0 \u2028 ½ ٣"]
+    texts = odd + [f"{x} {y}" for x in odd for y in odd] + [" ".join(f"w{j % (i + 2)}" for j in range(40_000)) for i in range(8)]
+    df = spark.createDataFrame([(i, a, texts[(i * 5 + 2) % len(texts)]) for i, a in enumerate(texts)], "i int, a string, b string")
+    both = df.select("*", tx.tokens(F.col("a")).alias("t"), F.split(tx.token_line(F.col("a")), " ").alias("line"), tx.tokens(F.col("b")).alias("u"))
+    found = similarity.compare_texts(both, F.col("a"), F.col("b"), F.lit(True), lists=True)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        assert r.t == [x for x in r.line if x.strip("_")]
+        a, b = Counter(r.t), Counter(r.u)
+        assert r.jaccard == ((a & b).total() / (a | b).total() if a | b else 1.0)
+        assert tuple(r.diff) == (sorted(set(a) - set(b)), sorted(k for k in a if k in b and a[k] != b[k]), sorted(set(b) - set(a)))
+    for i, text in enumerate(odd):
+        (tmp_path / str(i)).write_text(text)
+    spark.range(36).select(F.concat(F.lit(f"{tmp_path}/"), F.col("id") % 6).alias("p"), F.concat(F.lit(f"{tmp_path}/"), F.floor(F.col("id") / 6)).alias("q")).repartition(8).write.parquet(str(tmp_path / "paths"))
+    got = similarity.compare_paths(spark.read.parquet(str(tmp_path / "paths")), "p", "q")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 36 and got.where("p = q and jaccard = 1").count() == 6
+
+
 def some_sides(seed, n=120, m=40):
     rng = random.Random(seed)
     common, rare = [f"c{i}" for i in range(8)], [f"r{i}" for i in range(400)]
