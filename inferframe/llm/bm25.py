@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,14 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 #: Documents are ordered by which of the shard's most frequent terms they use most, of those in over one in COMMON_IN documents.
 COMMON, COMMON_IN = 64, 10
+#: Terms in over one in FREQUENT_IN of a shard's documents are kept by document, too, the most frequent first, up to so many numbers of 4 bytes (and as many tf).
+FREQUENT_IN, FREQUENT_CELLS = 16, 4_000_000
+#: Scores of frequent terms that are held at once.
+HELD_SCORES = 1 << 20
+#: Entries of a query's rarer terms for each block, above which the sum of their bounds says nothing.
+MANY = 16
+#: What a bound may lack of the score, relatively: scores of frequent terms are of single precision until few documents are left.
+SLACK = 1e-5
 #: Decimal places of scores, wherever they are compared.
 PLACES = 6
 #: Bytes of text that a row counts for besides its own.
@@ -140,35 +149,67 @@ class Shard:
         return np.diff(self.entry_at[self.term_at])
 
     def prepare(self, mean_length: float) -> None:
-        """Impacts of postings and bounds of entries, for many queries."""
-        norm = K1 * (1 - B + B * self.length / mean_length)
+        """Impacts of postings, bounds of entries, and the frequent terms by document, for many queries."""
+        norm, n_docs = K1 * (1 - B + B * self.length / mean_length), len(self.length)
         self.docs, self.blocks = np.asarray(self.doc).astype(np.int64), np.asarray(self.entry_block).astype(np.int64)
-        tf, most = np.asarray(self.tf).astype(np.float64), np.asarray(self.entry_tf).astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
+        self.impact, most = np.asarray(self.tf).astype(np.float64), np.asarray(self.entry_tf).astype(np.float64)
+        below = norm[self.docs]
+        below += self.impact
+        self.impact *= K1 + 1
+        self.impact /= below
         self.bound = most * (K1 + 1) / (most + K1 * (1 - B + B * np.asarray(self.entry_len) / mean_length))
         self.term_posts = self.entry_at[self.term_at]
-
-    def search(self, places: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the best k, or of fewer that reach `floor`; places, weights: of the query's terms in `terms`.
-
-        The block-max bounds of the terms sum to a bound of each block. Blocks are visited from the
-        highest bound down, in growing runs; after each, the k-th best score is
+        self.most = np.maximum.reduceat(self.bound, self.term_at[:-1]) if len(self.bound) else self.bound
+        df = np.diff(self.term_posts)
+        often = np.flatnonzero(df * FREQUENT_IN > n_docs)
+        often = often[np.argsort(-df[often], kind="stable")][: FREQUENT_CELLS // max(1, n_docs)]
+        self.column = np.full(len(df), -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        self.norm, self.frequent, self.frequent_tf = norm, np.zeros((len(often), n_docs), np.float32), np.zeros((len(often), n_docs), self.tf.dtype)
+        for column, term in enumerate(often.tolist()):
+            own = slice(self.term_posts[term], self.term_posts[term + 1])
+            self.frequent[column, self.docs[own]], self.frequent_tf[column, self.docs[own]] = self.impact[own], self.tf[own]
+
+    def frequent_scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms give each document, in single precision; a row for each query (places, weights)."""
+        weights = np.zeros((len(queries), len(self.frequent)), np.float32)
+        for row, (places, weight) in zip(weights, queries, strict=True):
+            column = self.column[places]
+            row[column[column >= 0]] = weight[column >= 0]
+        return weights @ self.frequent
+
+    def search(self, places: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the best k, or of fewer that reach `floor`; places, weights: of the query's terms in `terms`, whose order is that of sums; frequent: its row of frequent_scores.
+
+        A block's bound is the highest score that the frequent terms give a document there, and the block-max bounds of the
+        other terms. Blocks are visited from the highest bound down, a few at first where there is no floor; after these, the k-th best score is
         the threshold, and the blocks whose bound is below it (the pivot and all after it) are
-        never opened: none of their postings is read. Scores are rounded to six places before
+        never opened: none of their postings of rarer terms is read. In an opened block documents that stay below the threshold
+        are dropped, and the rest get their exact scores. Scores are rounded to six places before
         any is compared, so that what is found doesn't depend on k.
         """
-        if not len(places):
-            return np.zeros(0, np.int64), np.zeros(0)
-        sizes = self.term_at[places + 1] - self.term_at[places]
-        entries, weight = expand(self.term_at[places], sizes), np.repeat(weights, sizes)
-        block = self.blocks[entries]
         n_docs = len(self.length)
-        bound = np.bincount(block, weights=weight * self.bound[entries], minlength=-(-n_docs // BLOCK))
-        bound = np.where(bound > 0, bound * (1 + 1e-9) + 1e-6, 0)
+        if not len(places) or not n_docs:
+            return np.zeros(0, np.int64), np.zeros(0)
+        if frequent is None:
+            frequent = self.frequent_scores([(places, weights)])[0]
+        column = self.column[places]
+        rare = np.flatnonzero(column < 0)
+        sizes = self.term_at[places[rare] + 1] - self.term_at[places[rare]]
+        most = np.maximum.reduceat(frequent, np.arange(0, n_docs, BLOCK))
+        whole = sizes.sum() > MANY * len(most)
+        if whole:
+            bound = most + weights[rare] @ self.most[places[rare]]
+        else:
+            entries, term = expand(self.term_at[places[rare]], sizes), np.repeat(rare, sizes)
+            block = self.blocks[entries]
+            bound = np.bincount(block, weights=weights[term] * self.bound[entries], minlength=len(most)) + most
+        bound = np.where(bound > 0, bound * (1 + SLACK) + 1e-6, 0)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best_docs, best = np.zeros(0, np.int64), np.zeros(0)
-        at, run = 0, max(4, -(-4 * k // BLOCK))
+        first, last, term_of, summed = self.term_posts[places[rare]], self.term_posts[places[rare] + 1], rare, None
+        at, run = 0, max(4, -(-4 * k // BLOCK)) if floor == -np.inf else len(order)
         while at < len(order):
             threshold = max(floor, best[-1] if len(best) == k else -np.inf)
             pivot = at + int(np.searchsorted(-bound[order[at:]], -threshold, side="right"))
@@ -178,15 +219,38 @@ class Shard:
             at, run = at + len(opened), run * 8
             mask = np.zeros(len(bound), bool)
             mask[opened] = True
-            own = np.flatnonzero(mask[block])
-            first, last = self.entry_at[entries[own]], self.entry_at[entries[own] + 1]
-            posts = expand(first, last - first)
-            exact = np.bincount(self.docs[posts], weights=np.repeat(weight[own], last - first) * self.impact[posts], minlength=n_docs)
-            scores = np.round(exact, PLACES)
-            found = np.flatnonzero((exact > 0) & (scores >= threshold))
-            best_docs, best = self.best(np.concatenate([best_docs, found]), np.concatenate([best, scores[found]]), k)
+            if not whole:
+                own = np.flatnonzero(mask[block])
+                first, last, term_of = self.entry_at[entries[own]], self.entry_at[entries[own] + 1], term[own]
+            if not whole or summed is None:
+                posts = expand(first, last - first)
+                docs, values = self.docs[posts], self.impact[posts] * np.repeat(weights[term_of], last - first)
+                summed = np.bincount(docs, weights=values, minlength=n_docs)
+            scores = summed + frequent
+            found = np.flatnonzero((scores >= threshold * (1 - SLACK) - 1e-6) & np.repeat(mask, BLOCK)[:n_docs])
+            if len(found) > k:  # nothing below the k-th of these can be among the best
+                near = scores[found]
+                found = found[near >= np.partition(near, len(near) - k)[len(near) - k] * (1 - 2 * SLACK) - 2e-6]
+            if len(found):
+                exact = self._sums(found, docs, np.repeat(term_of, last - first), values, np.flatnonzero(column >= 0), column, weights)
+                scores = np.round(exact, PLACES)
+                keep = (exact > 0) & (scores >= threshold)
+                best_docs, best = self.best(np.concatenate([best_docs, found[keep]]), np.concatenate([best, scores[keep]]), k)
         return best_docs, best
 
+    def _sums(self, found: np.ndarray, docs: np.ndarray, terms: np.ndarray, values: np.ndarray, often: np.ndarray, column: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of these documents, added up in the order of the query's terms, so that equal documents have equal sums."""
+        place = np.full(len(self.length), -1, np.int64)
+        place[found] = np.arange(len(found))
+        own = np.flatnonzero(place[docs] >= 0)
+        tf = self.frequent_tf[column[often][:, None], found].astype(np.float64)
+        common = weights[often, None] * (tf * (K1 + 1) / (tf + self.norm[found]))
+        doc = np.concatenate([place[docs[own]], np.tile(np.arange(len(found)), len(often))])
+        term = np.concatenate([terms[own], np.repeat(often, len(found))])
+        value = np.concatenate([values[own], common.ravel()])
+        order = np.argsort(term, kind="stable")
+        return np.bincount(doc[order], weights=value[order], minlength=len(found))
+
     def best(self, docs: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(scores) > 4 * k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -212,10 +276,10 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
     Each task indexes its rows in shards of `shard_bytes` of text, kept in the
     shared folder (a mounted file system). Document frequencies are summed by
     term over the shards; a hash says where a term is, its bytes whether it is
-    that term. Queries are written in blocks of about `block_queries`; a task maps one
-    block and about `group` shards, keeps the best k over
-    them (so a later shard starts from the threshold that earlier ones reached), and
-    the tasks' results are merged by rank. Scores have six places wherever they are
+    that term. Queries are written in blocks of about `block_queries`, or up to four times as many where there are more blocks than cores; a task maps one
+    block and about `group` shards and keeps the best k over
+    them (so a later shard starts from the threshold that earlier ones reached). One group of shards is searched
+    first, and its k-th best scores are where the others start. The tasks' results are merged by rank. Scores have six places wherever they are
     compared. Ids are integers.
 
     Nulls: a null text has no terms; a query with a null id is left out, a row
@@ -277,12 +341,13 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([pa.array([name])], names=["block"])
 
     asked = queries.where(F.col(query_id_col).isNotNull()).select(query_id_col, query_text_col).dropDuplicates([query_id_col])
-    n_queries = asked.select(query_id_col).count()
-    asked = asked.repartition(max(1, -(-n_queries // block_queries)), query_id_col)
+    n_queries, cores = asked.select(query_id_col).count(), spark.sparkContext.defaultParallelism
+    n_blocks = max(1, -(-n_queries // (4 * block_queries)), min(cores, -(-n_queries // block_queries)))
+    asked = asked.repartition(n_blocks, query_id_col)
     blocks = asked.mapInArrow(save_queries, "block string").checkpoint()
     mean = max(n_words / max(n_docs, 1), 1e-9)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(first: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = HashStore(stored)
         for batch in batches:
             for block, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -296,6 +361,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
                 for i in range(len(ids)):
                     place, n = np.unique(numbers[cut[i] : cut[i + 1]], return_counts=True)
                     asked.append((place, n * idf[place]))
+                floors = np.full(len(ids), -np.inf) if first else np.load(f"{folder}/{block}-floors.npy")
                 best = [(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0)) for _ in ids]
                 for name in names:
                     shard = Shard.load(f"{folder}/{name}")
@@ -304,21 +370,36 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text
                     shard.prepare(mean)
                     where = locate(shard.terms, Words(shard.word_at, shard.word), hashes, words)
                     own_terms = [(where[place[where[place] >= 0]], weight[where[place] >= 0]) for place, weight in asked]
+                    held = max(1, HELD_SCORES // len(shard.length))
                     for i, (place, weight) in enumerate(own_terms):
+                        if i % held == 0:
+                            frequent = shard.frequent_scores(own_terms[i : i + held])
+                        found, new = shard.search(place, weight, k, floors[i], frequent[i % held])
+                        if not len(found):
+                            continue
                         had, null, scores = best[i]
-                        found, new = shard.search(place, weight, k, scores[-1] if len(scores) == k else -np.inf)
                         joined = np.concatenate([had, shard.ids[found]]), np.concatenate([null, shard.null[found]]), np.concatenate([scores, new])
                         order = top(*joined, k)
                         best[i] = tuple(x[order] for x in joined)
+                        if len(order) == k:
+                            floors[i] = max(floors[i], best[i][2][-1])
+                if first:
+                    save(f"{folder}/{block}-floors.npy", floors)
                 n = [len(x[0]) for x in best]
                 doc, null, score = (np.concatenate(x) for x in zip(*best, strict=True)) if best else (np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(doc, mask=null > 0), pa.array(score)], names=["query_id", "doc_id", "score"])
 
     # each block meets each group of shards: names only, which tasks then map
-    n_groups, n_blocks = max(1, -(-n_shards // group)), max(1, -(-n_queries // block_queries))
+    n_groups = max(1, -(-n_shards // group))
     groups = shards.groupBy(F.pmod(F.xxhash64("name"), F.lit(n_groups)).alias("_group")).agg(F.sort_array(F.collect_list("name")).alias("names"))
+    start = groups.agg(F.min("_group")).first()[0] or 0
     meets = blocks.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long")))).join(groups, "_group")
-    tasks = meets.select("block", "names").repartition(n_groups * n_blocks)
-    found = tasks.mapInArrow(search, "query_id long, doc_id long, score double")
+
+    def searched(which: Column, n_tasks: int, first: bool) -> DataFrame:
+        return meets.where(which).select("block", "names").repartition(n_tasks).mapInArrow(partial(search, first), "query_id long, doc_id long, score double")
+
+    found = searched(F.col("_group") == start, n_blocks, True)
+    if n_groups > 1:
+        found = found.checkpoint().unionByName(searched(F.col("_group") != start, (n_groups - 1) * n_blocks, False))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -118,6 +118,43 @@ def test_whole_text_queries_skip_postings(monkeypatch):
     assert sum(read) - entries < 0.95 * every
 
 
+def test_frequent_terms_are_not_read_as_postings(monkeypatch):
+    """Whole texts as queries: with a floor, fewer than a third of the postings and entries are read, many queries' frequent scores are those of one, and equal documents have equal scores."""
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).slice(0, 3000).combine_chunks()
+    rows = pa.concat_tables([rows, rows.slice(0, 500)]).combine_chunks()
+    numbers, sizes, terms = bm25._terms(rows.column("text").chunk(0))
+    shard = bm25.Shard.build(pa.array(np.arange(len(sizes))), numbers, sizes, terms)
+    shard.prepare(float(sizes.mean()))
+    own = bm25._in_order(numbers, terms)[0]
+    at, df = np.concatenate([[0], np.cumsum(sizes)]), shard.document_frequencies()
+    assert 50 < len(shard.frequent) <= bm25.FREQUENT_CELLS // len(sizes)
+    queries = []
+    for q in range(0, 3000, 60):
+        places, n = np.unique(own[at[q] : at[q + 1]], return_counts=True)
+        queries.append((places, n * np.log(1 + (len(sizes) - df[places] + 0.5) / (df[places] + 0.5))))
+    read, real = [], bm25.expand
+    for (places, weights), frequent in zip(queries, shard.frequent_scores(queries), strict=True):
+        want = plain_scores(shard, places, weights)
+        order = best(shard, want, 10)
+        docs, scores = shard.search(places, weights, 10)
+        assert docs.tolist() == order.tolist() and scores.tolist() == want[order].tolist()
+        with monkeypatch.context() as m:
+            m.setattr(bm25, "expand", lambda starts, sizes: (read.append(int(np.sum(sizes))), real(starts, sizes))[1])
+            docs, scores = shard.search(places, weights, 10, want[order[-1]], frequent)
+        assert docs.tolist() == order.tolist() and scores.tolist() == want[order].tolist()
+    assert sum(read) < sum(df[places].sum() for places, _ in queries) / 3
+
+
+def test_other_groups_start_from_floors(spark, monkeypatch):
+    """Many groups of shards and blocks, copies on both sides of a floor: as all documents scored one by one."""
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(words[(i * j * j + j) % (i % 23 + 5)] for j in range(12))) for i in range(150)]
+    rows += [(1000 - i, t) for i, t in rows[:100]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    asked = [r for r in rows if r[0] % 5 == 0]
+    same(got(bm25.bm25_top_k(docs, spark.createDataFrame(asked, "doc_id long, text string"), k=4, shard_bytes=900, block_queries=3, group=2)), brute(rows, asked, 4))
+
+
 def test_blocks_of_like_documents_are_skipped(monkeypatch):
     rng = np.random.default_rng(1)
     n, topics = 40 * bm25.BLOCK, 40
